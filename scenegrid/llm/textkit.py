@@ -103,7 +103,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(texts: pa.Array, separator: np.ndarray = SPACE) -> Words:
+def words(texts: pa.Array, separator: np.ndarray = SPACE, breaks=None) -> Words:
+    """``breaks``, of the bytes, marks where a word ends and another begins without a separator."""
     raw, off = buffers(texts)
     n = len(raw)
     if not n:
@@ -112,11 +113,13 @@ def words(texts: pa.Array, separator: np.ndarray = SPACE) -> Words:
     inside = ~separator[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    if breaks is not None:
+        begins |= inside & breaks(raw)
     edge = off[1:-1]  # a text begins a word even if the one before ends in one
     edge = edge[edge < n]
     begins[edge] = inside[edge]
     ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
+    ends[:-1] &= ~inside[1:] | begins[1:]
     last = off[1:] - 1
     last = last[last >= 0]
     ends[last] = inside[last]
