@@ -4,27 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenegrid.llm import language, quality_model, quality_rules, toxicity
+from scenegrid.llm import chat, decontaminate, language, near_dup, packing, quality_model, quality_rules, suffix_dedup, tokens, toxicity
 from scenegrid.llm.tables import read
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_language_id, op8_quality_classifier, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_quality_rules,
+        op3_near_duplicates,
+        op4_suffix_dedup,
+        op5_best_fit_packing,
+        op6_language_id,
+        op7_decontamination,
+        op8_quality_classifier,
+        op9_token_ids,
+        op10_toxicity,
+    )
+}
 
 ORACLE_SQL = {
     "op2_quality_rules": r"""
