@@ -13,7 +13,8 @@ from scenegrid.llm.tables import read
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model doesn't reject, as they are."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), into="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

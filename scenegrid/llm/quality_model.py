@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scenegrid.llm import hashed
 from scenegrid.llm import textkit as K
 from scenegrid.llm.tables import held_out
-from scenegrid.llm.toxicity import choose_terms, labelled, sigmoid
+from scenegrid.llm.toxicity import BATCH, EPOCHS, STEPS, choose_terms, labelled, sigmoid
 
 MAX_TRAINING_ROWS = 12_000
 SHAPE_BITS = 9
@@ -90,7 +90,7 @@ class Ordinal:
         return sigmoid(line[:, None] - self.thresholds)
 
 
-def fit(rows: list[np.ndarray], dense: np.ndarray, grades: np.ndarray, *, n_grades: int = GRADES, epochs: int = 30, seed: int = 1) -> Ordinal:
+def fit(rows: list[np.ndarray], dense: np.ndarray, grades: np.ndarray, *, n_grades: int = GRADES, epochs: int = EPOCHS, seed: int = 1) -> Ordinal:
     """Adam on the ordinal log loss. rows: distinct buckets; dense: shapes and shares; grades: 0 to n_grades-1."""
     slot = np.full(hashed.BUCKETS, -1, np.int16)
     n = len(rows)
@@ -108,12 +108,13 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, grades: np.ndarray, *, n_grad
     gaps = np.log(np.maximum(np.diff(cuts), 1e-2))
     w, low, steps = np.zeros(x.shape[1]), np.array([cuts[0]]), gaps
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, low, steps)]
+    epochs = max(epochs, -(-STEPS * BATCH // n))
     rng, t = np.random.default_rng(seed), 0
     for epoch in range(epochs):
         rate = 0.03 * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         order = rng.permutation(n)
-        for at in range(0, n, 256):
-            i = order[at : at + 256]
+        for at in range(0, n, BATCH):
+            i = order[at : at + BATCH]
             xb, y = x[i], grades[i].astype(int)
             th = np.concatenate([low, low + np.cumsum(np.exp(steps))])
             edges = np.concatenate([[-1e3], th, [1e3]])

@@ -30,7 +30,8 @@ from scenegrid.llm.tables import held_out
 MAX_TRAINING_ROWS = 12_000
 MAX_TERMS = 1024
 FACTORS = 8
-EPOCHS = 30
+#: Passes over the training rows; as many more as STEPS batches take.
+EPOCHS, STEPS, BATCH = 30, 600, 256
 THRESHOLD = 0.3
 
 
@@ -91,13 +92,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, e
     for i, r in enumerate(rows):
         s = slot[r]
         x[i, s[s >= 0]] = 1
+    epochs = max(epochs, -(-STEPS * BATCH // n))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v, np.zeros(1))]
     b, step = np.array([bias]), 0
     for epoch in range(epochs):
         rate = 0.02 * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         order = rng.permutation(n)
-        for at in range(0, n, 256):
-            rows_of = order[at : at + 256]
+        for at in range(0, n, BATCH):
+            rows_of = order[at : at + BATCH]
             xb = x[rows_of].astype(float)
             sums = xb @ v
             margin = b[0] + xb @ w + 0.5 * ((sums**2).sum(1) - (xb @ (v * v)).sum(1))
@@ -143,19 +145,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     return fit([each[i] for i in order], y[order])
 
 
-def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the score of every whole text."""
+def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """``keep`` columns and the score of every whole text, as column ``into``."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
                 scores = pa.array(model.value.score(part.column("text")), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), scores], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), scores], [*keep, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     read = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    return read.mapInArrow(run, f"{schema}, score double")
+    return read.mapInArrow(run, f"{schema}, `{into}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
