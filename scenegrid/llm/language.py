@@ -5,8 +5,9 @@ per language over every learned row: a map that adds up within its task, then on
 model is the smoothed likelihood of each bucket under each language, of fixed size per language.
 
 A document is a mixture of languages. Expectation-maximisation on its n-gram counts estimates the
-proportions, for all documents of a batch at once; it starts from all languages and takes out the
-weakest while the log-likelihood, less PENALTY times log(n) for each language kept, doesn't fall. The
+proportions, for all documents of a batch at once. A document whose best language alone explains it nearly
+as well as the mixture has that one; the others go on with all languages, and the weakest goes while the
+log-likelihood, less PENALTY times log(n) for each language kept, doesn't fall. The
 prediction is the largest proportion of the set that is left, ties by name, and the score is that proportion.
 
 A null text, or one without a letter, is ``und`` with score 0. Learned rows have text and language.
@@ -33,7 +34,7 @@ BUCKETS = 1 << BITS
 SIZES = (3, 4)
 SMOOTHING = 0.5
 PENALTY = 4.0
-ROUNDS = 12
+FIRST_ROUNDS, ROUNDS = 4, 12
 UNKNOWN = "und"
 
 
@@ -74,11 +75,42 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(texts.fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
 
 
+def _em(p: np.ndarray, c: np.ndarray, row: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log-likelihood) of each text after some rounds. p: likelihoods of its n-grams under each
+    language; c: their counts; row: their text's number; pi: where to start, 0 for languages left out."""
+    starts = np.searchsorted(row, np.arange(len(pi)))
+    total = np.bincount(row, c)[:, None]
+    for _ in range(rounds):
+        r = p * pi[row]
+        r *= (c / np.maximum(r.sum(1), 1e-300))[:, None]
+        pi = np.add.reduceat(r, starts, 0) / total
+    return pi, np.bincount(row, c * np.log(np.maximum((p * pi[row]).sum(1), 1e-300)))
+
+
+def _choose(p: np.ndarray, c: np.ndarray, row: np.ndarray, pi: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Backward elimination: the weakest language goes while that costs less than its price."""
+    n, m = pi.shape
+    pi, logs = _em(p, c, row, pi, ROUNDS)
+    active, open_ = np.ones((n, m), bool), np.ones(n, bool)
+    for _ in range(m - 1):
+        fewer = active.copy()
+        fewer[np.arange(n), np.where(active, pi, np.inf).argmin(1)] = False
+        start = np.where(fewer, pi + 1e-6, 0)
+        pi2, logs2 = _em(p, c, row, start / start.sum(1, keepdims=True), ROUNDS)
+        better = open_ & (logs2 + price >= logs)
+        active[better], pi[better], logs[better] = fewer[better], pi2[better], logs2[better]
+        open_ &= better
+    return pi
+
+
 @dataclass
 class Languages:
     names: list[str]
     likelihood: np.ndarray  #: buckets x languages
 
+    def __post_init__(self):
+        self.logs = np.log(self.likelihood)
+
     def proportions(self, texts: pa.Array) -> np.ndarray:
         """Per text, the proportions of the languages in the chosen set."""
         n, m = len(texts), len(self.names)
@@ -87,37 +119,20 @@ class Languages:
         if not len(doc):
             return found
         p, c = self.likelihood[ids], counts.astype(float)
-        total = np.maximum(np.bincount(doc, c, n), 1)
-        first = np.searchsorted(doc, np.arange(n))
-        some = first < np.append(first[1:], len(doc))
-        starts = first[some]
-
-        def em(active: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            pi = np.where(active, start, 0.0)
-            pi /= np.maximum(pi.sum(1, keepdims=True), 1e-12)
-            for _ in range(rounds):
-                r = p * pi[doc]
-                r *= (c / np.maximum(r.sum(1), 1e-300))[:, None]
-                pi[some] = np.add.reduceat(r, starts, 0) / total[some, None]
-            logs = np.bincount(doc, c * np.log(np.maximum((p * pi[doc]).sum(1), 1e-300)), n)
-            return pi, logs
-
-        active = np.ones((n, m), bool)
-        pi, logs = em(active, found, ROUNDS)
-        price = PENALTY * np.log(total + 1)
-        open_ = np.ones(n, bool)
-        for _ in range(m - 1):
-            weakest = np.where(active, pi, np.inf).argmin(1)
-            smaller = active.copy()
-            smaller[np.arange(n), weakest] = False
-            smaller[active.sum(1) < 2] = active[active.sum(1) < 2]
-            pi2, logs2 = em(smaller, pi + 1e-6, ROUNDS // 2)
-            better = open_ & (active.sum(1) > 1) & (logs2 + price >= logs)
-            active[better], pi[better], logs[better] = smaller[better], pi2[better], logs2[better]
-            open_ &= better
-            if not open_.any():
-                break
-        return pi
+        some, size = np.unique(doc, return_counts=True)
+        row = np.repeat(np.arange(len(some)), size)
+        pi, logs = _em(p, c, row, found[some], FIRST_ROUNDS)
+        price = PENALTY * np.log(np.bincount(row, c) + 1)
+        # most texts have one language: where it alone loses less than one language's price, that is the set
+        best = pi.argmax(1)
+        alone = np.bincount(row, c * self.logs[ids, best[row]])
+        mixed = alone + price < logs
+        found[some] = np.arange(m) == best[:, None]
+        if mixed.any():
+            pick = mixed[row]
+            again = np.cumsum(mixed) - 1
+            found[some[mixed]] = _choose(p[pick], c[pick], again[row[pick]], pi[mixed], price[mixed])
+        return found
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, number of languages in the set) per text."""
