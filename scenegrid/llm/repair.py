@@ -41,11 +41,11 @@ def _frequent(key: np.ndarray, most: int, least: int) -> np.ndarray:
 
 def _members(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """For each key its number among the chosen, or -1."""
-    salt, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+    salt, shift = key.dtype.type(0x9E3779B97F4A7C15 & (1 << 8 * key.itemsize) - 1), key.dtype.type(8 * key.itemsize - 20)
     filter_ = np.zeros(1 << 20, bool)
-    filter_[(chosen.astype(np.uint64) * salt) >> shift] = True
-    out = np.full(len(key), -1, np.int64)
-    maybe = np.flatnonzero(filter_[(key.astype(np.uint64) * salt) >> shift])
+    filter_[(chosen * salt) >> shift] = True
+    out = np.full(len(key), -1, np.int32)
+    maybe = np.flatnonzero(filter_[(key * salt) >> shift])
     at = np.minimum(np.searchsorted(chosen, key[maybe]), len(chosen) - 1)
     hit = chosen[at] == key[maybe]
     out[maybe[hit]] = at[hit]
@@ -54,7 +54,10 @@ def _members(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules) of concatenated documents; nonterminals are numbered from ``first``."""
-    s = ids.astype(np.int64)
+    narrow = first + rounds * pairs < 1 << 16  # two symbols then fit 32 bits
+    kind, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    never = np.iinfo(kind).max
+    s = ids.astype(kind)
     doc_end = np.zeros(len(s), bool)
     doc_end[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
@@ -62,23 +65,25 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROU
     for _ in range(rounds):
         if len(s) < 2:
             break
-        key = s[:-1] << 32 | s[1:]
-        inner = ~doc_end[:-1]
-        chosen = _frequent(key[inner], pairs, least)
+        key = s[:-1] << half | s[1:]
+        key[doc_end[:-1]] = never
+        chosen = _frequent(key, pairs + 1, least)
+        chosen = chosen[chosen != never][:pairs]
         if not len(chosen):
             break
         which = _members(key, chosen)
-        found = (which >= 0) & inner
         # of neighbours that overlap, every second one from the left
-        at = np.flatnonzero(found)
+        at = np.flatnonzero(which >= 0)
         begins = np.ones(len(at), bool)
         begins[1:] = at[1:] != at[:-1] + 1
         run = np.flatnonzero(begins)
         inside = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
         at = at[inside % 2 == 0]
-        used = np.unique(which[at])
-        rules.append(np.column_stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF]))
-        s[at] = top + np.searchsorted(used, which[at])
+        used = np.flatnonzero(np.bincount(which[at], minlength=len(chosen)))
+        number = np.zeros(len(chosen), kind)
+        number[used] = top + np.arange(len(used))
+        rules.append(np.column_stack([chosen[used] >> half, chosen[used] & ((1 << int(half)) - 1)]).astype(np.int64))
+        s[at] = number[which[at]]
         top += len(used)
         doc_end[at] = doc_end[at + 1]
         stay = np.ones(len(s), bool)
