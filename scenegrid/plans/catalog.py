@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from scenegrid.plans import queries_geometry, queries_relations, queries_rules  # noqa: F401  (they register themselves)
+from scenegrid.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Resolve a scene and audit it: see ``resolve_and_audit``."""
+    return QUERIES["resolve_and_audit"](spark, sf_dir)
