@@ -43,11 +43,16 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+#: Text that one Arrow batch holds at most: a task has one batch at each side of its Python worker.
+BATCH_BYTES = 4 << 20
+
+
 class Scratch:
     """Named tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         self.root = f"{shared_dir(spark)}/scenegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
         _made.append((spark, self.root))
 
