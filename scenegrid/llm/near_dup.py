@@ -11,11 +11,13 @@ with an empty component go on.
 Candidates. BANDS bands of ROWS components each; texts whose band agrees meet in a bucket. Texts with
 equal multisets are one node beforehand, so copies cost nothing more.
 
-Pairs. A bucket of up to SMALL nodes takes all its pairs; a larger one compares each node with two
-pivots, its smallest and its largest node. Weighted Jaccard distance is a metric: nodes of a large
-bucket that are still in different classes afterwards are compared too unless the distances to a
-pivot rule it out. So no link between texts that share a bucket is lost up to connection, and no
-bucket emits all its pairs.
+Pairs. A bucket of up to SMALL nodes takes all its pairs; a larger one compares each node with its pivot,
+a node that meets the most others over all buckets: in a family of near copies, one close to
+their source. For nodes u, v and a pivot p, |u & v| <= |u & p| + |(u - p) & (v - p)|. So a node u that its pivot
+didn't take in can be linked to another v only if the two share a shingle that p hasn't, or if v is
+smaller than p by enough; such pairs of different classes are met by those shingles, and by size, and compared
+too; of the shingles a node needs to have in common, one of the rarest must be met. The bounds are exact: no link between texts that share a bucket is lost up to connection, and no bucket
+emits all its pairs.
 
 Verification. The multisets of both texts are compared exactly; a link needs THRESHOLD or more. Classes
 are the connected components of the links; the class id is the smallest doc_id.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenegrid.llm import textkit as K
@@ -129,37 +131,45 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(K.arrays(part.column("doc_id"), K.signed(content[0]), K.signed(content[1]), total, lists), ["doc_id", "c1", "c2", "n", "bands"])
 
 
-def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Weighted Jaccard of the texts of two columns, row by row."""
+def overlap(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row by row, of the multisets of two columns of texts: weighted Jaccard; size of the intersection;
+    (row, hash, weight) of what the left one has beyond the right one."""
     n = len(a)
     sides = [K.bags(*K.shingles(K.words(x), SHINGLE)) for x in (a, b)]
     doc, h, w = (np.concatenate([s[i] for s in sides]) for i in range(3))
-    union = np.bincount(doc, w, n)
-    if not len(h):
-        return np.zeros(n)
+    left = np.arange(len(doc)) < len(sides[0][0])
     order = K._by_doc(doc, h)
-    d, x, c = doc[order], h[order], w[order]
+    d, x, c, side = doc[order], h[order], w[order], left[order]
     pair = np.flatnonzero((x[1:] == x[:-1]) & (d[1:] == d[:-1]))
-    both = np.bincount(d[pair], np.minimum(c[pair], c[pair + 1]), n)
-    return both / np.maximum(union - both, 1)
+    met = np.minimum(c[pair], c[pair + 1])
+    both = np.bincount(d[pair], met, n)
+    rest = c.copy()
+    rest[pair] -= met
+    rest[pair + 1] -= met
+    more = np.flatnonzero(side & (rest > 0))
+    return both / np.maximum(np.bincount(doc, w, n) - both, 1), both.astype(np.int64), (d[more], x[more], rest[more])
+
+
+_COMPARED = "a bigint, b bigint, sim double, common bigint, added array<struct<token: bigint, w: bigint>>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.chunks(batch, "text_a", K.CHUNK_BYTES // 2):
-            yield pa.RecordBatch.from_arrays(K.arrays(part.column("a"), part.column("b"), overlap(part.column("text_a"), part.column("text_b"))), ["a", "b", "sim"])
+            sim, common, (row, added, w) = overlap(part.column("text_a"), part.column("text_b"))
+            off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(K.signed(added)), pa.array(w, pa.int64())], ["token", "w"]))
+            yield pa.RecordBatch.from_arrays(K.arrays(part.column("a"), part.column("b"), sim, common, lists), ["a", "b", "sim", "common", "added"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, sim) of the distinct pairs. a is the side that repeats less: texts travel by a and meet b's
-    in place, and both joins are between tables, so many pairs of one b are split."""
+    """(a, b, sim, common, added) of the distinct pairs; added: shingles of a beyond b's. Texts travel by a and meet
+    b's in place. Both joins shuffle both sides at every size, so many pairs of one b are split among tasks."""
     pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = scratch.table(texts.join(needed, "id", "left_semi"), f"{name}-texts")
-    half = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    whole = half.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = scratch.table(whole.mapInArrow(_compare, "a bigint, b bigint, sim double"), f"{name}-compared")
-    scratch.drop(f"{name}-texts", f"{name}-pairs")
+    half = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    whole = half.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    found = scratch.table(whole.select("a", "b", "text_a", "text_b").mapInArrow(_compare, _COMPARED), f"{name}-compared")
+    scratch.drop(f"{name}-pairs")
     return found
 
 
@@ -169,58 +179,92 @@ def _alike(n: str, m: str):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_links (links of the text to different texts) of every document."""
+    """doc_id and class_id of every document."""
     scratch = Scratch(docs.sparkSession, "near-dup")
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.table(docs.mapInArrow(_sign, _SIGNED), "signed")
     # no word: the id tells such texts apart
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.lit(0))
     nodes = scratch.table(signed.groupBy("c1", "c2", own.alias("own")).agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    texted = nodes.where("n > 0")
-    meets = texted.select("node", "n", F.explode("bands").alias("band"))
-    sizes = scratch.table(meets.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p"), F.max(F.struct("node", "n")).alias("q")).where("c > 1"), "sizes")
+    meets = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("band"))
+    sizes = scratch.table(meets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     met = scratch.table(meets.join(sizes, "band"), "met")
+    large = scratch.table(_pivots(met.where(F.col("c") > SMALL), scratch), "large")
+
+    texts = docs.withColumnRenamed("doc_id", "id").hint("merge").join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    texts = scratch.table(texts, "texts")
 
     small = met.where(F.col("c") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))
     small = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node > y.node")
-    large = met.where(F.col("c") > SMALL).select(F.struct("node", "n").alias("x"), F.explode(F.array("p", "q")).alias("y")).where("x.node <> y.node")
-    pairs = small.union(large).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    first = verify(pairs.where(_alike("na", "nb")).select("a", "b"), docs.withColumnRenamed("doc_id", "id"), scratch, "first")
-    links = first.where(F.col("sim") >= THRESHOLD)
-    if met.where(F.col("c") > SMALL).limit(1).count():
-        second = _rest(met.where(F.col("c") > SMALL), first, links, docs, scratch)
+    small = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    pairs = small.where(_alike("na", "nb")).select("a", "b").union(large.where("node <> p").select("node", "p"))
+    first = verify(pairs, texts, scratch, "first")
+    links = first.where(F.col("sim") >= THRESHOLD).select("a", "b")
+    if large.limit(1).count():
+        second = _rest(large, first, links, texts, scratch)
         if second is not None:
             links = scratch.table(links.union(second), "links")
     joined = components(links, scratch)
-    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = scratch.table(nodes.select("c1", "c2", "own", "node").join(joined, "node", "left").join(degree, "node", "left").select("c1", "c2", "own", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    return signed.select("doc_id", "c1", "c2", own.alias("own")).join(named, ["c1", "c2", "own"]).select("doc_id", "class_id", "n_links")
+    named = scratch.table(nodes.select("c1", "c2", "own", "node").join(joined, "node", "left").select("c1", "c2", "own", F.coalesce("component", "node").alias("class_id")), "named")
+    return signed.select("doc_id", "c1", "c2", own.alias("own")).join(named, ["c1", "c2", "own"]).select("doc_id", "class_id")
+
+
+def _pivots(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, n, p) for the large buckets. A node weighs as much as it meets others; each node's hub is the heaviest node
+    of all its buckets, and a bucket's pivot is the hub of most of its nodes, whether or not it is in that bucket:
+    buckets of one family then have one pivot, close to the family's source."""
+    weights = scratch.table(met.groupBy("node").agg(F.sum("c").alias("weight")), "weights")
+    large = scratch.table(met.join(weights, "node").select("band", "node", "n", "weight"), "weighed")
+    heaviest = scratch.table(large.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")), "heaviest")
+    hubs = scratch.table(large.join(heaviest, "band").groupBy("node").agg(F.max("top").alias("hub")), "hubs")
+    voted = scratch.table(large.join(hubs, "node").select("band", "node", "n", "hub"), "voted")
+    votes = voted.groupBy("band", "hub").agg(F.count("*").alias("votes"))
+    chosen = scratch.table(votes.groupBy("band").agg((-F.max(F.struct("votes", "hub"))["hub"]["minus"]).alias("p")), "pivots")
+    return voted.join(chosen, "band").select("node", "n", "p").distinct()
+
+
+#: |u & v| needed for a link is this share of |u| + |v|.
+_SHARE = THRESHOLD / (1 + THRESHOLD)
 
 
-def _rest(met: DataFrame, compared: DataFrame, links: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+def _rest(large: DataFrame, compared: DataFrame, links: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Links of large buckets between nodes that the pivots left in different classes."""
-    class_of = components(links, scratch, "pivots")
-    # a pivot may have been compared from either side
-    sims = scratch.table(compared.union(compared.select("b", "a", "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim")), "sims")
-    at = met.select("band", "node", "n", F.col("p.node").alias("p"), F.col("q.node").alias("q"))
-    at = at.join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    for pivot in ("p", "q"):
-        near = sims.select(F.col("a").alias("node"), F.col("b").alias(pivot), (1 - F.col("sim")).alias(f"d{pivot}"))
-        at = at.join(near, ["node", pivot], "left").withColumn(f"d{pivot}", F.when(F.col("node") == F.col(pivot), 0.0).otherwise(F.col(f"d{pivot}")))
-    at = scratch.table(at, "distances")
-    main = scratch.table(at.groupBy("band").agg(F.mode("class").alias("main"), F.countDistinct("class").alias("k")).where("k > 1").select("band", "main"), "mixed")
-    if not main.limit(1).count():
+    class_of = components(links, scratch, "pivot-classes")
+    members = large.where("node <> p")
+    members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("p"), "common", "added"), ["node", "p"])
+    members = members.join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    members = members.join(class_of.withColumnsRenamed({"node": "p", "component": "main"}), "p", "left").withColumn("apart", F.col("class") != F.coalesce("main", "p")).drop("main")
+    members = scratch.table(members, "members")
+    mixed = members.groupBy("p").agg(F.min("n").alias("least"), F.bool_or("apart").alias("any")).where("any").select("p", "least")
+    members = scratch.table(members.join(mixed, "p"), "mixed-members")
+    if not members.limit(1).count():
         return None
-    mixed = scratch.table(at.join(main, "band"), "in-mixed")
-    x, y = mixed.where(F.col("class") != F.col("main")).alias("x"), mixed.alias("y")
-    slack = 1 - THRESHOLD + 1e-9
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.class") != F.col("y.class")) & _alike("x.n", "y.n")
-    for d in ("dp", "dq"):
-        on &= F.coalesce(F.abs(F.col(f"x.{d}") - F.col(f"y.{d}")) <= slack, F.lit(True))
-    pairs = x.join(y, on).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    pairs = pairs.join(sims, ["a", "b"], "left_anti")
-    return verify(pairs, docs.withColumnRenamed("doc_id", "id"), scratch, "second").where(F.col("sim") >= THRESHOLD)
+    # v must have this many shingles at most, or share with u what the pivot hasn't
+    members = members.withColumn("room", F.floor(F.col("common") / _SHARE - F.col("n") + 1e-9))
+
+    tokens = scratch.table(members.select("p", "node", "class", "apart", F.inline("added")), "tokens")
+    telling = tokens.groupBy("p", "token").agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"))
+    telling = scratch.table(telling.where("any AND lo <> hi").select("p", "token", "c"), "telling")
+    held = scratch.table(tokens.join(telling, ["p", "token"]), "held-tokens")
+    # u needs this much in common with v beyond the pivot, so one of its rarest such shingles, or v is ruled out
+    need = F.greatest(F.lit(1), F.ceil(_SHARE * (F.col("n") + F.greatest("least", F.ceil(THRESHOLD * F.col("n") - 1e-9))) - F.col("common") - 1e-9))
+    needs = members.where("apart").select("p", "node", need.alias("need"))
+    frequent = Window.partitionBy("p", "node").orderBy(F.desc("c"), "token")
+    rare = held.where("apart").join(needs, ["p", "node"]).withColumn("sum", F.sum("w").over(frequent)).where("sum >= need")
+    rare = scratch.table(rare.select("p", "token", "node", "class"), "rare-tokens")
+    # two nodes apart must meet in a token that is rare for both
+    y = rare.union(held.where("NOT apart").select("p", "token", "node", "class")).alias("y")
+    sharing = rare.alias("x").join(y, ["p", "token"]).where("x.class <> y.class").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+    row = ["p", "node", "n", "class", "room"]
+    x, y = members.where(F.col("apart") & (F.col("room") >= F.col("least"))).select(*row).alias("x"), members.select(*row).alias("y")
+    fits = (F.col("x.p") == F.col("y.p")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.n") <= F.col("x.room")) & (F.col("x.n") <= F.col("y.room")) & _alike("x.n", "y.n")
+    close = x.join(y, fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+    pairs = sharing.union(close).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    known = compared.select("a", "b").union(compared.select("b", "a"))
+    pairs = pairs.join(known, ["a", "b"], "left_anti")
+    return verify(pairs, texts, scratch, "second").where(F.col("sim") >= THRESHOLD).select("a", "b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -228,4 +272,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     shuffled by doc_id; rows without a doc_id stay."""
     classes = near_duplicates(docs)
     gone = Scratch(docs.sparkSession, "near-dup-gone").table(classes.where("doc_id <> class_id").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.hint("merge").join(gone, "doc_id", "left_anti")
