@@ -157,7 +157,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     whole = scratch.table(whole, "whole")
     scratch.drop("held", "around", "many", "split")
 
-    windows = scratch.table(docs.join(ends, "doc_id").mapInArrow(_windows, "window bigint, doc_id bigint, start int"), "windows")
+    windows = scratch.table(docs.hint("merge").join(ends, "doc_id").mapInArrow(_windows, "window bigint, doc_id bigint, start int"), "windows")
     twice = scratch.table(windows.groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("first")).where("c > 1").select("window", "first"), "twice")
     single = windows.join(twice, "window").select("doc_id", F.col("start").alias("lo"), (F.col("start") + MIN_WORDS).alias("hi"), (F.struct("doc_id", "start") != F.col("first")).alias("gone"))
     spans = whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "gone")).alias("spans"))
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their removed passages; ``n_chars``, where there is one, follows the text.
     Documents that have no word left go; those that had none to begin with stay."""
     spans = repeated_passages(docs).where("n_removed_words > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
+    joined = docs.hint("merge").join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
