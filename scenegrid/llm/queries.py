@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scenegrid.llm import chat, decontaminate, language, near_dup, packing, quality_model, quality_rules, suffix_dedup, tokens, toxicity
 from scenegrid.llm.tables import read
@@ -21,7 +22,9 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+    found = suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+    written = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), " ") for c in ("repeated", "removed")}
+    return found.withColumns(written)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +36,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity")  # two places may be equally similar
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +92,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 10 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > 3 * length(regexp_replace(t, '[^\p{L}]+', '', 'g'))
     OR 10 * (length(t) - length(translate(t, '!?', ''))) > 3 * n_words) AS kept
 FROM b""",
+    "op3_near_duplicates": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)
+  UNION ALL SELECT doc_id, w FROM d WHERE len(w) BETWEEN 1 AND 4
+), b AS (SELECT doc_id, g, count(*) AS c FROM s GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM b GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS met FROM b x JOIN b y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE met >= 0.8 * (p.n + q.n - met)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a""",
+    "op4_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i + 1, i + 50), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+twice AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS gone, count(*) OVER (PARTITION BY h) AS c FROM win),
+lit AS (SELECT doc_id, i, gone FROM twice WHERE c > 1),
+sorts AS (SELECT doc_id, i, 'repeated' AS kind FROM lit UNION ALL SELECT doc_id, i, 'removed' FROM lit WHERE gone),
+runs AS (SELECT *, i > lag(i) OVER w + 50 OR lag(i) OVER w IS NULL AS new FROM sorts WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, kind ORDER BY i) AS run FROM runs),
+spans AS (SELECT doc_id, kind, (min(i))::INT AS start, (max(i) + 50)::INT AS "end" FROM numbered GROUP BY doc_id, kind, run)
+SELECT doc_id, (sum("end" - start) FILTER (WHERE kind = 'repeated'))::BIGINT AS n_repeated_words, (coalesce(sum("end" - start) FILTER (WHERE kind = 'removed'), 0))::BIGINT AS n_removed_words,
+  string_agg(start || '-' || "end", ' ' ORDER BY start) FILTER (WHERE kind = 'repeated') AS repeated, coalesce(string_agg(start || '-' || "end", ' ' ORDER BY start) FILTER (WHERE kind = 'removed'), '') AS removed
+FROM spans GROUP BY doc_id""",
+    "op7_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, i, list_slice(w, i + 1, i + least(5, len(w))) AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT item_id, i, list_slice(w, i + 1, i + least(5, len(w))) AS g FROM (SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM b WHERE len(w) > 0)),
+laid AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(ds.i - bs.i, len(d.w) - len(b.w))) AS start FROM ds JOIN bs USING (g) JOIN d USING (doc_id) JOIN b USING (item_id)),
+x AS (SELECT doc_id, item_id, start, ds.g, count(*) AS c FROM laid JOIN b USING (item_id) JOIN ds USING (doc_id) WHERE ds.i >= start AND ds.i <= start + greatest(0, len(b.w) - 5) GROUP BY ALL),
+y AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
+m AS (SELECT doc_id, item_id, start, sum(least(x.c, y.c)) AS met FROM x JOIN y USING (item_id, g) GROUP BY ALL),
+n AS (SELECT doc_id, item_id, start, sum(c) AS n FROM x GROUP BY ALL), k AS (SELECT item_id, sum(c) AS n FROM y GROUP BY ALL),
+j AS (SELECT doc_id, item_id, start, met / (n.n + k.n - met) AS similarity FROM m JOIN n USING (doc_id, item_id, start) JOIN k USING (item_id))
+SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity FROM j WHERE similarity >= 0.8 GROUP BY doc_id, item_id""",
 }
