@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scenegrid.functions import scalar
-from scenegrid.operators import graph, paths, relations, rules
+from scenegrid.operators import graph, layout, paths, relations, rules
 from scenegrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +126,26 @@ def test_winding_of_a_square(spark):
     probes = spark.createDataFrame([(1, 1, 2, 2), (1, 2, 9, 2), (1, 3, 2, -1)], "path_id bigint, probe_id bigint, px bigint, py bigint")
     assert {r.probe_id: r.winding for r in paths.winding(pts, probes).collect()} == {1: 1, 2: 0, 3: 0}
     assert paths.area2(pts).first().area2 == 32 and paths.convexity(pts).first().orientation == 1
+
+
+def test_routes_avoid_boxes_and_cost_bends():
+    cost, way = layout.cheapest_route((0.0, 50.0), (200.0, 50.0), [(80.0, 0.0, 120.0, 100.0)])
+    assert way[0] == (0.0, 50.0) and way[-1] == (200.0, 50.0)
+    for a, b in zip(way, way[1:], strict=False):
+        assert a[0] == b[0] or a[1] == b[1]
+        assert not (min(a[0], b[0]) < 120 and max(a[0], b[0]) > 80 and min(a[1], b[1]) < 100 and max(a[1], b[1]) > 0)
+    assert cost == 200 + 2 * 66 + 2 * layout.BEND  # up at once, across, down at the end
+    assert layout.cheapest_route((0.0, 5.0), (9.0, 5.0), [])[0] == 9
+    ring = [(-20.0, -20.0, 30.0, -10.0), (-20.0, 10.0, 30.0, 20.0), (-20.0, -20.0, -10.0, 20.0), (10.0, -20.0, 30.0, 20.0)]
+    assert layout.cheapest_route((0.0, 0.0), (99.0, 0.0), ring) == (float("inf"), [])
+
+
+def test_matches_in_order(spark):
+    schema = "s bigint, place bigint, value double"
+    found = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 2.0, 1.0, 3.0])] + [(2, 0, 5.0)], schema)
+    wanted = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (2, 0, 5.001), (3, 0, 1.0)], schema)
+    got = {r.s: (r.n, r.n_matched, r.unique) for r in layout.match_in_order(wanted, found, "s", 0.002).collect()}
+    assert got == {1: (2, 2, False), 2: (1, 1, True)}
+    strict = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0)], schema)
+    assert layout.match_in_order(strict, found, "s", 0.002).first().unique
+    assert layout.match_in_order(spark.createDataFrame([(1, 0, 3.0), (1, 1, 2.0)], schema), found, "s", 0.002).first().n_matched == 1
