@@ -232,11 +232,12 @@ def _rest(large: DataFrame, compared: DataFrame, links: DataFrame, texts: DataFr
     class_of = components(links, scratch, "pivot-classes")
     members = large.where("node <> p")
     members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("p"), "common", "added"), ["node", "p"])
-    members = members.join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    members = members.join(class_of.withColumnsRenamed({"node": "p", "component": "main"}), "p", "left").withColumn("apart", F.col("class") != F.coalesce("main", "p")).drop("main")
-    members = scratch.table(members, "members")
-    mixed = members.groupBy("p").agg(F.min("n").alias("least"), F.bool_or("apart").alias("any")).where("any").select("p", "least")
-    members = scratch.table(members.join(mixed, "p"), "mixed-members")
+    members = scratch.table(members.join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "classed")
+    # a pivot may have a large part of all members: joins by p are between tables, and may be split
+    mains = scratch.table(members.select(F.col("p").alias("node")).distinct().join(class_of, "node", "left").select(F.col("node").alias("p"), F.coalesce("component", "node").alias("main")), "mains")
+    members = scratch.table(members.hint("merge").join(mains, "p").withColumn("apart", F.col("class") != F.col("main")).drop("main"), "members")
+    mixed = scratch.table(members.groupBy("p").agg(F.min("n").alias("least"), F.bool_or("apart").alias("any")).where("any").select("p", "least"), "mixed")
+    members = scratch.table(members.hint("merge").join(mixed, "p"), "mixed-members")
     if not members.limit(1).count():
         return None
     # v must have this many shingles at most, or share with u what the pivot hasn't
