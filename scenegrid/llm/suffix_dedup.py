@@ -5,7 +5,9 @@ GRAM-word hash is the smallest (the leftmost of equals) of some REACH consecutiv
 MIN_WORDS. Two equal windows of MIN_WORDS words select the same place in both, so a passage of that length
 that comes twice always has a retained suffix in common, with its first MIN_WORDS - REACH + 1 words equal.
 
-1. Retained suffixes are sorted by the hash of those words; a suffix without an equal neighbour goes.
+1. Retained suffixes are sorted over the whole cluster, by the hash of those words and then by place (a range
+   partition and a sort within it, so the suffixes of a frequent passage spread over many tasks); each is compared
+   with its neighbours, across the ends of partitions too, and one without an equal neighbour goes.
 2. The rest are extended left and right to the whole neighbourhood (REACH - 1 words to the left, the window to
    the right) and grouped by it. Where all equal suffixes have one neighbourhood, every window in it
    repeats, and the earliest occurrence, by doc_id and position, is the one that stays.
@@ -80,6 +82,38 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(K.arrays(K.signed(K.spans(sums, p, p + SUFFIX)), K.signed(around), ids, (p - first).astype(np.int32), (right - first).astype(np.int32)), ["key", "around", "doc_id", "pos", "upto"])
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted suffixes, those equal to a neighbour, and the first and the last one of the partition."""
+    held: pa.RecordBatch | None = None  # the last row, until its next neighbour is known
+    first, twin = True, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = rows.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        alike = np.zeros(len(key), bool)
+        alike[1:] |= same
+        alike[:-1] |= same
+        alike[0] |= twin
+        border = np.zeros(len(key), bool)
+        border[0] = first
+        keep = np.flatnonzero((alike | border)[:-1])
+        if len(keep):
+            yield _marked(rows, keep, alike, border)
+            first = False
+        elif len(key) > 1:
+            first = False
+        held, twin = rows.slice(len(key) - 1), bool(alike[-1])
+    if held is not None:
+        yield _marked(held, np.array([0]), np.array([twin]), np.array([True]))
+
+
+def _marked(rows: pa.RecordBatch, keep: np.ndarray, alike: np.ndarray, border: np.ndarray) -> pa.RecordBatch:
+    taken = rows.take(pa.array(keep))
+    return pa.RecordBatch.from_arrays([*taken.columns, pa.array(alike[keep]), pa.array(border[keep])], [*rows.schema.names, "twin", "border"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows around the positions ``at`` of each text, each once."""
     for batch in batches:
@@ -145,9 +179,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     place = F.struct("doc_id", "pos")
     suffixes = scratch.table(docs.mapInArrow(_suffixes, _SUFFIXES), "suffixes")
-    shared = scratch.table(suffixes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
-    held = scratch.table(suffixes.join(shared, "key", "left_semi"), "held")
-    scratch.drop("suffixes", "shared")
+    order = ("key", "doc_id", "pos")
+    marked = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, f"{_SUFFIXES}, twin boolean, border boolean")
+    marked = scratch.table(marked, "marked")
+    scratch.drop("suffixes")
+    # two rows of each partition at most: an equal one may stand at the end of another partition
+    met = marked.where("border").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    held = marked.where("twin").unionByName(marked.where("NOT twin").join(met, "key", "left_semi")).drop("twin", "border")
 
     around = scratch.table(held.groupBy("key", "around").agg(F.count("*").alias("c"), F.min(place).alias("first")), "around")
     split = scratch.table(around.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "split")
@@ -155,7 +193,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     many = scratch.table(around.where("c > 1").select("key", "around", "first"), "many")
     whole = held.join(many, ["key", "around"]).select("doc_id", F.greatest(F.lit(0), F.col("pos") - REACH + 1).alias("lo"), F.col("upto").alias("hi"), (place != F.col("first")).alias("gone"))
     whole = scratch.table(whole, "whole")
-    scratch.drop("held", "around", "many", "split")
+    scratch.drop("marked", "around", "many", "split")
 
     windows = scratch.table(docs.hint("merge").join(ends, "doc_id").mapInArrow(_windows, "window bigint, doc_id bigint, start int"), "windows")
     twice = scratch.table(windows.groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("first")).where("c > 1").select("window", "first"), "twice")

@@ -82,3 +82,17 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.repeated_passages(empty).collect() == []
     assert suffix_dedup.remove_repeats(empty).collect() == []
+
+
+def test_neighbours_are_compared_across_batches_and_partitions():
+    import pyarrow as pa
+
+    r = rng(9)
+    for _ in range(60):
+        keys = sorted(r.choices(range(12), k=r.randint(1, 15)))
+        cuts = sorted(r.choices(range(len(keys) + 1), k=3))
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array(keys[a:b], pa.int64()), "pos": pa.array(range(a, b), pa.int32())}) for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True)]
+        got = [(x["key"], x["pos"], x["twin"], x["border"]) for b in suffix_dedup._neighbours(iter(batches)) for x in b.to_pylist()]
+        assert [g[1] for g in got if g[2]] == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+        assert [g[1] for g in got if g[3]] == sorted({0, len(keys) - 1})
+    assert list(suffix_dedup._neighbours(iter([]))) == []
