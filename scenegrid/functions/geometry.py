@@ -72,7 +72,10 @@ def stroke_reach(width: Column, cap: Column, join: Column, miter: Column) -> Col
 
 
 def gradient_axis(angle: Column, x: Column, y: Column, w: Column, h: Column) -> dict[str, Column]:
-    """End points of the axis of a linear gradient over a box; the four right angles are exact."""
+    """End points of the axis of a linear gradient over a box, clockwise, for angles in steps of 1/60000 degree; the four
+    right angles are exact and a box has some extent."""
+    angle = F.pmod(F.floor(angle * 60_000 + 0.5), F.lit(21_600_000)) / 60_000
+    w, h = F.greatest(w, F.lit(0.01)), F.greatest(h, F.lit(0.01))
     r = F.radians(angle)
     dx = F.when(angle.isin(90.0, 270.0), 0.0).when(angle == 0, 1.0).when(angle == 180, -1.0).otherwise(F.cos(r))
     dy = F.when(angle.isin(0.0, 180.0), 0.0).when(angle == 90, 1.0).when(angle == 270, -1.0).otherwise(F.sin(r))

@@ -17,15 +17,23 @@ UNIT_PX = {"": 1.0, "px": 1.0, "pt": 96 / 72, "pc": 16.0, "in": 96.0, "cm": 96 /
 #: The colour names that are read.
 COLOURS = {
     "black": "#000000",
-    "white": "#FFFFFF",
-    "red": "#FF0000",
+    "white": "#ffffff",
+    "red": "#ff0000",
     "green": "#008000",
-    "blue": "#0000FF",
+    "blue": "#0000ff",
     "gray": "#808080",
     "grey": "#808080",
-    "yellow": "#FFFF00",
-    "orange": "#FFA500",
+    "silver": "#c0c0c0",
+    "yellow": "#ffff00",
+    "orange": "#ffa500",
     "purple": "#800080",
+    "navy": "#000080",
+    "teal": "#008080",
+    "maroon": "#800000",
+    "lime": "#00ff00",
+    "aqua": "#00ffff",
+    "fuchsia": "#ff00ff",
+    "olive": "#808000",
 }
 
 
@@ -58,14 +66,21 @@ def length_px(text: Column) -> Column:
 
 
 def colour(text: Column) -> Column:
-    """#RRGGBB of a name, #rgb, #rrggbb or rgb(r,g,b); ``none`` stays; null for anything else."""
+    """#rrggbb of a name, #rgb, #rrggbb or rgb() with numbers or percentages, which are cut to 0 and 255; ``none`` stays;
+    null for anything else."""
     t = F.lower(F.trim(text))
     named = F.try_element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), t)
-    short = F.upper(F.regexp_replace(t, "^#([0-9a-f])([0-9a-f])([0-9a-f])$", "#$1$1$2$2$3$3"))
-    channel = lambda i: F.regexp_extract(t, r"^rgb\(\s*([0-9]{1,3})\s*,\s*([0-9]{1,3})\s*,\s*([0-9]{1,3})\s*\)$", i).try_cast("int")
-    r, g, b = channel(1), channel(2), channel(3)
-    hexed = F.concat(F.lit("#"), *[F.lpad(F.hex(c), 2, "0") for c in (r, g, b)])
-    return F.when(t == "none", "none").when(named.isNotNull(), named).when(t.rlike("^#[0-9a-f]{3}$"), short).when(t.rlike("^#[0-9a-f]{6}$"), F.upper(t)).when(F.greatest(r, g, b) <= 255, hexed)
+    short = F.regexp_replace(t, "^#([0-9a-f])([0-9a-f])([0-9a-f])$", "#$1$1$2$2$3$3")
+    pieces = F.split(F.trim(F.regexp_extract(t, r"^rgb\(([^)]*)\)$", 1)), r"[\s,]+")
+
+    def channel(piece: Column) -> Column:
+        number = F.rtrim(piece, F.lit("%")).try_cast("double")
+        value = F.when(F.endswith(piece, F.lit("%")), number * 255 / 100).otherwise(number)
+        return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("int")
+
+    good = (F.size(pieces) == 3) & F.forall(pieces, lambda x: x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)%?$"))
+    hexed = F.concat(F.lit("#"), F.array_join(F.transform(pieces, lambda x: F.lower(F.lpad(F.hex(channel(x)), 2, "0"))), ""))
+    return F.when(t == "none", "none").when(named.isNotNull(), named).when(t.rlike("^#[0-9a-f]{3}$"), short).when(t.rlike("^#[0-9a-f]{6}$"), t).when(good, hexed)
 
 
 def font_name(name: Column) -> Column:

@@ -9,14 +9,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The grid of nodes, the cost of a bend and the margin of obstacles, in pixels.
-COLUMN, ROW, WIDTH, HEIGHT, EDGE = 220.0, 45.0, 160.0, 60.0, 40.0
-BEND, MARGIN = 28.0, 16.0
-
-
-def node_boxes(nodes: DataFrame) -> DataFrame:
-    """Boxes by stage and lane."""
-    return nodes.select("scene_id", "node_id", (F.lit(EDGE) + F.col("stage") * COLUMN).alias("x"), (F.lit(EDGE) + F.col("lane2") * ROW).alias("y"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+#: Fixed values, in pixels: width and least height of nodes, the gaps between columns and rows, where the first node stands, the
+#: margins of group frames, the cost of a bend, the margin of obstacles, and how far a route leads out of its port.
+WIDTH, HEIGHT, COLUMN_GAP, ROW_GAP, LEFT, TOP = 196.0, 96.0, 100.0, 110.0, 64.0, 132.0
+FRAME, HEADER = 20.0, 44.0
+BEND, MARGIN, LEAD = 28.0, 16.0, 20.0
+
+
+def node_boxes(nodes: DataFrame, height: float = HEIGHT) -> DataFrame:
+    """Boxes by stage and half-lane, left to right. ``height``: that of the scene's highest node."""
+    x, y = F.lit(LEFT) + F.col("stage") * (WIDTH + COLUMN_GAP), F.lit(TOP) + F.col("lane2") / 2 * (height + ROW_GAP)
+    return nodes.select("scene_id", "node_id", x.alias("x"), y.alias("y"), F.lit(WIDTH).alias("width"), F.lit(height).alias("height"))
+
+
+def group_frames(members: DataFrame) -> DataFrame:
+    """Frames of groups around the boxes of their members (scene_id, group_id, x, y, width, height), with room for a header."""
+    g = members.groupBy("scene_id", "group_id").agg((F.min("x") - FRAME).alias("x"), (F.min("y") - HEADER).alias("y"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("b"))
+    return g.select("scene_id", "group_id", "x", "y", (F.col("r") - F.col("x") + FRAME).alias("width"), (F.col("b") - F.col("y") + FRAME).alias("height"))
+
+
+def edge_sites() -> tuple[Column, Column]:
+    """The sites at which an edge of ``kind`` leaves box a and enters box b, in a scene that runs left to right."""
+    ax, ay, bx, by = (F.col(c) for c in ("a.x", "a.y", "b.x", "b.y"))
+    kind = F.col("kind")
+    under, across, down = kind.isin("feedback", "skip"), ax != bx, ay != by
+    upright = lambda low, high: F.when(ay < by, low).otherwise(high)
+    level = lambda low, high: F.when(ax < bx, low).otherwise(high)
+    out = F.when(under, "bottom").when((kind == "training") & down, upright("bottom", "top")).when(across, level("right", "left")).when(down, upright("bottom", "top")).otherwise(level("right", "left"))
+    into = F.when(under, "bottom").when((kind == "training") & down, upright("top", "bottom")).when(across, level("left", "right")).when(down, upright("top", "bottom")).otherwise(level("left", "right"))
+    return out, into
 
 
 def cheapest_route(start: tuple, goal: tuple, boxes: list[tuple]) -> tuple[float, list[tuple]]:

@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The math commands that are accepted.
-MATH_COMMANDS = ("frac", "sqrt", "alpha", "beta", "gamma", "delta", "sum", "prod", "int", "left", "right", "mathbf", "mathrm", "text", "cdot", "times", "leq", "geq")
+#: The math commands, control symbols and characters that are accepted.
+MATH_COMMANDS = """mathbf mathrm mathit mathsf mathtt mathcal text
+frac dfrac tfrac sqrt left right vert Vert lvert rvert lVert rVert
+Pi pi Gamma gamma Delta delta Sigma sigma Omega omega Lambda lambda
+Theta theta Phi phi Psi psi alpha beta eta rho tau epsilon varepsilon
+mu nu xi zeta kappa chi upsilon varphi varrho vartheta
+sum prod int iint iiint oint lim min max sin cos tan exp log ln
+operatorname underset overset substack displaystyle textstyle
+circ cdot times pm mp div in notin subset subseteq supset supseteq
+le leq ge geq neq approx sim simeq equiv propto to mapsto
+infty partial nabla ell ldots cdots vdots ddots forall exists emptyset
+top bot perp parallel hat widehat bar overline underline vec dot ddot
+quad qquad thinspace medspace thickspace negthinspace
+big Big bigg Bigg bigl bigr Bigl Bigr biggl biggr Biggl Biggr
+underbrace overbrace langle rangle lbrace rbrace""".split()
+MATH_SYMBOLS = ",;:!{}| "
+MATH_CHARACTERS = r"a-zA-Z0-9 {}()\[\]|+\-=,.:*/^_!<>\t\n\r\\\\"
+#: Caps and joins, and how many stops a gradient has.
+CAPS, JOINS = ("butt", "round", "square"), ("miter", "round", "bevel")
+STOPS = (2, 64)
 KINDS = ("path", "text", "image", "formula")
 SLACK = 0.001
 
@@ -43,17 +61,30 @@ def spec_findings(nodes: DataFrame, edges: DataFrame, stages: int = 12, lanes2:
 
 
 def gradient_code(offsets: Column) -> Column:
+    """Offsets that span 0 to 1 and grow, also when they are quantised. With ``order`` wanted as well, the least and the
+    greatest are the first and the last."""
     units = F.transform(offsets, lambda o: F.floor(o * 100_000 + 0.5))
     grows = F.forall(F.zip_with(F.slice(units, 1, F.size(units) - 1), F.slice(units, 2, F.size(units) - 1), lambda a, b: a < b), lambda x: x)
-    return F.when((units[0] != 0) | (F.element_at(units, -1) != 100_000), "span").when(~grows, "order").otherwise("ok")
+    return (
+        F.when(~F.size(offsets).between(*STOPS), "count")
+        .when(F.exists(offsets, lambda o: F.isnan(o) | (o < 0) | (o > 1)), "range")
+        .when((F.array_min(offsets) != 0) | (F.array_max(offsets) != 1), "span")
+        .when(~grows, "order")
+        .otherwise("ok")
+    )
 
 
 def stroke_code() -> Column:
-    """From hairline, stroke_width, join, miterlimit, cap."""
+    """From kind, hairline, stroke_width, join, miterlimit, cap; null where a property isn't given."""
+    explicit = F.coalesce("hairline", F.lit(False)) | F.col("join").isNotNull() | F.col("cap").isNotNull() | F.col("miterlimit").isNotNull()
+    units = F.floor(F.col("miterlimit") * 100_000 + 0.5)
     return (
-        F.when(F.col("hairline") & (F.col("stroke_width") != 0), "hairline_width")
-        .when((F.col("join") == "miter") & (F.col("miterlimit") < 1), "miter")
-        .when(~F.col("cap").isin("butt", "round", "square"), "cap")
+        F.when(explicit & (F.col("kind") != "path"), "kind")
+        .when(F.col("hairline") & (F.col("stroke_width") != 0), "hairline_width")
+        .when(~F.col("cap").isin(*CAPS), "cap")
+        .when(~F.col("join").isin(*JOINS), "join")
+        .when((F.col("miterlimit") <= 0) | (units < 1) | (units > 2**31 - 1), "miter")
+        .when(F.col("miterlimit").isNotNull() & ~F.coalesce(F.col("join") == "miter", F.lit(False)), "miter_join")
         .otherwise("ok")
     )
 
@@ -63,8 +94,12 @@ def spacing_code(text: str, spacing: str) -> Column:
 
 
 def math_code(tex: str, depth: int = 32) -> Column:
-    commands = F.regexp_extract_all(tex, F.lit(r"\\([A-Za-z]+)"), 1)
-    marks = F.regexp_extract_all(tex, F.lit(r"[{}]"), 0)
+    """Only known commands, symbols and characters; balanced braces of bounded depth. An escaped brace doesn't nest."""
+    text = F.col(tex)
+    escapes = F.regexp_extract_all(text, F.lit(r"(?s)\\([A-Za-z]+|.|$)"), 1)
+    commands = F.filter(escapes, lambda c: c.rlike("^[A-Za-z]+$"))
+    symbols = F.filter(escapes, lambda c: ~c.rlike("^[A-Za-z]+$"))
+    marks = F.regexp_extract_all(F.regexp_replace(text, r"(?s)\\([A-Za-z]+|.)", ""), F.lit(r"[{}]"), 0)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"), F.lit(0).alias("low"))
 
     def step(a: Column, m: Column) -> Column:
@@ -73,8 +108,11 @@ def math_code(tex: str, depth: int = 32) -> Column:
 
     nesting = F.aggregate(marks, start, step)
     return (
-        F.when(F.contains(F.col(tex), F.lit("^^")), "double_caret")
+        F.when((F.trim(text) == "") | (F.length(text) > 4096), "length")
+        .when(F.contains(text, F.lit("^^")), "double_caret")
         .when(F.size(F.array_except(commands, F.array(*map(F.lit, MATH_COMMANDS)))) > 0, "command")
+        .when(F.size(F.array_except(symbols, F.array(*map(F.lit, MATH_SYMBOLS)))) > 0, "symbol")
+        .when(text.rlike(f"[^{MATH_CHARACTERS}]"), "character")
         .when((nesting["at"] != 0) | (nesting["low"] < 0), "braces")
         .when(nesting["top"] > depth, "depth")
         .otherwise("ok")

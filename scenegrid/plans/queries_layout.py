@@ -16,12 +16,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query(cte("nodes") + " SELECT scene_id, node_id, 40 + stage * 220::DOUBLE AS x, 40 + lane2 * 45::DOUBLE AS y, 160::DOUBLE AS width, 60::DOUBLE AS height FROM nodes")
+_LAYOUT = ", l AS (SELECT scene_id, node_id, 64 + stage * 296::DOUBLE AS x, 132 + lane2 / 2 * 206::DOUBLE AS y, 196::DOUBLE AS width, 96::DOUBLE AS height FROM nodes)"
+
+
+@query(cte("nodes") + _LAYOUT + " SELECT * FROM l")
 def node_layout(spark, sf_dir):
     """Boxes of graph nodes by stage and lane."""
     return layout.node_boxes(fixture(spark, sf_dir, "nodes"))
 
 
+@query(cte("nodes") + _LAYOUT + " SELECT l.scene_id, kind AS group_id, min(x) - 20 AS x, min(y) - 44 AS y, max(x + width) - min(x) + 40 AS width, max(y + height) - min(y) + 64 AS height FROM l JOIN nodes USING (node_id) GROUP BY ALL")
+def group_frames(spark, sf_dir):
+    """Frames around the members of groups."""
+    nodes = fixture(spark, sf_dir, "nodes")
+    return layout.group_frames(layout.node_boxes(nodes).join(nodes.select("node_id", F.col("kind").alias("group_id")), "node_id"))
+
+
+@query(
+    cte("nodes", "edges")
+    + _LAYOUT
+    + """, e AS (SELECT edge_id, kind, a.x AS ax, a.y AS ya, b.x AS bx, b.y AS yb FROM edges JOIN l a ON a.node_id = from_id JOIN l b ON b.node_id = to_id)
+SELECT edge_id, CASE WHEN kind IN ('feedback', 'skip') THEN 'bottom' WHEN (kind = 'training' OR ax = bx) AND ya <> yb THEN CASE WHEN ya < yb THEN 'bottom' ELSE 'top' END WHEN ax < bx THEN 'right' ELSE 'left' END AS from_site,
+ CASE WHEN kind IN ('feedback', 'skip') THEN 'bottom' WHEN (kind = 'training' OR ax = bx) AND ya <> yb THEN CASE WHEN ya < yb THEN 'top' ELSE 'bottom' END WHEN ax < bx THEN 'left' ELSE 'right' END AS to_site FROM e"""
+)
+def edge_sites(spark, sf_dir):
+    """The sites that an edge leaves and enters, by its kind and the places of its nodes."""
+    boxes = layout.node_boxes(fixture(spark, sf_dir, "nodes"))
+    at = F.struct("x", "y")
+    e = fixture(spark, sf_dir, "edges").select("edge_id", "kind", "from_id", "to_id").join(boxes.select(F.col("node_id").alias("from_id"), at.alias("a")), "from_id").join(boxes.select(F.col("node_id").alias("to_id"), at.alias("b")), "to_id")
+    out, into = layout.edge_sites()
+    return e.select("edge_id", out.alias("from_site"), into.alias("to_site"))
+
+
 @query()
 def edge_routes(spark, sf_dir):
     """Orthogonal routes around the boxes of a scene, cheapest in length and bends."""

@@ -50,17 +50,17 @@ def spec_findings(spark, sf_dir):
 _STOPS = "WITH g AS (SELECT p_partkey AS id, [0.0::DOUBLE, ((p_size % 10) / 10.0)::DOUBLE, ((p_partkey % 11) / 10.0)::DOUBLE, (CASE WHEN p_partkey % 3 = 0 THEN 0.9 ELSE 1.0 END)::DOUBLE] AS o FROM part)"
 
 
-@query(_STOPS + " SELECT id, CASE WHEN floor(o[1] * 100000 + 0.5) <> 0 OR floor(o[4] * 100000 + 0.5) <> 100000 THEN 'span' WHEN NOT (o[1] < o[2] AND o[2] < o[3] AND o[3] < o[4]) THEN 'order' ELSE 'ok' END AS code FROM g")
+@query(_STOPS + " SELECT id, CASE WHEN list_min(o) <> 0 OR list_max(o) <> 1 THEN 'span' WHEN NOT (o[1] < o[2] AND o[2] < o[3] AND o[3] < o[4]) THEN 'order' ELSE 'ok' END AS code FROM g")
 def gradient_stops(spark, sf_dir):
     """quantised stops grow strictly and span 0 to 1."""
     stops = F.array(F.lit(0.0), F.expr("double(p_size % 10) / 10"), F.expr("double(p_partkey % 11) / 10"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN 0.9D ELSE 1.0D END"))
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), rules.gradient_code(stops).alias("code"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'hairline_width' WHEN p_size % 3 = 0 AND p_partkey % 6 < 1 THEN 'miter' ELSE 'ok' END AS code FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'hairline_width' WHEN p_partkey % 6 = 0 THEN 'miter' WHEN p_size % 3 <> 0 THEN 'miter_join' ELSE 'ok' END AS code FROM part")
 def stroke_rules(spark, sf_dir):
     """F8: caps, joins, miter limits and hairlines."""
-    s = _table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size % 5 = 0 AS hairline", "double(p_size % 7 + 1) AS stroke_width", "CASE WHEN p_size % 3 = 0 THEN 'miter' ELSE 'round' END AS join", "double(p_partkey % 6) AS miterlimit", "'butt' AS cap")
+    s = _table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size % 5 = 0 AS hairline", "double(p_size % 7 + 1) AS stroke_width", "CASE WHEN p_size % 3 = 0 THEN 'miter' ELSE 'round' END AS join", "double(p_partkey % 6) AS miterlimit", "'butt' AS cap", "'path' AS kind")
     return s.select("id", rules.stroke_code().alias("code"))
 
 
@@ -166,7 +166,7 @@ def length_units(spark, sf_dir):
 
 
 @query(
-    "SELECT p_partkey AS id, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN '#FF0000' WHEN 1 THEN '#AABBCC' WHEN 2 THEN '#12AB9F' WHEN 3 THEN '#' || upper(printf('%02x%02x%02x', p_size, p_size * 2, 7)) WHEN 4 THEN 'none' END AS colour FROM part"
+    "SELECT p_partkey AS id, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN '#ff0000' WHEN 1 THEN '#aabbcc' WHEN 2 THEN '#12ab9f' WHEN 3 THEN '#' || lower(printf('%02x%02x%02x', p_size, p_size * 2, 7)) WHEN 4 THEN 'none' END AS colour FROM part"
 )
 def colours(spark, sf_dir):
     """Colours to one notation; others are null."""

@@ -83,7 +83,7 @@ def test_reference_cycles_and_depth(spark):
 
 @pytest.mark.parametrize(
     ("value", "want"),
-    [("#abc", "#AABBCC"), (" RED", "#FF0000"), ("rgb(1, 2,255)", "#0102FF"), ("rgb(1,2,256)", None), ("none", "none"), ("#abcd", None), ("url(#x)", None)],
+    [("#abc", "#aabbcc"), (" RED", "#ff0000"), ("rgb(1, 2,255)", "#0102ff"), ("rgb(1 2 256)", "#0102ff"), ("rgb(50%,-3,0.5)", "#800000"), ("rgb(1,2)", None), ("rgb(a,2,3)", None), ("none", "none"), ("#abcd", None), ("url(#x)", None)],
 )
 def test_colours(spark, value, want):
     assert spark.range(1).select(scalar.colour(F.lit(value))).first()[0] == want
@@ -100,7 +100,7 @@ def test_lengths(spark, value, want):
     assert got == want or abs(got - want) < 1e-9
 
 
-@pytest.mark.parametrize(("tex", "want"), [(r"\frac{a}{b}", "ok"), (r"\write18{x}", "command"), ("a}b{", "braces"), ("{" * 33 + "}" * 33, "depth"), ("x^^y", "double_caret"), ("", "ok")])
+@pytest.mark.parametrize(("tex", "want"), [(r"\frac{a}{b}", "ok"), (r"\write18{x}", "command"), ("a}b{", "braces"), ("{" * 33 + "}" * 33, "depth"), ("x^^y", "double_caret"), ("", "length"), ("a" * 4097, "length"), (r"\{a\}", "ok"), (r"a\%b", "symbol"), ("a%b", "character"), ("a\\", "symbol")])
 def test_math(spark, tex, want):
     assert spark.createDataFrame([(tex,)], "t string").select(rules.math_code("t")).first()[0] == want
 

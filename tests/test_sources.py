@@ -47,7 +47,7 @@ def test_svg(spark, tmp_path):
     rows = svg.read_svg(spark, str(tmp_path)).withColumn("name", F.element_at(F.split("file", "/"), -1)).orderBy("name", "ordinal").collect()
     assert [(r.name, r.code) for r in rows if r.code] == [("bad.svg", "malformed"), ("dtd.svg", "forbidden_declaration"), ("good.svg", "forbidden_element")]
     good = [r for r in rows if r.name == "good.svg"]
-    assert [(r.kind, r.fill, r.stroke_width) for r in good[:4]] == [("path", "#FF0000", 2.0), ("path", "#AABBCC", 2.0), ("path", "#000000", 1.0), ("text", "#000000", 1.0)]
+    assert [(r.kind, r.fill, r.stroke_width) for r in good[:4]] == [("path", "#ff0000", 2.0), ("path", "#aabbcc", 2.0), ("path", "#000000", 1.0), ("text", "#000000", 1.0)]
     points = svg.commands(svg.read_svg(spark, str(tmp_path))).orderBy("path_id", "seq").collect()
     by = {}
     for p in points:
