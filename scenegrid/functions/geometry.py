@@ -82,3 +82,16 @@ def gradient_axis(angle: Column, x: Column, y: Column, w: Column, h: Column) ->
     half = (F.abs(dx) * w + F.abs(dy) * h) / 2
     cx, cy = x + w / 2, y + h / 2
     return {"ax": cx - dx * half, "ay": cy - dy * half, "bx": cx + dx * half, "by": cy + dy * half}
+
+
+def halves(p0: Column, p1: Column, p2: Column, p3: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """The five new control values of a cubic cut in the middle."""
+    a, q, d = (p0 + p1) / 2, (p1 + p2) / 2, (p2 + p3) / 2
+    b, c = (a + q) / 2, (q + d) / 2
+    return a, b, (b + c) / 2, c, d
+
+
+def monotone(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+    """1 or -1 where all coefficients of the derivative have that sign and one isn't zero, else 0."""
+    steps = [p1 - p0, p2 - p1, p3 - p2]
+    return F.when((F.least(*steps) >= 0) & (F.greatest(*steps) > 0), 1).when((F.greatest(*steps) <= 0) & (F.least(*steps) < 0), -1).otherwise(0).cast("long")

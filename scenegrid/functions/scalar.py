@@ -105,3 +105,13 @@ def affine(m: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
     """A point under the matrix a b c d e f."""
     a, b, c, d, e, f = m
     return a * x + c * y + e, b * x + d * y + f
+
+
+#: Names of caps in markup.
+CAP_NAMES = {"butt": "flat", "round": "rnd", "square": "sq"}
+
+
+def stroke_xml(width: Column, cap: Column, fill: Column) -> Column:
+    """A stroke as DrawingML."""
+    name = F.try_element_at(F.create_map(*[F.lit(x) for kv in CAP_NAMES.items() for x in kv]), cap)
+    return F.concat(F.lit('<a:ln w="'), emu(width), F.lit('" cap="'), name, F.lit('"><a:solidFill><a:srgbClr val="'), F.substring(fill, 2, 6), F.lit('"/></a:solidFill></a:ln>'))

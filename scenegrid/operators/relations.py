@@ -84,6 +84,20 @@ def crossings(segments: DataFrame, cell: float = CELL) -> DataFrame:
     return h.join(v, ["scene_id", "cx", "cy"]).where("vx1 > lx AND vx1 < hx AND hy1 > ly AND hy1 < hy").select("scene_id", "h_id", "v_id", F.col("vx1").alias("x"), F.col("hy1").alias("y"))
 
 
+def segments_through(segments: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """Level or upright segments (scene_id, segment_id, x, y, width, height, one of these zero) that run through the open
+    inside of other boxes of their scene, each pair once."""
+    s = cells(segments, cell=cell).alias("s")
+    b = cells(boxes.select("scene_id", "object_id", "x", "y", "width", "height"), cell=cell).alias("b")
+    upright, level = F.col("s.width") == 0, F.col("s.height") == 0
+    between = lambda a, size: (F.col(f"s.{a}") > F.col(f"b.{a}")) & (F.col(f"s.{a}") < F.col(f"b.{a}") + F.col(f"b.{size}"))
+    along = lambda a, size: (F.col(f"s.{a}") + F.col(f"s.{size}") > F.col(f"b.{a}")) & (F.col(f"s.{a}") < F.col(f"b.{a}") + F.col(f"b.{size}"))
+    hit = (upright & between("x", "width") & along("y", "height")) | (level & between("y", "height") & along("x", "width"))
+    first = (F.floor(F.greatest("s.x", "b.x") / cell) == F.col("s.cx")) & (F.floor(F.greatest("s.y", "b.y") / cell) == F.col("s.cy"))
+    same = (F.col("s.scene_id") == F.col("b.scene_id")) & (F.col("s.cx") == F.col("b.cx")) & (F.col("s.cy") == F.col("b.cy")) & (F.col("s.segment_id") != F.col("b.object_id"))
+    return s.join(b, same & hit & first).select("s.scene_id", "s.segment_id", "b.object_id")
+
+
 def duplicate_texts(texts: DataFrame, tolerance: float) -> DataFrame:
     """Pairs of equal labels of one scene within ``tolerance`` in x and y: one side is dealt to its cell, the
     other to the nine around it."""
