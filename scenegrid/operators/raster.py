@@ -36,3 +36,34 @@ def tiles(images: DataFrame, side: int) -> DataFrame:
     t = images.withColumn("tx", F.explode(many("width"))).withColumn("ty", F.explode(many("height")))
     cut = lambda c, t: F.least(F.lit(side).cast("long"), F.col(c) - F.col(t) * side)
     return t.select("image_id", (F.col("tx") * side).alias("x"), (F.col("ty") * side).alias("y"), cut("width", "tx").alias("w"), cut("height", "ty").alias("h"))
+
+
+_PARTS = "image_id bigint, left bigint, top bigint, right bigint, bottom bigint, area bigint"
+
+
+def _label(image):
+    """The 8-connected components of one image: boxes and areas, by their first pixel."""
+    import pandas as pd
+
+    left = set(zip(image["x"].tolist(), image["y"].tolist(), strict=True))
+    rows = []
+    for seed in sorted(left, key=lambda p: (p[1], p[0])):
+        if seed not in left:
+            continue
+        left.remove(seed)
+        part, todo = [seed], [seed]
+        while todo:
+            x, y = todo.pop()
+            near = [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (x + i, y + j) in left]
+            left.difference_update(near)
+            part += near
+            todo += near
+        xs, ys = [p[0] for p in part], [p[1] for p in part]
+        rows.append((image["image_id"].iloc[0], min(xs), min(ys), max(xs), max(ys), len(part)))
+    return pd.DataFrame(rows, columns=["image_id", "left", "top", "right", "bottom", "area"])
+
+
+def components(mask: DataFrame, least: int = 1) -> DataFrame:
+    """8-connected components of foreground pixels (image_id, x, y) with their boxes and areas, one task per image: an
+    image has a bounded number of pixels."""
+    return mask.select("image_id", "x", "y").groupBy("image_id").applyInPandas(_label, _PARTS).where(F.col("area") >= least)

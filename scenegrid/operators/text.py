@@ -24,3 +24,34 @@ def bfchar_code(block: Column) -> Column:
     pairs = F.regexp_extract_all(block, F.lit(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>"), 2)
     declared = F.regexp_extract(block, r"^\s*([0-9]+)\s+beginbfchar", 1).try_cast("int")
     return F.when(declared.isNull(), "syntax").when(F.size(pairs) != declared, "count").when(F.exists(pairs, lambda u: F.length(u) != 4), "scalar").otherwise("ok")
+
+
+def wrap_graphemes(texts: DataFrame, key: str, column: str, width: int) -> DataFrame:
+    """Greedy wrap that counts what a reader sees as one character as one and never cuts it: key, line, text. A word longer
+    than the line is cut between characters."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+        import regex
+
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf[key], pdf[column], strict=True):
+                lines: list[list[str]] = [[]]
+                for word in (text or "").split(" "):
+                    signs = regex.findall(r"\X", word)
+                    room = width - len(lines[-1]) - 1
+                    if lines[-1] and len(signs) > room:
+                        lines.append([])
+                    elif lines[-1]:
+                        lines[-1].append(" ")
+                    while len(signs) > width:
+                        lines[-1] += signs[:width]
+                        signs = signs[width:]
+                        lines.append([])
+                    lines[-1] += signs
+                rows += [(k, i + 1, "".join(line)) for i, line in enumerate(lines)]
+            yield pd.DataFrame(rows, columns=[key, "line", "text"])
+
+    return texts.select(key, column).mapInPandas(run, f"`{key}` {kind}, line bigint, text string")

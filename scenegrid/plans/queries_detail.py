@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenegrid.functions import geometry, scalar
-from scenegrid.operators import relations
+from scenegrid.operators import raster, relations, text
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.queries_geometry import _CURVES, _curves
 from scenegrid.plans.registry import query
@@ -122,3 +122,20 @@ def prefix_requests(spark, sf_dir):
     order = fixture(spark, sf_dir, "commands").groupBy("path_id").agg(F.sort_array(F.collect_list("seq")).alias("s")).where("size(s) > 1")
     wanted = F.expr("CASE WHEN path_id % 3 = 0 THEN slice(s, 2, 1) ELSE slice(s, 1, size(s) - 1) END")
     return order.withColumn("w", wanted).select("path_id", (F.slice("s", F.lit(1), F.size("w")) == F.col("w")).alias("prefix"))
+
+
+@query(
+    "WITH RECURSIVE m AS (SELECT vec_id AS image_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE floor(abs(embedding[i]) * 1000)::BIGINT % 256 > 140), "
+    "r AS (SELECT image_id, x, y, x AS sx, y AS sy FROM m UNION SELECT r.image_id, m.x, m.y, r.sx, r.sy FROM r JOIN m ON m.image_id = r.image_id AND abs(m.x - r.x) <= 1 AND abs(m.y - r.y) <= 1), "
+    "c AS (SELECT image_id, x, y, min(sy * 8 + sx) AS part FROM r GROUP BY ALL) SELECT image_id, min(x) AS \"left\", min(y) AS top, max(x) AS \"right\", max(y) AS bottom, count(*) AS area FROM c GROUP BY image_id, part HAVING count(*) >= 2"
+)
+def pixel_components(spark, sf_dir):
+    """Connected components of foreground pixels, of a least size."""
+    p = raster.pixels(_table(spark, sf_dir, "embeddings")).where("v > 140")
+    return raster.components(p.selectExpr("image_id", "x % 8 AS x", "x div 8 AS y"), 2)
+
+
+@query()
+def grapheme_wrap(spark, sf_dir):
+    """Wrapping that never cuts what a reader sees as one character."""
+    return text.wrap_graphemes(_table(spark, sf_dir, "documents"), "doc_id", "text", 60)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scenegrid.functions import scalar
-from scenegrid.operators import graph, layout, paths, relations, rules
+from scenegrid.operators import graph, layout, paths, relations, rules, text
 from scenegrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -149,3 +149,12 @@ def test_matches_in_order(spark):
     strict = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0)], schema)
     assert layout.match_in_order(strict, found, "s", 0.002).first().unique
     assert layout.match_in_order(spark.createDataFrame([(1, 0, 3.0), (1, 1, 2.0)], schema), found, "s", 0.002).first().n_matched == 1
+
+
+def test_graphemes_stay_whole(spark):
+    rows = [(1, "ééé \U0001f468‍\U0001f469‍\U0001f467 ab"), (2, None), (3, "abcdefgh i")]
+    got = {}
+    for r in text.wrap_graphemes(spark.createDataFrame(rows, "k bigint, t string"), "k", "t", 3).orderBy("k", "line").collect():
+        got.setdefault(r.k, []).append(r.text)
+    assert got[1] == ["ééé", "\U0001f468‍\U0001f469‍\U0001f467", "ab"]
+    assert got[2] == [""] and got[3] == ["abc", "def", "gh", "i"]
