@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.chunks(batch, size=K.CHUNK_BYTES // 2):
+            for part in K.chunks(batch, size=K.CHUNK_BYTES):
                 lang, score, n = sent.value.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays(K.arrays(part.column("doc_id"), pa.array(lang, pa.string()), score, n.astype(np.int64)), ["doc_id", "lang_pred", "score", "n_languages"])
 

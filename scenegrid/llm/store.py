@@ -44,7 +44,7 @@ atexit.register(_sweep)
 
 
 #: Text that one Arrow batch holds at most: a task has one batch at each side of its Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 class Scratch:

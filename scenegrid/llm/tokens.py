@@ -160,7 +160,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_bytes:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["shard", "block", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for part in K.chunks(batch, size=2 * K.CHUNK_BYTES):
+            for part in K.chunks(batch, size=4 * K.CHUNK_BYTES):
                 ids, lengths = own.encode(part.column("text"))
                 held.append((part.column("doc_id").to_numpy(), ids, lengths))
                 size += len(ids)
