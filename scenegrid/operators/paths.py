@@ -115,3 +115,23 @@ def dashes(segments: DataFrame, on: float, off: float) -> DataFrame:
     end = F.least(begin + on, F.col("length"))
     place = lambda a, b, s: F.col(a) + (F.col(b) - F.col(a)) * s / F.col("length")
     return cut.select("scene_id", "segment_id", F.col("k").cast("long").alias("k"), place("x1", "x2", begin).alias("x1"), place("y1", "y2", begin).alias("y1"), place("x1", "x2", end).alias("x2"), place("y1", "y2", end).alias("y2"))
+
+
+def native_markup(commands: DataFrame) -> DataFrame:
+    """path_id and markup of an integer path: a moveTo, then lnTo."""
+    point = F.transform(
+        F.sort_array(F.collect_list(F.struct("seq", "x", "y"))),
+        lambda c, i: F.concat(F.when(i == 0, "<a:moveTo>").otherwise("<a:lnTo>"), F.lit('<a:pt x="'), c["x"], F.lit('" y="'), c["y"], F.lit('"/>'), F.when(i == 0, "</a:moveTo>").otherwise("</a:lnTo>")),
+    )
+    return commands.groupBy("path_id").agg(F.concat(F.lit("<a:path>"), F.array_join(point, ""), F.lit("</a:path>")).alias("xml"))
+
+
+def decode_native(paths: DataFrame, xml: str) -> DataFrame:
+    """Commands of integer paths; where a coordinate of a path doesn't fit 32 bits none of it is read."""
+    marks = F.regexp_extract_all(xml, F.lit(r'<a:(moveTo|lnTo)><a:pt x="(-?[0-9]+)" y="(-?[0-9]+)"/>'), 0)
+    number = lambda m, a: F.regexp_extract(m, f'{a}="(-?[0-9]+)"', 1).cast("long")
+    points = F.transform(marks, lambda m: F.struct(F.regexp_extract(m, "<a:([A-Za-z]+)>", 1).alias("op"), number(m, "x").alias("x"), number(m, "y").alias("y")))
+    wide = F.exists("p", lambda p: (F.abs(p["x"]) > 2**31 - 1) | (F.abs(p["y"]) > 2**31 - 1))
+    rows = paths.select("path_id", points.alias("p")).select("path_id", wide.alias("wide"), F.posexplode("p").alias("i", "p"))
+    keep = lambda c: F.when(~F.col("wide"), F.col(f"p.{c}")).alias(c)
+    return rows.select("path_id", (F.col("i") + 1).cast("long").alias("seq"), "p.op", keep("x"), keep("y"), F.when(F.col("wide"), "range").otherwise("ok").alias("code"))
