@@ -144,30 +144,19 @@ class Block:
         self.flat, lengths = expansions(self.rules.astype(np.int64), self.first)
         if not np.array_equal(lengths, self.sizes):
             raise ValueError("expansion lengths don't match the rules")
-        self.rule_at = np.concatenate([[0], np.cumsum(lengths)])
+        # terminals stand for themselves: one table of expansions for all symbols
+        self.flat = np.concatenate([np.arange(self.first), self.flat]).astype(np.int32)
+        self.size_of = np.concatenate([np.ones(self.first, np.int64), lengths])
+        self.place = np.cumsum(self.size_of) - self.size_of
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        s = symbols.astype(np.int64)
-        rule = s >= self.first
-        which = s[rule] - self.first
-        size = np.ones(len(s), np.int64)
-        size[rule] = self.sizes[which]
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at[~rule]] = s[~rule]
-        long = size[rule]
-        owner = np.repeat(np.arange(len(which)), long)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(long) - long, long)
-        out[at[rule][owner] + inside] = self.flat[self.rule_at[which][owner] + inside]
-        return out
+        size = self.size_of[symbols]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.place[symbols] - ends + size, size)]
 
     def lengths(self) -> np.ndarray:
         """Tokens of each document, from the expansion lengths alone."""
-        s = self.symbols.astype(np.int64)
-        size = np.ones(len(s), np.int64)
-        rule = s >= self.first
-        size[rule] = self.sizes[s[rule] - self.first]
-        sums = np.concatenate([[0], np.cumsum(size)])
+        sums = np.concatenate([[0], np.cumsum(self.size_of[self.symbols])])
         return sums[self.begin[1:]] - sums[self.begin[:-1]]
 
     def document(self, i: int) -> np.ndarray:
@@ -175,11 +164,8 @@ class Block:
 
     def stretch(self, i: int, start: int, end: int) -> np.ndarray:
         """Tokens [start, end) of document i; only the symbols that hold them are expanded."""
-        s = self.symbols[self.begin[i] : self.begin[i + 1]].astype(np.int64)
-        size = np.ones(len(s), np.int64)
-        rule = s >= self.first
-        size[rule] = self.sizes[s[rule] - self.first]
-        ends = np.cumsum(size)
+        s = self.symbols[self.begin[i] : self.begin[i + 1]]
+        ends = np.cumsum(self.size_of[s])
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, end, "left")
         skipped = ends[a - 1] if a else 0
         return self.expand(s[a : b + 1])[start - skipped : end - skipped]

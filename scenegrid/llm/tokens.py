@@ -111,7 +111,13 @@ class Encoder:
             raw = _FOLD[raw]
         folded = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(raw))
         w = K.words(folded, breaks=_breaks)
-        unique, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        order = np.argsort(w.hash)
+        run = w.hash[order]
+        new = np.ones(len(run), bool)
+        new[1:] = run[1:] != run[:-1]
+        unique, first = run[new], order[new]
+        back = np.empty(len(run), np.int64)
+        back[order] = np.cumsum(new) - 1
         if len(self.keys) + len(unique) > CACHE:
             self.forget()
         place = np.searchsorted(self.keys, unique)
@@ -124,11 +130,10 @@ class Encoder:
         size = self.at[row + 1] - self.at[row]
         sums = np.concatenate([[0], np.cumsum(size)])
         lengths = sums[w.first[1:]] - sums[w.first[:-1]] + 1
-        shift = w.doc  # one END for each earlier text
         out = np.full(int(lengths.sum()), END, np.int32)
-        owner = np.repeat(np.arange(len(row)), size)
-        inside = np.arange(len(owner)) - sums[owner]
-        out[sums[owner] + shift[owner] + inside] = self.ids[self.at[row][owner] + inside]
+        at = np.arange(sums[-1])
+        # one END for each earlier text
+        out[at + np.repeat(w.doc, size)] = self.ids[at + np.repeat(self.at[row] - sums[:-1], size)]
         return out, lengths
 
 
