@@ -14,6 +14,7 @@ doc_id follow one another by their text.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -65,6 +66,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the tokenizer's own would take the others'
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
@@ -76,33 +78,46 @@ class Encoder:
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def _learn(self, w: K.Words, which: np.ndarray) -> None:
-        """The words ``which`` are new; each once."""
-        pieces = [w.raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(w.start[which].tolist(), w.end[which].tolist(), strict=True)]
-        plain = [i for i, x in enumerate(pieces) if BETWEEN not in x and "<|" not in x]
-        size, flat = np.zeros(len(pieces), np.int64), [None] * len(pieces)
+    def _learn(self, w: K.Words, which: np.ndarray, place: np.ndarray) -> None:
+        """The words ``which`` are new, each once and by rising hash; ``place``: where their hashes belong among the known."""
+        start, size = w.start[which], w.end[which] - w.start[which]
+        odd = w.raw == ord(BETWEEN)
+        odd[:-1] |= (w.raw[:-1] == ord("<")) & (w.raw[1:] == ord("|"))
+        seen = np.concatenate([[0], np.cumsum(odd)])
+        alone = seen[start + size] > seen[start]
         # many pieces in one text, between separators, are far cheaper than as many texts
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        encoded = self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(pieces[i] for i in g) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, encoded, strict=True):
+        plain = np.flatnonzero(~alone)
+        glue = f" {BETWEEN} ".encode()
+        bytes_, begin = size[plain], start[plain]
+        ends = np.cumsum(bytes_ + len(glue))
+        joined = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        for k, c in enumerate(glue):
+            joined[ends - len(glue) + k] = c
+        sums = np.cumsum(bytes_)
+        at = np.arange(sums[-1] if len(sums) else 0)
+        joined[at + np.repeat(ends - len(glue) - sums, bytes_)] = w.raw[at + np.repeat(begin - sums + bytes_, bytes_)]
+        groups = [(i, min(i + TOGETHER, len(plain))) for i in range(0, len(plain), TOGETHER)]
+        texts = [joined[ends[i - 1] if i else 0 : ends[j - 1] - len(glue)].tobytes().decode("utf-8", "replace") for i, j in groups]
+        sizes, flat, order = [], [], []
+        for (i, j), e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int32)
             cut = np.flatnonzero(ids == self.between[0])
-            if len(self.between) == 1 and len(cut) == len(g) - 1:
-                begin, end = np.append(0, cut + 1), np.append(cut, len(ids))
-                size[g] = end - begin
-                for i, a, b in zip(g, begin.tolist(), end.tolist(), strict=True):
-                    flat[i] = ids[a:b]
-        rest = [i for i in range(len(pieces)) if flat[i] is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            flat[i] = np.array(e.ids, np.int32)
-            size[i] = len(e.ids)
-        flat = np.concatenate(flat)
-        self.row = np.concatenate([self.row, len(self.at) - 1 + np.arange(len(which))])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, flat])
-        keys = np.concatenate([self.keys, w.hash[which]])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.row = keys[order], self.row[order]
+            if len(self.between) == 1 and len(cut) == j - i - 1:
+                sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                flat.append(np.delete(ids, cut))
+                order.append(plain[i:j])
+            else:
+                alone[plain[i:j]] = True
+        rest = np.flatnonzero(alone)
+        single = [w.raw[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(start[rest].tolist(), size[rest].tolist(), strict=True)]
+        for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False):
+            sizes.append([len(e.ids)])
+            flat.append(np.array(e.ids, np.int32))
+        row = np.empty(len(which), np.int64)
+        row[np.concatenate([*order, rest])] = len(self.at) - 1 + np.arange(len(which))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate([self.ids, *flat])
+        self.keys, self.row = np.insert(self.keys, place, w.hash[which]), np.insert(self.row, place, row)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END; their numbers)."""
@@ -125,7 +140,7 @@ class Encoder:
         if len(self.keys):
             have = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
         if not have.all():
-            self._learn(w, first[~have])
+            self._learn(w, first[~have], place[~have])
         row = self.row[np.searchsorted(self.keys, unique)][back]
         size = self.at[row + 1] - self.at[row]
         sums = np.concatenate([[0], np.cumsum(size)])
