@@ -95,3 +95,16 @@ def monotone(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
     """1 or -1 where all coefficients of the derivative have that sign and one isn't zero, else 0."""
     steps = [p1 - p0, p2 - p1, p3 - p2]
     return F.when((F.least(*steps) >= 0) & (F.greatest(*steps) > 0), 1).when((F.greatest(*steps) <= 0) & (F.least(*steps) < 0), -1).otherwise(0).cast("long")
+
+
+def bracket(p: list[Column], level: float, steps: int) -> Column:
+    """(low, high): the parameters around the crossing of a level by a coordinate that runs one way, halved ``steps`` times."""
+    begin = F.signum(p[0] - level)
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def halve(b: Column, _: Column) -> Column:
+        t = (b["low"] + b["high"]) / 2
+        before = F.signum(cubic(*p, t) - level) == begin
+        return F.struct(F.when(before, t).otherwise(b["low"]).alias("low"), F.when(before, b["high"]).otherwise(t).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)

@@ -115,3 +115,20 @@ def stroke_xml(width: Column, cap: Column, fill: Column) -> Column:
     """A stroke as DrawingML."""
     name = F.try_element_at(F.create_map(*[F.lit(x) for kv in CAP_NAMES.items() for x in kv]), cap)
     return F.concat(F.lit('<a:ln w="'), emu(width), F.lit('" cap="'), name, F.lit('"><a:solidFill><a:srgbClr val="'), F.substring(fill, 2, 6), F.lit('"/></a:solidFill></a:ln>'))
+
+
+def float_enclosure(x: Column) -> tuple[Column, Column]:
+    """The nearest single-precision numbers at or below and at or above a positive normal double, as doubles."""
+    f = x.cast("float").cast("double")
+    binade = F.pow(F.lit(2.0), F.floor(F.log2(f)))
+    unit = binade * 2.0**-23
+    below = F.when(f == binade, f - unit / 2).otherwise(f - unit)
+    return F.when(f <= x, f).otherwise(below), F.when(f >= x, f).otherwise(f + unit)
+
+
+def sqrt_upper(n: Column, bits: int) -> Column:
+    """The least multiple of 2**-bits whose square isn't below an integer: a floating root put right by exact squares."""
+    scaled = n * (1 << 2 * bits)
+    near = F.floor(F.sqrt(scaled))
+    least = F.when((near > 0) & ((near - 1) * (near - 1) >= scaled), near - 1).when(near * near >= scaled, near).otherwise(near + 1)
+    return least / F.lit(float(1 << bits))

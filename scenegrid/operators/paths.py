@@ -79,13 +79,16 @@ def area2(points: DataFrame) -> DataFrame:
     return ring(points).groupBy("path_id").agg(F.sum(F.expr("x * ny - nx * y")).alias("area2"))
 
 
+def turns() -> Column:
+    """What an edge (x, y, nx, ny) adds to the winding number of (px, py)."""
+    side = F.expr("(nx - x) * (py - y) - (px - x) * (ny - y)")
+    return F.when(F.expr("y <= py AND ny > py") & (side > 0), 1).when(F.expr("y > py AND ny <= py") & (side < 0), -1).otherwise(0)
+
+
 def winding(points: DataFrame, probes: DataFrame) -> DataFrame:
     """path_id, probe_id and winding number of the probes of each path (joined by path_id): signed crossings of the
     ray to the right, exact on integers."""
-    edges = ring(points).join(probes, "path_id")
-    side = F.expr("(nx - x) * (py - y) - (px - x) * (ny - y)")
-    turn = F.when(F.expr("y <= py AND ny > py") & (side > 0), 1).when(F.expr("y > py AND ny <= py") & (side < 0), -1).otherwise(0)
-    return edges.groupBy("path_id", "probe_id").agg(F.sum(turn).alias("winding"))
+    return ring(points).join(probes, "path_id").groupBy("path_id", "probe_id").agg(F.sum(turns()).alias("winding"))
 
 
 def edge_multiplicity(points: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,37 @@ def components(mask: DataFrame, least: int = 1) -> DataFrame:
     """8-connected components of foreground pixels (image_id, x, y) with their boxes and areas, one task per image: an
     image has a bounded number of pixels."""
     return mask.select("image_id", "x", "y").groupBy("image_id").applyInPandas(_label, _PARTS).where(F.col("area") >= least)
+
+
+def digests(p: DataFrame) -> DataFrame:
+    """image_id and a digest of all its values in order."""
+    values = F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda q: q["v"].cast("string"))
+    return p.groupBy("image_id").agg(F.sha2(F.array_join(values, ","), 256).alias("digest"))
+
+
+def match_digests(source: DataFrame, targets: DataFrame) -> DataFrame:
+    """image_id, target_id, code: the only target with equal pixels; missing or ambiguous ones are coded."""
+    n = targets.groupBy("digest").agg(F.count("*").alias("n"), F.min("image_id").alias("target_id"))
+    code = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("ok")
+    return source.join(n, "digest", "left").select("image_id", F.when(F.col("n") == 1, F.col("target_id")).alias("target_id"), code.alias("code"))
+
+
+#: Gates of an estimated shift.
+LEAST_EDGES, MOST_SHIFT, LEAST_RESPONSE, MOST_DISAGREEMENT, LEAST_OVERLAP, LEAST_CORRELATION, LEAST_F1 = 24, 32.0, 0.15, 4.0, 0.85, 0.65, 0.4
+
+
+def shift_reason() -> Column:
+    """The first gate that an estimate (edges, phase_dx, phase_dy, response, dx, dy, correlation, f1) on a canvas (width, height) fails."""
+    c = F.col
+    far = lambda x, y: F.greatest(F.abs(c(x)), F.abs(c(y))) > MOST_SHIFT
+    left = lambda d, size: F.greatest(F.lit(0.0), 1 - F.abs(c(d)) / c(size))
+    gates = [
+        ("insufficient_edges", c("edges") < LEAST_EDGES),
+        ("max_shift_exceeded", far("phase_dx", "phase_dy")),
+        ("weak_phase_response", c("response") < LEAST_RESPONSE),
+        ("max_shift_exceeded", far("dx", "dy")),
+        ("phase_ecc_disagreement", F.hypot(c("dx") - c("phase_dx"), c("dy") - c("phase_dy")) > MOST_DISAGREEMENT),
+        ("low_canvas_overlap", left("dx", "width") * left("dy", "height") < LEAST_OVERLAP),
+        ("insufficient_matching_structure", (c("correlation") < LEAST_CORRELATION) | (c("f1") < LEAST_F1)),
+    ]
+    return F.coalesce(*(F.when(failed, name) for name, failed in gates), F.lit("phase_and_ecc_agree"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scenegrid.functions import scalar
-from scenegrid.operators import graph, layout, paths, relations, rules, text
+from scenegrid.operators import contours, graph, layout, paths, relations, rules, text
 from scenegrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -158,3 +158,61 @@ def test_graphemes_stay_whole(spark):
         got.setdefault(r.k, []).append(r.text)
     assert got[1] == ["ééé", "\U0001f468‍\U0001f469‍\U0001f467", "ab"]
     assert got[2] == [""] and got[3] == ["abc", "def", "gh", "i"]
+
+
+CONTOUR = "path_id bigint, seq bigint, x bigint, y bigint"
+STAR = [(0, 100), (59, -81), (-95, 31), (95, 31), (-59, -81)]
+SQUARE = [(0, 0), (100, 0), (100, 100), (0, 100)]
+
+
+def drawn(spark, *contours_):
+    return spark.createDataFrame([(i, k + 1, *p) for i, c in enumerate(contours_) for k, p in enumerate(c)], CONTOUR)
+
+
+def test_hulls_of_points_on_lines_and_repeats(spark):
+    line, one, dented = [(0, 0), (2, 2), (1, 1), (2, 2)], [(5, 5), (5, 5)], [(0, 0), (4, 0), (2, 0), (2, 1), (4, 4), (0, 4), (0, 2)]
+    got = contours.convex_hull(drawn(spark, line, one, dented)).orderBy("path_id", "place").collect()
+    assert [[(r.x, r.y) for r in got if r.path_id == i] for i in range(3)] == [[(0, 0), (2, 2)], [(5, 5)], [(0, 0), (4, 0), (4, 4), (0, 4)]]
+
+
+def test_fill_rules_agree_on_simple_contours_only(spark):
+    bow = [(0, 0), (10, 10), (10, 0), (0, 10)]
+    got = {r.path_id: r.code for r in contours.fill_rules(drawn(spark, STAR, SQUARE, bow)).collect()}
+    assert got == {0: "differ", 1: "equal", 2: "undecided"}
+    assert {r.path_id: r.domain for r in contours.domains(drawn(spark, STAR, SQUARE, bow)).collect()} == {0: "transverse", 1: "isolated", 2: "transverse"}
+
+
+def test_probes_stop_short_of_the_next_edge(spark):
+    thin = [(0, 0), (100, 0), (100, 1), (0, 1)]
+    got = {r.seq: r.halvings for r in contours.side_probes(drawn(spark, thin)).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 0}
+    flat = [(0, 0), (100, 0), (100, 0), (50, 0)]
+    assert {r.halvings for r in contours.side_probes(drawn(spark, flat)).collect()} == {None}
+
+
+def test_boxes_touching_an_edge_stay_undecided(spark):
+    rows = [(0, 10, 10, 20, 20), (1, 100, 10, 120, 20), (2, 102, 10, 120, 20), (3, -200, -200, 300, 300)]
+    boxes = spark.createDataFrame(rows, "path_id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    got = {r.path_id: r.relation for r in contours.box_relation(drawn(spark, *[SQUARE] * 4), boxes).collect()}
+    assert got == {0: "inside", 1: "undecided", 2: "outside", 3: "undecided"}
+
+
+def test_a_contour_that_is_closed_gets_no_second_end(spark):
+    got = contours.closed_under(drawn(spark, SQUARE, [*SQUARE, SQUARE[0]]), (1, 0, 0, 1, 0, 0)).groupBy("path_id").count().collect()
+    assert {r["count"] for r in got} == {5}
+
+
+def test_floats_enclose_a_double(spark):
+    values = [1.0, 1.0 - 2.0**-30, 1.0 + 2.0**-30, 0.1, 3.0, 2.0**40 + 1]
+    low, high = scalar.float_enclosure(F.col("v"))
+    import numpy as np
+
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", low.alias("low"), high.alias("high")).collect():
+        assert r.low <= r.v <= r.high and np.float32(r.low) == r.low and np.float32(r.high) == r.high
+        assert r.low == r.high == r.v or np.nextafter(np.float32(r.low), np.float32(np.inf)) == r.high
+
+
+def test_roots_are_bounded_from_above(spark):
+    for r in spark.range(0, 3000).select("id", scalar.sqrt_upper(F.col("id") * 104729, 8).alias("b")).collect():
+        k, n = int(r.b * 256), r.id * 104729 << 16
+        assert k * k >= n and (k == 0 or (k - 1) ** 2 < n)
