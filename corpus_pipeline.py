@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from scenegrid.llm import decontaminate, near_dup, packing, suffix_dedup, toxicity
 from scenegrid.llm.store import Scratch
-from scenegrid.llm.tables import read
+from scenegrid.llm.tables import fresh, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model doesn't reject, as they are."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), into="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = fresh(docs, "_toxicity")
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), into=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenegrid.llm.store import Scratch
+from scenegrid.llm.tables import fresh
 
 #: White space that ends a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -145,7 +146,8 @@ def cascade(docs: DataFrame, rules: Sequence[Rule], into: str = "rejected_by") -
 def quality_filter(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:
     """The documents that every rule lets pass, without counting anything that the cascade need not."""
     order = plan(docs, rules or standard_rules(text))
-    return cascade(docs, order, "_rejected_by").where(F.col("_rejected_by").isNull()).drop("_rejected_by")
+    verdict = fresh(docs, "_rejected_by")
+    return cascade(docs, order, verdict).where(F.col(verdict).isNull()).drop(verdict)
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from scenegrid.llm import textkit as K
 from scenegrid.llm.store import Scratch
+from scenegrid.llm.tables import fresh
 
 MIN_WORDS = 50
 REACH = 24
@@ -229,17 +230,18 @@ def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their removed passages; ``n_chars``, where there is one, follows the text.
     Documents that have no word left go; those that had none to begin with stay."""
-    spans = repeated_passages(docs).where("n_removed_words > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.hint("merge").join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
+    own, removed, was_cut = (fresh(docs, c) for c in ("_id", "_removed", "_cut"))
+    spans = repeated_passages(docs).where("n_removed_words > 0").select(F.col("doc_id").alias(own), F.col("removed").alias(removed))
+    joined = docs.hint("merge").join(spans, docs["doc_id"] == spans[own], "left").drop(own)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
-                text = cut(part.column("text"), part.column("_removed"))
-                gone = part.column("_removed").is_valid()
-                yield pa.RecordBatch.from_arrays([*(text if c == "text" else part.column(c) for c in names), gone], [*names, "_cut"])
+                text = cut(part.column("text"), part.column(removed))
+                gone = part.column(removed).is_valid()
+                yield pa.RecordBatch.from_arrays([*(text if c == "text" else part.column(c) for c in names), gone], [*names, was_cut])
 
-    out = joined.mapInArrow(run, joined.drop("_removed").withColumn("_cut", F.lit(True)).schema)
-    out = out.where(~F.col("_cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_cut")
+    out = joined.mapInArrow(run, joined.drop(removed).withColumn(was_cut, F.lit(True)).schema)
+    out = out.where(~F.col(was_cut) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(was_cut)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

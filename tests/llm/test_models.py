@@ -31,7 +31,8 @@ def test_rules_equal_plain_counts(spark):
         assert x.base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w))
         assert not (x.base_failed and x.kept)
     kept = {i for i, x in got.items() if x.kept}
-    assert {x.doc_id for x in quality_rules.quality_filter(table(spark, texts)).collect()} == kept
+    named = table(spark, texts).selectExpr("*", "1 AS _rejected_by", "2 AS _words")
+    assert {(x.doc_id, x._rejected_by) for x in quality_rules.quality_filter(named).collect()} == {(i, 1) for i in kept}
 
 
 def test_order_of_rules_never_changes_the_verdict(spark):

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scenegrid.llm import queries
-from tests.llm.helpers import SCHEMA, bag, jaccard, prose, rng, table, words
+from tests.llm.helpers import SCHEMA, awkward, bag, jaccard, prose, rng, table, words
 
 
 def corpus(spark, path):
@@ -52,6 +52,27 @@ def test_each_stage_takes_what_is_planted_and_leaves_clean_texts(spark, tmp_path
     assert {(x.doc_id, x.piece, x.n_words) for x in whole.collect()} == {(x.doc_id, x.piece, x.n_words) for x in seen["packing"]}
 
 
+NAMES = "score label toxic terms node class_id bands removed spans start item_id similarity piece bin_id n_words _removed _cut _id _toxicity _item _gone id text_a x".split()
+
+
+def test_stages_keep_odd_rows_and_columns_of_any_name(spark, tmp_path):
+    """Null texts, ids, sources and languages, repeated rows and repeated ids; extra columns named as those used inside."""
+    corpus(spark, str(tmp_path))
+    r = rng(31)
+    rows = table(spark, awkward(r), first=500).unionByName(table(spark, awkward(r)[-2:], first=500))
+    rows = rows.union(spark.createDataFrame([(None, "no id " * 60, None, None, None), (None, None, None, None, None), (900, prose(r, 70), None, None, 5)], SCHEMA))
+    docs = rows.selectExpr("*", *(f"{i} AS {n}" for i, n in enumerate(NAMES)))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/odd-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/odd-{name}")
+        if name != "packing":
+            assert docs.columns == before.columns
+            assert all(x[n] == i for x in docs.collect() for i, n in enumerate(NAMES))
+            assert docs.where("doc_id IS NULL").count() == 2 and docs.where("doc_id = 900").count() == 1
+    assert docs.where("doc_id IS NULL").count() == 2
+
+
 def test_kept_texts_are_apart(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
