@@ -5,6 +5,9 @@ fingerprints (64 bits: the majority of its words' hash bits) of all its windows
 document is covered by windows of each size at a step of STEP words; the sizes leave every copy of an item
 at least one window in step with one of the item's own.
 
+A text that is shorter than an item's window may still be the item cut short. Such texts are met by a second,
+shorter window (``run_size``) that lies inside words which both share; its fingerprint must be equal.
+
 Fingerprints are compared through a multi-index: 64 bits are BLOCKS blocks, and two fingerprints within
 RADIUS bits have a block in which they differ by RADIUS // BLOCKS bits at most. Tables of all block values
 that near an item's find every pair within the radius; the Hamming distance then decides.
@@ -114,6 +117,18 @@ def window_size(n: int) -> tuple[int, int]:
         size = wider
 
 
+def run_size(n: int) -> int:
+    """Size of the shorter windows for an item of n words: a stretch that reaches THRESHOLD shares so long a run of
+    words with the item that a window in step lies inside. A break inside a stretch costs at least SHINGLE - 1
+    shingles, as long as shingles follow one another in one way only."""
+    own, least = n - SHINGLE + 1, n
+    for there in range(-(-4 * own // 5), own + 1):
+        met = -(-4 * (own + there) // 9)
+        breaks = (there - met) // (SHINGLE - 1)
+        least = min(least, -(-met // (breaks + 1)) + SHINGLE - 1)
+    return (least - STEP + 1) // STEP * STEP
+
+
 def near_values(value: np.ndarray) -> np.ndarray:
     """Block values up to _NEAR bits from each value, one row per value."""
     out = [value[:, None]]
@@ -164,6 +179,26 @@ class SizeIndex:
         return both[:, 0], both[:, 1]
 
 
+@dataclass
+class EqualIndex(SizeIndex):
+    """The shorter item windows of one size, sorted; only equal fingerprints meet."""
+
+    def build(self) -> EqualIndex:
+        order = np.argsort(self.print_, kind="stable")
+        self.item, self.offset, self.print_ = self.item[order], self.offset[order], self.print_[order]
+        known = np.zeros(1 << _BITS, bool)
+        known[(self.print_ >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.marked.append(known)
+        return self
+
+    def hits(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.marked[0][(prints >> np.uint64(64 - _BITS)).astype(np.int64)])
+        low = np.searchsorted(self.print_, prints[at])
+        count = np.searchsorted(self.print_, prints[at], "right") - low
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(at, count), np.repeat(low, count) + inside
+
+
 @dataclass
 class Items:
     """A block of benchmark items, ready to be sent."""
@@ -176,17 +211,21 @@ class Items:
     @staticmethod
     def of(ids: list, texts: list[str | None]) -> Items:
         w = K.words(pa.array(texts, pa.string()))
-        by: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        by: dict[tuple[int, int, bool], list[tuple[int, np.ndarray]]] = {}
         for i in range(len(ids)):
             own = w.hash[w.first[i] : w.first[i + 1]]
             if len(own):
                 size, step = window_size(len(own))
-                by.setdefault((size, step), []).append((i, Windows(own, 1).fingerprints(size)))
+                windows = Windows(own, 1)
+                by.setdefault((size, step, False), []).append((i, windows.fingerprints(size)))
+                if step == STEP and (run := run_size(len(own))) < size:
+                    by.setdefault((run, step, True), []).append((i, windows.fingerprints(run)))
         sizes = []
-        for (size, step), rows in sorted(by.items()):
+        for (size, step, shorter), rows in sorted(by.items()):
             item = np.concatenate([np.full(len(p), i) for i, p in rows])
             offset = np.concatenate([np.arange(len(p)) for _, p in rows])
-            sizes.append(SizeIndex(size, step, item, offset, np.concatenate([p for _, p in rows])).build())
+            kind = EqualIndex if shorter else SizeIndex
+            sizes.append(kind(size, step, item, offset, np.concatenate([p for _, p in rows])).build())
         return Items(ids, w.hash, w.first, sizes)
 
     def matches(self, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,6 +250,9 @@ class Items:
                 doc, start, other = doc[fits], start[fits], other[fits]
                 item = index.item[other]
                 length = self.first[item + 1] - self.first[item]
+                if isinstance(index, EqualIndex):
+                    cut = counts[doc] < length
+                    doc, start, other, item, length = doc[cut], start[cut], other[cut], item[cut], length[cut]
                 start = np.clip(start - index.offset[other], 0, np.maximum(0, counts[doc] - length))
                 laid.append(np.column_stack([doc, item, start]))
         places = np.unique(np.concatenate(laid), axis=0) if laid else np.zeros((0, 3), np.int64)

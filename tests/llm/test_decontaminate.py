@@ -1,10 +1,12 @@
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from scenegrid.llm import decontaminate as d
-from scenegrid.llm import textkit
+from scenegrid.llm import queries, textkit
 from tests.llm.helpers import SCHEMA, awkward, bag, jaccard, prose, rng, table, words
 
 
@@ -79,3 +81,31 @@ def test_empty_tables(spark):
     assert d.contaminated(table(spark, ["a b c d e f"]), bench).collect() == []
     w = textkit.words(pa.array(["", "a"]))
     assert all(len(x) == 0 for x in d.Items.of([], []).matches(w))
+
+
+def by_sql(texts, items):
+    """(doc_id, item_id) -> similarity as the SQL of op7 has it."""
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        frame = pa.table({key: pa.array(range(len(rows)), pa.int64()), "text": pa.array(rows, pa.string())})
+        con.register(name, frame)
+    return {(a, b): s for a, b, s in con.sql(queries.ORACLE_SQL["op7_decontamination"]).fetchall()}
+
+
+def by_items(texts, items):
+    """The same by the windows."""
+    best = {}
+    for doc, item, _, sim in zip(*d.Items.of(list(range(len(items))), items).matches(textkit.words(pa.array(texts, pa.string()))), strict=True):
+        best[int(doc), int(item)] = max(float(sim), best.get((int(doc), int(item)), 0.0))
+    return best
+
+
+@pytest.mark.parametrize("n", [16, 31, 40, 60, 100, 120, 200])
+def test_texts_that_are_an_item_cut_short(n):
+    r = rng(n)
+    item = prose(r, n)
+    w = words(item)
+    texts = [" ".join(part) for k in range(int(0.78 * n), n + 1) for part in (w[:k], w[-k:], w[(n - k) // 2 :][:k])]
+    want = by_sql(texts, [item])
+    assert len(want) > 3 * (n - 0.85 * n) - 3
+    assert by_items(texts, [item]) == pytest.approx(want)
