@@ -5,8 +5,9 @@ fingerprints (64 bits: the majority of its words' hash bits) of all its windows
 document is covered by windows of each size at a step of STEP words; the sizes leave every copy of an item
 at least one window in step with one of the item's own.
 
-A text that is shorter than an item's window may still be the item cut short. Such texts are met by a second,
-shorter window (``run_size``) that lies inside words which both share; its fingerprint must be equal.
+A text that is shorter than an item's window may still be the item cut short, and a copy with words changed in
+the middle may be further than RADIUS away. Both are met by a second, shorter window (``run_size``) that lies
+inside words which both share; its fingerprint must be equal.
 
 Fingerprints are compared through a multi-index: 64 bits are BLOCKS blocks, and two fingerprints within
 RADIUS bits have a block in which they differ by RADIUS // BLOCKS bits at most. Tables of all block values
@@ -250,9 +251,6 @@ class Items:
                 doc, start, other = doc[fits], start[fits], other[fits]
                 item = index.item[other]
                 length = self.first[item + 1] - self.first[item]
-                if isinstance(index, EqualIndex):
-                    cut = counts[doc] < length
-                    doc, start, other, item, length = doc[cut], start[cut], other[cut], item[cut], length[cut]
                 start = np.clip(start - index.offset[other], 0, np.maximum(0, counts[doc] - length))
                 laid.append(np.column_stack([doc, item, start]))
         places = np.unique(np.concatenate(laid), axis=0) if laid else np.zeros((0, 3), np.int64)

@@ -109,3 +109,32 @@ def test_texts_that_are_an_item_cut_short(n):
     want = by_sql(texts, [item])
     assert len(want) > 3 * (n - 0.85 * n) - 3
     assert by_items(texts, [item]) == pytest.approx(want)
+
+
+def edited(n, seed=7):
+    """Copies of an item of n words with words changed, added or left out in its middle, at one place or several."""
+    r = rng(seed)
+    vocabulary = words(prose(r, 4000))
+    item = r.choices(vocabulary, k=n)
+    texts = []
+    for many in range(1, max(2, n // 9)):
+        for _ in range(12):
+            at, w = r.randrange(n // 3, max(n // 3 + 1, 2 * n // 3 - many)), list(item)
+            w[at : at + many] = [f"new{i}" for i in range(many)]
+            texts.append(w)
+    for places in range(1, max(2, n // 36 + 1)):
+        for kind in ("changed", "added", "left out"):
+            for _ in range(12):
+                w = list(item)
+                for at in sorted(r.sample(range(4, n - 4), places), reverse=True):
+                    w[at : at + (kind != "added")] = [] if kind == "left out" else ["new"]
+                texts.append(w)
+    return [" ".join([*r.choices(vocabulary, k=r.randrange(20)), *w, *r.choices(vocabulary, k=20)]) for w in texts], " ".join(item)
+
+
+@pytest.mark.parametrize("n", [20, 45, 60, 100, 150, 200])
+def test_copies_edited_in_the_middle(n):
+    texts, item = edited(n)
+    want = by_sql(texts, [item])
+    assert by_items(texts, [item]) == pytest.approx(want)
+    assert n < 45 or any(s < 0.85 for s in want.values())
