@@ -9,6 +9,9 @@ from scenegrid.operators import graph, relations
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
 
+#: Short literals that are broadcast at once.
+LITERAL_BLOCK = 2000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -391,15 +394,22 @@ def id_collisions(spark, sf_dir):
     "SELECT d.doc_id, b.item_id, CASE WHEN l.quality IS NULL THEN 'REVIEW' WHEN l.quality = 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM documents d JOIN benchmark b ON contains(d.text, b.text) LEFT JOIN labels l USING (doc_id)"
 )
 def literal_evidence(spark, sf_dir):
-    """Source literals found word for word in texts, with their reading status. Texts and literals meet by
-    three whole words from inside the literal, so no text is compared with every literal; literals of under five
-    words have too few to meet by and are left to a reader."""
+    """Source literals found word for word in texts, with their reading status. Texts and literals of five
+    words or more meet by three whole words from inside the literal, so no text is compared with all of them. Shorter
+    ones may lie inside words: blocks of LITERAL_BLOCK of them are broadcast, and a map over the texts tries each."""
     docs, bench, labels = (_table(spark, sf_dir, t) for t in ("documents", "benchmark", "labels"))
     words = F.split("text", r"\s+")
-    literals = bench.where(F.size(words) > 4).select("item_id", F.col("text").alias("literal"), F.xxhash64(F.slice(words, 2, 3)).alias("key"))
+    distinct = bench.where("text IS NOT NULL").select("text").distinct()
+    literals = distinct.where(F.size(words) > 4).select(F.col("text").alias("literal"), F.xxhash64(F.slice(words, 2, 3)).alias("key"))
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.xxhash64(F.slice("w", i, 3)))
-    hits = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(literals, "key").select("doc_id", "item_id", "literal").distinct()
-    whole = hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "literal"))
+    hits = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(literals, "key").select("doc_id", "literal").distinct()
+    whole = hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "literal")).select("doc_id", "literal")
+    short = distinct.where(F.size(words) <= 4).select(F.col("text").alias("literal"))
+    blocks = -(-short.count() // LITERAL_BLOCK)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("literal"), F.lit(blocks)) == k)
+        whole = whole.union(docs.select("doc_id", "text").join(F.broadcast(block), F.contains("text", "literal")).select("doc_id", "literal"))
+    whole = whole.join(bench.select("item_id", F.col("text").alias("literal")), "literal")
     status = F.when(F.col("quality").isNull(), "REVIEW").when(F.col("quality") == 1, "PASS").otherwise("FAIL")
     return whole.join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "item_id", status.alias("status"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from scenegrid.functions import scalar
 from scenegrid.operators import contours, graph, layout, paths, relations, rules, text
-from scenegrid.plans import catalog
+from scenegrid.plans import catalog, queries_relations
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -216,3 +216,21 @@ def test_roots_are_bounded_from_above(spark):
     for r in spark.range(0, 3000).select("id", scalar.sqrt_upper(F.col("id") * 104729, 8).alias("b")).collect():
         k, n = int(r.b * 256), r.id * 104729 << 16
         assert k * k >= n and (k == 0 or (k - 1) ** 2 < n)
+
+
+def test_short_literals_are_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries_relations, "LITERAL_BLOCK", 3)
+    texts = ["Figure 1 shows the encoder", "a b c d e f g h", "encoders", None, "", "x\ty  z", "the encoder of Figure 12", "a b c d e f g h"]
+    items = ["Figure 1", "encoder", "a b c d", "b c d e f", "b c d e f", "y  z", "x y", "e", "", None, "the encoder of Figure 1", "encoder", " ", "no such text"]
+    tables = {
+        "documents": spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"),
+        "benchmark": spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string"),
+        "labels": spark.createDataFrame([(0, 1), (2, 0)], "doc_id bigint, quality int"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["literal_evidence"](spark, str(tmp_path)).collect())
+    want = sorted(con.sql(catalog.ORACLE_SQL["literal_evidence"]).fetchall())
+    assert got == want and len({i for _, i, _ in want}) > 9
