@@ -1,37 +1,67 @@
 """Graphs of records: order of attachments, roots, reference chains, components, routing grids.
 
 Depth is found by pointer doubling: each round a record's parent pointer jumps to where the parent's
-pointer points, so a chain of length n takes log2(n) joins and there is no limit of recursion. A record
-that still points somewhere after ``rounds`` doublings stands on a cycle or hangs below one.
+pointer points, so a chain of length n takes log2(n) joins and there is no limit of recursion. While a chain
+isn't at its end, every round brings a record to one; records left when a round brings none stand on a cycle
+or hang below one. Each round is a checkpoint, so the plan doesn't double.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def attachment_order(attachments: DataFrame, rounds: int = 7) -> DataFrame:
-    """child_id, root_id, depth (0: a root) and on_cycle of each record. ``rounds`` covers chains of up to
-    2**rounds; parents must be records of the table (see ``dangling``)."""
-    step = attachments.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(rounds):
-        up = step.select(F.col("child_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        step = step.join(up, "at").select("child_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
-    roots = attachments.where("parent_id IS NULL").select(F.col("child_id").alias("at"), F.lit(True).alias("rooted"))
-    done = step.join(roots, "at", "left")
-    rooted = F.coalesce("rooted", F.lit(False))
-    return done.select("child_id", F.when(rooted, F.col("at")).alias("root_id"), F.when(rooted, F.col("depth")).alias("depth"), (~rooted).alias("on_cycle"))
+def written(df: DataFrame) -> DataFrame:
+    """The table as a checkpoint, in the folder that driver and executors share."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="scenegrid-")
+            atexit.register(shutil.rmtree, path, True)
+        context.setCheckpointDir(path)
+    return df.checkpoint()
+
+
+def doubled(step: DataFrame, key: str, merge: dict[str, Column], rounds: int | None = None, around: bool = False) -> DataFrame:
+    """One round after another over ``step`` (key, at and the columns of ``merge``, among them ``open``), until no record is
+    open or a round closes and drops none. merge: each column after a round, from its own value and, as up_..., the one
+    of the record pointed to. ``around``: pointers run in rings, where open tells whether the last round changed a record;
+    the end is a round that changes and drops none. ``rounds``: do no more than so many."""
+    before = None
+    while True:
+        step = written(step)
+        now = tuple(step.agg(F.count_if("open"), F.count("*")).first())
+        ended = now == (0, before and before[1]) if around else not now[0] or now == before
+        if ended or rounds == 0:
+            return step
+        before, rounds = now, rounds and rounds - 1
+        up = step.select(F.col(key).alias("at"), F.col("at").alias("next"), *[F.col(c).alias(f"up_{c}") for c in merge])
+        step = step.join(up, "at").select(key, F.col("next").alias("at"), *[c.alias(name) for name, c in merge.items()])
+
+
+def attachment_order(attachments: DataFrame, rounds: int | None = None) -> DataFrame:
+    """child_id, root_id, depth (0: a root) and on_cycle of each record. Parents must be records of the table
+    (see ``dangling``)."""
+    has = F.col("parent_id").isNotNull()
+    step = attachments.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.when(has, 1).otherwise(0).cast("long").alias("depth"), has.alias("open"))
+    done = doubled(step, "child_id", {"depth": F.col("depth") + F.col("up_depth"), "open": F.col("up_open")}, rounds)
+    return done.select("child_id", F.when(~F.col("open"), F.col("at")).alias("root_id"), F.when(~F.col("open"), F.col("depth")).alias("depth"), F.col("open").alias("on_cycle"))
 
 
-def resolve_offsets(attachments: DataFrame, rounds: int = 7) -> DataFrame:
-    """The sum of the offsets from each record up to its root, by the same doubling."""
+def resolve_offsets(attachments: DataFrame, rounds: int | None = None) -> DataFrame:
+    """The sum of the offsets from each record up to its root, by the same doubling; null on and below a cycle."""
     has = F.col("parent_id").isNotNull()
-    step = attachments.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.when(has, F.col("dx")).otherwise(0.0).alias("dx"), F.when(has, F.col("dy")).otherwise(0.0).alias("dy"))
-    for _ in range(rounds):
-        up = step.select(F.col("child_id").alias("at"), F.col("at").alias("next"), F.col("dx").alias("mx"), F.col("dy").alias("my"))
-        step = step.join(up, "at").select("child_id", F.col("next").alias("at"), (F.col("dx") + F.col("mx")).alias("dx"), (F.col("dy") + F.col("my")).alias("dy"))
-    return step.select("child_id", F.col("at").alias("root_id"), "dx", "dy")
+    step = attachments.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.when(has, F.col("dx")).otherwise(0.0).alias("dx"), F.when(has, F.col("dy")).otherwise(0.0).alias("dy"), has.alias("open"))
+    done = doubled(step, "child_id", {"dx": F.col("dx") + F.col("up_dx"), "dy": F.col("dy") + F.col("up_dy"), "open": F.col("up_open")}, rounds)
+    return done.select("child_id", *[F.when(~F.col("open"), F.col(c)).alias(name) for c, name in (("at", "root_id"), ("dx", "dx"), ("dy", "dy"))])
 
 
 def expand_references(uses: DataFrame, definitions: DataFrame, depth: int = 32) -> DataFrame:
@@ -40,6 +70,9 @@ def expand_references(uses: DataFrame, definitions: DataFrame, depth: int = 32)
     table = definitions.select(F.col("def_id").alias("at"), "target_id", F.lit(True).alias("known"))
     state = uses.select("use_id", F.col("ref_id").alias("at"), F.array("ref_id").alias("path"), F.lit(None).cast("string").alias("code"), F.lit(False).alias("done"))
     for _ in range(depth):
+        state = written(state)
+        if state.where("NOT done").isEmpty():
+            break
         found = state.join(table, "at", "left")
         going = ~F.col("done")
         missing, end = F.col("known").isNull(), F.col("target_id").isNull()

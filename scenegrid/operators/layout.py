@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrid.operators import graph
+
 #: Fixed values, in pixels: width and least height of nodes, the gaps between columns and rows, where the first node stands, the
 #: margins of group frames, the cost of a bend, the margin of obstacles, and how far a route leads out of its port.
 WIDTH, HEIGHT, COLUMN_GAP, ROW_GAP, LEFT, TOP = 196.0, 96.0, 100.0, 110.0, 64.0, 132.0
@@ -94,22 +96,20 @@ def label_places(labels: DataFrame, boxes: DataFrame, candidates: int = 4) -> Da
     return labels.select("label_id").join(best, "label_id", "left").select("label_id", "p.place", F.col("p.cx").alias("x"), F.col("p.cy").alias("y"))
 
 
-def inherit(tree: DataFrame, value: str, rounds: int = 7) -> DataFrame:
+def inherit(tree: DataFrame, value: str, rounds: int | None = None) -> DataFrame:
     """child_id and the value of the nearest record, itself first, that has one, by pointer doubling up the tree."""
-    step = tree.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.col(value).alias("v"))
-    for _ in range(rounds):
-        up = step.select(F.col("child_id").alias("at"), F.col("at").alias("next"), F.col("v").alias("above"))
-        step = step.join(up, "at").select("child_id", F.col("next").alias("at"), F.coalesce("v", "above").alias("v"))
-    return step.select("child_id", F.col("v").alias(value))
-
-
-def rings(successors: DataFrame, rounds: int = 7) -> DataFrame:
-    """node and the smallest node of the ring that its successors run through (successor: a permutation)."""
-    step = successors.select("node", F.col("successor").alias("at"), F.least("node", "successor").alias("ring"))
-    for _ in range(rounds):
-        ahead = step.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("ring").alias("other"))
-        step = step.join(ahead, "at").select("node", F.col("next").alias("at"), F.least("ring", "other").alias("ring"))
-    return step.select("node", "ring")
+    has, bare = F.col("parent_id").isNotNull(), F.col(value).isNull()
+    step = tree.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.col(value).alias("v"), (has & bare).alias("open"))
+    done = graph.doubled(step, "child_id", {"v": F.coalesce("v", "up_v"), "open": F.col("open") & F.col("up_open")}, rounds)
+    return done.select("child_id", F.col("v").alias(value))
+
+
+def rings(successors: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node and the smallest node of the ring that its successors run through (successor: a permutation). A round in which no
+    node learns of a smaller one has gone around every ring."""
+    step = successors.select("node", F.col("successor").alias("at"), F.least("node", "successor").alias("ring"), F.lit(True).alias("open"))
+    fewer = {"ring": F.least("ring", "up_ring"), "open": F.col("up_ring") < F.col("ring")}
+    return graph.doubled(step, "node", fewer, rounds, around=True).select("node", "ring")
 
 
 def matrix(text: Column) -> Column:

@@ -76,7 +76,7 @@ def label_places(spark, sf_dir):
 def inherited_styles(spark, sf_dir):
     """A property inherited down a tree."""
     tree = _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS child_id", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey - 1 END AS parent_id", "CASE WHEN o_orderkey % 3 = 1 THEN '#' || o_custkey END AS fill")
-    return layout.inherit(tree, "fill", rounds=3)
+    return layout.inherit(tree, "fill")
 
 
 @query("SELECT o_orderkey AS node, o_orderkey - o_orderkey % 7 AS ring FROM orders WHERE o_orderkey - o_orderkey % 7 + 6 <= (SELECT max(o_orderkey) FROM orders)")
@@ -84,7 +84,7 @@ def ring_tracing(spark, sf_dir):
     """Rings of a successor function, named by their smallest node."""
     orders = _table(spark, sf_dir, "orders")
     successors = orders.selectExpr("o_orderkey AS node", "o_orderkey - o_orderkey % 7 + (o_orderkey % 7 + 1) % 7 AS successor")
-    return layout.rings(successors, rounds=3)
+    return layout.rings(successors)
 
 
 @query("SELECT p_partkey AS id, round(cos(radians(p_size)) * 2, 6) AS a, round(sin(radians(p_size)) * 2, 6) AS b, round(-sin(radians(p_size)) * 2, 6) AS c, round(cos(radians(p_size)) * 2, 6) AS d, (p_partkey % 90)::DOUBLE AS e, -5.5::DOUBLE AS f FROM part")

@@ -41,7 +41,7 @@ def connector_geometry(spark, sf_dir):
 @query(cte("attachments") + " SELECT child_id, child_id - child_id % 7 AS root_id, child_id % 7 AS depth, false AS on_cycle FROM attachments")
 def attachment_topology(spark, sf_dir):
     """Depth and root of each attachment."""
-    return graph.attachment_order(fixture(spark, sf_dir, "attachments"), rounds=3)
+    return graph.attachment_order(fixture(spark, sf_dir, "attachments"))
 
 
 @query(
@@ -50,7 +50,7 @@ def attachment_topology(spark, sf_dir):
 )
 def resolved_offsets(spark, sf_dir):
     """Labels placed by the sum of the offsets above them."""
-    return graph.resolve_offsets(fixture(spark, sf_dir, "attachments"), rounds=3)
+    return graph.resolve_offsets(fixture(spark, sf_dir, "attachments"))
 
 
 @query(
@@ -61,7 +61,7 @@ def attachment_cycles(spark, sf_dir):
     """G1: members of cycles. Every seventh run of seven records is closed to a ring."""
     a = fixture(spark, sf_dir, "attachments")
     closed = a.withColumn("parent_id", F.when(F.expr("child_id % 49 < 7"), F.expr("child_id - child_id % 7 + (child_id % 7 + 1) % 7")).otherwise(F.col("parent_id")))
-    return graph.attachment_order(closed, rounds=3).where("on_cycle").select("child_id")
+    return graph.attachment_order(closed).where("on_cycle").select("child_id")
 
 
 @query(
@@ -77,7 +77,7 @@ def reference_chains(spark, sf_dir):
     target = F.expr("CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN NULL WHEN 5 THEN o_orderkey - 2 WHEN 4 THEN o_orderkey + 1 WHEN 3 THEN o_orderkey - 1 WHEN 2 THEN o_orderkey - 1 ELSE o_orderkey - 1 END")
     definitions = orders.select(F.col("o_orderkey").alias("def_id"), target.alias("target_id"))
     uses = orders.select(F.col("o_orderkey").alias("use_id"), F.expr("CASE WHEN o_orderkey % 10 = 9 THEN -o_orderkey ELSE o_orderkey END").alias("ref_id"))
-    return graph.expand_references(uses, definitions, depth=7)
+    return graph.expand_references(uses, definitions)
 
 
 @query(

@@ -234,3 +234,24 @@ def test_short_literals_are_found(spark, tmp_path, monkeypatch):
     got = sorted(tuple(r) for r in catalog.QUERIES["literal_evidence"](spark, str(tmp_path)).collect())
     want = sorted(con.sql(catalog.ORACLE_SQL["literal_evidence"]).fetchall())
     assert got == want and len({i for _, i, _ in want}) > 9
+
+
+def test_chains_and_rings_of_any_length(spark):
+    n = 300
+    rows = [(i, i - 1 if i else None, 1.0, 2.0, "top" if i == 0 else None) for i in range(n)]
+    ring = [(1000 + i, 1000 + (i + 1) % n, 1.0, 1.0, None) for i in range(n)] + [(2000, 1000, 1.0, 1.0, None), (3000, None, 5.0, 5.0, None)]
+    tree = spark.createDataFrame(rows + ring, "child_id bigint, parent_id bigint, dx double, dy double, v string")
+    want = {i: (0, i) for i in range(n)} | {3000: (3000, 0)}
+    on = {1000 + i for i in range(n)} | {2000}
+    order = {r.child_id: r for r in graph.attachment_order(tree).collect()}
+    assert {i: (r.root_id, r.depth) for i, r in order.items() if not r.on_cycle} == want
+    assert {i for i, r in order.items() if r.on_cycle} == on and all(order[i].root_id is order[i].depth is None for i in on)
+    offsets = {r.child_id: (r.root_id, r.dx, r.dy) for r in graph.resolve_offsets(tree).collect()}
+    assert offsets == {i: (root, 1.0 * d, 2.0 * d) for i, (root, d) in want.items()} | dict.fromkeys(on, (None, None, None))
+    assert {r.child_id: r.v for r in layout.inherit(tree, "v").collect()} == {i: "top" if i < n else None for i in [*want, *on]}
+    turns = [(i, (i * 1 + 7) % n) for i in range(n)] + [(5000 + i, 5000 + (i + 1) % 5) for i in range(5)] + [(7000 + i, 7001 + i) for i in range(n)]
+    got = {r.node: r.ring for r in layout.rings(spark.createDataFrame(turns, "node bigint, successor bigint")).collect()}
+    assert got == dict.fromkeys(range(n), 0) | {5000 + i: 5000 for i in range(5)}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "def_id bigint, target_id bigint")
+    ends = {r.use_id: (r.final_id, r.code) for r in graph.expand_references(chain.selectExpr("def_id AS use_id", "def_id AS ref_id"), chain).collect()}
+    assert ends == {i: (0, None) if i < 32 else (None, "too_deep") for i in range(40)}
