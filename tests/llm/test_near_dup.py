@@ -39,7 +39,8 @@ def test_signature_is_unbiased_for_weights():
     left, right = (pa.array([t[i] for t in texts]) for i in range(2))
     sig = [near_dup.signatures(len(texts), *textkit.bags(*textkit.shingles(textkit.words(x))), m=8192) for x in (left, right)]
     exact = [jaccard(bag(a), bag(b)) for a, b in texts]
-    assert np.allclose(near_dup.overlap(left, right)[0], exact)
+    na, nb, common, *_ = near_dup.overlap(left, right)
+    assert np.allclose(common / (na + nb - common), exact)
     assert np.allclose((sig[0] == sig[1]).mean(1), exact, atol=0.02)
 
 
@@ -66,6 +67,48 @@ def test_large_bucket_keeps_links_that_pivots_miss(spark):
     assert got == classes(dict(enumerate(texts)))[0]
 
 
+@pytest.mark.parametrize("shared", [0, 18])
+def test_large_family_of_many_classes(spark, shared):
+    """Copies of one text, most of them too far from it and from one another; clusters of near ones hide among them, and a
+    passage that many of them add is one very frequent shingle."""
+    r = rng(13 + shared)
+    base, passage = prose(r, 120), prose(r, shared)
+    texts = [base]
+    for k in range(110):
+        one = edited(r, base, r.choice([0.03, 0.045, 0.06]))
+        at = r.randrange(100)
+        one = " ".join(words(one)[:at] + words(passage) + words(one)[at:])
+        texts.append(one)
+        if k % 4 == 0:
+            texts += [edited(r, one, 0.012) for _ in range(3)]
+    want, links = classes(dict(enumerate(texts)))
+    assert 20 < len(set(want.values())) < len(texts) - 40
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(table(spark, texts)).collect()}
+    assert got == want
+
+
+def test_pairs_of_a_hot_group_grow_with_its_nodes(spark, monkeypatch):
+    """Every text holds the passage, and none is linked to another."""
+    r = rng(17)
+    made = []
+    verify = near_dup.verify
+    monkeypatch.setattr(near_dup, "verify", lambda pairs, *rest: (made.append(pairs.count()), verify(pairs, *rest))[1])
+    base = prose(r, 100)
+    texts = [edited(r, base, 0.05) for _ in range(300)]
+    got = near_dup.near_duplicates(table(spark, texts)).collect()
+    assert len({x.class_id for x in got}) == len(set(classes(dict(enumerate(texts)))[0].values()))
+    assert sum(made) < 20 * len(texts)
+
+
+def test_rows_of_one_id_are_kept_for_themselves(spark):
+    r = rng(19)
+    copied, alone = prose(r, 60), prose(r, 60)
+    rows = [(1, copied), (2, copied), (2, alone), (3, alone + " end"), (4, None), (4, ""), (5, copied), (5, copied)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = sorted((x.doc_id, x.text or "") for x in near_dup.keep_one(df).collect())
+    assert kept == sorted([(1, copied), (2, alone), (4, ""), (4, "")])
+
+
 def test_empty_and_clashing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dup.near_duplicates(empty).collect() == []
