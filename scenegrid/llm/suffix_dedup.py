@@ -19,7 +19,8 @@ comes twice or more in the corpus (the same document included), and to be remove
 has an earlier occurrence. The earliest occurrence of every window stays.
 
 Null and empty texts and texts under MIN_WORDS words have no window. Rows without a doc_id are left out.
-Rows that repeat a doc_id count as one place each window stands at, so they never remove each other.
+A document is a doc_id with a text: different texts of one doc_id are different documents, in the order of a hash of
+the text; rows equal in both are one, count as one place each window stands at, and never remove each other.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ REACH = 24
 GRAM = 8
 SUFFIX = MIN_WORDS - REACH + 1
 
-_LOCAL = np.uint64((1 << 24) - 1)
+#: The low bits of a minimiser's rank: its place in the text, so that the leftmost of equals is chosen.
+_LOCAL = np.uint64((1 << 32) - 1)
 
 
 def minimisers(w: K.Words, sums: np.ndarray) -> np.ndarray:
@@ -65,7 +67,9 @@ def minimisers(w: K.Words, sums: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-_SUFFIXES = "key bigint, around bigint, doc_id bigint, pos int, upto int"
+#: What tells documents apart.
+DOCUMENT = ("doc_id", "text_key")
+_SUFFIXES = "key bigint, around bigint, doc_id bigint, text_key bigint, pos int, upto int"
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +83,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right = np.minimum(p, first + n - MIN_WORDS) + MIN_WORDS
             sides = ((p - left) * 256 + (right - p)).astype(np.uint64)
             around = K.mix(K.spans(sums, left, right) + K.mix(sides))
-            ids = part.column("doc_id").to_numpy()[w.doc[p]]
-            yield pa.RecordBatch.from_arrays(K.arrays(K.signed(K.spans(sums, p, p + SUFFIX)), K.signed(around), ids, (p - first).astype(np.int32), (right - first).astype(np.int32)), ["key", "around", "doc_id", "pos", "upto"])
+            ids = [part.column(c).to_numpy()[w.doc[p]] for c in DOCUMENT]
+            yield pa.RecordBatch.from_arrays(K.arrays(K.signed(K.spans(sums, p, p + SUFFIX)), K.signed(around), *ids, (p - first).astype(np.int32), (right - first).astype(np.int32)), ["key", "around", *DOCUMENT, "pos", "upto"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +129,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.repeat(np.arange(part.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
             p = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             last = w.counts[doc] - MIN_WORDS
+            own = (last >= 0) & (p >= 0) & (p - REACH + 1 <= last)  # all of them, unless two texts share a hash
+            doc, p, last = doc[own], p[own], last[own]
             low, high = w.first[doc] + np.maximum(0, p - REACH + 1), w.first[doc] + np.minimum(p, last)
             opened = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(opened, low, 1)
             np.add.at(opened, high + 1, -1)
             start = np.flatnonzero(np.cumsum(opened) > 0)
-            ids = part.column("doc_id").to_numpy()[w.doc[start]]
-            yield pa.RecordBatch.from_arrays(K.arrays(K.signed(K.spans(sums, start, start + MIN_WORDS)), ids, (start - w.first[w.doc[start]]).astype(np.int32)), ["window", "doc_id", "start"])
+            ids = [part.column(c).to_numpy()[w.doc[start]] for c in DOCUMENT]
+            yield pa.RecordBatch.from_arrays(K.arrays(K.signed(K.spans(sums, start, start + MIN_WORDS)), *ids, (start - w.first[w.doc[start]]).astype(np.int32)), ["window", *DOCUMENT, "start"])
 
 
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +153,7 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SPAN = "array<struct<start:int,end:int>>"
-_MERGED = f"doc_id bigint, n_repeated_words bigint, n_removed_words bigint, repeated {_SPAN}, removed {_SPAN}"
+_MERGED = f"doc_id bigint, text_key bigint, n_repeated_words bigint, n_removed_words bigint, repeated {_SPAN}, removed {_SPAN}"
 
 
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,17 +176,22 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32()) for x in (starts, ends)], fields=list(kind))
             lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), spans))
             counts.append(pa.array(totals, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, *lists], ["doc_id", "n_repeated_words", "n_removed_words", "repeated", "removed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DOCUMENT), *counts, *lists], [*DOCUMENT, "n_repeated_words", "n_removed_words", "repeated", "removed"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per document with a repeated passage: doc_id, the numbers of repeated and of removed words,
     and the spans of both as word positions. A document whose passages all stand there first has none removed."""
+    return found_spans(docs).drop("text_key")
+
+
+def found_spans(docs: DataFrame) -> DataFrame:
+    """``repeated_passages`` with the ``text_key`` (a hash of the text) that tells documents of one doc_id apart."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    place = F.struct("doc_id", "pos")
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    place = F.struct(*DOCUMENT, "pos")
     suffixes = scratch.table(docs.mapInArrow(_suffixes, _SUFFIXES), "suffixes")
-    order = ("key", "doc_id", "pos")
+    order = ("key", *DOCUMENT, "pos")
     marked = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, f"{_SUFFIXES}, twin boolean, border boolean")
     marked = scratch.table(marked, "marked")
     scratch.drop("suffixes")
@@ -190,16 +201,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     around = scratch.table(held.groupBy("key", "around").agg(F.count("*").alias("c"), F.min(place).alias("first")), "around")
     split = scratch.table(around.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "split")
-    ends = scratch.table(around.join(split, "key", "left_semi").select("first.doc_id", "first.pos").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "ends")
+    ends = scratch.table(around.join(split, "key", "left_semi").select("first.*").groupBy(*DOCUMENT).agg(F.collect_list("pos").alias("at")), "ends")
     many = scratch.table(around.where("c > 1").select("key", "around", "first"), "many")
-    whole = held.join(many, ["key", "around"]).select("doc_id", F.greatest(F.lit(0), F.col("pos") - REACH + 1).alias("lo"), F.col("upto").alias("hi"), (place != F.col("first")).alias("gone"))
+    whole = held.join(many, ["key", "around"]).select(*DOCUMENT, F.greatest(F.lit(0), F.col("pos") - REACH + 1).alias("lo"), F.col("upto").alias("hi"), (place != F.col("first")).alias("gone"))
     whole = scratch.table(whole, "whole")
     scratch.drop("marked", "around", "many", "split")
 
-    windows = scratch.table(docs.hint("merge").join(ends, "doc_id").mapInArrow(_windows, "window bigint, doc_id bigint, start int"), "windows")
-    twice = scratch.table(windows.groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("first")).where("c > 1").select("window", "first"), "twice")
-    single = windows.join(twice, "window").select("doc_id", F.col("start").alias("lo"), (F.col("start") + MIN_WORDS).alias("hi"), (F.struct("doc_id", "start") != F.col("first")).alias("gone"))
-    spans = whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "gone")).alias("spans"))
+    windows = scratch.table(docs.hint("merge").join(ends, list(DOCUMENT)).mapInArrow(_windows, "window bigint, doc_id bigint, text_key bigint, start int"), "windows")
+    twice = scratch.table(windows.groupBy("window").agg(F.count("*").alias("c"), F.min(F.struct(*DOCUMENT, "start")).alias("first")).where("c > 1").select("window", "first"), "twice")
+    single = windows.join(twice, "window").select(*DOCUMENT, F.col("start").alias("lo"), (F.col("start") + MIN_WORDS).alias("hi"), (F.struct(*DOCUMENT, "start") != F.col("first")).alias("gone"))
+    spans = whole.union(single).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("lo", "hi", "gone")).alias("spans"))
     found = scratch.table(spans.mapInArrow(_merge_lists, _MERGED), "merged")
     scratch.drop("windows", "twice", "whole", "ends")
     return found
@@ -230,9 +241,10 @@ def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their removed passages; ``n_chars``, where there is one, follows the text.
     Documents that have no word left go; those that had none to begin with stay."""
-    own, removed, was_cut = (fresh(docs, c) for c in ("_id", "_removed", "_cut"))
-    spans = repeated_passages(docs).where("n_removed_words > 0").select(F.col("doc_id").alias(own), F.col("removed").alias(removed))
-    joined = docs.hint("merge").join(spans, docs["doc_id"] == spans[own], "left").drop(own)
+    own, key, removed, was_cut = (fresh(docs, c) for c in ("_id", "_key", "_removed", "_cut"))
+    spans = found_spans(docs).where("n_removed_words > 0").select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("removed").alias(removed))
+    same = (docs["doc_id"].cast("long") == spans[own]) & (F.xxhash64(docs["text"]) == spans[key])
+    joined = docs.hint("merge").join(spans, same, "left").drop(own, key)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from scenegrid.llm import suffix_dedup, textkit
 from tests.llm.helpers import SCHEMA, awkward, prose, rng, table, words
@@ -67,6 +68,24 @@ def test_texts_without_their_repeats(spark):
             assert i not in got
 
 
+@pytest.mark.parametrize("order", range(3))
+def test_rows_that_repeat_an_id(spark, order):
+    """A long and a short text of one doc_id, an equal row, and another document with the same passage."""
+    r = rng(8)
+    passage, long, tail = prose(r, 60), prose(r, 200), prose(r, 80)
+    rows = [(1, f"{long} {passage}"), (1, "short text"), (1, f"{passage} {tail}"), (1, f"{passage} {tail}"), (2, f"{tail} {passage}"), (0, "a " * 20), (3, None)]
+    rng(order).shuffle(rows)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).coalesce(1)
+    found = suffix_dedup.repeated_passages(df).collect()
+    assert sorted((x.doc_id, x.n_repeated_words) for x in found) == [(1, 60), (1, 140), (2, 140)]
+    assert sorted(x.n_removed_words for x in found if x.doc_id == 1) == [0, 60]
+    assert [x.n_removed_words for x in found if x.doc_id == 2] == [140]
+    left = sorted((x.doc_id, len(words(x.text))) for x in suffix_dedup.remove_repeats(df).collect())
+    assert len(left) == 6 and (1, 2) in left and (0, 20) in left and (3, 0) in left
+    texts = [x for x in left if x[0] == 1 and x[1] > 2]
+    assert texts in ([(1, 80), (1, 80), (1, 260)], [(1, 140), (1, 140), (1, 200)])
+
+
 def test_minimisers_cover_every_window():
     w = textkit.words(__import__("pyarrow").array([prose(rng(6), 400), "z " * 200, prose(rng(6), 49)]))
     p = suffix_dedup.minimisers(w, textkit.prefix(w.hash))
