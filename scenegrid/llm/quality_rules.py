@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 A rule is a boolean column that is true where the text is to be rejected. ``plan`` estimates on a sample
-what each rule costs and how much it rejects, and orders the rules by rejection per cost; ``cascade``
+what each rule costs, as it will run there, and how much it rejects, and orders the rules by rejection per cost; ``cascade``
 evaluates them in that order with CASE, so a text that one rule rejects costs none of the later ones.
 The order changes the speed and the named rule (``rejected_by``), never the verdict.
 
@@ -12,8 +12,9 @@ feature's name are replaced.
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,9 @@ SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SAMPLE_ROWS = 1000
+#: Each sampled row is judged so often, each rule timed so often: a rule's cost is the median, less that of a job without one.
+REPEAT, TIMES = 8, 3
+SAMPLE_TASKS = 8
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -119,18 +123,34 @@ def standard_rules(text: str = "text", counted: bool = False) -> list[Rule]:
     ]
 
 
-def plan(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules with their cost (seconds) and share of rejections on a random sample of about
-    ``sample_rows`` rows, in the order of rejection per cost."""
+def plan(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, prepare: Callable[[DataFrame], DataFrame] | None = None) -> list[Rule]:
+    """The rules with their cost (seconds for the sample) and share of rejections on a random sample of about ``sample_rows``
+    rows, in the order of rejection per cost. A rule has the cost of its expression over the columns of ``docs``, and of what
+    ``prepare`` adds to the sample: what they hold already costs it nothing. Costs are rounded to powers of two, and not below what timing can tell from an
+    empty job, so that chance doesn't decide the order of rules that cost alike. One pass over ``docs`` takes the sample."""
     scratch = Scratch(docs.sparkSession, "quality-sample")
     share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = scratch.table(docs.where(F.rand(5) < share).coalesce(2), "rows")
+    sample = docs.where(F.rand(5) < share).repartition(SAMPLE_TASKS)
+    sample = scratch.table(prepare(sample) if prepare else sample, "rows")
     n = max(1, sample.count())
+    again = sample.withColumn(fresh(docs, "_again"), F.explode(F.sequence(F.lit(1), F.lit(REPEAT))))
+
+    def timed(fails: Column) -> tuple[list[float], int]:
+        took, hits = [], 0
+        for _ in range(TIMES):
+            began = time.perf_counter()
+            hits = again.agg(F.count_if(fails)).first()[0]
+            took.append(time.perf_counter() - began)
+        return sorted(took), hits // REPEAT
+
+    timed(F.lit(True))  # the first job also compiles and opens files
+    empty, _ = timed(F.length(F.col("text")) < 0 if "text" in docs.columns else F.lit(False))
+    least = max(0.1, 2 * (empty[-1] - empty[0]))
     found = []
     for rule in rules:
-        began = time.perf_counter()
-        hits = sample.agg(F.count_if(rule.fails)).first()[0]
-        found.append(Rule(rule.name, rule.fails, time.perf_counter() - began, hits / n))
+        took, hits = timed(rule.fails)
+        cost = max(least, took[TIMES // 2] - empty[TIMES // 2])
+        found.append(Rule(rule.name, rule.fails, least * 2.0 ** round(math.log2(cost / least)), hits / n))
     scratch.drop("rows")
     return sorted(found, key=lambda r: (-r.rank, r.name))
 
@@ -151,9 +171,9 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: Sequence[Rule] |
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, the base counts, base_failed and kept for every document."""
-    base = with_features(docs.select("doc_id", F.col(text).alias("text")))
-    order = plan(docs.select("doc_id", F.col(text).alias("text")), standard_rules())
-    counted = {r.name: r for r in standard_rules(counted=True)}
-    judged = cascade(base.withColumn("base_failed", base_failed()), [counted[r.name] for r in order])
+    """doc_id, the base counts, base_failed and kept for every document. The counts are asked for, so the rules read them,
+    and their costs are those of rules that do."""
+    docs = docs.select("doc_id", F.col(text).alias("text"))
+    order = plan(docs, standard_rules(counted=True), prepare=with_features)
+    judged = cascade(with_features(docs).withColumn("base_failed", base_failed()), order)
     return judged.select("doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from scenegrid.llm import language, quality_model, quality_rules, toxicity
 from scenegrid.llm.tables import held_out, read
@@ -45,6 +46,18 @@ def test_order_of_rules_never_changes_the_verdict(spark):
     assert quality_rules.judge(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_rules_are_ordered_by_what_they_cost_where_they_run(spark):
+    """Equal rejections: the rule that reads a stored count comes before the same rule that counts for itself, every time."""
+    docs = quality_rules.with_features(table(spark, [prose(rng(i), 900) for i in range(150)] + ["a b"] * 50))
+    counted = quality_rules.Rule("z_stored", F.col("n_words") < 10)
+    counting = quality_rules.Rule("a_counting", F.size(quality_rules.word_list(F.col("text"))) + quality_rules.repeated_words(quality_rules.word_list(F.col("text"))) < 10)
+    never = quality_rules.Rule("never", F.col("n_words") < 0)
+    for _ in range(3):
+        order = quality_rules.plan(docs, [never, counting, counted])
+        assert [r.name for r in order] == ["z_stored", "a_counting", "never"]
+        assert [round(r.rejects, 2) for r in order] == [0.25, 0.25, 0]
+
+
 def test_language_is_held_out_accurate(spark):
     docs = read(spark, SMALL, "documents")
     got = {x.doc_id: x for x in language.language(docs).collect()}
