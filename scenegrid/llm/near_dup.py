@@ -13,15 +13,15 @@ equal multisets are one node beforehand, so copies cost nothing more.
 
 Pairs. A group of up to SMALL nodes takes all its pairs. A larger one has a pivot, and each of its nodes is compared with
 that alone, so a group costs its nodes and never their square. What the pivot leaves open is taken apart exactly. Let p
-be the pivot, and write each text as p without what it removes and with what it adds. For u with too little in
-common with p, short of it by gap = share (|u| + |p|) - |u & p| where share = 0.8 / 1.8, a link of u and v needs
+be the pivot, and write each text as p without what it removes and with what it adds. Then u and v are linked if and only if
 
-    share * |both remove| + (1 - share) * |both add|  >=  gap
+    9 * (what both remove + what both add)  >=  gap(u) + 5 * (what v removes) + 4 * (what v adds)
 
-So u and v meet again in a removed or added shingle, and of those that u needs, in one of the rarest. The nodes of
-different classes that hold such a shingle are the groups of the next round: small ones take all pairs, others a pivot of
-their own that holds it too, and so on until no group is left. Two texts of one bucket of any size that are linked thus end
-in one class; shingles that the same nodes hold are one.
+where gap(u) = 4 (|u| + |p|) - 9 |u & p|, above 0 for a u that isn't linked to p. So u and v meet again in a removed or added
+shingle, and of those that u needs for a v of such a size, in one of the rarest; sizes count in steps of GROWTH. The nodes of
+different classes that meet in such a shingle are the groups of the next round: small ones take all pairs, others a
+pivot of their own, from their largest class, and so on until no group is left. Two texts of one bucket of any size that
+are linked thus end in one class; shingles that the same nodes hold are one.
 
 Verification. The multisets of both texts are compared exactly; a link needs THRESHOLD or more. Classes
 are the connected components of the links; the class id is the smallest doc_id.
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenegrid.llm import textkit as K
@@ -53,6 +53,8 @@ THRESHOLD = PART / WHOLE
 BANDS, ROWS = 20, 4
 #: A group of so many nodes takes all its pairs: at most (SMALL - 1) / 2 a node.
 SMALL = 16
+#: Steps in which the sizes of differences from a pivot are told apart.
+GROWTH = 1.5
 
 _LEVEL, _TIME, _PLACE, _HEIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -193,11 +195,12 @@ def _linked():
 
 
 def _all_pairs(groups: DataFrame, key: list[str]) -> DataFrame:
-    """The pairs (a, b) of each group whose sizes allow a link and whose classes, where known, differ; a group has SMALL nodes
-    at most. groups: key and ``member``, a struct of node, n and class."""
+    """The pairs (a, b) of each group whose sizes allow a link and whose classes and sides, where known, differ; a group has SMALL
+    nodes at most. groups: key and ``member``, a struct of node, n, class and side."""
     x, y = F.col("x"), F.col("y")
     each = groups.groupBy(*key).agg(F.sort_array(F.collect_list("member")).alias("all")).select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    each = each.where((x["node"] > y["node"]) & (WHOLE * F.least(x["n"], y["n"]) >= PART * F.greatest(x["n"], y["n"])) & (x["class"].isNull() | (x["class"] != y["class"])))
+    each = each.where((x["node"] > y["node"]) & (WHOLE * F.least(x["n"], y["n"]) >= PART * F.greatest(x["n"], y["n"])))
+    each = each.where((x["class"].isNull() | (x["class"] != y["class"])) & (x["side"].isNull() | (x["side"] != y["side"])))
     return each.select(x["node"].alias("a"), y["node"].alias("b"))
 
 
@@ -221,7 +224,7 @@ def classify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = docs.hint("merge").join(chosen, ["doc_id", "text_key"]).groupBy(F.col("node").alias("id")).agg(F.any_value("text").alias("text"))
     texts = scratch.table(texts, "texts")
 
-    member = F.struct("node", "n", F.lit(None).cast("long").alias("class"))
+    member = F.struct("node", "n", *(F.lit(None).cast("long").alias(c) for c in ("class", "side")))
     pairs = _all_pairs(met.where(F.col("c") <= SMALL).withColumn("member", member), ["band"])
     links, level = None, 0
     while True:
@@ -262,8 +265,12 @@ def _pivots(met: DataFrame, scratch: Scratch) -> DataFrame:
     return voted.join(chosen, "band").select("node", "n", "p").where("node <> p").distinct()
 
 
-def _weighed(kind: int, weight: int):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x["token"].alias("token"), (weight * x["w"]).alias("w"))
+def _kind(k: int):
+    return lambda x: F.struct(F.lit(k).alias("kind"), x["token"].alias("token"), x["w"].alias("w"))
+
+
+def _least(step: Column) -> Column:
+    return F.pow(F.lit(GROWTH), step)
 
 
 def _next(large: DataFrame, compared: DataFrame, class_of: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
@@ -272,36 +279,48 @@ def _next(large: DataFrame, compared: DataFrame, class_of: DataFrame, scratch: S
     told = compared.select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("na").alias("n"), "nb", "common", "beyond", "lacks")
     members = scratch.table(told.hint("merge").join(large.select("node", "p"), ["node", "p"]).join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), f"{name}-members")
     mains = scratch.table(members.select(F.col("p").alias("node")).distinct().join(class_of, "node", "left").select(F.col("node").alias("p"), F.coalesce("component", "node").alias("main")), f"{name}-mains")
-    members = scratch.table(members.hint("merge").join(mains, "p").withColumn("apart", F.col("class") != F.col("main")), f"{name}-classed")
-    mixed = scratch.table(members.groupBy("p").agg(F.bool_or("apart").alias("any")).where("any").select("p"), f"{name}-mixed")
-    # weights and gap, both times PART + WHOLE
+    differs = WHOLE * (F.col("nb") - F.col("common")) + PART * (F.col("n") - F.col("common"))
+    step = F.floor(F.log(differs.cast("double") + 0.5) / F.log(F.lit(GROWTH))).cast("int")
     gap = PART * (F.col("n") + F.col("nb")) - (PART + WHOLE) * F.col("common")
-    one = ["p", "node", "n", "class", "apart", "gap"]
-    held = members.withColumn("gap", gap).hint("merge").join(mixed, "p")
-    removed, added = (F.transform(c, _weighed(kind, weight)) for kind, c, weight in ((0, "lacks", PART), (1, "beyond", WHOLE)))
-    held = held.select(*one, F.inline(F.concat(removed, added)))
-    tokens = scratch.table(held, f"{name}-tokens")
+    members = members.hint("merge").join(mains, "p").withColumns({"apart": F.col("class") != F.col("main"), "step": step, "gap": gap})
+    members = scratch.table(members, f"{name}-classed")
+    mixed = scratch.table(members.groupBy("p").agg(F.bool_or("apart").alias("any"), F.collect_set("step").alias("steps")).where("any").select("p", "steps"), f"{name}-mixed")
+    held = members.hint("merge").join(mixed, "p")
+    tokens = held.select("p", "node", "class", "apart", F.inline(F.concat(F.transform("lacks", _kind(0)), F.transform("beyond", _kind(1)))))
+    tokens = scratch.table(tokens, f"{name}-tokens")
     at = ["p", "kind", "token"]
     same = [F.bit_xor(F.xxhash64("node", "w", F.lit(i))).alias(f"f{i}") for i in (1, 2)]
     telling = tokens.groupBy(*at).agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), *same).where("any AND lo <> hi")
     telling = scratch.table(telling.groupBy("p", "kind", "f1", "f2").agg(F.min("token").alias("token"), F.first("c").alias("c"), F.count("*").alias("times")).drop("f1", "f2"), f"{name}-telling")
-    held = scratch.table(tokens.join(telling, at), f"{name}-held")
-    # shared shingles weigh ``gap`` or more, so one of them is not among the most frequent ones that weigh less
     frequent = Window.partitionBy("p", "node").orderBy(F.desc("c"), "kind", "token")
-    rare = scratch.table(held.withColumn("sum", F.sum(F.col("w") * F.col("times")).over(frequent)).where("sum >= gap").select(*at, "node", "n", "class", "apart"), f"{name}-rare")
-    groups = rare.groupBy(*at).agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"))
-    groups = scratch.table(groups.where("any AND lo <> hi").select(*at, "c"), f"{name}-groups")
+    ranked = tokens.select(*at, "node", "w").join(telling, at).withColumn("sum", (PART + WHOLE) * F.sum(F.col("w") * F.col("times")).over(frequent))
+    ranked = scratch.table(ranked.select(*at, "node", "sum"), f"{name}-ranked")
+    # for each size of the other: shared shingles weigh ``needs`` or more, so one of them is not among the most frequent ones that
+    # weigh less; and the other can't share more than it has
+    needs = F.col("gap") + _least(F.col("j")) - 1
+    sides = held.select("p", "node", "n", "class", "apart", "gap", "step", F.explode("steps").alias("j")).where(PART * needs <= (PART + WHOLE) * _least(F.col("j") + 1))
+    sides = scratch.table(sides.groupBy("p", "node", "n", "class", "apart", "step").agg(F.collect_list(F.struct("j", needs.alias("needs"))).alias("sides")), f"{name}-sides")
+    rare = ranked.join(sides, ["p", "node"]).withColumn("sides", F.filter("sides", lambda x: x["needs"] <= F.col("sum"))).where(F.size("sides") > 0)
+    rare = rare.select(*at, "node", "n", "class", "apart", "step", F.explode("sides.j").alias("j"))
+    side = F.when(F.col("step") != F.col("j"), F.col("step")).cast("long")
+    rare = scratch.table(rare.select(*at, F.least("step", "j").alias("s"), F.greatest("step", "j").alias("t"), side.alias("side"), "node", "n", "class", "apart"), f"{name}-rare")
+    at = [*at, "s", "t"]
+    whole = F.first("side").isNull() | (F.min("side") != F.max("side"))
+    groups = rare.groupBy(*at).agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), whole.alias("whole"))
+    groups = scratch.table(groups.where("any AND lo <> hi AND whole").select(*at, "c"), f"{name}-groups")
     met = scratch.table(rare.join(groups, at), f"{name}-met")
-    pairs = _all_pairs(met.where(F.col("c") <= SMALL).withColumn("member", F.struct("node", "n", "class")), at)
-    pairs = scratch.table(pairs.distinct(), f"{name}-next-pairs")
-    # a large group's pivot is the node of most such groups among its own, so groups share pivots
+    pairs = _all_pairs(met.where(F.col("c") <= SMALL).withColumn("member", F.struct("node", "n", "class", "side")), at)
+    known = compared.select("a", "b").union(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = scratch.table(pairs.distinct().join(known, ["a", "b"], "left_anti"), f"{name}-next-pairs")
+    # a large group's pivot is from its largest class, and there the node of most such groups, so groups share pivots
     most = met.where(F.col("c") > SMALL)
     weights = scratch.table(most.groupBy("node").agg(F.sum("c").alias("weight")), f"{name}-weights")
-    weighed = scratch.table(most.join(weights, "node").select(*at, "node", "n", "weight"), f"{name}-weighed")
-    heaviest = scratch.table(weighed.groupBy(*at).agg(F.max(F.struct("weight", "node"))["node"].alias("q")), f"{name}-heaviest")
+    weighed = scratch.table(most.join(weights, "node").select(*at, "node", "n", "class", "weight"), f"{name}-weighed")
+    heaviest = weighed.groupBy(*at, "class").agg(F.count("*").alias("size"), F.max(F.struct("weight", "node"))["node"].alias("q"))
+    heaviest = scratch.table(heaviest.groupBy(*at).agg(F.max(F.struct("size", "q"))["q"].alias("q")), f"{name}-heaviest")
     large = weighed.join(heaviest, at).select("node", "n", F.col("q").alias("p")).where("node <> p").distinct()
     large = scratch.table(large, f"{name}-next-large")
-    scratch.drop(*(f"{name}-{t}" for t in ("members", "mains", "classed", "mixed", "tokens", "telling", "held", "rare", "groups", "met", "weights", "weighed", "heaviest")))
+    scratch.drop(*(f"{name}-{t}" for t in ("members", "mains", "classed", "mixed", "tokens", "telling", "ranked", "sides", "rare", "groups", "met", "weights", "weighed", "heaviest")))
     return pairs, large
 
 
