@@ -1,19 +1,22 @@
 """Token ids of documents in a binary format: encode, write in doc_id order, read back.
 
 Texts are encoded with a public tokenizer; every document ends in END. A range partition by doc_id makes the
-shards; a shard is written as blocks of about BLOCK_TOKENS tokens, each a Re-Pair grammar of its own (see
-``repair``), in the binary column of a Parquet table, so any store that Spark writes will do.
+shards, of about SHARD_BYTES of text each and never more than MAX_SHARDS; a shard has one Re-Pair grammar (see
+``repair``), or several where it has over BLOCK_TOKENS tokens, in the binary column of a Parquet table, so any store that
+Spark writes will do.
 
-The tokenizer cuts at white space and between letters and marks, so the ids of a text are the ids of its
-pieces in order. Each worker keeps the ids of the pieces it has met (up to CACHE pieces, then it begins
-anew) and gives the tokenizer only new ones.
+A tokenizer of words lower-cases and cuts at white space and between letters and marks, so the ids of a text are the ids of
+its pieces in order; ``by_pieces`` reads that from its file. Each worker then keeps the ids of the pieces it has met (up
+to CACHE pieces, then it begins anew), by a 64-bit hash, and gives the tokenizer only new ones. Any other tokenizer gets
+whole texts.
 
 Null texts count as empty and have the end id alone. Rows without a doc_id are left out. Rows that repeat a
-doc_id follow one another by their text.
+doc_id follow one another by a hash of their text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,8 +32,9 @@ from scenegrid.llm.repair import Block, encode
 from scenegrid.llm.store import Scratch
 
 END = 1
-SHARD_BYTES = 16 << 20
-BLOCK_TOKENS = 3_000_000
+SHARD_BYTES = 10 << 20
+MAX_SHARDS = 50_000
+BLOCK_TOKENS = 6_000_000
 CACHE = 1_500_000
 GROUP = 1000
 #: A mark that is one token and stands apart; pieces that hold it are encoded alone.
@@ -60,6 +64,19 @@ def _breaks(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_pieces(path: str) -> bool:
+    """Whether the tokenizer lower-cases and never joins what white space, or a mark beside a letter or digit, divides: then
+    white space is one blank to it, words are runs of letters, single digits or runs of marks, and nothing comes before or after."""
+    with open(path, encoding="utf-8") as file:
+        has = json.load(file)
+    cleans, cuts = (has.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    cleans, cuts = cleans.get("normalizers", [cleans]), cuts.get("pretokenizers", [cuts])
+    blank = any(c.get("type") == "Replace" and c.get("pattern") == {"Regex": r"\s+"} and c.get("content") == " " for c in cleans)
+    runs = any(c.get("type") == "Split" and c.get("invert") and c.get("behavior") == "Removed" and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in c.get("pattern", {}).get("Regex", "") for c in cuts)
+    plain = all(c.get("type") != "ByteLevel" or not (c.get("add_prefix_space") or c.get("use_regex")) for c in cuts)
+    return blank and runs and plain and any(c.get("type") == "Lowercase" for c in cleans) and not has.get("post_processor")
+
+
 class Encoder:
     """A tokenizer with the ids of the pieces met so far."""
 
@@ -69,6 +86,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the tokenizer's own would take the others'
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.pieces = by_pieces(path)
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.forget()
 
@@ -121,6 +139,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END; their numbers)."""
+        if not self.pieces:
+            each = [np.array([*e.ids, END], np.int32) for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int32), *each]), np.array([len(x) for x in each], np.int64)
         raw, off = K.buffers(texts)
         if b"<|" not in raw.tobytes():  # upper case stays where it could tell a special token from a plain one
             raw = _FOLD[raw]
@@ -162,14 +183,14 @@ _FILE = "shard int, block int, n_docs bigint, n_tokens bigint, payload binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encode the documents into shards under ``path``."""
-    name = tokenizer or vocabulary()
+    """Encode the documents into shards under ``path``. ``tokenizer``: the path of a tokenizer file on the executors; the public
+    one of words, as each finds it, if None."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, min(-(-total // shard_bytes), MAX_SHARDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(name)
+        own = encoder(tokenizer or vocabulary())
         shard, block = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -191,7 +212,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_bytes:
             yield flush()
 
     salt = F.xxhash64("text")
-    ordered = rows.repartitionByRange(shards, "doc_id", salt).sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(shards, "doc_id", salt).sortWithinPartitions("doc_id", salt, "text")
     ordered.mapInArrow(run, _FILE).write.mode("overwrite").parquet(path)
 
 

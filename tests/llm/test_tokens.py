@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +55,37 @@ def test_runs_of_one_id():
         assert np.array_equal(repair.Block.read(repair.encode(np.array([1]), ids, np.array([n]), 1, least=1)).document(0), ids)
 
 
+def test_grammar_goes_on_until_no_pair_comes_often():
+    g = np.random.default_rng(3)
+    run = g.integers(0, 900, 5000)
+    cases = [(np.tile(run, 30), [len(run) * 30]), (g.zipf(1.2, 40_000) % 900, [15_000, 25_000]), (np.zeros(5000, np.int64), [2500, 2500])]
+    for ids, lengths in cases:
+        symbols, counts, rules = repair.compress(ids, np.array(lengths), 900)
+        ends = set(np.cumsum(counts).tolist())
+        pairs = Counter((int(a), int(b)) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if i + 1 not in ends)
+        if len(set(ids.tolist())) > 1:
+            assert not pairs or max(pairs.values()) < repair.LEAST
+        assert len(rules) and len(symbols) < len(ids)
+        block = repair.Block.read(repair.encode(np.arange(len(lengths)), ids, np.array(lengths), 900))
+        assert np.array_equal(block.expand(block.symbols), ids)
+
+
+def test_numbers_of_seven_bits():
+    for n in ([], [0], [127, 128, 0, 16383, 16384, 2**21, 2**28, 2**35 - 1, 5]):
+        data = repair.pack(np.array(n, np.int64))
+        back, read = repair.unpack(np.concatenate([data, np.array([200, 1], np.uint8)]), len(n))
+        assert back.tolist() == n and read == len(data)
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    assert tokens.by_pieces(tokens.vocabulary()) and not tokens.by_pieces(path)
+    own = tokens.Encoder(path)
+    texts = [t or "" for t in awkward(rng(1))[:6]] + HARD
+    ids, lengths = own.encode(__import__("pyarrow").array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*own.tokenizer.encode(t, add_special_tokens=False).ids, tokens.END] for t in texts]
+
+
 def test_files_give_back_all_ids(spark, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_TOKENS", 3000)
     texts = awkward(rng(3)) + HARD + [prose(rng(i), 300) for i in range(40)]
