@@ -8,8 +8,9 @@ Features of a text: its distinct hashed terms (as in ``hashed``) that the grades
 hashed shapes of its words ("Aa," "A!!" "a%") by the root of their share; and the shares of
 5-word windows that come again and of words equal to the word before.
 
-Fitted on at most MAX_TRAINING_ROWS rated rows that aren't held out. Scoring is a map over whole texts;
-the model is of fixed size. Null and empty texts have no features and get what the thresholds alone
+Fitted on at most MAX_TRAINING_ROWS rated documents that aren't held out; grades outside the scale count as its
+nearest end. Terms are chosen from counts that are added up on the cluster. Scoring is a map over whole texts; the
+model is of fixed size. Null and empty texts have no features and get what the thresholds alone
 give; repeated rows score alike; without any rated row every score is 0.
 """
 
@@ -25,14 +26,17 @@ from pyspark.sql import functions as F
 
 from scenegrid.llm import hashed
 from scenegrid.llm import textkit as K
+from scenegrid.llm.store import Scratch
 from scenegrid.llm.tables import held_out
-from scenegrid.llm.toxicity import BATCH, EPOCHS, STEPS, choose_terms, labelled, sigmoid
+from scenegrid.llm.toxicity import BATCH, EPOCHS, STEPS, TELLING, _top, bucket_counts, labelled, matrix, sigmoid, telling
 
 MAX_TRAINING_ROWS = 12_000
 SHAPE_BITS = 9
 SHAPES = 1 << SHAPE_BITS
 EXTRA = 2
 GRADES = 3
+#: Terms that are chosen for each step of the scale.
+LEVEL_TERMS = 512
 #: Select documents that reach this grade with at least this probability.
 SELECT_GRADE, SELECT_TAIL = 1, 0.5
 
@@ -90,19 +94,14 @@ class Ordinal:
         return sigmoid(line[:, None] - self.thresholds)
 
 
-def fit(rows: list[np.ndarray], dense: np.ndarray, grades: np.ndarray, *, n_grades: int = GRADES, epochs: int = EPOCHS, seed: int = 1) -> Ordinal:
-    """Adam on the ordinal log loss. rows: distinct buckets; dense: shapes and shares; grades: 0 to n_grades-1."""
+def fit(x: np.ndarray, terms: np.ndarray, grades: np.ndarray, *, n_grades: int = GRADES, epochs: int = EPOCHS, seed: int = 1) -> Ordinal:
+    """Adam on the ordinal log loss. x: which of ``terms`` (buckets) each text has, then shapes and shares; grades: 0 to n_grades-1."""
     slot = np.full(hashed.BUCKETS, -1, np.int16)
-    n = len(rows)
+    n = len(x)
     if not n:
         return Ordinal(slot, np.zeros(SHAPES + EXTRA), np.full(n_grades - 1, 40.0) + np.arange(n_grades - 1))
-    terms = np.unique(np.concatenate([choose_terms(rows, (grades >= j).astype(float), 512) for j in range(1, n_grades)]))
     slot[terms] = np.arange(len(terms))
-    x = np.zeros((n, len(terms) + dense.shape[1]), np.float32)
-    for i, r in enumerate(rows):
-        s = slot[r]
-        x[i, s[s >= 0]] = 1
-    x[:, len(terms) :] = dense
+    grades = np.clip(grades, 0, n_grades - 1)
     above = np.array([np.clip((grades >= j).mean(), 1e-3, 1 - 1e-3) for j in range(1, n_grades)])
     cuts = -np.log(above / (1 - above))
     gaps = np.log(np.maximum(np.diff(cuts), 1e-2))
@@ -132,33 +131,32 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, grades: np.ndarray, *, n_grad
     return Ordinal(slot, w, np.concatenate([low, low + np.cumsum(np.exp(steps))]))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in K.chunks(batch):
-            doc, ids = hashed.distinct(*hashed.term_hits(part.column("text")), hashed.BUCKETS)
-            share, repeated, same = shapes(part.column("text"))
-            dense = np.column_stack([share, repeated, same]).astype(np.float32)
-            packed = pa.array([row.tobytes() for row in dense], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("label"), K.lists(ids, np.bincount(doc, minlength=part.num_rows), pa.int32()), packed], ["label", "terms", "dense"])
+def _dense(texts: pa.Array) -> np.ndarray:
+    return np.column_stack(shapes(texts)).astype(np.float32)
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """doc_id and grade: 0 poor, 1 good but toxic, 2 good. An unknown toxicity counts as none."""
-    return labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).cast("int").alias("grade"))
+    """doc_id and grade: 0 poor, 1 good but toxic, 2 good. An unknown toxicity counts as none. One scale for use as
+    training text: a good text that can't be used as it is stands between the two ends."""
+    good = F.when(F.coalesce("toxic", F.lit(0)) >= 1, 1).otherwise(2)
+    return labels.select("doc_id", F.when(F.col("quality") >= 1, good).when(F.col("quality").isNotNull(), 0).alias("grade"))
 
 
 def train(docs: DataFrame, ratings: DataFrame, limit: int = MAX_TRAINING_ROWS, n_grades: int = GRADES) -> Ordinal:
     """ratings: doc_id, grade."""
-    found = labelled(docs, ratings, "grade", limit).select("text", "label").mapInArrow(_features, "label int, terms array<int>, dense binary").toArrow()
-    n = found.num_rows
+    scratch = Scratch(docs.sparkSession, "rated")
+    rows = labelled(docs, ratings, "grade", limit).withColumn("label", F.greatest(F.lit(0), F.least(F.col("label"), F.lit(n_grades - 1))))
+    rows = scratch.table(rows, "rows")
+    levels = range(1, n_grades)
+    n, *above = rows.agg(F.count("*"), *(F.count_if(F.col("label") >= j) for j in levels)).first()
     if not n:
-        return fit([], np.zeros((0, SHAPES + EXTRA)), np.zeros(0), n_grades=n_grades)
-    lists = found.column("terms").combine_chunks()
-    each = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
-    dense = np.frombuffer(b"".join(found.column("dense").to_pylist()), np.float32).reshape(n, SHAPES + EXTRA)
-    y = found.column("label").to_numpy()
-    order = sorted(range(n), key=lambda i: (y[i], len(each[i]), each[i].tobytes(), dense[i].tobytes()))
-    return fit([each[i] for i in order], dense[order], y[order], n_grades=n_grades)
+        return fit(np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0), n_grades=n_grades)
+    counts = scratch.table(bucket_counts(rows, n_grades - 1), "counts")
+    chosen = [_top(counts, F.abs(telling(f"n_{j}", n, above[j - 1] / n)), LEVEL_TERMS, TELLING) for j in levels]
+    terms = np.unique(np.array([b for row in chosen for b in row], np.int64))
+    y, x, dense = matrix(rows, terms, _dense, SHAPES + EXTRA)
+    scratch.drop("rows", "counts")
+    return fit(np.concatenate([x.astype(np.float32), dense], 1), terms, y, n_grades=n_grades)
 
 
 def score(docs: DataFrame, model: Ordinal, grade: int = SELECT_GRADE, tail: float = SELECT_TAIL) -> DataFrame:
