@@ -7,9 +7,9 @@ a bin is compatible, so it finds the tightest compatible bin; without one a new
 taken by falling size (best-fit decreasing).
 
 Documents of over ``capacity`` words are cut into pieces of that size and a rest. Pieces are dealt by a
-hash into shards of about SHARD_PIECES, which are packed each on its own: a hot source is spread evenly, no task
-grows with the input, and a shard is large enough that packing the whole would hardly gain. Only ids and
-sizes travel, never texts.
+hash into shards of about SHARD_PIECES, which are packed each on its own: a hot source or cluster is spread evenly, and so
+are equal rows, which are numbered first; no task grows with the input, and within a shard a search passes over
+SHARD_PIECES bins at most. What sharding costs in bins is in the README. Only ids and sizes travel, never texts.
 
 A text without words is one piece of no words. A null source, and a null cluster, conflict with nothing.
 Ties are taken by doc_id and piece. Rows with a null doc_id are packed as well.
@@ -91,6 +91,8 @@ def best_fit_pack(docs: DataFrame, cluster: Column | None = None, capacity: int
     start = F.col("piece").cast("long") * capacity
     pieces = scratch.table(rows.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - start).alias("n_words")), "pieces")
     shards = max(1, round(pieces.count() / SHARD_PIECES))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
+    # equal rows are added up first and numbered, so that they don't all fall into one shard
+    numbered = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    dealt = numbered.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "copy"), F.lit(shards))).drop("copies", "copy")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").applyInPandas(_pack(capacity), f"bin_id bigint, slot bigint, doc_id {kind}, piece int, start bigint, n_words bigint, bin_words bigint")

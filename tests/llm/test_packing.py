@@ -60,5 +60,15 @@ def test_bins_hold_everything_once(spark, monkeypatch):
         assert len(same) == len(set(same))
 
 
+def test_equal_rows_are_dealt_to_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 50)
+    df = spark.createDataFrame([(1, "a b c", "en", "hot", 5)] * 1000 + [(2, None, "en", None, 0)] * 3, SCHEMA)
+    out = packing.best_fit_pack(df).collect()
+    assert len(out) == 1003
+    shards = [x.bin_id // packing.BINS for x in out if x.doc_id == 1]
+    assert max(shards.count(s) for s in set(shards)) < 120
+    assert len({x.bin_id for x in out if x.doc_id == 1}) == 1000  # one source: each in a bin of its own
+
+
 def test_empty_table(spark):
     assert packing.best_fit_pack(spark.createDataFrame([], SCHEMA)).collect() == []
