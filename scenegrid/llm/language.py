@@ -1,13 +1,16 @@
 """Language by multilingual mixture inference.
 
-Training counts hashed character n-grams (3 and 4 bytes of lower-case text, words padded with a blank)
-per language over every learned row: a map that adds up within its task, then one small aggregation. The
+Training counts hashed character n-grams (3 and 4 bytes of lower-case text, in which whatever separates words is one
+blank) per language over every learned row: a map that adds up within its task, then one small aggregation. The
 model is the smoothed likelihood of each bucket under each language, of fixed size per language.
 
 A document is a mixture of languages. Expectation-maximisation on its n-gram counts estimates the
-proportions, for all documents of a batch at once. A document whose best language alone explains it nearly
-as well as the mixture has that one; the others go on with all languages, and the weakest goes while the
-log-likelihood, less PENALTY times log(n) for each language kept, doesn't fall. The
+proportions, for all documents of a batch at once. From all languages, the weakest goes while the
+log-likelihood, less PENALTY times log(n) for each language kept, doesn't fall. No set of several can win over one
+language whose likelihood is within one price of the best mixture's; and the best mixture's is bounded at any state of the
+iteration: it is concave, so it exceeds the present one by at most n times the log of its largest derivative. Rounds go on
+until that bound, or the present likelihood itself, settles which texts have one language; only the rest, and any not
+settled after SETTLE_ROUNDS, are eliminated step by step. The
 prediction is the largest proportion of the set that is left, ties by name, and the score is that proportion.
 
 A null text, or one without a letter, is ``und`` with score 0. Learned rows have text and language.
@@ -34,7 +37,8 @@ BUCKETS = 1 << BITS
 SIZES = (3, 4)
 SMOOTHING = 0.5
 PENALTY = 4.0
-FIRST_ROUNDS, ROUNDS = 4, 12
+#: Rounds between two looks at the bound, the most of them, and rounds for each step of the elimination.
+LOOK_ROUNDS, SETTLE_ROUNDS, ROUNDS = 4, 24, 12
 UNKNOWN = "und"
 
 
@@ -108,9 +112,6 @@ class Languages:
     names: list[str]
     likelihood: np.ndarray  #: buckets x languages
 
-    def __post_init__(self):
-        self.logs = np.log(self.likelihood)
-
     def proportions(self, texts: pa.Array) -> np.ndarray:
         """Per text, the proportions of the languages in the chosen set."""
         n, m = len(texts), len(self.names)
@@ -121,13 +122,31 @@ class Languages:
         p, c = self.likelihood[ids], counts.astype(float)
         some, size = np.unique(doc, return_counts=True)
         row = np.repeat(np.arange(len(some)), size)
-        pi, logs = _em(p, c, row, found[some], FIRST_ROUNDS)
-        price = PENALTY * np.log(np.bincount(row, c) + 1)
-        # most texts have one language: where it alone loses less than one language's price, that is the set
-        best = pi.argmax(1)
-        alone = np.bincount(row, c * self.logs[ids, best[row]])
-        mixed = alone + price < logs
-        found[some] = np.arange(m) == best[:, None]
+        total = np.bincount(row, c)
+        price = PENALTY * np.log(total + 1)
+        mixed = np.zeros(len(some), bool)
+        undecided, pi = np.arange(len(some)), found[some]
+        q, d, at = p, c, row
+        for rounds in range(LOOK_ROUNDS, SETTLE_ROUNDS + 1, LOOK_ROUNDS):
+            now, logs = _em(q, d, at, pi[undecided], LOOK_ROUNDS)
+            pi[undecided] = now
+            best = now.argmax(1)
+            alone = np.bincount(at, d * np.log(q[np.arange(len(q)), best[at]]))
+            starts = np.searchsorted(at, np.arange(len(undecided)))
+            slope = np.add.reduceat(q * (d / (q * now[at]).sum(1))[:, None], starts, 0) / total[undecided, None]
+            most = logs + total[undecided] * np.log(np.maximum(slope.max(1), 1))
+            several = alone + price[undecided] < logs
+            single = ~several & (alone + price[undecided] >= most)
+            mixed[undecided[several]] = True
+            rest = ~(several | single)
+            if rounds == SETTLE_ROUNDS:
+                mixed[undecided[rest]] = True
+            if not rest.any():
+                break
+            pick = rest[at]
+            again = np.cumsum(rest) - 1
+            q, d, at, undecided = q[pick], d[pick], again[at[pick]], undecided[rest]
+        found[some] = np.arange(m) == pi.argmax(1)[:, None]
         if mixed.any():
             pick = mixed[row]
             again = np.cumsum(mixed) - 1

@@ -67,6 +67,44 @@ def test_language_is_held_out_accurate(spark):
     assert all(0 <= x.score <= 1 for x, _ in own)
 
 
+def plain_choice(model, text):
+    """Backward elimination for one text by a plain loop, each set's proportions iterated to their end."""
+    doc, ids, counts = language.grams(pa.array([text]))
+    p, c = model.likelihood[ids], counts.astype(float)
+    price = language.PENALTY * np.log(c.sum() + 1)
+
+    def best(langs):
+        pi = np.full(len(langs), 1 / len(langs))
+        for _ in range(300):
+            r = p[:, langs] * pi
+            pi = (c[:, None] * r / r.sum(1, keepdims=True)).sum(0) / c.sum()
+        return pi, float((c * np.log((p[:, langs] * pi).sum(1))).sum())
+
+    langs = list(range(len(model.names)))
+    pi, logs = best(langs)
+    while len(langs) > 1:
+        fewer = [x for k, x in enumerate(langs) if k != pi.argmin()]
+        pi2, logs2 = best(fewer)
+        if logs2 + price < logs:
+            break
+        langs, pi, logs = fewer, pi2, logs2
+    return {model.names[x] for x in langs}, pi.max()
+
+
+def test_language_sets_equal_a_plain_elimination(spark):
+    docs = read(spark, SMALL, "documents")
+    model = language.train(docs)
+    by = {x.lang: x.text for x in docs.where("length(text) BETWEEN 1500 AND 4000").collect()}
+    names = sorted(by)
+    texts = [by[a][:n] + " " + by[b][:m] for a in names for b in names if a < b for n, m in ((900, 900), (1400, 60), (1000, 30), (300, 100), (60, 40))]
+    texts += [x.text for x in docs.where("length(text) BETWEEN 20 AND 3000").limit(60).collect()]
+    want = [plain_choice(model, t) for t in texts]
+    pi = model.proportions(pa.array(texts))
+    got = [{model.names[j] for j in np.flatnonzero(row > 0)} for row in pi]
+    assert np.mean([g == w[0] for g, w in zip(got, want, strict=True)]) > 0.98
+    assert np.mean([abs(row.max() - w[1]) < 0.02 for row, w in zip(pi, want, strict=True)]) > 0.98
+
+
 def test_language_of_mixtures_and_nothing(spark):
     docs = read(spark, SMALL, "documents")
     model = language.train(docs)
