@@ -16,12 +16,13 @@ that near an item's find every pair within the radius; the Hamming distance then
 A hit lays the item over the document; the weighted Jaccard of five-word shingles of the two
 stretches, multiplicities included, must be THRESHOLD or more.
 
-The document side is a map without a shuffle. Items go to the executors in blocks of ITEM_BLOCK, one pass over
-the documents per block, so what is broadcast never grows beyond that.
+The document side is a map without a shuffle. The different texts of items go to the executors in blocks of about ITEM_BLOCK texts
+and ITEM_BYTES bytes (only one text that is longer makes a larger block), one pass over the documents per block, so what is
+broadcast never grows beyond that.
 
 Null and empty texts and items match nothing. An item of 1 to 4 words has one shingle, all of it. Repeated
-items and documents each have their own rows. Items without an item_id count; documents without a
-doc_id are left out.
+items and documents each have their own rows. Items without an item_id count. ``contaminated`` leaves out documents without
+a doc_id; ``decontaminate`` goes by texts, so it screens them too, and rows of one doc_id each for itself.
 """
 
 from __future__ import annotations
@@ -36,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenegrid.llm import textkit as K
+from scenegrid.llm.store import Scratch
+from scenegrid.llm.tables import fresh
 
 STEP = 4
 RADIUS = 7
 BLOCKS = 4
 THRESHOLD = 0.8
 SHINGLE = 5
-ITEM_BLOCK = 2000
+ITEM_BLOCK, ITEM_BYTES = 2000, 4 << 20
 #: Items shorter than this are covered at every word.
 SHORT = 2 * STEP
 
@@ -288,7 +291,7 @@ def _stretches(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[
     return owner, K.spans(sums, at, at + k[owner])
 
 
-def _search(docs: DataFrame, items: Items, id_type: str) -> DataFrame:
+def _search(docs: DataFrame, items: Items) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,26 +306,36 @@ def _search(docs: DataFrame, items: Items, id_type: str) -> DataFrame:
                     new = np.ones(len(doc), bool)
                     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
                     doc, item, start, sim = doc[new], item[new], start[new], sim[new]
-                    ids = pa.array([have.ids[i] for i in item])
-                    yield pa.RecordBatch.from_arrays(K.arrays(part.column("doc_id").take(pa.array(doc)), ids, start, sim), ["doc_id", "item_id", "start", "similarity"])
+                    keys = pa.array([have.ids[i] for i in item], pa.int64())
+                    yield pa.RecordBatch.from_arrays(K.arrays(part.column("doc_id").take(pa.array(doc)), keys, start, sim), ["doc_id", "item_key", "start", "similarity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {id_type}, start bigint, similarity double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_key bigint, start bigint, similarity double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, the word at which the item stands and the similarity, for each item found in a document."""
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    benchmark = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_key (a hash of the item's text), start and similarity."""
+    key = F.xxhash64("text")
+    items = benchmark.where(F.col("text").isNotNull()).select(key.alias("item_key"), "text").distinct()
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEM_BLOCK), -(-size // ITEM_BYTES))
     passes = []
     for b in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        passes.append(_search(docs, Items.of([r["item_id"] for r in rows], [r["text"] for r in rows]), kind))
+        rows = items.where(F.pmod("item_key", F.lit(blocks)) == b).orderBy("item_key").collect()
+        passes.append(_search(docs, Items.of([r["item_key"] for r in rows], [r["text"] for r in rows])))
     return reduce(DataFrame.unionByName, passes)
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, the word at which the item stands and the similarity, for each item found in a document."""
+    found = _found(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), benchmark)
+    ids = benchmark.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("item_key"), "item_id")
+    return found.join(ids, "item_key").select("doc_id", "item_id", "start", "similarity")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    key = fresh(docs, "_key")
+    texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("doc_id"), "text")
+    hit = Scratch(docs.sparkSession, "contaminated").table(_found(texts, benchmark).select(F.col("doc_id").alias(key)).distinct(), "texts")
+    return docs.hint("merge").join(hit, F.xxhash64("text") == F.col(key), "left_anti")
