@@ -10,31 +10,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenegrid.functions.scalar import colour
+from scenegrid.operators.layout import matrix
 from scenegrid.operators.paths import parse_lines
 
 #: Limits of a file, properties that are inherited, and constructs that aren't read.
 MAX_BYTES, MAX_NODES = 16 << 20, 20_000
 INHERITED = ("fill", "stroke", "stroke-width", "stroke-linecap", "stroke-linejoin")
 FORBIDDEN = ("script", "style", "filter", "mask", "clipPath", "image", "use", "foreignObject", "animate")
-SHAPES = ("path", "rect", "line", "polyline", "polygon")
+SHAPES = ("path", "rect", "line", "polyline", "polygon", "circle", "ellipse")
+#: Elements that hold no mark of their own.
+SILENT = ("svg", "g", "title", "desc", "metadata", "defs", "tspan")
+#: Fixed value: the control points of a quarter of an ellipse, as a share of its radius.
+QUARTER = 0.5522847498
 
-_ROWS = "file string, ordinal bigint, kind string, data string, fill string, stroke string, stroke_width string, opacity string, text string, code string"
+_ROWS = "file string, ordinal bigint, kind string, data string, transform string, fill string, stroke string, stroke_width string, opacity string, text string, code string"
 
 
-def _shape_data(tag: str, a: dict) -> str | None:
+def _rounded(x: float, y: float, w: float, h: float, rx: float, ry: float) -> str:
+    """A rectangle whose corners are quarters of an ellipse; with radii of half its size an ellipse."""
+    kx, ky = rx * (1 - QUARTER), ry * (1 - QUARTER)
+    r, b = x + w, y + h
+    return (
+        f"M{x + rx} {y}H{r - rx}C{r - kx} {y} {r} {y + ky} {r} {y + ry}V{b - ry}C{r} {b - ky} {r - kx} {b} {r - rx} {b}"
+        f"H{x + rx}C{x + kx} {b} {x} {b - ky} {x} {b - ry}V{y + ry}C{x} {y + ky} {x + kx} {y} {x + rx} {y}Z"
+    )
+
+
+def _shape_data(tag: str, a: dict) -> tuple[str | None, str | None]:
+    """(path data, code) of a shape."""
     if tag == "path":
-        return a.get("d")
-    if tag == "rect":
-        x, y, w, h = (a.get(k, "0") for k in ("x", "y", "width", "height"))
-        return f"M{x} {y}h{w}v{h}h-{w}z"
+        return (a["d"], None) if a.get("d", "").strip() else (None, "no_geometry")
+    if tag in ("polyline", "polygon"):
+        points = a.get("points", "").strip()
+        return (f"M{points}" + ("z" if tag == "polygon" else ""), None) if points else (None, "no_geometry")
     if tag == "line":
-        return "M{} {}L{} {}".format(*(a.get(k, "0") for k in ("x1", "y1", "x2", "y2")))
-    points = a.get("points", "").strip()
-    return f"M{points}" + ("z" if tag == "polygon" else "") if points else None
+        return "M{} {}L{} {}".format(*(a.get(k, "0") for k in ("x1", "y1", "x2", "y2"))), None
+    try:
+        if tag == "rect":
+            x, y, w, h = (float(a.get(k, 0)) for k in ("x", "y", "width", "height"))
+            rx, ry = float(a.get("rx", a.get("ry", 0))), float(a.get("ry", a.get("rx", 0)))
+        else:
+            cx, cy = float(a.get("cx", 0)), float(a.get("cy", 0))
+            rx, ry = (float(a.get(k, 0)) for k in (("r", "r") if tag == "circle" else ("rx", "ry")))
+            x, y, w, h = cx - rx, cy - ry, 2 * rx, 2 * ry
+    except ValueError:
+        return None, "bad_number"
+    if not (w > 0 and h > 0 and rx >= 0 and ry >= 0):
+        return None, "no_geometry"
+    if tag == "rect" and not (rx and ry):
+        return f"M{x} {y}h{w}v{h}h{-w}z", None
+    if not (rx and ry):
+        return None, "no_geometry"
+    return _rounded(x, y, w, h, min(rx, w / 2), min(ry, h / 2)), None
 
 
 def _walk(file: str, content: bytes) -> list[tuple]:
-    bad = lambda code: [(file, 0, None, None, None, None, None, None, None, code)]
+    bad = lambda code: [(file, 0, *[None] * 8, code)]
     if len(content) > MAX_BYTES:
         return bad("too_large")
     if b"<!DOCTYPE" in content or b"<!ENTITY" in content or b"<?xml-stylesheet" in content:
@@ -44,23 +75,44 @@ def _walk(file: str, content: bytes) -> list[tuple]:
     except ET.ParseError:
         return bad("malformed")
     rows: list[tuple] = []
-    todo = [(root, {})]
+    todo = [(root, {}, "")]
     nodes = 0
     while todo:
-        node, above = todo.pop()
+        node, above, outer = todo.pop()
         nodes += 1
         if nodes > MAX_NODES:
             return bad("too_many_nodes")
         tag = node.tag.rpartition("}")[2]
-        style = dict(p.split(":", 1) for p in node.get("style", "").split(";") if ":" in p)
+        style = {k.strip(): v for k, _, v in (p.partition(":") for p in node.get("style", "").split(";") if ":" in p)}
         own = {k: (style.get(k) or node.get(k) or "").strip() for k in INHERITED}
         look = {k: above.get(k) if v in ("", "inherit") else v for k, v in own.items()}
-        code = "forbidden_element" if tag in FORBIDDEN else "group_opacity" if tag == "g" and node.get("opacity") not in (None, "1") else "class" if node.get("class") else "even_odd" if node.get("fill-rule") == "evenodd" else None
+        opacity = style.get("opacity") or node.get("opacity") or "1"
+        whole = f"{outer} {node.get('transform', '')}".strip()
+        known = tag in SHAPES or tag in SILENT or tag == "text"
+        code = (
+            "forbidden_element"
+            if tag in FORBIDDEN
+            else "unknown_element"
+            if not known
+            else "group_opacity"
+            if tag == "g" and opacity.strip() != "1"
+            else "class"
+            if node.get("class")
+            else "clip_path"
+            if node.get("clip-path") or style.get("clip-path")
+            else "even_odd"
+            if (style.get("fill-rule") or node.get("fill-rule") or "").strip() == "evenodd"
+            else "text_spans"
+            if tag == "text" and any(len(child.attrib) for child in node)
+            else None
+        )
         if code or tag in SHAPES or tag == "text":
-            data = None if code or tag == "text" else _shape_data(tag, node.attrib)
-            rows.append((file, len(rows), "text" if tag == "text" else "path", data, look["fill"] or "black", look["stroke"] or "none", look["stroke-width"] or "1", node.get("opacity", "1"), "".join(node.itertext()) if tag == "text" else None, code))
-        if not code:
-            todo += [(child, look) for child in reversed(node)]
+            data, wrong = _shape_data(tag, node.attrib) if tag in SHAPES and not code else (None, None)
+            code = code or wrong
+            text = "".join(node.itertext()) if tag == "text" else None
+            rows.append((file, len(rows), "text" if tag == "text" else "path", data, whole or None, look["fill"] or "black", look["stroke"] or "none", look["stroke-width"] or "1", opacity, text, code))
+        if not code and tag not in ("text", "defs"):
+            todo += [(child, look, whole) for child in reversed(node) if isinstance(child.tag, str)]
     return rows
 
 
@@ -69,16 +121,27 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows = _walk(file, content.as_py())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(10)], [c.split()[0] for c in _ROWS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(11)], [c.split()[0] for c in _ROWS.split(", ")])
+
+
+def objects(files: DataFrame) -> DataFrame:
+    """Objects of files (path, content) in document order: kind, path data, the product of the transforms above it and its own
+    as a matrix (null: none), normal colours, numbers, and a code for what isn't read."""
+    rows = files.select("path", "content").mapInArrow(_read, _ROWS)
+    numbers = {c: F.col(c).try_cast("double") for c in ("stroke_width", "opacity")}
+    return rows.withColumns({"fill": colour(F.col("fill")), "stroke": colour(F.col("stroke")), "transform": F.when(F.col("transform").isNotNull(), matrix(F.col("transform"))), **numbers})
 
 
 def read_svg(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of the files in document order: kind, path data, normal colours, numbers, and a code for what isn't read."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, _ROWS)
-    return rows.withColumns({"fill": colour(F.col("fill")), "stroke": colour(F.col("stroke")), "stroke_width": F.col("stroke_width").try_cast("double"), "opacity": F.col("opacity").try_cast("double")})
+    """``objects`` of the files under a path."""
+    return objects(spark.read.format("binaryFile").load(path))
 
 
 def commands(objects: DataFrame) -> DataFrame:
-    """The path commands of the objects read: path_id (file and ordinal), seq, op, x, y."""
-    named = objects.where("data IS NOT NULL").select(F.struct("file", "ordinal").alias("path_id"), "data")
-    return parse_lines(named, "data")
+    """The path commands of the objects read, under their transforms: path_id (file and ordinal), seq, op, x, y. Data with other
+    commands than lines has a row with op ``unsupported`` for each."""
+    named = objects.where("data IS NOT NULL").select(F.struct("file", "ordinal").alias("path_id"), "data", "transform")
+    points = parse_lines(named.select("path_id", "data"), "data").join(named.select("path_id", F.col("transform").alias("m")), "path_id")
+    x, y, m = F.col("x"), F.col("y"), F.col("m")
+    moved = {"x": F.when(m.isNull(), x).otherwise(m[0] * x + m[2] * y + m[4]), "y": F.when(m.isNull(), y).otherwise(m[1] * x + m[3] * y + m[5])}
+    return points.withColumns(moved).drop("m")

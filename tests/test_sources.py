@@ -56,6 +56,25 @@ def test_svg(spark, tmp_path):
     assert by[1] == [("M", 1, 1), ("L", 3, 1), ("L", 3, 3), ("Z", 1, 1)]
 
 
+def test_svg_shapes_and_transforms(spark):
+    body = (
+        '<svg xmlns="http://www.w3.org/2000/svg"><!-- note --><title>t</title>'
+        '<g transform="translate(10 20)"><rect width="4" height="2" transform="scale(2)"/></g>'
+        '<circle cx="5" cy="6" r="2"/><ellipse cx="0" cy="0" rx="3" ry="1"/><rect x="1" width="8" height="4" rx="9"/>'
+        '<rect width="2" height="2" clip-path="url(#a)"/><circle r="zwei"/><rect width="0" height="2"/><blob/><path d=" "/>'
+        '<text>a<tspan>b</tspan></text><text>a<tspan dy="3">b</tspan></text></svg>'
+    )
+    files = spark.createDataFrame([("f", body.encode())], "path string, content binary")
+    rows = svg.objects(files).orderBy("ordinal").collect()
+    assert [r.code for r in rows] == [None, None, None, None, "clip_path", "bad_number", "no_geometry", "unknown_element", "no_geometry", None, "text_spans"]
+    assert rows[0].transform == [2, 0, 0, 2, 10, 20] and rows[1].transform is None
+    assert rows[1].data.startswith("M5.0 4.0H5.0C6.10") and rows[1].data.endswith("Z") and rows[3].data.startswith("M5.0 0.0H5.0C")
+    assert rows[9].text == "ab"
+    points = svg.commands(svg.objects(files)).where("path_id.ordinal = 0").orderBy("seq").collect()
+    assert [(p.op, p.x, p.y) for p in points] == [("M", 10, 20), ("L", 18, 20), ("L", 18, 24), ("L", 10, 24), ("Z", 10, 20)]
+    assert svg.objects(files.limit(0)).collect() == []
+
+
 def test_manifests(spark, tmp_path):
     good = {"schema_version": 1, "id": "s", "revision": 2, "canvas": {"width": 9, "height": 9}, "objects": [{"id": "a", "kind": "path"}, {"id": "b", "kind": "text", "text": "t"}]}
     lines = [json.dumps(good), json.dumps(good | {"schema_version": 2}), json.dumps(good | {"revision": 0}), json.dumps(good | {"surprise": 1}), '{"id": "x", "id": "y"}', "[1, 2", json.dumps(good) + " x"]
