@@ -92,10 +92,12 @@ def expand_references(uses: DataFrame, definitions: DataFrame, depth: int = 32)
 
 def routing_grid(obstacles: DataFrame, margin: float) -> DataFrame:
     """Points of the orthogonal visibility grid of each scene: lines ``margin`` away from the obstacles' edges,
-    without the points strictly inside a grown obstacle."""
-    grown = obstacles.select("scene_id", (F.col("x") - margin).alias("x0"), (F.col("y") - margin).alias("y0"), (F.col("x") + F.col("width") + margin).alias("x1"), (F.col("y") + F.col("height") + margin).alias("y1"))
+    without the points strictly inside a grown obstacle. Each obstacle meets the lines of its scene by axis, then the
+    points that it covers are taken out by equal keys, so the cost is the points, covered ones included."""
+    grown = obstacles.select("scene_id", F.monotonically_increasing_id().alias("box"), (F.col("x") - margin).alias("x0"), (F.col("y") - margin).alias("y0"), (F.col("x") + F.col("width") + margin).alias("x1"), (F.col("y") + F.col("height") + margin).alias("y1"))
+    grown = written(grown)
     xs = grown.select("scene_id", F.explode(F.array("x0", "x1")).alias("x")).distinct()
     ys = grown.select("scene_id", F.explode(F.array("y0", "y1")).alias("y")).distinct()
-    points = xs.join(ys, "scene_id")
-    inside = (F.col("p.scene_id") == F.col("g.scene_id")) & (F.col("p.x") > F.col("g.x0")) & (F.col("p.x") < F.col("g.x1")) & (F.col("p.y") > F.col("g.y0")) & (F.col("p.y") < F.col("g.y1"))
-    return points.alias("p").join(grown.alias("g"), inside, "left_anti")
+    within = [grown.join(lines, "scene_id").where((F.col(c) > F.col(f"{c}0")) & (F.col(c) < F.col(f"{c}1"))).select("scene_id", "box", c) for lines, c in ((xs, "x"), (ys, "y"))]
+    covered = within[0].join(within[1], ["scene_id", "box"]).select("scene_id", "x", "y").distinct()
+    return xs.join(ys, "scene_id").join(covered, ["scene_id", "x", "y"], "left_anti")

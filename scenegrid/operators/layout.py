@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,39 +43,67 @@ def edge_sites() -> tuple[Column, Column]:
     return out, into
 
 
+def _passable(lines: np.ndarray, others: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Per line and gap between neighbouring cross lines: whether no box blocks it. A box lies from low to high across
+    the lines and from at to to along them."""
+    out = np.ones((len(lines), len(others) - 1), bool)
+    for a, b, c, d in zip(low, high, at, to, strict=True):
+        rows = slice(np.searchsorted(lines, a, "right"), np.searchsorted(lines, b, "left"))
+        gaps = slice(max(np.searchsorted(others, c, "right") - 1, 0), np.searchsorted(others, d, "left"))
+        out[rows, gaps] = False
+    return out
+
+
 def cheapest_route(start: tuple, goal: tuple, boxes: list[tuple]) -> tuple[float, list[tuple]]:
-    """Manhattan length plus BEND per turn on the visibility grid of the boxes (x0, y0, x1, y1), which routes don't enter."""
-    grown = [(a - MARGIN, b - MARGIN, c + MARGIN, d + MARGIN) for a, b, c, d in boxes]
-    xs = sorted({start[0], goal[0], *(v for b in grown for v in (b[0], b[2]))})
-    ys = sorted({start[1], goal[1], *(v for b in grown for v in (b[1], b[3]))})
-
-    def free(p: tuple, q: tuple) -> bool:
-        lx, hx, ly, hy = min(p[0], q[0]), max(p[0], q[0]), min(p[1], q[1]), max(p[1], q[1])
-        return not any(lx < c and hx > a and ly < d and hy > b for a, b, c, d in boxes)
-
-    at = lambda i, j: (xs[i], ys[j])
-    first = (xs.index(start[0]), ys.index(start[1]))
-    last = (xs.index(goal[0]), ys.index(goal[1]))
-    seen: dict[tuple, float] = {}
-    todo: list[tuple] = [(0.0, first, -1, [first])]
+    """Manhattan length plus BEND per turn on the visibility grid of the boxes (x0, y0, x1, y1), which routes don't enter:
+    the cost and the corners of the route. The search goes by the cost so far and the distance that is left at least."""
+    b = np.array(boxes, float).reshape(-1, 4)
+    xs = np.unique(np.concatenate([[start[0], goal[0]], b[:, 0] - MARGIN, b[:, 2] + MARGIN]))
+    ys = np.unique(np.concatenate([[start[1], goal[1]], b[:, 1] - MARGIN, b[:, 3] + MARGIN]))
+    level = _passable(ys, xs, b[:, 1], b[:, 3], b[:, 0], b[:, 2])
+    upright = _passable(xs, ys, b[:, 0], b[:, 2], b[:, 1], b[:, 3])
+    place = lambda p: (int(np.searchsorted(xs, p[0])), int(np.searchsorted(ys, p[1])))
+    first, last = place(start), place(goal)
+    xl, yl = xs.tolist(), ys.tolist()
+    left = lambda n: abs(xl[n[0]] - goal[0]) + abs(yl[n[1]] - goal[1])
+    best: dict[tuple, float] = {(first, -1): 0.0}
+    came: dict[tuple, tuple] = {}
+    done: set[tuple] = set()
+    todo: list[tuple] = [(left(first), 0.0, first, -1)]
     while todo:
-        cost, node, axis, way = heapq.heappop(todo)
-        if node == last:
-            return cost, [at(*n) for n in way]
-        if seen.get((node, axis), float("inf")) <= cost:
+        _, cost, node, axis = heapq.heappop(todo)
+        if (node, axis) in done:
             continue
-        seen[(node, axis)] = cost
-        for turn, (di, dj) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))):
-            i, j = node[0] + di, node[1] + dj
-            if 0 <= i < len(xs) and 0 <= j < len(ys) and free(at(*node), at(i, j)):
-                step = abs(xs[i] - xs[node[0]]) + abs(ys[j] - ys[node[1]]) + (BEND if axis not in (-1, turn // 2) else 0)
-                heapq.heappush(todo, (cost + step, (i, j), turn // 2, [*way, (i, j)]))
+        done.add((node, axis))
+        if node == last:
+            way = [(node, axis)]
+            while way[-1] in came:
+                way.append(came[way[-1]])
+            points = [(xl[i], yl[j]) for (i, j), _ in reversed(way)]
+            inner = [q for p, q, r in zip(points, points[1:], points[2:], strict=False) if not (p[0] == q[0] == r[0] or p[1] == q[1] == r[1])]
+            return cost, [points[0], *inner, points[-1]] if len(points) > 1 else points
+        i, j = node
+        steps = []
+        if i + 1 < len(xl) and level[j, i]:
+            steps.append(((i + 1, j), 0, xl[i + 1] - xl[i]))
+        if i and level[j, i - 1]:
+            steps.append(((i - 1, j), 0, xl[i] - xl[i - 1]))
+        if j + 1 < len(yl) and upright[i, j]:
+            steps.append(((i, j + 1), 1, yl[j + 1] - yl[j]))
+        if j and upright[i, j - 1]:
+            steps.append(((i, j - 1), 1, yl[j] - yl[j - 1]))
+        for there, turn, far in steps:
+            new = cost + far + (BEND if axis not in (-1, turn) else 0)
+            if new < best.get((there, turn), float("inf")):
+                best[(there, turn)] = new
+                came[(there, turn)] = (node, axis)
+                heapq.heappush(todo, (new + left(there), new, there, turn))
     return float("inf"), []
 
 
 def routes(edges: DataFrame, boxes: DataFrame) -> DataFrame:
-    """edge_id, cost, n_points and a code for each edge (scene_id, edge_id, x1, y1, x2, y2) around the boxes of its
-    scene. A scene has a bounded number of boxes, which travel to its edges; every edge is routed on its own."""
+    """edge_id, cost, n_points (ends and bends) and a code for each edge (scene_id, edge_id, x1, y1, x2, y2) around the boxes
+    of its scene. A scene has a bounded number of boxes, which travel to its edges; every edge is routed on its own."""
     obstacles = boxes.groupBy("scene_id").agg(F.collect_list(F.array("x", "y", F.col("x") + F.col("width"), F.col("y") + F.col("height"))).alias("boxes"))
 
     def run(batches):

@@ -1,6 +1,6 @@
 """Relationships between records of a scene: endpoints, sites, comparisons, spatial joins.
 
-Every join is an equi-join. Spatial ones meet in cells of a grid (``cell_join``), so a scene of any size
+Every join is an equi-join. Spatial ones meet in cells of grids (``levelled``), so a scene of any size
 or a million scenes cost the objects and the pairs that really meet, not the square of a scene.
 """
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Cell of the grid of spatial joins, in pixels.
 CELL = 64.0
+#: How much coarser the next grid is.
+LEVEL = 8
 
 
 def dangling(links: DataFrame, objects: DataFrame, key: str, ends: tuple[str, ...] = ("from_id", "to_id")) -> DataFrame:
@@ -40,37 +42,48 @@ def connect(connectors: DataFrame, objects: DataFrame) -> DataFrame:
     return out.withColumn("mid_x", F.when(F.col("route") == "elbow", (F.col("x1") + F.col("x2")) / 2))
 
 
-def cells(df: DataFrame, reach: float = 0.0, cell: float = CELL) -> DataFrame:
-    """A row for each grid cell that a box, grown by ``reach``, touches."""
+def _span(low: Column, size: Column, cell: Column) -> Column:
+    return F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
 
-    def span(low: Column, size: Column) -> Column:
-        return F.sequence(F.floor((low - reach) / cell), F.floor((low + size + reach) / cell))
 
-    return df.withColumn("cx", F.explode(span(F.col("x"), F.col("width")))).withColumn("cy", F.explode(span(F.col("y"), F.col("height"))))
+def levelled(boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """``level`` of each box: grids have cells of ``cell``, LEVEL times that, and so on, and a box belongs to the finest
+    that it covers LEVEL + 1 cells of in either direction at most."""
+    size = F.greatest("width", "height", F.lit(cell))
+    return boxes.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(size / (cell * LEVEL)) / F.log(F.lit(LEVEL)) - 1e-9).cast("int")))
+
+
+def dealt(boxes: DataFrame, levels: DataFrame, cell: float = CELL) -> tuple[DataFrame, DataFrame]:
+    """(home, all): a row for each cell of its own level that a box touches, and one for each cell of that level and the coarser ones
+    among ``levels`` (scene_id, levels), with the columns grid, size, cx and cy."""
+    at = levelled(boxes, cell).join(levels, "scene_id")
+    every = at.withColumn("grid", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels")
+    every = every.withColumn("size", F.pow(F.lit(float(LEVEL)), F.col("grid")) * cell)
+    every = every.withColumn("cx", F.explode(_span(F.col("x"), F.col("width"), F.col("size")))).withColumn("cy", F.explode(_span(F.col("y"), F.col("height"), F.col("size"))))
+    return every.where("grid = level"), every
+
+
+def scene_levels(boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """The levels that each scene has a box of."""
+    return levelled(boxes, cell).groupBy("scene_id").agg(F.collect_set("level").alias("levels"))
 
 
 def overlaps(boxes: DataFrame, cell: float = CELL) -> DataFrame:
-    """Pairs a < b of one scene whose open rectangles meet, each once: only the cell that holds the
-    upper left corner of the intersection emits the pair."""
-    columns = ["scene_id", "object_id", "x", "y", "width", "height"]
-    grid = cells(boxes.select(*columns), cell=cell)
-    a, b = grid.alias("a"), grid.alias("b")
-    left, top = F.greatest("a.x", "b.x"), F.greatest("a.y", "b.y")
-    meet = (
-        (F.col("a.scene_id") == F.col("b.scene_id"))
-        & (F.col("a.cx") == F.col("b.cx"))
-        & (F.col("a.cy") == F.col("b.cy"))
-        & (F.col("a.object_id") < F.col("b.object_id"))
-        & (F.col("a.x") < F.col("b.x") + F.col("b.width"))
-        & (F.col("b.x") < F.col("a.x") + F.col("a.width"))
-        & (F.col("a.y") < F.col("b.y") + F.col("b.height"))
-        & (F.col("b.y") < F.col("a.y") + F.col("a.height"))
-        & (F.floor(left / cell) == F.col("a.cx"))
-        & (F.floor(top / cell) == F.col("a.cy"))
-    )
-    right = F.least(F.col("a.x") + F.col("a.width"), F.col("b.x") + F.col("b.width"))
-    low = F.least(F.col("a.y") + F.col("a.height"), F.col("b.y") + F.col("b.height"))
-    return a.join(b, meet).select(F.col("a.scene_id").alias("scene_id"), F.col("a.object_id").alias("a_id"), F.col("b.object_id").alias("b_id"), left.alias("x"), top.alias("y"), (right - left).alias("width"), (low - top).alias("height"))
+    """Pairs a < b of one scene whose open rectangles meet, each once: they meet in the grid of the larger one's level, and only
+    the cell that holds the upper left corner of the intersection emits the pair. A box of any size has a bounded
+    number of cells, and small boxes never meet in the cells of large ones."""
+    rows = boxes.select("scene_id", "object_id", "x", "y", "width", "height")
+    home, every = dealt(rows, scene_levels(rows, cell), cell)
+    p, q = home.alias("p"), every.alias("q")
+    left, top = F.greatest("p.x", "q.x"), F.greatest("p.y", "q.y")
+    right = F.least(F.col("p.x") + F.col("p.width"), F.col("q.x") + F.col("q.width"))
+    low = F.least(F.col("p.y") + F.col("p.height"), F.col("q.y") + F.col("q.height"))
+    same = (F.col("p.scene_id") == F.col("q.scene_id")) & (F.col("p.grid") == F.col("q.grid")) & (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy"))
+    once = (F.col("q.level") < F.col("p.level")) | ((F.col("q.level") == F.col("p.level")) & (F.col("q.object_id") < F.col("p.object_id")))
+    meet = (left < right) & (top < low) & (F.floor(left / F.col("p.size")) == F.col("p.cx")) & (F.floor(top / F.col("p.size")) == F.col("p.cy"))
+    met = p.join(q, same & once & meet)
+    ids = F.col("p.object_id"), F.col("q.object_id")
+    return met.select(F.col("p.scene_id").alias("scene_id"), F.least(*ids).alias("a_id"), F.greatest(*ids).alias("b_id"), left.alias("x"), top.alias("y"), (right - left).alias("width"), (low - top).alias("height"))
 
 
 def crossings(segments: DataFrame, cell: float = CELL) -> DataFrame:
@@ -86,16 +99,24 @@ def crossings(segments: DataFrame, cell: float = CELL) -> DataFrame:
 
 def segments_through(segments: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
     """Level or upright segments (scene_id, segment_id, x, y, width, height, one of these zero) that run through the open
-    inside of other boxes of their scene, each pair once."""
-    s = cells(segments, cell=cell).alias("s")
-    b = cells(boxes.select("scene_id", "object_id", "x", "y", "width", "height"), cell=cell).alias("b")
-    upright, level = F.col("s.width") == 0, F.col("s.height") == 0
-    between = lambda a, size: (F.col(f"s.{a}") > F.col(f"b.{a}")) & (F.col(f"s.{a}") < F.col(f"b.{a}") + F.col(f"b.{size}"))
-    along = lambda a, size: (F.col(f"s.{a}") + F.col(f"s.{size}") > F.col(f"b.{a}")) & (F.col(f"s.{a}") < F.col(f"b.{a}") + F.col(f"b.{size}"))
-    hit = (upright & between("x", "width") & along("y", "height")) | (level & between("y", "height") & along("x", "width"))
-    first = (F.floor(F.greatest("s.x", "b.x") / cell) == F.col("s.cx")) & (F.floor(F.greatest("s.y", "b.y") / cell) == F.col("s.cy"))
-    same = (F.col("s.scene_id") == F.col("b.scene_id")) & (F.col("s.cx") == F.col("b.cx")) & (F.col("s.cy") == F.col("b.cy")) & (F.col("s.segment_id") != F.col("b.object_id"))
-    return s.join(b, same & hit & first).select("s.scene_id", "s.segment_id", "b.object_id")
+    inside of other boxes of their scene, each pair once, in the grid of the larger one's level as in ``overlaps``."""
+    boxes = boxes.select("scene_id", "object_id", "x", "y", "width", "height")
+    segments = segments.select("scene_id", "segment_id", "x", "y", "width", "height")
+    both = segments.drop("segment_id").unionByName(boxes.drop("object_id"))
+    levels = scene_levels(both, cell)
+    (s_home, s_all), (b_home, b_all) = dealt(segments, levels, cell), dealt(boxes, levels, cell)
+
+    def through(one: DataFrame, other: DataFrame, once: str) -> DataFrame:
+        s, b = one.alias("s"), other.alias("b")
+        upright, level = F.col("s.width") == 0, F.col("s.height") == 0
+        between = lambda a, size: (F.col(f"s.{a}") > F.col(f"b.{a}")) & (F.col(f"s.{a}") < F.col(f"b.{a}") + F.col(f"b.{size}"))
+        along = lambda a, size: (F.col(f"s.{a}") + F.col(f"s.{size}") > F.col(f"b.{a}")) & (F.col(f"s.{a}") < F.col(f"b.{a}") + F.col(f"b.{size}"))
+        hit = (upright & between("x", "width") & along("y", "height")) | (level & between("y", "height") & along("x", "width"))
+        first = (F.floor(F.greatest("s.x", "b.x") / F.col("s.size")) == F.col("s.cx")) & (F.floor(F.greatest("s.y", "b.y") / F.col("s.size")) == F.col("s.cy"))
+        same = (F.col("s.scene_id") == F.col("b.scene_id")) & (F.col("s.grid") == F.col("b.grid")) & (F.col("s.cx") == F.col("b.cx")) & (F.col("s.cy") == F.col("b.cy")) & (F.col("s.segment_id") != F.col("b.object_id"))
+        return s.join(b, same & hit & first & F.expr(once)).select("s.scene_id", "s.segment_id", "b.object_id")
+
+    return through(s_home, b_all, "b.level <= s.level").union(through(s_all, b_home, "s.level < b.level"))
 
 
 def duplicate_texts(texts: DataFrame, tolerance: float) -> DataFrame:

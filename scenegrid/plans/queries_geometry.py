@@ -303,13 +303,13 @@ def asset_freeze(spark, sf_dir):
 
 
 @query(
-    r"""WITH RECURSIVE w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), r AS (SELECT item_id, 1 AS i, len(w[1]) AS used, 1 AS line FROM w UNION ALL
+    r"""WITH RECURSIVE w AS (SELECT doc_id AS item_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT item_id, 1 AS i, len(w[1]) AS used, 1 AS line FROM w UNION ALL
 SELECT r.item_id, i + 1, CASE WHEN used + 1 + len(w[i + 1]) <= 40 THEN used + 1 + len(w[i + 1]) ELSE len(w[i + 1]) END, CASE WHEN used + 1 + len(w[i + 1]) <= 40 THEN line ELSE line + 1 END FROM r JOIN w USING (item_id) WHERE i < len(w))
-SELECT item_id, line::BIGINT AS line, string_agg(w.w[i], ' ' ORDER BY i) AS text FROM r JOIN w USING (item_id) GROUP BY item_id, line"""
+SELECT item_id AS doc_id, line::BIGINT AS line, string_agg(w.w[i], ' ' ORDER BY i) AS text FROM r JOIN w USING (item_id) GROUP BY item_id, line"""
 )
 def word_wrap(spark, sf_dir):
-    """Greedy wrap at forty advances."""
-    return text.wrap(_table(spark, sf_dir, "benchmark"), "item_id", "text", 40)
+    """Greedy wrap at forty advances, of every whole document."""
+    return text.wrap(_table(spark, sf_dir, "documents"), "doc_id", "text", 40)
 
 
 @query("SELECT p_partkey AS id, i, substr(p_name, i, 1) AS ch, (i - 1) * 7 + coalesce((i - 1) * (p_size % 5), 0) AS at FROM (SELECT *, unnest(range(1, length(p_name) + 1)) AS i FROM part)")

@@ -82,13 +82,13 @@ def reference_chains(spark, sf_dir):
 
 @query(
     cte("boxes")
-    + """, g AS (SELECT scene_id, x - 16 AS x0, y - 16 AS y0, x + width + 16 AS x1, y + height + 16 AS y1 FROM boxes WHERE object_id % 5 = 0),
+    + """, g AS (SELECT scene_id, x - 16 AS x0, y - 16 AS y0, x + width + 16 AS x1, y + height + 16 AS y1 FROM boxes),
 xs AS (SELECT scene_id, x0 AS x FROM g UNION SELECT scene_id, x1 FROM g), ys AS (SELECT scene_id, y0 AS y FROM g UNION SELECT scene_id, y1 FROM g)
 SELECT scene_id, x, y FROM xs JOIN ys USING (scene_id) WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.scene_id = xs.scene_id AND x > x0 AND x < x1 AND y > y0 AND y < y1)"""
 )
 def routing_grid(spark, sf_dir):
     """The orthogonal visibility grid around obstacles."""
-    return graph.routing_grid(fixture(spark, sf_dir, "boxes").where("object_id % 5 = 0"), 16.0)
+    return graph.routing_grid(fixture(spark, sf_dir, "boxes"), 16.0)
 
 
 @query(
@@ -266,18 +266,18 @@ def merge_ids(spark, sf_dir):
 @query(
     cte("boxes")
     + """, s AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY coalesce(z_index, ordinal), ordinal) AS slot FROM boxes)
-SELECT a.scene_id, a.object_id AS owner_id, b.object_id AS between_id FROM s a JOIN s m ON m.scene_id = a.scene_id AND m.object_id = a.object_id + 1 AND a.object_id % 10 = 0
+SELECT a.scene_id, a.object_id AS owner_id, b.object_id AS between_id FROM s a JOIN s m ON m.scene_id = a.scene_id AND m.object_id = a.object_id + 1
 JOIN s b ON b.scene_id = a.scene_id AND b.slot > least(a.slot, m.slot) AND b.slot < greatest(a.slot, m.slot) AND a.x < b.x + b.width AND b.x < a.x + a.width AND a.y < b.y + b.height AND b.y < a.y + a.height"""
 )
 def grouping_paint_overlap(spark, sf_dir):
     """Objects painted between two members of an attachment that overlap it; they forbid grouping."""
     s = fixture(spark, sf_dir, "boxes").withColumn("slot", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.coalesce("z_index", "ordinal"), "ordinal")))
     met = relations.overlaps(s).select("scene_id", "a_id", "b_id")
-    met = met.union(met.select("scene_id", "b_id", "a_id")).where("a_id % 10 = 0")
-    slot = s.select("object_id", "slot")
-    owner = met.join(slot.select(F.col("object_id").alias("a_id"), F.col("slot").alias("sa")), "a_id").join(slot.select(F.col("object_id").alias("b_id"), F.col("slot").alias("sb")), "b_id")
-    member = slot.select((F.col("object_id") - 1).alias("a_id"), F.col("slot").alias("sm"))
-    return owner.join(member, "a_id").where("sb > least(sa, sm) AND sb < greatest(sa, sm)").select("scene_id", F.col("a_id").alias("owner_id"), F.col("b_id").alias("between_id"))
+    met = met.union(met.select("scene_id", "b_id", "a_id"))
+    slot = s.select("scene_id", "object_id", "slot")
+    owner = met.join(slot.select("scene_id", F.col("object_id").alias("a_id"), F.col("slot").alias("sa")), ["scene_id", "a_id"]).join(slot.select("scene_id", F.col("object_id").alias("b_id"), F.col("slot").alias("sb")), ["scene_id", "b_id"])
+    member = slot.select("scene_id", (F.col("object_id") - 1).alias("a_id"), F.col("slot").alias("sm"))
+    return owner.join(member, ["scene_id", "a_id"]).where("sb > least(sa, sm) AND sb < greatest(sa, sm)").select("scene_id", F.col("a_id").alias("owner_id"), F.col("b_id").alias("between_id"))
 
 
 @query(
