@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenegrid.llm import textkit as K
@@ -161,7 +161,7 @@ def overlap(a: pa.Array, b: pa.Array) -> tuple:
     return *sizes, np.bincount(d[pair], met, n).astype(np.int64), (d[more], x[more], rest[more]), (d[less], x[less], rest[less])
 
 
-_COMPARED = "a bigint, b bigint, na int, nb int, common int, beyond array<struct<token: bigint, w: int>>, lacks array<struct<token: bigint, w: int>>"
+_COMPARED = "a bigint, b bigint, told boolean, na int, nb int, common int, beyond array<struct<token: bigint, w: int>>, lacks array<struct<token: bigint, w: int>>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +175,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
                 lists.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(K.signed(token)), pa.array(w, pa.int32())], ["token", "w"])))
             sizes = (pa.array(x, pa.int32()) for x in (na, nb, common))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *sizes, *lists], ["a", "b", "na", "nb", "common", "beyond", "lacks"])
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("told"), *sizes, *lists], ["a", "b", "told", "na", "nb", "common", "beyond", "lacks"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, |a|, |b|, |a & b|) of the pairs, and where ``told`` what a adds to b and what it removes. Texts travel by a and
+    """(a, b, told, |a|, |b|, |a & b|) of the pairs, and where ``told`` what a adds to b and what it removes. Texts travel by a and
     meet b's in place. Both joins shuffle both sides at every size, so many pairs of one b are split among tasks."""
     pairs = scratch.table(pairs.groupBy("a", "b").agg(F.bool_or("told").alias("told")), f"{name}-pairs")
     half = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -235,7 +235,7 @@ def classify(docs: DataFrame, scratch: Scratch) -> DataFrame:
         class_of = components(links, scratch, f"classes-{level}")
         if not large.limit(1).count():
             break
-        pairs, large = _next(large, compared, class_of, scratch, f"level-{level}")
+        pairs, large = _next(compared, class_of, scratch, f"level-{level}")
         if not large.limit(1).count() and not pairs.limit(1).count():
             break
         level += 1
@@ -255,10 +255,11 @@ def _pivots(met: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, n, p) for the large buckets. A node weighs as much as it meets others; each node's hub is the heaviest node
     of all its buckets, and a bucket's pivot is the hub of most of its nodes, whether or not it is in that bucket:
     buckets of one family then have one pivot, close to the family's source."""
-    weights = scratch.table(met.groupBy("node").agg(F.sum("c").alias("weight")), "weights")
+    weights = met.groupBy("node").agg(F.sum("c").alias("weight"))
     large = scratch.table(met.join(weights, "node").select("band", "node", "n", "weight"), "weighed")
+    # joins by band are between tables: a bucket may have a large part of all nodes
     heaviest = scratch.table(large.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")), "heaviest")
-    hubs = scratch.table(large.join(heaviest, "band").groupBy("node").agg(F.max("top").alias("hub")), "hubs")
+    hubs = large.hint("merge").join(heaviest, "band").groupBy("node").agg(F.max("top").alias("hub"))
     voted = scratch.table(large.join(hubs, "node").select("band", "node", "n", "hub"), "voted")
     votes = voted.groupBy("band", "hub").agg(F.count("*").alias("votes"))
     chosen = scratch.table(votes.groupBy("band").agg((-F.max(F.struct("votes", "hub"))["hub"]["minus"]).alias("p")), "pivots")
@@ -269,58 +270,50 @@ def _kind(k: int):
     return lambda x: F.struct(F.lit(k).alias("kind"), x["token"].alias("token"), x["w"].alias("w"))
 
 
-def _least(step: Column) -> Column:
-    return F.pow(F.lit(GROWTH), step)
-
-
-def _next(large: DataFrame, compared: DataFrame, class_of: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+def _next(compared: DataFrame, class_of: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """(pairs, large) of the next round: groups of nodes of different classes that share a telling shingle, by the bound above.
     Joins by p are between tables, and may be split: a pivot may have a large part of all nodes."""
-    told = compared.select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("na").alias("n"), "nb", "common", "beyond", "lacks")
-    members = scratch.table(told.hint("merge").join(large.select("node", "p"), ["node", "p"]).join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), f"{name}-members")
-    mains = scratch.table(members.select(F.col("p").alias("node")).distinct().join(class_of, "node", "left").select(F.col("node").alias("p"), F.coalesce("component", "node").alias("main")), f"{name}-mains")
+    table = lambda df, part: scratch.table(df, f"{name}-{part}")
+    own, main = (class_of.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("node", "own"), ("p", "main")))
+    members = compared.where("told").select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("na").alias("n"), "nb", "common", "beyond", "lacks")
+    members = members.hint("merge").join(own, "node", "left").hint("merge").join(main, "p", "left")
     differs = WHOLE * (F.col("nb") - F.col("common")) + PART * (F.col("n") - F.col("common"))
     step = F.floor(F.log(differs.cast("double") + 0.5) / F.log(F.lit(GROWTH))).cast("int")
     gap = PART * (F.col("n") + F.col("nb")) - (PART + WHOLE) * F.col("common")
-    members = members.hint("merge").join(mains, "p").withColumns({"apart": F.col("class") != F.col("main"), "step": step, "gap": gap})
-    members = scratch.table(members, f"{name}-classed")
-    mixed = scratch.table(members.groupBy("p").agg(F.bool_or("apart").alias("any"), F.collect_set("step").alias("steps")).where("any").select("p", "steps"), f"{name}-mixed")
-    held = members.hint("merge").join(mixed, "p")
-    tokens = held.select("p", "node", "class", "apart", F.inline(F.concat(F.transform("lacks", _kind(0)), F.transform("beyond", _kind(1)))))
-    tokens = scratch.table(tokens, f"{name}-tokens")
+    class_ = F.coalesce("own", "node")
+    members = table(members.select("p", "node", "n", class_.alias("class"), (class_ != F.coalesce("main", "p")).alias("apart"), step.alias("step"), gap.alias("gap"), "beyond", "lacks"), "members")
+    mixed = table(members.groupBy("p").agg(F.bool_or("apart").alias("any"), F.collect_set("step").alias("steps")).where("any").select("p", "steps"), "mixed")
+    # for each size of the other: shared shingles weigh ``needs`` or more, and the other can't share more than it has
+    needs = lambda j: F.col("gap") + F.pow(F.lit(GROWTH), j) - 1
+    enough = lambda j: PART * needs(j) <= (PART + WHOLE) * F.pow(F.lit(GROWTH), j + 1)
+    sides = F.transform(F.filter("steps", enough), lambda j: F.struct(j.alias("j"), needs(j).alias("needs")))
+    row = ["p", "node", "n", "class", "apart", "step"]
+    held = members.hint("merge").join(mixed, "p").withColumn("sides", sides).where(F.size("sides") > 0)
+    tokens = table(held.select(*row, "sides", F.inline(F.concat(F.transform("lacks", _kind(0)), F.transform("beyond", _kind(1))))), "tokens")
     at = ["p", "kind", "token"]
     same = [F.bit_xor(F.xxhash64("node", "w", F.lit(i))).alias(f"f{i}") for i in (1, 2)]
     telling = tokens.groupBy(*at).agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), *same).where("any AND lo <> hi")
-    telling = scratch.table(telling.groupBy("p", "kind", "f1", "f2").agg(F.min("token").alias("token"), F.first("c").alias("c"), F.count("*").alias("times")).drop("f1", "f2"), f"{name}-telling")
+    telling = table(telling.groupBy("p", "kind", "f1", "f2").agg(F.min("token").alias("token"), F.first("c").alias("c"), F.count("*").alias("times")).drop("f1", "f2"), "telling")
+    # one of the shared shingles is not among the most frequent ones that weigh less than what is needed
     frequent = Window.partitionBy("p", "node").orderBy(F.desc("c"), "kind", "token")
-    ranked = tokens.select(*at, "node", "w").join(telling, at).withColumn("sum", (PART + WHOLE) * F.sum(F.col("w") * F.col("times")).over(frequent))
-    ranked = scratch.table(ranked.select(*at, "node", "sum"), f"{name}-ranked")
-    # for each size of the other: shared shingles weigh ``needs`` or more, so one of them is not among the most frequent ones that
-    # weigh less; and the other can't share more than it has
-    needs = F.col("gap") + _least(F.col("j")) - 1
-    sides = held.select("p", "node", "n", "class", "apart", "gap", "step", F.explode("steps").alias("j")).where(PART * needs <= (PART + WHOLE) * _least(F.col("j") + 1))
-    sides = scratch.table(sides.groupBy("p", "node", "n", "class", "apart", "step").agg(F.collect_list(F.struct("j", needs.alias("needs"))).alias("sides")), f"{name}-sides")
-    rare = ranked.join(sides, ["p", "node"]).withColumn("sides", F.filter("sides", lambda x: x["needs"] <= F.col("sum"))).where(F.size("sides") > 0)
-    rare = rare.select(*at, "node", "n", "class", "apart", "step", F.explode("sides.j").alias("j"))
+    rare = tokens.join(telling, at).withColumn("sum", (PART + WHOLE) * F.sum(F.col("w") * F.col("times")).over(frequent))
+    rare = rare.select(*at, *row[1:], F.explode(F.filter("sides", lambda x: x["needs"] <= F.col("sum"))["j"]).alias("j"))
     side = F.when(F.col("step") != F.col("j"), F.col("step")).cast("long")
-    rare = scratch.table(rare.select(*at, F.least("step", "j").alias("s"), F.greatest("step", "j").alias("t"), side.alias("side"), "node", "n", "class", "apart"), f"{name}-rare")
+    rare = table(rare.select(*at, F.least("step", "j").alias("s"), F.greatest("step", "j").alias("t"), side.alias("side"), "node", "n", "class", "apart"), "rare")
     at = [*at, "s", "t"]
     whole = F.first("side").isNull() | (F.min("side") != F.max("side"))
     groups = rare.groupBy(*at).agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), whole.alias("whole"))
-    groups = scratch.table(groups.where("any AND lo <> hi AND whole").select(*at, "c"), f"{name}-groups")
-    met = scratch.table(rare.join(groups, at), f"{name}-met")
+    groups = table(groups.where("any AND lo <> hi AND whole").select(*at, "c"), "groups")
+    met = table(rare.hint("merge").join(groups, at), "met")
     pairs = _all_pairs(met.where(F.col("c") <= SMALL).withColumn("member", F.struct("node", "n", "class", "side")), at)
     known = compared.select("a", "b").union(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = scratch.table(pairs.distinct().join(known, ["a", "b"], "left_anti"), f"{name}-next-pairs")
-    # a large group's pivot is from its largest class, and there the node of most such groups, so groups share pivots
+    pairs = table(pairs.distinct().join(known, ["a", "b"], "left_anti"), "next-pairs")
+    # a large group's pivot is the first node of its largest class, so groups share pivots
     most = met.where(F.col("c") > SMALL)
-    weights = scratch.table(most.groupBy("node").agg(F.sum("c").alias("weight")), f"{name}-weights")
-    weighed = scratch.table(most.join(weights, "node").select(*at, "node", "n", "class", "weight"), f"{name}-weighed")
-    heaviest = weighed.groupBy(*at, "class").agg(F.count("*").alias("size"), F.max(F.struct("weight", "node"))["node"].alias("q"))
-    heaviest = scratch.table(heaviest.groupBy(*at).agg(F.max(F.struct("size", "q"))["q"].alias("q")), f"{name}-heaviest")
-    large = weighed.join(heaviest, at).select("node", "n", F.col("q").alias("p")).where("node <> p").distinct()
-    large = scratch.table(large, f"{name}-next-large")
-    scratch.drop(*(f"{name}-{t}" for t in ("members", "mains", "classed", "mixed", "tokens", "telling", "ranked", "sides", "rare", "groups", "met", "weights", "weighed", "heaviest")))
+    firsts = most.groupBy(*at, "class").agg(F.count("*").alias("size"), F.max("node").alias("q"))
+    firsts = table(firsts.groupBy(*at).agg(F.max(F.struct("size", "q"))["q"].alias("q")), "firsts")
+    large = table(most.hint("merge").join(firsts, at).select("node", "n", F.col("q").alias("p")).where("node <> p").distinct(), "next-large")
+    scratch.drop(*(f"{name}-{t}" for t in ("members", "mixed", "tokens", "telling", "rare", "groups", "met", "firsts")))
     return pairs, large
 
 
