@@ -11,21 +11,17 @@ with an empty component go on.
 Candidates. BANDS bands of ROWS components each; texts whose band agrees meet in a bucket. Texts with
 equal multisets are one node beforehand, so copies cost nothing more.
 
-Pairs. A group of up to SMALL nodes takes all its pairs. A larger one has a pivot, and each of its nodes is compared with
-that alone, so a group costs its nodes and never their square. What the pivot leaves open is taken apart exactly. Let p
-be the pivot, and write each text as p without what it removes and with what it adds. Then u and v are linked if and only if
-
-    9 * (what both remove + what both add)  >=  gap(u) + 5 * (what v removes) + 4 * (what v adds)
-
-where gap(u) = 4 (|u| + |p|) - 9 |u & p|, above 0 for a u that isn't linked to p. So u and v meet again in a removed or added
-shingle, and of those that u needs for a v of such a size, in one of the rarest; sizes count in steps of GROWTH. The nodes of
-different classes that meet in such a shingle are the groups of the next round: small ones take all pairs, others a
-pivot of their own, from their largest class, and so on until no group is left. Two texts of one bucket of any size that
-are linked thus end in one class; shingles that the same nodes hold are one.
+Pairs. A bucket of up to SMALL nodes takes all its pairs; a larger one compares each node with its pivot,
+a node that meets the most others over all buckets: in a family of near copies, one close to
+their source. For nodes u, v and a pivot p, |u & v| <= |u & p| + |(u - p) & (v - p)|. So a node u that its pivot
+didn't take in can be linked to another v only if the two share a shingle that p hasn't, or if v is
+smaller than p by enough; such pairs of different classes are met by those shingles, and by size, and compared
+too; of the shingles a node needs to have in common, one of the rarest must be met, and shingles that the same nodes hold
+are one. The bounds are exact: no link between texts that share a bucket is lost up to connection. A bucket costs its nodes
+and the pairs that the bounds leave open; where many nodes of different classes hold one such shingle, those are all their pairs.
 
 Verification. The multisets of both texts are compared exactly; a link needs THRESHOLD or more. Classes
 are the connected components of the links; the class id is the smallest doc_id.
-Probability enters in the buckets alone: a pair at similarity 0.8 shares one with 1 - (1 - 0.8^4)^20, over 0.9999.
 
 A text of 1 to 4 words has one shingle, all of it. Null texts and texts without a word are alike to
 nothing and are classes of their own. Rows whose doc_id is null are left out; rows that repeat a doc_id
@@ -47,14 +43,9 @@ from scenegrid.llm.store import Scratch
 from scenegrid.llm.tables import fresh
 
 SHINGLE = 5
-#: Two texts are linked if their weighted Jaccard is PART / WHOLE or more.
-PART, WHOLE = 4, 5
-THRESHOLD = PART / WHOLE
+THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-#: A group of so many nodes takes all its pairs: at most (SMALL - 1) / 2 a node.
-SMALL = 16
-#: Steps in which the sizes of differences from a pivot are told apart.
-GROWTH = 1.5
+SMALL = 8
 
 _LEVEL, _TIME, _PLACE, _HEIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -142,9 +133,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(K.arrays(part.column("doc_id"), part.column("text_key"), K.signed(content[0]), K.signed(content[1]), total, lists), ["doc_id", "text_key", "c1", "c2", "n", "bands"])
 
 
-def overlap(a: pa.Array, b: pa.Array) -> tuple:
-    """Row by row, of the multisets of two columns of texts: their sizes; the size of the intersection;
-    (row, hash, weight) of what the left one has beyond the right one, and of what it lacks."""
+def overlap(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row by row, of the multisets of two columns of texts: weighted Jaccard; size of the intersection;
+    (row, hash, weight) of what the left one has beyond the right one."""
     n = len(a)
     sides = [K.bags(*K.shingles(K.words(x), SHINGLE)) for x in (a, b)]
     doc, h, w = (np.concatenate([s[i] for s in sides]) for i in range(3))
@@ -153,55 +144,40 @@ def overlap(a: pa.Array, b: pa.Array) -> tuple:
     d, x, c, side = doc[order], h[order], w[order], left[order]
     pair = np.flatnonzero((x[1:] == x[:-1]) & (d[1:] == d[:-1]))
     met = np.minimum(c[pair], c[pair + 1])
+    both = np.bincount(d[pair], met, n)
     rest = c.copy()
     rest[pair] -= met
     rest[pair + 1] -= met
-    more, less = np.flatnonzero(side & (rest > 0)), np.flatnonzero(~side & (rest > 0))
-    sizes = [np.bincount(s[0], s[2], n).astype(np.int64) for s in sides]
-    return *sizes, np.bincount(d[pair], met, n).astype(np.int64), (d[more], x[more], rest[more]), (d[less], x[less], rest[less])
+    more = np.flatnonzero(side & (rest > 0))
+    return both / np.maximum(np.bincount(doc, w, n) - both, 1), both.astype(np.int64), (d[more], x[more], rest[more])
 
 
-_COMPARED = "a bigint, b bigint, told boolean, na int, nb int, common int, beyond array<struct<token: bigint, w: int>>, lacks array<struct<token: bigint, w: int>>"
+_COMPARED = "a bigint, b bigint, sim double, common bigint, added array<struct<token: bigint, w: bigint>>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.chunks(batch, "text_a", K.CHUNK_BYTES // 2):
-            na, nb, common, *rest = overlap(part.column("text_a"), part.column("text_b"))
-            told = part.column("told").to_numpy(zero_copy_only=False)
-            lists = []
-            for row, token, w in rest:
-                row, token, w = (x[told[row]] for x in (row, token, w))
-                off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
-                lists.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(K.signed(token)), pa.array(w, pa.int32())], ["token", "w"])))
-            sizes = (pa.array(x, pa.int32()) for x in (na, nb, common))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("told"), *sizes, *lists], ["a", "b", "told", "na", "nb", "common", "beyond", "lacks"])
+            sim, common, (row, added, w) = overlap(part.column("text_a"), part.column("text_b"))
+            off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(K.signed(added)), pa.array(w, pa.int64())], ["token", "w"]))
+            yield pa.RecordBatch.from_arrays(K.arrays(part.column("a"), part.column("b"), sim, common, lists), ["a", "b", "sim", "common", "added"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, told, |a|, |b|, |a & b|) of the pairs, and where ``told`` what a adds to b and what it removes. Texts travel by a and
-    meet b's in place. Both joins shuffle both sides at every size, so many pairs of one b are split among tasks."""
-    pairs = scratch.table(pairs.groupBy("a", "b").agg(F.bool_or("told").alias("told")), f"{name}-pairs")
+    """(a, b, sim, common, added) of the distinct pairs; added: shingles of a beyond b's. Texts travel by a and meet
+    b's in place. Both joins shuffle both sides at every size, so many pairs of one b are split among tasks."""
+    pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
     half = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     whole = half.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = scratch.table(whole.select("a", "b", "told", "text_a", "text_b").mapInArrow(_compare, _COMPARED), f"{name}-compared")
+    found = scratch.table(whole.select("a", "b", "text_a", "text_b").mapInArrow(_compare, _COMPARED), f"{name}-compared")
     scratch.drop(f"{name}-pairs")
     return found
 
 
-def _linked():
-    """Similarity of THRESHOLD or more, in integers."""
-    return (PART + WHOLE) * F.col("common") >= PART * (F.col("na") + F.col("nb"))
-
-
-def _all_pairs(groups: DataFrame, key: list[str]) -> DataFrame:
-    """The pairs (a, b) of each group whose sizes allow a link and whose classes and sides, where known, differ; a group has SMALL
-    nodes at most. groups: key and ``member``, a struct of node, n, class and side."""
-    x, y = F.col("x"), F.col("y")
-    each = groups.groupBy(*key).agg(F.sort_array(F.collect_list("member")).alias("all")).select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    each = each.where((x["node"] > y["node"]) & (WHOLE * F.least(x["n"], y["n"]) >= PART * F.greatest(x["n"], y["n"])))
-    each = each.where((x["class"].isNull() | (x["class"] != y["class"])) & (x["side"].isNull() | (x["side"] != y["side"])))
-    return each.select(x["node"].alias("a"), y["node"].alias("b"))
+def _alike(n: str, m: str):
+    """Sizes that allow the threshold."""
+    return F.least(F.col(n), F.col(m)) >= THRESHOLD * F.greatest(F.col(n), F.col(m))
 
 
 def classify(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -213,7 +189,7 @@ def classify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     own = F.when(F.col("n") == 0, F.xxhash64("doc_id", "text_key")).otherwise(F.lit(0))
     row = F.struct("doc_id", "text_key")
     nodes = scratch.table(signed.groupBy("c1", "c2", own.alias("own")).agg(F.min(row).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    # a node is named by its content: doc_ids may repeat
+    # a node is named by its content, as doc_ids may repeat
     nodes = nodes.withColumn("node", F.xxhash64("c1", "c2", "own"))
     meets = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("band"))
     sizes = scratch.table(meets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
@@ -224,26 +200,22 @@ def classify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = docs.hint("merge").join(chosen, ["doc_id", "text_key"]).groupBy(F.col("node").alias("id")).agg(F.any_value("text").alias("text"))
     texts = scratch.table(texts, "texts")
 
-    member = F.struct("node", "n", *(F.lit(None).cast("long").alias(c) for c in ("class", "side")))
-    pairs = _all_pairs(met.where(F.col("c") <= SMALL).withColumn("member", member), ["band"])
-    links, level = None, 0
-    while True:
-        told = large.select(F.col("node").alias("a"), F.col("p").alias("b"), F.lit(True).alias("told"))
-        compared = verify(pairs.withColumn("told", F.lit(False)).union(told), texts, scratch, f"level-{level}")
-        found = compared.where(_linked()).select("a", "b")
-        links = scratch.table(found if links is None else links.union(found), f"links-{level}")
-        class_of = components(links, scratch, f"classes-{level}")
-        if not large.limit(1).count():
-            break
-        pairs, large = _next(compared, class_of, scratch, f"level-{level}")
-        if not large.limit(1).count() and not pairs.limit(1).count():
-            break
-        level += 1
-    named = nodes.join(class_of, "node", "left").select("c1", "c2", "own", "first", F.coalesce("component", "node").alias("class"))
+    small = met.where(F.col("c") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))
+    small = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.node > y.node")
+    small = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    pairs = small.where(_alike("na", "nb")).select("a", "b").union(large.where("node <> p").select("node", "p"))
+    first = verify(pairs, texts, scratch, "first")
+    links = first.where(F.col("sim") >= THRESHOLD).select("a", "b")
+    if large.limit(1).count():
+        second = _rest(large, first, links, texts, scratch)
+        if second is not None:
+            links = scratch.table(links.union(second), "links")
+    named = nodes.join(components(links, scratch), "node", "left").select("c1", "c2", "own", "first", F.coalesce("component", "node").alias("class"))
     named = scratch.table(named, "named")
     firsts = scratch.table(named.groupBy("class").agg(F.min("first").alias("first")), "firsts")
     named = scratch.table(named.drop("first").join(firsts, "class").drop("class"), "classes")
-    return signed.select("doc_id", "text_key", "c1", "c2", own.alias("own")).join(named, ["c1", "c2", "own"]).select("doc_id", "text_key", F.col("first")["doc_id"].alias("class_id"), "first")
+    found = signed.select("doc_id", "text_key", "c1", "c2", own.alias("own")).join(named, ["c1", "c2", "own"])
+    return found.select("doc_id", "text_key", F.col("first")["doc_id"].alias("class_id"), "first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -255,66 +227,61 @@ def _pivots(met: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, n, p) for the large buckets. A node weighs as much as it meets others; each node's hub is the heaviest node
     of all its buckets, and a bucket's pivot is the hub of most of its nodes, whether or not it is in that bucket:
     buckets of one family then have one pivot, close to the family's source."""
-    weights = met.groupBy("node").agg(F.sum("c").alias("weight"))
+    weights = scratch.table(met.groupBy("node").agg(F.sum("c").alias("weight")), "weights")
     large = scratch.table(met.join(weights, "node").select("band", "node", "n", "weight"), "weighed")
-    # joins by band are between tables: a bucket may have a large part of all nodes
     heaviest = scratch.table(large.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")), "heaviest")
-    hubs = large.hint("merge").join(heaviest, "band").groupBy("node").agg(F.max("top").alias("hub"))
+    hubs = scratch.table(large.join(heaviest, "band").groupBy("node").agg(F.max("top").alias("hub")), "hubs")
     voted = scratch.table(large.join(hubs, "node").select("band", "node", "n", "hub"), "voted")
     votes = voted.groupBy("band", "hub").agg(F.count("*").alias("votes"))
     chosen = scratch.table(votes.groupBy("band").agg((-F.max(F.struct("votes", "hub"))["hub"]["minus"]).alias("p")), "pivots")
-    return voted.join(chosen, "band").select("node", "n", "p").where("node <> p").distinct()
-
-
-def _kind(k: int):
-    return lambda x: F.struct(F.lit(k).alias("kind"), x["token"].alias("token"), x["w"].alias("w"))
-
-
-def _next(compared: DataFrame, class_of: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large) of the next round: groups of nodes of different classes that share a telling shingle, by the bound above.
-    Joins by p are between tables, and may be split: a pivot may have a large part of all nodes."""
-    table = lambda df, part: scratch.table(df, f"{name}-{part}")
-    own, main = (class_of.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("node", "own"), ("p", "main")))
-    members = compared.where("told").select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("na").alias("n"), "nb", "common", "beyond", "lacks")
-    members = members.hint("merge").join(own, "node", "left").hint("merge").join(main, "p", "left")
-    differs = WHOLE * (F.col("nb") - F.col("common")) + PART * (F.col("n") - F.col("common"))
-    step = F.floor(F.log(differs.cast("double") + 0.5) / F.log(F.lit(GROWTH))).cast("int")
-    gap = PART * (F.col("n") + F.col("nb")) - (PART + WHOLE) * F.col("common")
-    class_ = F.coalesce("own", "node")
-    members = table(members.select("p", "node", "n", class_.alias("class"), (class_ != F.coalesce("main", "p")).alias("apart"), step.alias("step"), gap.alias("gap"), "beyond", "lacks"), "members")
-    mixed = table(members.groupBy("p").agg(F.bool_or("apart").alias("any"), F.collect_set("step").alias("steps")).where("any").select("p", "steps"), "mixed")
-    # for each size of the other: shared shingles weigh ``needs`` or more, and the other can't share more than it has
-    needs = lambda j: F.col("gap") + F.pow(F.lit(GROWTH), j) - 1
-    enough = lambda j: PART * needs(j) <= (PART + WHOLE) * F.pow(F.lit(GROWTH), j + 1)
-    sides = F.transform(F.filter("steps", enough), lambda j: F.struct(j.alias("j"), needs(j).alias("needs")))
-    row = ["p", "node", "n", "class", "apart", "step"]
-    held = members.hint("merge").join(mixed, "p").withColumn("sides", sides).where(F.size("sides") > 0)
-    tokens = table(held.select(*row, "sides", F.inline(F.concat(F.transform("lacks", _kind(0)), F.transform("beyond", _kind(1))))), "tokens")
-    at = ["p", "kind", "token"]
+    return voted.join(chosen, "band").select("node", "n", "p").distinct()
+
+
+#: |u & v| needed for a link is this share of |u| + |v|.
+_SHARE = THRESHOLD / (1 + THRESHOLD)
+
+
+def _rest(large: DataFrame, compared: DataFrame, links: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links of large buckets between nodes that the pivots left in different classes."""
+    class_of = components(links, scratch, "pivot-classes")
+    members = large.where("node <> p")
+    members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("p"), "common", "added"), ["node", "p"])
+    members = scratch.table(members.join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "classed")
+    # a pivot may have a large part of all members: joins by p are between tables, and may be split
+    mains = scratch.table(members.select(F.col("p").alias("node")).distinct().join(class_of, "node", "left").select(F.col("node").alias("p"), F.coalesce("component", "node").alias("main")), "mains")
+    members = scratch.table(members.hint("merge").join(mains, "p").withColumn("apart", F.col("class") != F.col("main")).drop("main"), "members")
+    mixed = scratch.table(members.groupBy("p").agg(F.min("n").alias("least"), F.bool_or("apart").alias("any")).where("any").select("p", "least"), "mixed")
+    members = scratch.table(members.hint("merge").join(mixed, "p"), "mixed-members")
+    if not members.limit(1).count():
+        return None
+    # v must have this many shingles at most, or share with u what the pivot hasn't
+    members = members.withColumn("room", F.floor(F.col("common") / _SHARE - F.col("n") + 1e-9))
+
+    tokens = scratch.table(members.select("p", "node", "class", "apart", F.inline("added")), "tokens")
     same = [F.bit_xor(F.xxhash64("node", "w", F.lit(i))).alias(f"f{i}") for i in (1, 2)]
-    telling = tokens.groupBy(*at).agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), *same).where("any AND lo <> hi")
-    telling = table(telling.groupBy("p", "kind", "f1", "f2").agg(F.min("token").alias("token"), F.first("c").alias("c"), F.count("*").alias("times")).drop("f1", "f2"), "telling")
-    # one of the shared shingles is not among the most frequent ones that weigh less than what is needed
-    frequent = Window.partitionBy("p", "node").orderBy(F.desc("c"), "kind", "token")
-    rare = tokens.join(telling, at).withColumn("sum", (PART + WHOLE) * F.sum(F.col("w") * F.col("times")).over(frequent))
-    rare = rare.select(*at, *row[1:], F.explode(F.filter("sides", lambda x: x["needs"] <= F.col("sum"))["j"]).alias("j"))
-    side = F.when(F.col("step") != F.col("j"), F.col("step")).cast("long")
-    rare = table(rare.select(*at, F.least("step", "j").alias("s"), F.greatest("step", "j").alias("t"), side.alias("side"), "node", "n", "class", "apart"), "rare")
-    at = [*at, "s", "t"]
-    whole = F.first("side").isNull() | (F.min("side") != F.max("side"))
-    groups = rare.groupBy(*at).agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), whole.alias("whole"))
-    groups = table(groups.where("any AND lo <> hi AND whole").select(*at, "c"), "groups")
-    met = table(rare.hint("merge").join(groups, at), "met")
-    pairs = _all_pairs(met.where(F.col("c") <= SMALL).withColumn("member", F.struct("node", "n", "class", "side")), at)
-    known = compared.select("a", "b").union(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = table(pairs.distinct().join(known, ["a", "b"], "left_anti"), "next-pairs")
-    # a large group's pivot is the first node of its largest class, so groups share pivots
-    most = met.where(F.col("c") > SMALL)
-    firsts = most.groupBy(*at, "class").agg(F.count("*").alias("size"), F.max("node").alias("q"))
-    firsts = table(firsts.groupBy(*at).agg(F.max(F.struct("size", "q"))["q"].alias("q")), "firsts")
-    large = table(most.hint("merge").join(firsts, at).select("node", "n", F.col("q").alias("p")).where("node <> p").distinct(), "next-large")
-    scratch.drop(*(f"{name}-{t}" for t in ("members", "mixed", "tokens", "telling", "rare", "groups", "met", "firsts")))
-    return pairs, large
+    telling = tokens.groupBy("p", "token").agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), *same).where("any AND lo <> hi")
+    # shingles that the same nodes hold as often are one: they would name the same pairs again
+    telling = scratch.table(telling.groupBy("p", "f1", "f2").agg(F.min("token").alias("token"), F.first("c").alias("c"), F.count("*").alias("times")).drop("f1", "f2"), "telling")
+    held = scratch.table(tokens.join(telling, ["p", "token"]).withColumn("w", F.col("w") * F.col("times")), "held-tokens")
+    # u needs this much in common with v beyond the pivot, so one of its rarest such shingles, or v is ruled out
+    need = F.greatest(F.lit(1), F.ceil(_SHARE * (F.col("n") + F.greatest("least", F.ceil(THRESHOLD * F.col("n") - 1e-9))) - F.col("common") - 1e-9))
+    needs = members.where("apart").select("p", "node", need.alias("need"))
+    frequent = Window.partitionBy("p", "node").orderBy(F.desc("c"), "token")
+    rare = held.where("apart").join(needs, ["p", "node"]).withColumn("sum", F.sum("w").over(frequent)).where("sum >= need")
+    rare = scratch.table(rare.select("p", "token", "node", "class"), "rare-tokens")
+    # two nodes apart must meet in a token that is rare for both
+    y = rare.union(held.where("NOT apart").select("p", "token", "node", "class")).alias("y")
+    sharing = rare.alias("x").join(y, ["p", "token"]).where("x.class <> y.class").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+    row = ["p", "node", "n", "class", "room"]
+    x, y = members.where(F.col("apart") & (F.col("room") >= F.col("least"))).select(*row).alias("x"), members.select(*row).alias("y")
+    fits = (F.col("x.p") == F.col("y.p")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.n") <= F.col("x.room")) & (F.col("x.n") <= F.col("y.room")) & _alike("x.n", "y.n")
+    close = x.join(y, fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+    pairs = sharing.union(close).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    known = compared.select("a", "b").union(compared.select("b", "a"))
+    pairs = pairs.join(known, ["a", "b"], "left_anti")
+    return verify(pairs, texts, scratch, "second").where(F.col("sim") >= THRESHOLD).select("a", "b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
