@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenegrid.functions import geometry, scalar
-from scenegrid.operators import raster, relations, text
+from scenegrid.operators import raster, records, relations, text
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.queries_geometry import _CURVES, _curves
 from scenegrid.plans.registry import query
@@ -105,7 +105,7 @@ def fidelity_audit(spark, sf_dir):
     b = fixture(spark, sf_dir, "boxes").groupBy("scene_id").agg(F.count("*").alias("objects"), F.count_if(F.col("opacity") == 0).alias("hidden"))
     n = F.coalesce("errors", F.lit(0))
     out = b.join(errors, "scene_id", "left").withColumn("errors", n)
-    return out.withColumn("status", F.when(F.col("errors") > 0, "FAIL").when(F.col("hidden") > 0, "UNRESOLVED").otherwise("VERIFIED_IN_DECLARED_SCOPE"))
+    return out.withColumn("status", records.audit_status(F.col("errors"), F.col("hidden")))
 
 
 @query("WITH a AS (SELECT o_orderkey AS xref, md5(o_orderpriority) AS digest FROM orders), b AS (SELECT xref, CASE WHEN xref % 101 = 0 THEN 'x' ELSE digest END AS digest FROM a WHERE xref % 103 <> 0) SELECT count(*) AS n, count(b.xref) AS kept, count(*) FILTER (WHERE a.digest = b.digest) AS identical FROM a LEFT JOIN b USING (xref)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenegrid.operators import layout, raster, text
+from scenegrid.operators import layout, raster, records, text
 from scenegrid.operators.rules import ring
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.queries_geometry import _PIXELS
@@ -291,4 +291,4 @@ def contour_checks(spark, sf_dir):
 def receipts(spark, sf_dir):
     """Receipts as compact JSON."""
     g = _table(spark, sf_dir, "documents").groupBy(F.expr("doc_id % 50").alias("source")).agg(F.count("*").alias("n"))
-    return g.withColumn("receipt", F.to_json(F.struct("source", "n")))
+    return g.withColumn("receipt", records.receipt("source", "n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenegrid.functions import scalar
-from scenegrid.operators import paths, relations
+from scenegrid.operators import paths, records, relations
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.queries_geometry import _CURVES, _curves
 from scenegrid.plans.registry import query
@@ -51,18 +51,15 @@ def paint_overlaps(spark, sf_dir):
 @query("WITH u AS (SELECT o_custkey AS package, (o_orderkey % 40 - 1) AS native_id, count(*) AS n FROM orders GROUP BY ALL) SELECT package, native_id, CASE WHEN native_id <= 0 THEN 'not_positive' WHEN n > 1 THEN 'repeated' END AS code FROM u WHERE native_id <= 0 OR n > 1")
 def native_ids(spark, sf_dir):
     """Native ids are positive and unique within a slide."""
-    u = _table(spark, sf_dir, "orders").selectExpr("o_custkey AS package", "o_orderkey % 40 - 1 AS native_id").groupBy("package", "native_id").agg(F.count("*").alias("n"))
-    return u.select("package", "native_id", F.when(F.col("native_id") <= 0, "not_positive").when(F.col("n") > 1, "repeated").alias("code")).where("code IS NOT NULL")
+    return records.id_codes(_table(spark, sf_dir, "orders").selectExpr("o_custkey AS package", "o_orderkey % 40 - 1 AS native_id"), "package", "native_id")
 
 
 @query("WITH w AS (SELECT DISTINCT lower(substr(o_orderpriority, 1, 1)) AS ext, 'type' || o_orderkey % 3 AS type FROM orders), k AS (SELECT * FROM (VALUES ('1', 'type1'), ('2', 'type2')) t(ext, known)), g AS (SELECT ext, count(*) AS n, min(type) AS type FROM w GROUP BY ext) SELECT ext, n, CASE WHEN n > 1 THEN 'conflict' WHEN known IS NULL THEN 'registered' WHEN known <> type THEN 'conflict' ELSE 'known' END AS code FROM g LEFT JOIN k USING (ext)")
 def type_registration(spark, sf_dir):
     """Content types to register for extensions, and conflicts."""
-    w = _table(spark, sf_dir, "orders").select(F.lower(F.substring("o_orderpriority", 1, 1)).alias("ext"), F.concat(F.lit("type"), F.expr("o_orderkey % 3")).alias("type")).distinct()
-    g = w.groupBy("ext").agg(F.count("*").alias("n"), F.min("type").alias("type"))
+    w = _table(spark, sf_dir, "orders").select(F.lower(F.substring("o_orderpriority", 1, 1)).alias("ext"), F.concat(F.lit("type"), F.expr("o_orderkey % 3")).alias("type"))
     known = spark.createDataFrame([("1", "type1"), ("2", "type2")], "ext string, known string")
-    code = F.when(F.col("n") > 1, "conflict").when(F.col("known").isNull(), "registered").when(F.col("known") != F.col("type"), "conflict").otherwise("known")
-    return g.join(F.broadcast(known), "ext", "left").select("ext", "n", code.alias("code"))
+    return records.register_types(w, known)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN floor(l_extendedprice * 9525 * 2.5 + 0.5) <= 2147483647 THEN floor(l_extendedprice * 9525 * 2.5 + 0.5)::BIGINT END AS scaled, CASE WHEN floor(l_extendedprice * 9525 * 2.5 + 0.5) > 2147483647 THEN 'range' ELSE 'ok' END AS code FROM lineitem")
@@ -92,16 +89,14 @@ def hairline_units(spark, sf_dir):
 def profile_families(spark, sf_dir):
     """Families that a profile names twice, whatever case."""
     name = F.expr("CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE initcap(c_mktsegment) END")
-    g = _table(spark, sf_dir, "customer").groupBy(F.lower(name).alias("family")).agg(F.count("*").alias("n"), F.countDistinct("c_nationkey").alias("faces"))
-    return g.withColumn("repeated", F.col("n") > 1)
+    return records.repeated_families(_table(spark, sf_dir, "customer"), name, "c_nationkey")
 
 
 @query("WITH p AS (SELECT p_partkey AS pdf, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'CMMI10' WHEN 1 THEN 'ABCDEF+CMR7' WHEN 2 THEN 'Arial' ELSE 'CMSY10' END AS font FROM part) SELECT pdf, CASE WHEN font = 'Arial' THEN ['arial'] ELSE [] END AS unknown FROM p")
 def embedded_fonts(spark, sf_dir):
     """Embedded fonts against the ones that may be there."""
     font = F.expr("CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'CMMI10' WHEN 1 THEN 'ABCDEF+CMR7' WHEN 2 THEN 'Arial' ELSE 'CMSY10' END")
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pdf"), F.array(scalar.font_name(font)).alias("fonts"))
-    return p.select("pdf", F.filter("fonts", lambda f: ~f.rlike("^cm(mi|r|sy|ex)[0-9]+$")).alias("unknown"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pdf"), records.unlisted_fonts(F.array(font), "^cm(mi|r|sy|ex)[0-9]+$").alias("unknown"))
 
 
 @query(cte("boxes") + " SELECT object_id, greatest(0, floor(x / 3))::BIGINT AS x0, least(300, ceil((x + width) / 3))::BIGINT AS x1, CASE WHEN ceil((x + width) / 3) <= 0 OR floor(x / 3) >= 300 OR least(300, ceil((x + width) / 3)) <= greatest(0, floor(x / 3)) THEN 'empty' ELSE 'ok' END AS code FROM boxes")
@@ -115,23 +110,22 @@ def pixel_boxes(spark, sf_dir):
 def profile_rules(spark, sf_dir):
     """Which rule of a profile a scene breaks first."""
     g = fixture(spark, sf_dir, "boxes").groupBy("scene_id").agg(F.count_if(F.expr("rotation <> 0 AND kind = 'image'")).alias("r"), F.countDistinct("group_id").alias("k"), F.count_if(F.col("stroke_width") > 1).alias("heavy"))
-    return g.select("scene_id", F.when(F.col("r") > 0, "rotated_picture").when(F.col("k") > 24, "many_groups").otherwise("ok").alias("rule"), "heavy")
+    return g.select("scene_id", records.first_code((F.col("r") > 0, "rotated_picture"), (F.col("k") > 24, "many_groups")).alias("rule"), "heavy")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 100 > 50 THEN 'unknown_id' WHEN user_id % 7 = 0 THEN 'page' WHEN value < 5 THEN 'bounds' ELSE 'ok' END AS code FROM events")
 def recipe_rules(spark, sf_dir):
     """A recipe's ids, pages and bounds."""
-    known = spark.range(51).select(F.col("id").alias("wanted"), F.lit(True).alias("known"))
+    known = spark.range(51).select(F.col("id").alias("wanted"))
     e = _table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 100 AS wanted", "user_id % 7 AS page", "value")
-    code = F.when(F.col("known").isNull(), "unknown_id").when(F.col("page") == 0, "page").when(F.col("value") < 5, "bounds").otherwise("ok")
-    return e.join(F.broadcast(known), "wanted", "left").select("event_id", code.alias("code"))
+    code = records.first_code((~F.col("listed"), "unknown_id"), (F.col("page") == 0, "page"), (F.col("value") < 5, "bounds"))
+    return records.listed(e, known, ["wanted"]).select("event_id", code.alias("code"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, strlen(text) AS n_bytes, CASE WHEN left(text, 1) = '<' THEN 'markup' WHEN text = '' THEN 'empty' ELSE 'text' END AS kind FROM documents")
 def ingested_assets(spark, sf_dir):
     """Size, digest and kind of what is taken in."""
-    kind = F.when(F.startswith(F.col("text"), F.lit("<")), "markup").when(F.col("text") == "", "empty").otherwise("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), kind.alias("kind"))
+    return records.described(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(cte("attachments") + ", c AS (SELECT parent_id, count(*) AS n, min(child_id) AS child FROM attachments WHERE parent_id IS NOT NULL GROUP BY parent_id) SELECT child_id AS id, a.parent_id IS NULL AS root, coalesce(n, 0) AS n_children, child FROM attachments a LEFT JOIN c ON c.parent_id = a.child_id")

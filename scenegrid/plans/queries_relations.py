@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenegrid.operators import graph, relations
+from scenegrid.operators import graph, records, relations
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
 
@@ -228,7 +228,7 @@ def glyph_bindings(spark, sf_dir):
 @query("SELECT o_custkey AS mask_id, list_sort(list(DISTINCT o_orderkey % 50)) AS parents, count(*) AS n FROM orders GROUP BY o_custkey")
 def mask_owners(spark, sf_dir):
     """The parents that share each soft mask."""
-    return _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("mask_id")).agg(F.sort_array(F.collect_set(F.expr("o_orderkey % 50"))).alias("parents"), F.count("*").alias("n"))
+    return records.owners(_table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "mask_id"), "mask_id", F.expr("o_orderkey % 50"))
 
 
 @query("WITH a AS (SELECT s_suppkey % 7 AS role, s_name AS path, sha256(s_name) AS digest FROM supplier), b AS (SELECT s_suppkey % 7 AS role, s_name AS path, sha256(CASE WHEN s_suppkey % 12 = 0 THEN s_name || 'x' ELSE s_name END) AS digest FROM supplier WHERE s_suppkey % 19 <> 0) (SELECT 'not_found' AS code, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT 'not_declared', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))")
@@ -343,8 +343,7 @@ def patch_guard(spark, sf_dir):
 @query("SELECT user_id AS job, coalesce(max(event_id % 1000), 0) + 1 AS run, 'run-' || lpad((coalesce(max(event_id % 1000), 0) + 1)::VARCHAR, 4, '0') AS name FROM events GROUP BY user_id")
 def next_run(spark, sf_dir):
     """K5: the next free run of each job."""
-    run = F.coalesce(F.max(F.expr("event_id % 1000")), F.lit(0)) + 1
-    return _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job")).agg(run.alias("run")).withColumn("name", F.concat(F.lit("run-"), F.lpad(F.col("run").cast("string"), 4, "0")))
+    return records.next_runs(_table(spark, sf_dir, "events").withColumnRenamed("user_id", "job"), "job", F.expr("event_id % 1000"))
 
 
 @query(
@@ -387,7 +386,7 @@ def disjoint_groups(spark, sf_dir):
 @query("SELECT DISTINCT o_custkey AS id FROM orders INTERSECT SELECT p_partkey FROM part WHERE p_partkey % 5 = 0")
 def id_collisions(spark, sf_dir):
     """Ids used both by objects and by groups."""
-    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).intersect(_table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_partkey"))
+    return records.collisions(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), _table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_partkey"))
 
 
 @query(

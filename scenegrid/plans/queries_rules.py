@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenegrid.functions import scalar
-from scenegrid.operators import rules
+from scenegrid.operators import records, rules
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
 
@@ -116,9 +116,9 @@ def part_names(spark, sf_dir):
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (0, 1) AND o_orderkey % 3 = 0 THEN 'supported' WHEN o_orderkey % 4 = 2 AND o_orderkey % 3 <> 0 THEN 'supported' ELSE 'unsupported' END AS code FROM orders")
 def policy_lookup(spark, sf_dir):
     """Which policy a backend supports, by a table."""
-    allowed = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (2, 2)], "backend bigint, policy bigint").withColumn("ok", F.lit("supported"))
+    allowed = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (2, 2)], "backend bigint, policy bigint")
     asked = _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey % 4 AS backend", "o_orderkey % 3 AS policy")
-    return asked.join(F.broadcast(allowed), ["backend", "policy"], "left").select("id", F.coalesce("ok", F.lit("unsupported")).alias("code"))
+    return records.listed(asked, allowed, ["backend", "policy"]).select("id", F.when(F.col("listed"), "supported").otherwise("unsupported").alias("code"))
 
 
 @query(
@@ -126,9 +126,7 @@ def policy_lookup(spark, sf_dir):
 )
 def review_roles(spark, sf_dir):
     """The roles a review must have seen."""
-    seen = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("seen"))
-    lacks = lambda *r: F.array_except(F.array(*map(F.lit, r)), F.col("seen"))
-    return seen.select("conv_id", lacks("assistant", "system", "user").alias("missing"), F.when(F.size(lacks("assistant", "user")) == 0, "no_observed_issue").otherwise("needs_further_review").alias("status"))
+    return records.missing_roles(_table(spark, sf_dir, "conversations"), "conv_id", "role", ("assistant", "user"), ("assistant", "system", "user"))
 
 
 @query("SELECT event_id, list_filter(json_keys(replace(props, '{', '{\"id\": 1, ')), lambda k: k <> 'id') AS unknown FROM events")
