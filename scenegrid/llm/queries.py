@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenegrid.llm import chat, decontaminate, language, near_dup, packing, quality_model, quality_rules, suffix_dedup, tokens, toxicity
+from scenegrid.llm import chat, clustering, decontaminate, exact_dedup, language, lexical, near_dup, packing, quality_model, quality_rules, suffix_dedup, tokens, toxicity
 from scenegrid.llm.tables import read
 
 
@@ -52,6 +52,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Rounds written out one after another; every distance is measured."""
+    distance = "list_sum(list_transform(range(1, {dim} + 1), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))::BIGINT".format(dim=dim)
+    out = [
+        f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v AS c FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})"""
+    ]
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT v.vec_id, v.v, c.k, {distance} AS d, row_number() OVER (PARTITION BY v.vec_id ORDER BY {distance}, c.k) AS r FROM v, c{i} c) WHERE r = 1)")
+        if i < rounds:
+            out.append(
+                f"""m{i} AS (SELECT k, list(m ORDER BY i) AS c FROM (
+  SELECT k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM (SELECT k, unnest(range(1, {dim} + 1)) AS i, unnest(v) AS x FROM a{i}) GROUP BY k, i) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))"""
+            )
+    return ",\n".join(out) + f"""
+SELECT vec_id, a.k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (k)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +99,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_token_ids,
         op10_toxicity,
+        op11_exact_dedup,
+        op12_lexical_search,
+        op13_centroid_clustering,
     )
 }
 
@@ -127,4 +164,18 @@ m AS (SELECT doc_id, item_id, start, sum(least(x.c, y.c)) AS met FROM x JOIN y U
 n AS (SELECT doc_id, item_id, start, sum(c) AS n FROM x GROUP BY ALL), k AS (SELECT item_id, sum(c) AS n FROM y GROUP BY ALL),
 j AS (SELECT doc_id, item_id, start, met / (n.n + k.n - met) AS similarity FROM m JOIN n USING (doc_id, item_id, start) JOIN k USING (item_id))
 SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity FROM j WHERE similarity >= 0.8 GROUP BY doc_id, item_id""",
+    "op11_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM r""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+n AS (SELECT doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM n),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // l))))::BIGINT AS score FROM b JOIN p USING (term) JOIN f USING (term) JOIN n USING (doc_id), c GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+    "op13_centroid_clustering": _clustering_sql(),
 }
