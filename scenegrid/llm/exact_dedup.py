@@ -46,7 +46,9 @@ def blocks_of(text: Column, size: int = BLOCK_BYTES) -> Column:
 def _names(held: DataFrame, content: list[str], scratch: Scratch, name: str) -> DataFrame:
     """The integer names of the contents that two documents or more hold, by their order."""
     shared = held.groupBy(*content).agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select(*content)
-    ordered = shared.repartitionByRange(*content).sortWithinPartitions(*content)
+    # ranges are drawn from the beginning and a hash of contents, so that only these come to the driver; what is equal in both is told apart by the sort
+    where = [*[F.substring(c, 1, 16) if dict(held.dtypes)[c] == "binary" else F.col(c) for c in content], F.xxhash64(*content)]
+    ordered = shared.repartitionByRange(*where).sortWithinPartitions(*where, *content)
     return scratch.table(ordered.withColumn("name", F.monotonically_increasing_id()), name)
 
 
@@ -75,7 +77,7 @@ def _grouped(docs: DataFrame, text: str, size: int, whole: bool) -> tuple[DataFr
     scratch = Scratch(docs.sparkSession, "exact")
     bare = docs.select(F.col("doc_id"), F.length(text_of(text)).cast("long").alias("points"), without_space(text_of(text)).alias("bare"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []))
     rows = bare.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "points", F.sha2("bare", 256).alias("text_sha256"), blocks_of(F.col("bare"), size).alias("blocks"), *(["row"] if whole else []))
-    rows = scratch.table(rows, "rows")
+    rows = scratch.table(rows, "rows", compression="zstd")
     found = rows.select("uid", "doc_id", "points", "text_sha256").join(identities(rows, scratch), "uid", "left")
     found = scratch.table(found, "identities")
     first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))

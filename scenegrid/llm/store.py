@@ -56,10 +56,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/scenegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
         _made.append((spark, self.root))
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write and read again."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
