@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: chains of named intermediate columns would be written out anew for each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cubic(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column:
     """One coordinate of a cubic Bezier curve."""
     u = 1 - t

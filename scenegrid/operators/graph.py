@@ -1,67 +1,65 @@
 """Graphs of records: order of attachments, roots, reference chains, components, routing grids.
 
 Depth is found by pointer doubling: each round a record's parent pointer jumps to where the parent's
-pointer points, so a chain of length n takes log2(n) joins and there is no limit of recursion. While a chain
-isn't at its end, every round brings a record to one; records left when a round brings none stand on a cycle
-or hang below one. Each round is a checkpoint, so the plan doesn't double.
+pointer points, so a chain of length n takes log2(n) joins and there is no limit of recursion. Pointers are joined on ids that are
+there once, so no round has more records than the one before, and after log2(records) + 1 rounds a record that is still open stands on a cycle or hangs below one.
+Every id has one row in the result, with a code where it has no answer: ``repeated_id`` (its id, or one above it, names several records),
+``dangling`` (a parent above it isn't there) or ``cycle``. Each round is a written table, so the plan doesn't double; the one before is deleted.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """The table as a checkpoint, in the folder that driver and executors share."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="scenegrid-")
-            atexit.register(shutil.rmtree, path, True)
-        context.setCheckpointDir(path)
-    return df.checkpoint()
-
-
-def doubled(step: DataFrame, key: str, merge: dict[str, Column], rounds: int | None = None, around: bool = False) -> DataFrame:
-    """One round after another over ``step`` (key, at and the columns of ``merge``, among them ``open``), until no record is
-    open or a round closes and drops none. merge: each column after a round, from its own value and, as up_..., the one
-    of the record pointed to. ``around``: pointers run in rings, where open tells whether the last round changed a record;
-    the end is a round that changes and drops none. ``rounds``: do no more than so many."""
-    before = None
-    while True:
-        step = written(step)
-        now = tuple(step.agg(F.count_if("open"), F.count("*")).first())
-        ended = now == (0, before and before[1]) if around else not now[0] or now == before
-        if ended or rounds == 0:
-            return step
-        before, rounds = now, rounds and rounds - 1
-        up = step.select(F.col(key).alias("at"), F.col("at").alias("next"), *[F.col(c).alias(f"up_{c}") for c in merge])
-        step = step.join(up, "at").select(key, F.col("next").alias("at"), *[c.alias(name) for name, c in merge.items()])
+from scenegrid.operators.tables import Rounds, written
+
+
+def doubled(step: DataFrame, key: str, merge: dict[str, Column], rounds: int | None = None, until: str = "closed") -> DataFrame:
+    """One round after another over ``step`` (key, at, open and the columns of ``merge``; a record that isn't open points to itself), until no record is
+    open, a round closes none, or log2(records) + 1 rounds are done. merge: each column after a round, from its own value and, as up_..., the one
+    of the record pointed to. The result has a column ``code`` more: repeated_id, dangling, or cycle for those that stay open. ``until``: in place of the end above,
+    ``unchanged`` ends after a round that leaves none open, and ``bound`` after all rounds; neither codes cycles. ``rounds``: do no more than so many."""
+    tables = Rounds(step.sparkSession, "graph")
+    rest = [c for c in step.columns if c not in (key, "at", "open")]
+    once = F.col("copies") == 1
+    one = step.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("at", "open", *rest)])
+    alone = [F.when(once, F.col("at")).otherwise(F.col(key)).alias("at"), (once & F.col("open")).alias("open"), *[F.when(once, F.col(c)).alias(c) for c in rest]]
+    step = tables.replace(one.select(key, *alone, F.when(~once, "repeated_id").alias("code")))
+    n = step.count()
+    most = max(1, n - 1).bit_length() + 1
+    most, before = most if rounds is None else min(rounds, most), None
+    names = [c for c in merge if c != "open"]
+    for _ in range(most):
+        if until != "bound":
+            now = step.where("open").count()
+            if not now or now == before and until == "closed":
+                break
+            before = now
+        up = step.select(F.col(key).alias("at"), F.col("at").alias("next"), F.col("open").alias("up_open"), F.col("code").alias("up_code"), *[F.col(c).alias(f"up_{c}") for c in rest])
+        there = F.col("next").isNotNull()
+        code = F.coalesce(F.col("code"), F.when(~there, "dangling"), F.col("up_code"))
+        opened = merge["open"] & there & code.isNull()
+        going = step.join(up, "at", "left")
+        step = tables.replace(going.select(key, F.coalesce("next", "at").alias("at"), F.coalesce(opened, F.lit(False)).alias("open"), *[F.when(there, merge[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in rest], code.alias("code")))
+    return step if until != "closed" else step.withColumn("code", F.coalesce(F.col("code"), F.when(F.col("open"), "cycle")))
 
 
 def attachment_order(attachments: DataFrame, rounds: int | None = None) -> DataFrame:
-    """child_id, root_id, depth (0: a root) and on_cycle of each record. Parents must be records of the table
-    (see ``dangling``)."""
+    """child_id, root_id, depth (0: a root), on_cycle and a code of each id."""
     has = F.col("parent_id").isNotNull()
     step = attachments.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.when(has, 1).otherwise(0).cast("long").alias("depth"), has.alias("open"))
     done = doubled(step, "child_id", {"depth": F.col("depth") + F.col("up_depth"), "open": F.col("up_open")}, rounds)
-    return done.select("child_id", F.when(~F.col("open"), F.col("at")).alias("root_id"), F.when(~F.col("open"), F.col("depth")).alias("depth"), F.col("open").alias("on_cycle"))
+    sound = F.col("code").isNull()
+    return done.select("child_id", F.when(sound, F.col("at")).alias("root_id"), F.when(sound, F.col("depth")).alias("depth"), F.col("open").alias("on_cycle"), "code")
 
 
 def resolve_offsets(attachments: DataFrame, rounds: int | None = None) -> DataFrame:
-    """The sum of the offsets from each record up to its root, by the same doubling; null on and below a cycle."""
+    """child_id, root_id and the sum of the offsets from each record up to its root, by the same doubling; null with a code where there is no root."""
     has = F.col("parent_id").isNotNull()
     step = attachments.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.when(has, F.col("dx")).otherwise(0.0).alias("dx"), F.when(has, F.col("dy")).otherwise(0.0).alias("dy"), has.alias("open"))
     done = doubled(step, "child_id", {"dx": F.col("dx") + F.col("up_dx"), "dy": F.col("dy") + F.col("up_dy"), "open": F.col("up_open")}, rounds)
-    return done.select("child_id", *[F.when(~F.col("open"), F.col(c)).alias(name) for c, name in (("at", "root_id"), ("dx", "dx"), ("dy", "dy"))])
+    return done.select("child_id", *[F.when(F.col("code").isNull(), F.col(c)).alias(name) for c, name in (("at", "root_id"), ("dx", "dx"), ("dy", "dy"))], "code")
 
 
 def expand_references(uses: DataFrame, definitions: DataFrame, depth: int = 32) -> DataFrame:
@@ -69,8 +67,9 @@ def expand_references(uses: DataFrame, definitions: DataFrame, depth: int = 32)
     and a code (``cycle``, ``too_deep`` or ``dangling``) where there is none."""
     table = definitions.select(F.col("def_id").alias("at"), "target_id", F.lit(True).alias("known"))
     state = uses.select("use_id", F.col("ref_id").alias("at"), F.array("ref_id").alias("path"), F.lit(None).cast("string").alias("code"), F.lit(False).alias("done"))
+    tables = Rounds(uses.sparkSession, "references")
     for _ in range(depth):
-        state = written(state)
+        state = tables.replace(state)
         if state.where("NOT done").isEmpty():
             break
         found = state.join(table, "at", "left")

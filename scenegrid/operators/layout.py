@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrid.functions.geometry import let
 from scenegrid.operators import graph
+from scenegrid.operators.tables import written
 
 #: Fixed values, in pixels: width and least height of nodes, the gaps between columns and rows, where the first node stands, the
 #: margins of group frames, the cost of a bend, the margin of obstacles, and how far a route leads out of its port.
@@ -126,42 +128,65 @@ def label_places(labels: DataFrame, boxes: DataFrame, candidates: int = 4) -> Da
 
 
 def inherit(tree: DataFrame, value: str, rounds: int | None = None) -> DataFrame:
-    """child_id and the value of the nearest record, itself first, that has one, by pointer doubling up the tree."""
+    """child_id, the value of the nearest record, itself first, that has one, and a code, by pointer doubling up the tree. Without a value on the way
+    up the code tells why: null at a root, else dangling, repeated_id or cycle."""
     has, bare = F.col("parent_id").isNotNull(), F.col(value).isNull()
-    step = tree.select("child_id", F.coalesce("parent_id", "child_id").alias("at"), F.col(value).alias("v"), (has & bare).alias("open"))
+    step = tree.select("child_id", F.when(bare, F.coalesce("parent_id", "child_id")).otherwise(F.col("child_id")).alias("at"), F.col(value).alias("v"), (has & bare).alias("open"))
     done = graph.doubled(step, "child_id", {"v": F.coalesce("v", "up_v"), "open": F.col("open") & F.col("up_open")}, rounds)
-    return done.select("child_id", F.col("v").alias(value))
+    return done.select("child_id", F.col("v").alias(value), "code")
 
 
 def rings(successors: DataFrame, rounds: int | None = None) -> DataFrame:
-    """node and the smallest node of the ring that its successors run through (successor: a permutation). A round in which no
-    node learns of a smaller one has gone around every ring."""
+    """node, the smallest node of the ring that its successors run through, and a code: successors that run to a node that isn't there are ``dangling``, those to a node
+    with several successors ``repeated_id``, those into a ring that their node isn't on ``not_on_ring``. Where each node is pointed to once, a round without a change
+    has gone around every ring; otherwise log2(nodes) + 1 rounds have gone past every node that leads into one."""
     step = successors.select("node", F.col("successor").alias("at"), F.least("node", "successor").alias("ring"), F.lit(True).alias("open"))
     fewer = {"ring": F.least("ring", "up_ring"), "open": F.col("up_ring") < F.col("ring")}
-    return graph.doubled(step, "node", fewer, rounds, around=True).select("node", "ring")
+    n, pointed, nodes = successors.agg(F.count("*"), F.count_distinct("successor"), F.count_distinct("node")).first()
+    done = written(graph.doubled(step, "node", fewer, rounds, until="unchanged" if n == pointed == nodes else "bound"))
+    # only nodes on rings are pointed to after so many steps: what a node off the ring sees isn't its own
+    on = done.where("code IS NULL").select(F.col("at").alias("node")).distinct().withColumn("on", F.lit(True))
+    code = F.coalesce(F.col("code"), F.when(F.col("on").isNull(), "not_on_ring"))
+    return done.join(on, "node", "left").select("node", F.when(code.isNull(), F.col("ring")).alias("ring"), code.alias("code"))
+
+
+_NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_CALL = r"([A-Za-z]+)\s*\(([^()]*)\)\s*,?\s*"
 
 
 def matrix(text: Column) -> Column:
-    """The product of a transform list (matrix, translate, scale, rotate about the origin) as an array of six."""
-    calls = F.regexp_extract_all(text, F.lit(r"([a-z]+)\(([^)]*)\)"), 0)
-    number = lambda c, i, d: F.coalesce(F.get(F.regexp_extract_all(c, F.lit(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"), 0), F.lit(i)).try_cast("double"), d)
-
-    def one(c: Column) -> Column:
-        zero, unit = F.lit(0.0), F.lit(1.0)
-        n = [number(c, i, zero) for i in range(6)]
-        r = F.radians(n[0])
-        return (
-            F.when(c.startswith("matrix"), F.array(*n))
-            .when(c.startswith("translate"), F.array(unit, zero, zero, unit, n[0], n[1]))
-            .when(c.startswith("scale"), F.array(n[0], zero, zero, number(c, 1, n[0]), zero, zero))
-            .when(c.startswith("rotate"), F.array(F.cos(r), F.sin(r), -F.sin(r), F.cos(r), zero, zero))
-        )
+    """The product of a transform list (matrix, translate, scale, rotate about the origin or a point, skewX, skewY) as an array of six; the identity for an empty list. Null where
+    anything of the list isn't read: another name, a wrong number of numbers, text in between."""
+    calls = F.regexp_extract_all(text, F.lit(_CALL), 0)
 
     def times(m: Column, k: Column) -> Column:
         a, b = [m[i] for i in range(6)], [k[i] for i in range(6)]
         return F.array(a[0] * b[0] + a[2] * b[1], a[1] * b[0] + a[3] * b[1], a[0] * b[2] + a[2] * b[3], a[1] * b[2] + a[3] * b[3], a[0] * b[4] + a[2] * b[5] + a[4], a[1] * b[4] + a[3] * b[5] + a[5])
 
-    return F.aggregate(F.transform(calls, one), F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)]), times)
+    def read(c: Column) -> Column:
+        args = F.regexp_extract(c, _CALL, 2)
+        n = F.transform(F.regexp_extract_all(args, F.lit(_NUMBER), 0), lambda x: x.try_cast("double"))
+        sound = ~F.regexp_replace(args, _NUMBER, "").rlike(r"[^\s,]")
+        return let(F.struct(F.regexp_extract(c, _CALL, 1).alias("k"), F.when(sound, n).alias("n")), item)
+
+    def item(s: Column) -> Column:
+        zero, unit, n = F.lit(0.0), F.lit(1.0), [F.get(s["n"], F.lit(i)) for i in range(6)]
+        is_ = lambda name, *sizes: (s["k"] == name) & F.size(s["n"]).isin(*sizes)
+        co, si = F.cos(F.radians(n[0])), F.sin(F.radians(n[0]))
+        px, py = F.coalesce(n[1], zero), F.coalesce(n[2], zero)
+        return (
+            F.when(is_("matrix", 6), F.array(*n))
+            .when(is_("translate", 1, 2), F.array(unit, zero, zero, unit, n[0], F.coalesce(n[1], zero)))
+            .when(is_("scale", 1, 2), F.array(n[0], zero, zero, F.coalesce(n[1], n[0]), zero, zero))
+            .when(is_("rotate", 1, 3), F.array(co, si, -si, co, px - co * px + si * py, py - si * px - co * py))
+            .when(is_("skewX", 1), F.array(unit, zero, F.tan(F.radians(n[0])), unit, zero, zero))
+            .when(is_("skewY", 1), F.array(unit, F.tan(F.radians(n[0])), zero, unit, zero, zero))
+        )
+
+    sound = ~F.regexp_replace(text, _CALL, "").rlike(r"\S")
+    identity = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)])
+    product = lambda items: F.when(~F.exists(items, lambda i: i.isNull()), F.aggregate(items, identity, times))
+    return F.when(sound, let(F.transform(calls, read), product))
 
 
 def clip_polygon(points: Column, x0: float, y0: float, x1: float, y1: float) -> Column:

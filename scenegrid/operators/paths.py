@@ -7,63 +7,6 @@ from pyspark.sql import functions as F
 
 from scenegrid.operators.rules import ring
 
-TOKEN = r"[MmLlHhVvCcSsQqTtAaZz]|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-
-
-def tokens(data: Column) -> Column:
-    """Commands and numbers of SVG path data."""
-    return F.regexp_extract_all(data, F.lit(TOKEN), 0)
-
-
-def parse_lines(paths: DataFrame, data: str) -> DataFrame:
-    """Points of path data of M, L, H, V and Z, absolute or relative, with repeated arguments: path_id, seq, op,
-    x, y. The cursor is a fold over the tokens of one path. Other commands give one row with op ``unsupported``."""
-    state = F.struct(
-        F.lit("").alias("op"),
-        F.lit(None).cast("double").alias("held"),
-        F.lit(0.0).alias("x"),
-        F.lit(0.0).alias("y"),
-        F.lit(0.0).alias("sx"),
-        F.lit(0.0).alias("sy"),
-        F.array().cast("array<struct<op:string,x:double,y:double>>").alias("out"),
-    )
-
-    def step(a: Column, t: Column) -> Column:
-        letter, value = t.rlike("^[A-Za-z]$"), t.try_cast("double")
-        op = a["op"]
-        relative = op.isin("m", "l", "h", "v")
-        level, upright = op.isin("H", "h"), op.isin("V", "v")
-        whole = ~letter & (level | upright | a["held"].isNotNull())
-        first = F.when(level, value).when(upright, a["x"]).otherwise(a["held"])
-        second = F.when(upright, value).when(level, a["y"]).otherwise(value)
-        nx = F.when(relative & ~upright, a["x"] + first).otherwise(first)
-        ny = F.when(relative & ~level, a["y"] + second).otherwise(second)
-        moves = op.isin("M", "m")
-        name = F.when(moves, "M").otherwise("L")
-        closes = letter & t.isin("Z", "z")
-        odd = letter & ~t.isin("M", "m", "L", "l", "H", "h", "V", "v", "Z", "z")
-        point = lambda o, x, y: F.array(F.struct(o.alias("op"), x.alias("x"), y.alias("y")))
-        out = (
-            F.when(closes, F.concat(a["out"], point(F.lit("Z"), a["sx"], a["sy"])))
-            .when(odd, F.concat(a["out"], point(F.lit("unsupported"), F.lit(None).cast("double"), F.lit(None).cast("double"))))
-            .when(whole, F.concat(a["out"], point(name, nx, ny)))
-            .otherwise(a["out"])
-        )
-        after = F.when(letter, t).when(whole & (op == "M"), "L").when(whole & (op == "m"), "l").otherwise(op)
-        return F.struct(
-            after.alias("op"),
-            F.when(letter | whole, F.lit(None).cast("double")).otherwise(value).alias("held"),
-            F.when(closes, a["sx"]).when(whole, nx).otherwise(a["x"]).alias("x"),
-            F.when(closes, a["sy"]).when(whole, ny).otherwise(a["y"]).alias("y"),
-            F.when(whole & moves, nx).otherwise(a["sx"]).alias("sx"),
-            F.when(whole & moves, ny).otherwise(a["sy"]).alias("sy"),
-            out.alias("out"),
-        )
-
-    done = paths.select("path_id", F.aggregate(tokens(F.col(data)), state, step, lambda a: a["out"]).alias("c"))
-    return done.select("path_id", F.posexplode("c").alias("seq", "c")).select("path_id", (F.col("seq") + 1).cast("long").alias("seq"), "c.*")
-
-
 def write_lines(commands: DataFrame) -> DataFrame:
     """path_id and path data of M and L commands in order."""
     step = F.transform(F.sort_array(F.collect_list(F.struct("seq", "op", "x", "y"))), lambda c: F.concat(c["op"], c["x"].cast("string"), F.lit(","), c["y"].cast("string")))
@@ -120,6 +63,63 @@ def dashes(segments: DataFrame, on: float, off: float) -> DataFrame:
     return cut.select("scene_id", "segment_id", F.col("k").cast("long").alias("k"), place("x1", "x2", begin).alias("x1"), place("y1", "y2", begin).alias("y1"), place("x1", "x2", end).alias("x2"), place("y1", "y2", end).alias("y2"))
 
 
+def dashes(segments: DataFrame, on: float, off: float) -> DataFrame:
+    """Dashes of axis-parallel or slanted segments of scene_id, segment_id, x1, y1, x2, y2: each starts anew."""
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("length") / (on + off)).cast("int") - 1)))
+    cut = segments.withColumn("length", length).where("length > 0").withColumn("k", at)
+    begin = F.col("k") * (on + off)
+    end = F.least(begin + on, F.col("length"))
+    place = lambda a, b, s: F.col(a) + (F.col(b) - F.col(a)) * s / F.col("length")
+    return cut.select("scene_id", "segment_id", F.col("k").cast("long").alias("k"), place("x1", "x2", begin).alias("x1"), place("y1", "y2", begin).alias("y1"), place("x1", "x2", end).alias("x2"), place("y1", "y2", end).alias("y2"))
+
+
+def edges(lines: DataFrame) -> DataFrame:
+    """Edges of M, L and Z commands (path_id, seq, op, x, y; after a Z a subpath begins at the same start): path_id, subpath, seq, x0, y0, x1, y1, closed, the distances from_s and
+    to_s along the subpath, and total. Edges of no length are left out."""
+    order = Window.partitionBy("path_id").orderBy("seq")
+    head = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("op").over(order)
+    rows = lines.withColumn("begins", (F.col("op") == "M") | (before == "Z") | before.isNull())
+    rows = rows.withColumns({"subpath": F.sum(F.col("begins").cast("int")).over(head).cast("long"), **{f"s{a}": F.last(F.when(F.col("op") == "M", F.col(a)), ignorenulls=True).over(head) for a in "xy"}})
+    rows = rows.withColumns({f"{a}1": F.when(F.col("op") == "Z", F.col(f"s{a}")).otherwise(F.col(a)) for a in "xy"})
+    own = Window.partitionBy("path_id", "subpath")
+    e = rows.withColumns({**{f"{a}0": F.lag(f"{a}1").over(order) for a in "xy"}, "closed": F.max(F.col("op") == "Z").over(own)}).where("op <> 'M'")
+    e = e.withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("length > 0")
+    to = F.sum("length").over(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return e.withColumns({"to_s": to, "total": F.sum("length").over(own)}).select("path_id", "subpath", "seq", "x0", "y0", "x1", "y1", "closed", (F.col("to_s") - F.col("length")).alias("from_s"), "to_s", "total")
+
+
+def dashes_along(lines: DataFrame, pattern: list[float], phase: float = 0.0) -> DataFrame:
+    """Dashes of whole subpaths: path_id, subpath, dash, piece (from 1, along the dash), x0, y0, x1, y1, from_s, to_s, closed (the dash is all of a closed subpath) and seam (it runs over
+    the point where a closed subpath begins). A dash goes on around corners; the pattern, doubled where it is odd, begins ``phase`` into itself at every subpath. Each edge finds the marks
+    over it from its distances along the subpath, so the cost is the edges and the pieces. Curves are flattened before (``path_data.flatten``)."""
+    if not pattern or min(pattern) <= 0:
+        raise ValueError("dash lengths must be positive")
+    whole = pattern if len(pattern) % 2 == 0 else pattern * 2
+    starts = [sum(whole[:i]) for i in range(len(whole) + 1)]
+    cycle, marks = starts[-1], len(whole) // 2
+    phase %= cycle
+    on = F.array(*[F.struct(F.lit(i).cast("long").alias("j"), F.lit(float(starts[2 * i])).alias("a"), F.lit(float(starts[2 * i + 1])).alias("b")) for i in range(marks)])
+    turn = lambda s: F.floor((F.col(s) + phase) / cycle)
+    rows = edges(lines).withColumn("n", F.explode(F.sequence(turn("from_s"), turn("to_s")))).withColumn("m", F.explode(on))
+    mark = lambda c: F.col("n") * cycle + F.col(f"m.{c}") - phase
+    rows = rows.withColumns({"u": F.greatest("from_s", mark("a")), "v": F.least("to_s", mark("b")), "dash": F.col("n") * marks + F.col("m.j")})
+    # rounding must leave no dash where two marks meet
+    slack = 1e-9 * F.greatest(F.lit(1.0), F.col("total"))
+    rows = rows.where(F.col("v") - F.col("u") > slack)
+    own = Window.partitionBy("path_id", "subpath")
+    rows = rows.withColumns({"first": F.min("dash").over(own), "final": F.max("dash").over(own), "begun": F.min("u").over(own), "ended": F.max("v").over(own)})
+    meets = F.col("closed") & (F.col("begun") <= 0) & (F.col("ended") >= F.col("total") - slack)
+    late = meets & (F.col("dash") == F.col("final")) & (F.col("first") < F.col("final"))
+    rows = rows.withColumns({"joined": meets & F.col("dash").isin(F.col("first"), F.col("final")), "late": late, "dash": F.when(late, F.col("first")).otherwise(F.col("dash"))})
+    piece = F.row_number().over(Window.partitionBy("path_id", "subpath", "dash").orderBy(F.desc("late"), "u"))
+    part = lambda s, a: F.col(f"{a}0") + (F.col(f"{a}1") - F.col(f"{a}0")) * (F.col(s) - F.col("from_s")) / (F.col("to_s") - F.col("from_s"))
+    out = rows.withColumns({"piece": piece.cast("long"), "number": F.dense_rank().over(own.orderBy("dash")).cast("long"), "px": part("u", "x"), "py": part("u", "y"), "qx": part("v", "x"), "qy": part("v", "y")})
+    alone = F.col("joined") & (F.col("first") == F.col("final"))
+    return out.select("path_id", "subpath", F.col("number").alias("dash"), "piece", F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("qx").alias("x1"), F.col("qy").alias("y1"), F.col("u").alias("from_s"), F.col("v").alias("to_s"), alone.alias("closed"), (F.col("joined") & ~alone).alias("seam"))
+
+
 def native_markup(commands: DataFrame) -> DataFrame:
     """path_id and markup of an integer path: a moveTo, then lnTo."""
     point = F.transform(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenegrid.functions import geometry, scalar
-from scenegrid.operators import paths, raster, text
+from scenegrid.operators import path_data, paths, raster, text
 from scenegrid.operators.rules import ring
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
@@ -241,7 +241,7 @@ def connector_presets(spark, sf_dir):
 def path_round_trip(spark, sf_dir):
     """Paths written as path data and parsed back."""
     c = fixture(spark, sf_dir, "commands").withColumn("op", F.expr("CASE WHEN seq % 4 = 1 THEN 'M' ELSE 'L' END"))
-    return paths.parse_lines(paths.write_lines(c), "data")
+    return path_data.parse_lines(paths.write_lines(c), "data")
 
 
 @query(
@@ -250,7 +250,7 @@ def path_round_trip(spark, sf_dir):
 def shape_paths(spark, sf_dir):
     """Rectangles as relative path data, parsed."""
     data = F.concat(F.lit("M"), F.col("p_size").cast("string"), F.lit(" "), F.expr("string(p_partkey % 50)"), F.lit("h10v5h-10z"))
-    return paths.parse_lines(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path_id"), data.alias("data")), "data")
+    return path_data.parse_lines(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path_id"), data.alias("data")), "data")
 
 
 @query("SELECT p_partkey AS id, round(least(640 / (p_size + 10.0), 480 / (p_size % 7 + 5.0)), 9)::DOUBLE AS a, round((640 - (p_size + 10) * least(640 / (p_size + 10.0), 480 / (p_size % 7 + 5.0))) * CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE 1 END, 6)::DOUBLE AS e FROM part")

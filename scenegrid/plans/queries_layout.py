@@ -72,7 +72,7 @@ def label_places(spark, sf_dir):
 
 @query(
     "WITH RECURSIVE a AS (SELECT o_orderkey AS child_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey - 1 END AS parent_id, CASE WHEN o_orderkey % 3 = 1 THEN '#' || o_custkey END AS fill FROM orders), "
-    "r AS (SELECT child_id, fill FROM a WHERE parent_id IS NULL UNION ALL SELECT a.child_id, coalesce(a.fill, r.fill) FROM a JOIN r ON r.child_id = a.parent_id) SELECT * FROM r"
+    "r AS (SELECT child_id, fill FROM a WHERE parent_id IS NULL UNION ALL SELECT a.child_id, coalesce(a.fill, r.fill) FROM a JOIN r ON r.child_id = a.parent_id) SELECT child_id, fill, NULL::VARCHAR AS code FROM r"
 )
 def inherited_styles(spark, sf_dir):
     """A property inherited down a tree."""
@@ -80,7 +80,7 @@ def inherited_styles(spark, sf_dir):
     return layout.inherit(tree, "fill")
 
 
-@query("SELECT o_orderkey AS node, o_orderkey - o_orderkey % 7 AS ring FROM orders WHERE o_orderkey - o_orderkey % 7 + 6 <= (SELECT max(o_orderkey) FROM orders)")
+@query("SELECT o_orderkey AS node, CASE WHEN o_orderkey - o_orderkey % 7 + 6 <= (SELECT max(o_orderkey) FROM orders) THEN o_orderkey - o_orderkey % 7 END AS ring, CASE WHEN o_orderkey - o_orderkey % 7 + 6 > (SELECT max(o_orderkey) FROM orders) THEN 'dangling' END AS code FROM orders")
 def ring_tracing(spark, sf_dir):
     """Rings of a successor function, named by their smallest node."""
     orders = _table(spark, sf_dir, "orders")
@@ -88,12 +88,17 @@ def ring_tracing(spark, sf_dir):
     return layout.rings(successors)
 
 
-@query("SELECT p_partkey AS id, round(cos(radians(p_size)) * 2, 6) AS a, round(sin(radians(p_size)) * 2, 6) AS b, round(-sin(radians(p_size)) * 2, 6) AS c, round(cos(radians(p_size)) * 2, 6) AS d, (p_partkey % 90)::DOUBLE AS e, -5.5::DOUBLE AS f FROM part")
+# rotated about (p_size, 30), then sheared; every ninth list has a name that isn't read
+@query(
+    """WITH p AS (SELECT p_partkey AS id, (p_partkey % 90)::DOUBLE AS e, cos(radians(p_size)) AS c, sin(radians(p_size)) AS s, p_size::DOUBLE AS px, tan(radians(20)) AS k, p_partkey % 9 <> 0 AS sound FROM part),
+q AS (SELECT id, sound, c AS a, s AS b, c * k - s AS c, s * k + c AS d, e + px - c * px + s * 30 AS e, -5.5 + 30 - s * px - c * 30 AS f FROM p)
+SELECT id, CASE WHEN sound THEN round(a * 2, 6) END AS a, CASE WHEN sound THEN round(b * 2, 6) END AS b, CASE WHEN sound THEN round(c * 3, 6) END AS c, CASE WHEN sound THEN round(d * 3, 6) END AS d, CASE WHEN sound THEN round(e, 6) END AS e, CASE WHEN sound THEN round(f, 6) END AS f FROM q"""
+)
 def transform_lists(spark, sf_dir):
-    """Transform lists as one matrix."""
-    words = F.concat(F.lit("translate("), F.expr("p_partkey % 90"), F.lit(",-5.5) rotate("), F.col("p_size"), F.lit(") scale(2)"))
+    """Transform lists as one matrix: shifts, turns about a point, shears, scales; null where something isn't read."""
+    words = F.concat(F.lit("translate("), F.expr("p_partkey % 90"), F.lit(",-5.5) rotate("), F.col("p_size"), F.lit(" "), F.col("p_size"), F.lit(" 30), skewX(20) "), F.when(F.expr("p_partkey % 9 = 0"), "turn(2, 3)").otherwise("scale(2, 3)"))
     m = layout.matrix(words)
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), m.alias("m")).select("id", *[F.round(F.col("m")[i], 6).alias(n) for i, n in enumerate("abcdef")])
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), m.alias("m")).select("id", *[F.round(F.get("m", F.lit(i)), 6).alias(n) for i, n in enumerate("abcdef")])
 
 
 @query("SELECT p_partkey AS id, k, round(100 + p_size * cos(radians(p_partkey % 360 + k * 10)), 6) AS x, round(50 + p_size / 2.0 * sin(radians(p_partkey % 360 + k * 10)), 6) AS y FROM part, (SELECT unnest(range(0, 10)) AS k)")

@@ -38,7 +38,7 @@ def connector_geometry(spark, sf_dir):
     return relations.connect(fixture(spark, sf_dir, "edges"), fixture(spark, sf_dir, "boxes"))
 
 
-@query(cte("attachments") + " SELECT child_id, child_id - child_id % 7 AS root_id, child_id % 7 AS depth, false AS on_cycle FROM attachments")
+@query(cte("attachments") + " SELECT child_id, child_id - child_id % 7 AS root_id, child_id % 7 AS depth, false AS on_cycle, NULL::VARCHAR AS code FROM attachments")
 def attachment_topology(spark, sf_dir):
     """Depth and root of each attachment."""
     return graph.attachment_order(fixture(spark, sf_dir, "attachments"))
@@ -46,7 +46,7 @@ def attachment_topology(spark, sf_dir):
 
 @query(
     "WITH RECURSIVE a AS (SELECT o_orderkey AS child_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey - 1 END AS parent_id, (o_custkey % 9)::DOUBLE AS dx, (o_custkey % 5)::DOUBLE AS dy FROM orders), "
-    "r AS (SELECT child_id, child_id AS root_id, 0::DOUBLE AS dx, 0::DOUBLE AS dy FROM a WHERE parent_id IS NULL UNION ALL SELECT a.child_id, r.root_id, r.dx + a.dx, r.dy + a.dy FROM a JOIN r ON r.child_id = a.parent_id) SELECT * FROM r"
+    "r AS (SELECT child_id, child_id AS root_id, 0::DOUBLE AS dx, 0::DOUBLE AS dy FROM a WHERE parent_id IS NULL UNION ALL SELECT a.child_id, r.root_id, r.dx + a.dx, r.dy + a.dy FROM a JOIN r ON r.child_id = a.parent_id) SELECT a.child_id, root_id, r.dx, r.dy, CASE WHEN r.child_id IS NULL THEN 'dangling' END AS code FROM a LEFT JOIN r USING (child_id)"
 )
 def resolved_offsets(spark, sf_dir):
     """Labels placed by the sum of the offsets above them."""

@@ -73,6 +73,29 @@ def test_cycles_and_depth(spark):
     assert all(got[i].on_cycle for i in (4, 5, 6))
 
 
+def test_repeated_ids_and_missing_parents_end_with_a_code(spark):
+    rows = [(1, 2, 1.0, 1.0, None), (2, 1, 1.0, 1.0, None), (2, 1, 1.0, 1.0, "x"), (5, 1, 1.0, 1.0, None)]
+    rows += [(11, None, 1.0, 1.0, None), (12, 11, 1.0, 2.0, None), (13, 99, 1.0, 1.0, None), (14, 13, 1.0, 1.0, None), (15, 14, 1.0, 1.0, "own"), (21, 22, 0.0, 0.0, None), (22, 21, 0.0, 0.0, None), (None, 11, 0.0, 0.0, None)]
+    tree = spark.createDataFrame(rows, "child_id bigint, parent_id bigint, dx double, dy double, v string")
+    codes = {1: "repeated_id", 2: "repeated_id", 5: "repeated_id", 11: None, 12: None, 13: "dangling", 14: "dangling", 15: "dangling", 21: "cycle", 22: "cycle"}
+    order = graph.attachment_order(tree).collect()
+    assert {r.child_id: r.code for r in order} == codes and len(order) == len(codes)
+    assert {r.child_id: (r.root_id, r.depth) for r in order if r.code is None} == {11: (11, 0), 12: (11, 1)}
+    assert all(r.root_id is r.depth is None for r in order if r.code)
+    offsets = {r.child_id: (r.code, r.dx, r.dy) for r in graph.resolve_offsets(tree).collect()}
+    assert offsets == {i: (c, None, None) if c else (None, float(i == 12), 2.0 * (i == 12)) for i, c in codes.items()}
+    styles = {r.child_id: (r.code, r.v) for r in layout.inherit(tree, "v").collect()}
+    assert styles == {i: (c, None) for i, c in codes.items()} | {15: (None, "own")}
+    assert graph.attachment_order(tree.limit(0)).collect() == []
+
+
+def test_rings_with_tails_and_gaps(spark):
+    n = 40
+    turns = [(i, (i + 1) % n) for i in range(n)] + [(100 + i, 101 + i if i < 59 else 3) for i in range(60)] + [(200, 201), (300, 301), (300, 302), (301, 300)]
+    got = {r.node: (r.ring, r.code) for r in layout.rings(spark.createDataFrame(turns, "node bigint, successor bigint")).collect()}
+    assert got == {i: (0, None) for i in range(n)} | {100 + i: (None, "not_on_ring") for i in range(60)} | {200: (None, "dangling"), 300: (None, "repeated_id"), 301: (None, "repeated_id")}
+
+
 def test_reference_cycles_and_depth(spark):
     defs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None), ("d", "c"), ("e", "d")], "def_id string, target_id string")
     uses = spark.createDataFrame([(1, "a"), (2, "e"), (3, "x"), (4, "c")], "use_id bigint, ref_id string")
@@ -111,16 +134,6 @@ def test_strict_json(spark, text, want):
     assert got == want or (text == "null" and got in ("ok", "malformed"))
 
 
-def test_path_data(spark):
-    rows = [(1, "M0 0 10 0h5v5L1,1 z m1 1 l2 2"), (2, "M1e1.5.5"), (3, "M0 0C1 1 2 2 3 3"), (4, "")]
-    got = {}
-    for r in paths.parse_lines(spark.createDataFrame(rows, "path_id bigint, d string"), "d").orderBy("path_id", "seq").collect():
-        got.setdefault(r.path_id, []).append((r.op, r.x, r.y))
-    assert got[1] == [("M", 0, 0), ("L", 10, 0), ("L", 15, 0), ("L", 15, 5), ("L", 1, 1), ("Z", 0, 0), ("M", 1, 1), ("L", 3, 3)]
-    assert got[2] == [("M", 10, 0.5)]
-    assert [p[0] for p in got[3]][:2] == ["M", "unsupported"] and 4 not in got
-
-
 def test_winding_of_a_square(spark):
     pts = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate([(0, 0), (4, 0), (4, 4), (0, 4)])], "path_id bigint, seq bigint, x bigint, y bigint")
     probes = spark.createDataFrame([(1, 1, 2, 2), (1, 2, 9, 2), (1, 3, 2, -1)], "path_id bigint, probe_id bigint, px bigint, py bigint")
@@ -250,8 +263,9 @@ def test_chains_and_rings_of_any_length(spark):
     assert offsets == {i: (root, 1.0 * d, 2.0 * d) for i, (root, d) in want.items()} | dict.fromkeys(on, (None, None, None))
     assert {r.child_id: r.v for r in layout.inherit(tree, "v").collect()} == {i: "top" if i < n else None for i in [*want, *on]}
     turns = [(i, (i * 1 + 7) % n) for i in range(n)] + [(5000 + i, 5000 + (i + 1) % 5) for i in range(5)] + [(7000 + i, 7001 + i) for i in range(n)]
-    got = {r.node: r.ring for r in layout.rings(spark.createDataFrame(turns, "node bigint, successor bigint")).collect()}
-    assert got == dict.fromkeys(range(n), 0) | {5000 + i: 5000 for i in range(5)}
+    found = layout.rings(spark.createDataFrame(turns, "node bigint, successor bigint")).collect()
+    assert {r.node: r.ring for r in found if r.code is None} == dict.fromkeys(range(n), 0) | {5000 + i: 5000 for i in range(5)}
+    assert {r.node for r in found if r.code == "dangling"} == {7000 + i for i in range(n)} and len(found) == 2 * n + 5
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "def_id bigint, target_id bigint")
     ends = {r.use_id: (r.final_id, r.code) for r in graph.expand_references(chain.selectExpr("def_id AS use_id", "def_id AS ref_id"), chain).collect()}
     assert ends == {i: (0, None) if i < 32 else (None, "too_deep") for i in range(40)}

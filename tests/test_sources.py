@@ -68,13 +68,64 @@ def test_svg_shapes_and_transforms(spark):
     rows = svg.objects(files).orderBy("ordinal").collect()
     assert [r.code for r in rows] == [None, None, None, None, "clip_path", "bad_number", "no_geometry", "unknown_element", "no_geometry", None, "text_spans"]
     assert rows[0].transform == [2, 0, 0, 2, 10, 20] and rows[1].transform is None
-    assert rows[1].data.startswith("M5.0 4.0H5.0C6.10") and rows[1].data.endswith("Z") and rows[3].data.startswith("M5.0 0.0H5.0C")
+    assert rows[1].data == "M7.0 6.0A2.0 2.0 0 1 1 3.0 6.0A2.0 2.0 0 1 1 7.0 6.0Z" and rows[3].data.startswith("M5.0 0.0h0.0a4.0 2.0 0 0 1 4.0 2.0v0.0")
     assert rows[9].text == "ab"
     points = svg.commands(svg.objects(files)).where("path_id.ordinal = 0").orderBy("seq").collect()
     assert [(p.op, p.x, p.y) for p in points] == [("M", 10, 20), ("L", 18, 20), ("L", 18, 24), ("L", 10, 24), ("Z", 10, 20)]
     assert svg.objects(files.limit(0)).collect() == []
 
 
+def svg_rows(spark, body, head=""):
+    files = spark.createDataFrame([("f", f'<svg xmlns="http://www.w3.org/2000/svg" {head}>{body}</svg>'.encode())], "path string, content binary")
+    return svg.objects(files).orderBy("ordinal").collect(), files
+
+
+def test_svg_units_view_boxes_and_transforms(spark):
+    body = (
+        '<line x1="10mm" x2="1in" y1="2pt" stroke="red" stroke-width="2"/><line x1="50%" stroke="red"/><rect width="1em" height="2"/>'
+        '<rect width="4" height="2" transform="rotate(90 50 50)"/><rect width="4" height="2" transform="skewX(45)" stroke="red"/><rect width="4" height="2" transform="turn(3)"/>'
+        '<svg x="3"/><g display="none"><rect width="9" height="9"/></g><rect width="1" height="1" visibility="hidden"/><rect width="4" height="2" fill-opacity=".5" opacity="0.5"/>'
+        '<rect width="4" height="2" stroke="blue" fill-opacity=".5"/><rect width="4" height="2" stroke-dasharray="3"/><g color="lime" id="g1"><path d="M0 0L1 1" stroke="currentColor" fill="none" id="p"/><path id="p" d="M0 0"/></g>'
+    )
+    rows, files = svg_rows(spark, body, 'width="200" height="100" viewBox="0 0 100 100"')
+    assert [r.code for r in rows] == [None, "bad_number", "bad_number", None, "stroke_transform", "transform", "nested_svg", None, "two_opacities", "stroke_style", None, "repeated_id"]
+    assert rows[0].fill == "none" and rows[0].stroke_width == 2.0 and rows[0].transform == [1, 0, 0, 1, 50, 0]
+    assert (rows[7].opacity, rows[10].stroke, rows[10].group_id, rows[10].id) == (0.25, "#00ff00", "g1", "p")
+    assert svg.canvases(files).collect() == [("f", 200.0, 100.0)]
+    got = {}
+    for p in svg.commands(svg.objects(files)).orderBy("path_id", "seq").collect():
+        got.setdefault(p.path_id.ordinal, []).append((p.op, round(p.x, 6), round(p.y, 6)))
+    assert got[0] == [("M", round(50 + 10 * 96 / 25.4, 6), round(2 * 96 / 72, 6)), ("L", 146, 0)]
+    assert got[3][:3] == [("M", 150, 0), ("L", 150, 4), ("L", 148, 4)]
+
+
+def test_svg_curves_become_chords(spark):
+    rows, files = svg_rows(spark, '<circle cx="5" cy="6" r="2"/><path d="M0 0C0 10 10 10 10 0Z" transform="scale(10)"/><path d="M0 0L5"/>')
+    got = {}
+    for p in svg.commands(svg.objects(files), tolerance=0.01).orderBy("path_id", "seq").collect():
+        got.setdefault(p.path_id.ordinal, []).append(p)
+    assert all(abs(((p.x - 5) ** 2 + (p.y - 6) ** 2) ** 0.5 - 2) < 1e-9 for p in got[0]) and len(got[0]) > 20
+    assert max(p.y for p in got[1]) == 75 and len(got[1]) > 30 and got[1][-1].op == "Z"
+    assert [(p.code, p.op) for p in got[2]] == [("count", None)]
+
+
+def test_svg_texts(spark):
+    body = (
+        '<text x="10" y="20" dx="1" font-size="12pt" font-weight="700" text-anchor="middle"> a  b </text>'
+        '<g transform="translate(5 5) scale(2)"><text x="1" y="2" font-style="italic" opacity=".5"><tspan x="3" y="4" font-size="10">one</tspan><tspan x="5" y="6" dy="1" opacity=".5">two</tspan></text></g>'
+        '<text x="1 2 3" y="0">abc</text><text transform="rotate(9)">r</text><text>lead<tspan x="1" y="1">t</tspan></text><text stroke="red">s</text><text font-weight="bolder">w</text><text textLength="9">l</text><text/>'
+    )
+    rows, _ = svg_rows(spark, body)
+    assert [r.code for r in rows] == [None, None, None, "text_position", "text_transform", "text_spans", "text_stroke", "font_weight", "text_length"]
+    assert [(r.text, r.x, r.y, r.font_size, r.bold, r.italic, r.alignment, r.opacity) for r in rows[:3]] == [("a b", 11, 20, 16, True, False, "center", 1), ("one", 11, 13, 20, False, True, "left", 0.5), ("two", 15, 19, 32, False, True, "left", 0.25)]
+
+
+@pytest.mark.parametrize(("head", "code"), [('viewBox="0 0 0 5"', "canvas"), ('width="0"', "canvas"), ('width="50%"', "canvas"), ('viewBox="0 0 1 1" preserveAspectRatio="xMidYMid slice"', "canvas"), ('viewBox="1 2 x 4"', "canvas")])
+def test_svg_canvas_codes(spark, head, code):
+    rows, files = svg_rows(spark, "<rect width='1' height='1'/>", head)
+    assert [(r.code, r.kind) for r in rows] == [(code, None)] and svg.canvases(files).collect() == []
+
+
 def test_manifests(spark, tmp_path):
     good = {"schema_version": 1, "id": "s", "revision": 2, "canvas": {"width": 9, "height": 9}, "objects": [{"id": "a", "kind": "path"}, {"id": "b", "kind": "text", "text": "t"}]}
     lines = [json.dumps(good), json.dumps(good | {"schema_version": 2}), json.dumps(good | {"revision": 0}), json.dumps(good | {"surprise": 1}), '{"id": "x", "id": "y"}', "[1, 2", json.dumps(good) + " x"]
