@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenegrid.functions.geometry import let
-from scenegrid.operators import graph
-from scenegrid.operators.tables import written
+from scenegrid.operators import graph, relations
+from scenegrid.operators.tables import Rounds, written
 
 #: Fixed values, in pixels: width and least height of nodes, the gaps between columns and rows, where the first node stands, the
 #: margins of group frames, the cost of a bend, the margin of obstacles, and how far a route leads out of its port.
@@ -117,14 +117,33 @@ def routes(edges: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def label_places(labels: DataFrame, boxes: DataFrame, candidates: int = 4) -> DataFrame:
-    """The first of the candidate places of each label that lies over no box of the scene: label_id, place, x, y; place is
-    null where none is free. labels: scene_id, label_id, x, y, width, height."""
+    """Places of labels (scene_id, label_id, x, y, width, height), one after another by label_id: each takes the first of its candidate places that lies over no box of the scene and over no
+    label placed before it. label_id, place, x, y; null where none is free.
+
+    Which candidates meet is found once, in cells. Then rounds: a label is settled when none of its first free place's rivals, the free places of labels before it that aren't settled, is left;
+    its place takes the places that it covers from the labels after it. The first label of any crowd is settled in each round, so the number of rounds is that of the longest chain of labels
+    that wait for one another; the result is that of going through them in order."""
     spots = F.explode(F.expr(f"transform(sequence(0, {candidates - 1}), i -> struct(bigint(i) AS place, x + i * 30 AS cx, y - i * 25 AS cy))"))
-    c = labels.select("scene_id", "label_id", "width", "height", spots.alias("s")).select("scene_id", "label_id", "width", "height", "s.*")
-    hit = (F.col("c.scene_id") == F.col("b.scene_id")) & (F.col("cx") < F.col("b.x") + F.col("b.width")) & (F.col("b.x") < F.col("cx") + F.col("c.width")) & (F.col("cy") < F.col("b.y") + F.col("b.height")) & (F.col("b.y") < F.col("cy") + F.col("c.height"))
-    free = c.alias("c").join(boxes.alias("b"), hit, "left_anti")
-    best = free.groupBy("label_id").agg(F.min(F.struct("place", "cx", "cy")).alias("p"))
-    return labels.select("label_id").join(best, "label_id", "left").select("label_id", "p.place", F.col("p.cx").alias("x"), F.col("p.cy").alias("y"))
+    c = labels.select("scene_id", "label_id", "width", "height", spots.alias("s")).select("scene_id", "label_id", "s.place", F.col("s.cx").alias("x"), F.col("s.cy").alias("y"), "width", "height")
+    c = written(c.withColumns({v: F.col(v).cast("double") for v in ("x", "y", "width", "height")}), "labels")
+    name = lambda kind, own, place: F.struct(F.lit(kind).alias("kind"), own.cast("long").alias("own"), place.cast("long").alias("place")).alias("object_id")
+    size = [F.col(v).cast("double").alias(v) for v in ("x", "y", "width", "height")]
+    union = c.select("scene_id", name(1, F.col("label_id"), F.col("place")), *size).union(boxes.select("scene_id", name(0, F.monotonically_increasing_id(), F.lit(0)), *size))
+    tells = (F.col("p.object_id.kind") + F.col("q.object_id.kind") > 0) & ((F.col("p.object_id.kind") != F.col("q.object_id.kind")) | (F.col("p.object_id.own") != F.col("q.object_id.own")))
+    met = written(relations.overlaps(written(union, "label-boxes"), only=tells).select("a_id", "b_id"), "label-pairs")
+    over = met.where("a_id.kind = 0").select(F.col("b_id.own").alias("label_id"), F.col("b_id.place").alias("place")).distinct()
+    rivals = met.where("a_id.kind = 1").select(F.col("a_id.own").alias("before"), F.col("a_id.place").alias("its"), F.col("b_id.own").alias("label_id"), F.col("b_id.place").alias("place"))
+    free, settled = Rounds(labels.sparkSession, "free-places"), Rounds(labels.sparkSession, "settled")
+    left, done = free.replace(c.select("label_id", "place").join(over, ["label_id", "place"], "left_anti")), []
+    while not left.isEmpty():
+        first = left.groupBy("label_id").agg(F.min("place").alias("place"))
+        waiting = rivals.join(first, ["label_id", "place"]).join(left.select(F.col("label_id").alias("before"), F.col("place").alias("its")), ["before", "its"], "left_semi").select("label_id").distinct()
+        now = settled.write(first.join(waiting, "label_id", "left_anti"))
+        taken = rivals.join(now.select(F.col("label_id").alias("before"), F.col("place").alias("its")), ["before", "its"]).select("label_id", "place")
+        left = free.replace(left.join(now.select("label_id"), "label_id", "left_anti").join(taken, ["label_id", "place"], "left_anti"))
+        done.append(now)
+    chosen = reduce(DataFrame.union, done, c.limit(0).select("label_id", "place"))
+    return labels.select("label_id").join(chosen.join(c.select("label_id", "place", "x", "y"), ["label_id", "place"]), "label_id", "left").select("label_id", "place", "x", "y")
 
 
 def inherit(tree: DataFrame, value: str, rounds: int | None = None) -> DataFrame:
@@ -211,27 +230,25 @@ def clip_polygon(points: Column, x0: float, y0: float, x1: float, y1: float) ->
 
 
 def match_in_order(wanted: DataFrame, found: DataFrame, scene: str, tolerance: float) -> DataFrame:
-    """Records matched to a subsequence of others in order, by value within a tolerance: n_matches of the earliest
-    matching, and ``unique``: the earliest and the latest matching are the same. Both: scene, place, value."""
-    w = wanted.groupBy(scene).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("w"))
-    f = found.groupBy(scene).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("f"))
-    both = w.join(f, scene)
+    """Records matched to a subsequence of others in order, by value within a tolerance: n, n_matched of the earliest
+    matching, and ``unique``: all are matched, and in one way only. Both: scene, place, value.
 
-    def embed(w: Column, f: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    The earliest matching is one walk over the others that goes on to the next record at each hit, so it's linear; the latest is the same from the end. No record's place in
+    the latest lies before its place in the earliest, so the two are the same exactly if their sums of places are."""
+    listed = lambda df, name: df.groupBy(scene).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias(name))
+    both = listed(wanted, "w").join(listed(found, "f"), scene).withColumns({"rw": F.reverse("w"), "rf": F.reverse("f")})
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("sum"))
 
+    def walk(w: str, f: str, place) -> Column:
         def step(a: Column, v: Column) -> Column:
-            hits = F.filter(F.sequence(F.lit(1), F.size(f)), lambda i: (i > a["at"]) & (F.abs(F.get(f, i - 1) - v) <= tolerance))
-            hit = F.when(a["at"] >= 0, F.try_element_at(hits, F.lit(1)))
-            return F.struct(F.coalesce(hit, F.lit(-1)).alias("at"), F.when(hit.isNotNull(), F.concat(a["out"], F.array(hit))).otherwise(a["out"]).alias("out"))
+            hit = F.coalesce(F.abs(F.get(F.col(w), a["i"]) - v) <= tolerance, F.lit(False))
+            return F.struct((a["i"] + hit.cast("int")).alias("i"), (a["j"] + 1).alias("j"), (a["sum"] + F.when(hit, place(a["j"])).otherwise(0)).alias("sum"))
 
-        return F.aggregate(w, start, step, lambda a: a["out"])
+        return F.aggregate(f, zero, step)
 
-    early, late = embed(F.col("w"), F.col("f")), embed(F.reverse("w"), F.reverse("f"))
-    done = both.select(scene, F.size("w").alias("n"), F.size("f").alias("m"), early.alias("early"), late.alias("late"))
-    mirrored = F.reverse(F.transform("late", lambda i: F.col("m") - i + 1))
-    whole = F.size("early") == F.col("n")
-    return done.select(scene, F.col("n").cast("long"), F.size("early").cast("long").alias("n_matched"), (whole & (F.col("early") == mirrored)).alias("unique"))
+    done = both.select(scene, F.size("w").alias("n"), walk("w", "f", lambda j: j.cast("long")).alias("early"), walk("rw", "rf", lambda j: (F.size("f") - 1 - j).cast("long")).alias("late"))
+    whole = F.col("early.i") == F.col("n")
+    return done.select(scene, F.col("n").cast("long"), F.col("early.i").cast("long").alias("n_matched"), (whole & (F.col("early.sum") == F.col("late.sum"))).alias("unique"))
 
 
 def sorted_along(points: DataFrame) -> DataFrame:

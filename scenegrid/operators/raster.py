@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrid.operators import graph
+from scenegrid.operators.tables import written
+
 
 def pixels(vectors: DataFrame) -> DataFrame:
     """Vectors as rows of grey pixels with a made-up alpha."""
@@ -38,35 +41,28 @@ def tiles(images: DataFrame, side: int) -> DataFrame:
     return t.select("image_id", (F.col("tx") * side).alias("x"), (F.col("ty") * side).alias("y"), cut("width", "tx").alias("w"), cut("height", "ty").alias("h"))
 
 
-_PARTS = "image_id bigint, left bigint, top bigint, right bigint, bottom bigint, area bigint"
-
-
-def _label(image):
-    """The 8-connected components of one image: boxes and areas, by their first pixel."""
-    import pandas as pd
-
-    left = set(zip(image["x"].tolist(), image["y"].tolist(), strict=True))
-    rows = []
-    for seed in sorted(left, key=lambda p: (p[1], p[0])):
-        if seed not in left:
-            continue
-        left.remove(seed)
-        part, todo = [seed], [seed]
-        while todo:
-            x, y = todo.pop()
-            near = [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (x + i, y + j) in left]
-            left.difference_update(near)
-            part += near
-            todo += near
-        xs, ys = [p[0] for p in part], [p[1] for p in part]
-        rows.append((image["image_id"].iloc[0], min(xs), min(ys), max(xs), max(ys), len(part)))
-    return pd.DataFrame(rows, columns=["image_id", "left", "top", "right", "bottom", "area"])
+#: Runs of neighbouring rows meet in blocks of this many pixels.
+BLOCK = 64
 
 
 def components(mask: DataFrame, least: int = 1) -> DataFrame:
-    """8-connected components of foreground pixels (image_id, x, y) with their boxes and areas, one task per image: an
-    image has a bounded number of pixels."""
-    return mask.select("image_id", "x", "y").groupBy("image_id").applyInPandas(_label, _PARTS).where(F.col("area") >= least)
+    """8-connected components of foreground pixels (image_id, x, y; repeated ones count once) with their boxes and areas. Pixels become runs within their row; runs of
+    neighbouring rows that touch are links, which are found in blocks of BLOCK pixels, so a run meets those beside it only; runs are joined into components by rounds of
+    equivalences. An image is as many tasks as its rows need, whatever its size."""
+    gap = F.col("x") - F.lag("x").over(Window.partitionBy("image_id", "y").orderBy("x"))
+    begun = mask.select("image_id", "x", "y").withColumn("new", F.when(gap <= 1, 0).otherwise(1))
+    run = F.sum("new").over(Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    spans = begun.withColumn("run", run).groupBy("image_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    key = F.struct("image_id", "y", "x0")
+    spans = written(spans.select(key.alias("node"), "image_id", "y", "x0", "x1"))
+    dealt = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("x0") / BLOCK), F.floor((F.col("x1") + 1) / BLOCK))))
+    above, below = dealt.alias("a"), dealt.withColumn("y", F.col("y") - 1).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("image_id", "y", "block")]
+    touch = same[0] & same[1] & same[2] & (F.col("a.x0") <= F.col("b.x1") + 1) & (F.col("b.x0") <= F.col("a.x1") + 1)
+    parts = graph.components(above.join(below, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    whole = spans.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = whole.groupBy("component").agg(F.min("x0").alias("left"), F.min("y").alias("top"), F.max("x1").alias("right"), F.max("y").alias("bottom"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    return sums.where(F.col("area") >= least).select("component.image_id", "left", "top", "right", "bottom", "area")
 
 
 def digests(p: DataFrame) -> DataFrame:

@@ -68,10 +68,11 @@ def scene_levels(boxes: DataFrame, cell: float = CELL) -> DataFrame:
     return levelled(boxes, cell).groupBy("scene_id").agg(F.collect_set("level").alias("levels"))
 
 
-def overlaps(boxes: DataFrame, cell: float = CELL) -> DataFrame:
+def overlaps(boxes: DataFrame, cell: float = CELL, only: Column | None = None) -> DataFrame:
     """Pairs a < b of one scene whose open rectangles meet, each once: they meet in the grid of the larger one's level, and only
     the cell that holds the upper left corner of the intersection emits the pair. A box of any size has a bounded
-    number of cells, and small boxes never meet in the cells of large ones."""
+    number of cells, and small boxes never meet in the cells of large ones. ``only``: a condition on p.object_id and q.object_id, the ids of a
+    pair in either order, that leaves out the others."""
     rows = boxes.select("scene_id", "object_id", "x", "y", "width", "height")
     home, every = dealt(rows, scene_levels(rows, cell), cell)
     p, q = home.alias("p"), every.alias("q")
@@ -81,7 +82,7 @@ def overlaps(boxes: DataFrame, cell: float = CELL) -> DataFrame:
     same = (F.col("p.scene_id") == F.col("q.scene_id")) & (F.col("p.grid") == F.col("q.grid")) & (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy"))
     once = (F.col("q.level") < F.col("p.level")) | ((F.col("q.level") == F.col("p.level")) & (F.col("q.object_id") < F.col("p.object_id")))
     meet = (left < right) & (top < low) & (F.floor(left / F.col("p.size")) == F.col("p.cx")) & (F.floor(top / F.col("p.size")) == F.col("p.cy"))
-    met = p.join(q, same & once & meet)
+    met = p.join(q, same & once & meet if only is None else same & once & meet & only)
     ids = F.col("p.object_id"), F.col("q.object_id")
     return met.select(F.col("p.scene_id").alias("scene_id"), F.least(*ids).alias("a_id"), F.greatest(*ids).alias("b_id"), left.alias("x"), top.alias("y"), (right - left).alias("width"), (low - top).alias("height"))
 

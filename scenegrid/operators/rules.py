@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrid.operators.tables import Rounds
+
 #: The math commands, control symbols and characters that are accepted.
 MATH_COMMANDS = """mathbf mathrm mathit mathsf mathtt mathcal text
 frac dfrac tfrac sqrt left right vert Vert lvert rvert lVert rVert
@@ -166,14 +168,23 @@ def painter_order(objects: DataFrame) -> DataFrame:
 
 
 def greedy_budget(rows: DataFrame, scene: str, order: str, cost: str, budget: float) -> DataFrame:
-    """Rows of each scene in order, taken while they fit. The fold depends on every earlier choice, so it runs
-    over the scene's ordered costs; a scene has a bounded number of regions."""
-    costs = rows.groupBy(scene).agg(F.sort_array(F.collect_list(F.struct(order, cost))).alias("c"))
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).cast("long").alias("taken"))
-
-    def step(a: Column, r: Column) -> Column:
-        fits = a["used"] + r[cost] <= budget
-        return F.struct(F.when(fits, a["used"] + r[cost]).otherwise(a["used"]).alias("used"), (a["taken"] + fits.cast("long")).alias("taken"))
-
-    done = costs.select(scene, F.size("c").alias("n"), F.aggregate("c", start, step).alias("s"))
-    return done.select(scene, F.col("s.taken").alias("n_taken"), (F.col("n") - F.col("s.taken")).alias("n_skipped"), F.col("s.used").alias("used"))
+    """Rows of each scene in order, taken while they fit: scene, n_taken, n_skipped and what is used. Costs are not negative; null and negative ones are skipped; of rows with equal
+    order the cheaper comes first. A round takes the longest prefix that fits, then drops every row larger than the room that is left, since room only shrinks; the next one goes on with
+    those that remain. Rows are dealt once by ranges of scene and order: running sums are taken within a range and added to those of the ranges before, so a scene
+    with most of the rows is as many tasks as it has ranges."""
+    ranges, states = Rounds(rows.sparkSession, "budget"), Rounds(rows.sparkSession, "budget-state")
+    n = rows.groupBy(scene).agg(F.count("*").alias("n"))
+    fit = rows.where((F.col(cost) >= 0) & (F.col(cost) <= budget)).select(F.col(scene).alias("scene"), F.col(order).alias("place"), F.col(cost).cast("double").alias("cost"))
+    left = ranges.replace(fit.repartitionByRange("scene", "place", "cost").withColumn("range", F.spark_partition_id()))
+    state = states.replace(n.select(F.col(scene).alias("scene"), "n", F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("used")))
+    while not left.isEmpty():
+        before = Window.partitionBy("scene").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sums = left.groupBy("scene", "range").agg(F.sum("cost").alias("sum")).select("scene", "range", F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("before"))
+        within = Window.partitionBy("scene", "range").orderBy("place", "cost").rowsBetween(Window.unboundedPreceding, 0)
+        run = left.join(sums, ["scene", "range"]).withColumn("run", F.col("before") + F.sum("cost").over(within)).join(state.select("scene", "used"), "scene")
+        run = run.withColumn("fits", F.col("used") + F.col("run") <= budget)
+        more = run.where("fits").groupBy("scene").agg(F.count("*").alias("more"), F.sum("cost").alias("cost"))
+        after = states.write(state.join(more, "scene", "left").select("scene", "n", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken"), (F.col("used") + F.coalesce("cost", F.lit(0.0))).alias("used")))
+        rest = run.where("NOT fits").drop("used").join(after.select("scene", "used"), "scene").where(F.col("cost") <= budget - F.col("used"))
+        left, state = ranges.replace(rest.select("scene", "place", "cost", "range")), after
+    return state.select(F.col("scene").alias(scene), F.col("taken").alias("n_taken"), (F.col("n") - F.col("taken")).alias("n_skipped"), "used")

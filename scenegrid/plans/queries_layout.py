@@ -57,14 +57,21 @@ def edge_routes(spark, sf_dir):
     return layout.routes(ends, boxes)
 
 
+# label after label: each scene's list of labels placed so far
 @query(
-    cte("boxes")
+    "WITH RECURSIVE "
+    + cte("boxes")[5:]
     + """, c AS (SELECT scene_id, object_id AS label_id, k AS place, x + k * 30 AS cx, y - k * 25 AS cy FROM boxes, (SELECT unnest(range(0, 4)) AS k) WHERE object_id % 3 = 0),
-f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.object_id % 3 <> 0 AND b.scene_id = c.scene_id AND cx < b.x + b.width AND b.x < cx + 40 AND cy < b.y + b.height AND b.y < cy + 15))
-SELECT object_id AS label_id, place, cx AS x, cy AS y FROM boxes LEFT JOIN (SELECT label_id, place, cx, cy FROM f QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY place) = 1) ON label_id = object_id WHERE object_id % 3 = 0"""
+f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.object_id % 3 <> 0 AND b.scene_id = c.scene_id AND cx < b.x + b.width AND b.x < cx + 40 AND cy < b.y + b.height AND b.y < cy + 15)),
+l AS (SELECT scene_id, label_id, i, coalesce(list({'place': place, 'cx': cx, 'cy': cy} ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS spots
+  FROM (SELECT scene_id, label_id, row_number() OVER (PARTITION BY scene_id ORDER BY label_id) AS i FROM (SELECT DISTINCT scene_id, label_id FROM c)) LEFT JOIN f USING (scene_id, label_id) GROUP BY ALL),
+r AS (SELECT scene_id, i, label_id, spots[1] AS pick, CASE WHEN len(spots) > 0 THEN [spots[1]] ELSE [] END AS placed FROM l WHERE i = 1
+  UNION ALL SELECT scene_id, i, label_id, pick, CASE WHEN pick IS NULL THEN placed ELSE list_append(placed, pick) END FROM (
+    SELECT l.scene_id, l.i, l.label_id, r.placed, list_filter(l.spots, lambda s: len(list_filter(r.placed, lambda o: abs(o.cx - s.cx) < 40 AND abs(o.cy - s.cy) < 15)) = 0)[1] AS pick FROM r JOIN l ON l.scene_id = r.scene_id AND l.i = r.i + 1))
+SELECT label_id, pick.place AS place, pick.cx AS x, pick.cy AS y FROM r"""
 )
 def label_places(spark, sf_dir):
-    """The first free place of each label."""
+    """The first place of each label that is free of boxes and of the labels before it."""
     boxes = fixture(spark, sf_dir, "boxes")
     labels = boxes.where("object_id % 3 = 0").selectExpr("scene_id", "object_id AS label_id", "x", "y", "40D AS width", "15D AS height")
     return layout.label_places(labels, boxes.where("object_id % 3 <> 0"))
@@ -196,7 +203,17 @@ def axial_shading(spark, sf_dir):
     return fixture(spark, sf_dir, "boxes").select("object_id", F.round(t, 9).alias("t"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * 255 + 0.5).alias("level"))
 
 
-@query()
+# one walk from either end, a step for each place
+@query(
+    "WITH RECURSIVE "
+    + cte("commands")[5:]
+    + """, f AS (SELECT path_id, list(v ORDER BY seq) AS f, list(v ORDER BY seq) FILTER (WHERE seq % 2 = 0) AS w FROM (SELECT path_id, seq, (x // 250)::DOUBLE AS v FROM commands) GROUP BY path_id HAVING max(seq) > 1),
+d AS (SELECT path_id, 1 AS way, f, w FROM f UNION ALL SELECT path_id, -1, list_reverse(f), list_reverse(w) FROM f),
+r AS (SELECT path_id, way, f, w, 1 AS j, 1 AS i, 0 AS s FROM d
+  UNION ALL SELECT path_id, way, f, w, j + 1, i + h, s + h * CASE way WHEN 1 THEN j ELSE len(f) + 1 - j END FROM (SELECT *, CASE WHEN i <= len(w) AND f[j] = w[i] THEN 1 ELSE 0 END AS h FROM r WHERE j <= len(f))),
+e AS (SELECT path_id, way, i - 1 AS n, s, len(w) AS m FROM r WHERE j = len(f) + 1)
+SELECT a.path_id, a.m::BIGINT AS n, a.n::BIGINT AS n_matched, a.n = a.m AND a.s = b.s AS "unique" FROM e a JOIN e b ON a.path_id = b.path_id AND a.way = 1 AND b.way = -1"""
+)
 def ordered_matches(spark, sf_dir):
     """Images matched to paints in order, and whether only one matching is possible."""
     c = fixture(spark, sf_dir, "commands").selectExpr("path_id", "seq AS place", "double(x div 250) AS value")
