@@ -23,7 +23,8 @@ PR = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _PARTS = "package string, part string, content binary, sha256 string, code string"
 
 
-def _name_code(name: str) -> str | None:
+def name_code(name: str) -> str | None:
+    """Why a member's name isn't taken, if so."""
     if name.startswith("/") or "\\" in name or ":" in name:
         return "absolute"
     steps = name.rstrip("/").split("/")
@@ -38,7 +39,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     seen = set()
                     for info in z.infolist():
-                        code = _name_code(info.filename) or ("duplicate" if info.filename in seen else "encrypted" if info.flag_bits & 1 else "too_large" if info.file_size > MAX_MEMBER else None)
+                        code = name_code(info.filename) or ("duplicate" if info.filename in seen else "encrypted" if info.flag_bits & 1 else "too_large" if info.file_size > MAX_MEMBER else None)
                         seen.add(info.filename)
                         data = None if code else z.read(info)
                         rows.append((path, info.filename, data, hashlib.sha256(data).hexdigest() if data is not None else None, code))
@@ -48,9 +49,14 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.string(), pa.string()), strict=True)], ["package", "part", "content", "sha256", "code"])
 
 
+def members(files: DataFrame) -> DataFrame:
+    """package, part, content, sha256 and a code for members that aren't read, of packages (path, content); a file that is no package has one row."""
+    return files.select("path", "content").mapInArrow(_members, _PARTS)
+
+
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """package, part, content, sha256 and a code for members that aren't read; a file that is no package has one row."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_members, _PARTS)
+    """``members`` of the files under a path."""
+    return members(spark.read.format("binaryFile").load(path))
 
 
 def _relations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

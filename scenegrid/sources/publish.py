@@ -15,3 +15,14 @@ def publish(df: DataFrame, path: str, run: str) -> DataFrame:
     receipt = saved.agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("digest")).withColumn("run", F.lit(run))
     receipt.write.mode("errorifexists").json(f"{path}/{run}/receipt")
     return df.sparkSession.read.schema(receipt.schema).json(f"{path}/{run}/receipt")
+
+
+def publish_batch(df: DataFrame, path: str, run: str, code: str = "code") -> DataFrame:
+    """``publish`` of a whole batch or of none of it: n_rows, n_bad, and the codes met. A first pass over the column ``code`` decides; if any row has one, nothing is written, else the rows
+    go out without that column. Compute the batch once before (a written table), so both passes see the same rows."""
+    bad = F.count_if(F.col(code).isNotNull())
+    verdict = df.agg(F.count("*").alias("n_rows"), bad.alias("n_bad"), F.array_sort(F.collect_set(code)).alias("codes"))
+    found = verdict.first()
+    if not found.n_bad:
+        publish(df.drop(code), path, run)
+    return df.sparkSession.createDataFrame([found], verdict.schema)

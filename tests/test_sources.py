@@ -1,10 +1,11 @@
+import io
 import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from scenegrid.sources import manifests, packages, publish, svg
+from scenegrid.sources import manifests, package_sink, packages, publish, svg
 
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -140,3 +141,51 @@ def test_publish_never_overwrites(spark, tmp_path):
     assert receipt.n_rows == 7 and receipt.run == "run-0001"
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         publish.publish(spark.range(3), str(tmp_path), "run-0001")
+
+
+def zipped(members, stream=False, comment=b""):
+    out = io.BytesIO()
+
+    class Pipe:  # a file that can't be sought: members get a descriptor behind their data
+        def write(self, data):
+            return out.write(data)
+
+        def flush(self):
+            pass
+
+    with zipfile.ZipFile(Pipe() if stream else out, "w") as z:
+        for i, (name, content) in enumerate(members):
+            z.writestr(name, content, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+        z.comment = comment
+    return out.getvalue()
+
+
+def test_changed_packages_keep_the_bytes_of_other_members(spark):
+    base = [("a.txt", b"a" * 1000), ("b/ü.xml", "<ü/>".encode()), ("c.bin", bytes(range(256)) * 9), ("d.txt", b"")]
+    files = {"plain": zipped(base), "stream": zipped(base, stream=True), "comment": zipped(base, comment=b"note"), "none": b"no package", "empty": zipped([]), "bad": zipped(base), "twice": zipped(base), "gone": zipped(base), "still": zipped(base)}
+    schema = "path string, part string, content binary"
+    changes = [(p, n, c) for p in ("plain", "stream", "comment") for n, c in (("b/ü.xml", b"<new/>"), ("d.txt", None), ("e.txt", b"more"))]
+    changes += [("none", "x", b"x"), ("empty", "x", b"x"), ("bad", "../x", b"x"), ("bad", "y", b"y"), ("twice", "x", b"1"), ("twice", "x", b"2"), ("gone", "zzz", None), ("gone", "a.txt", b"-"), ("nowhere", "a", b"a")]
+    before = spark.createDataFrame(list(files.items()), "path string, content binary")
+    after = {r.path: r for r in package_sink.update_packages(before, spark.createDataFrame(changes, schema)).collect()}
+    assert {p: r.code for p, r in after.items()} == {"none": "not_a_package", "bad": "unsafe", "twice": "repeated", "gone": "missing"} | dict.fromkeys(("plain", "stream", "comment", "empty", "still"))
+    for p in ("none", "bad", "twice", "gone", "still"):
+        assert bytes(after[p].content) == files[p]
+    for p in ("plain", "stream", "comment"):
+        with zipfile.ZipFile(io.BytesIO(after[p].content)) as z:
+            assert z.testzip() is None
+            assert {i.filename: z.read(i) for i in z.infolist()} == {"a.txt": base[0][1], "b/ü.xml": b"<new/>", "c.bin": base[2][1], "e.txt": b"more"}
+        old, new = ({n: d for n, d, _ in package_sink.segments(bytes(b))} for b in (files[p], after[p].content))
+        assert old["a.txt"] == new["a.txt"] and old["c.bin"] == new["c.bin"] and old["b/ü.xml"] != new["b/ü.xml"]
+    with zipfile.ZipFile(io.BytesIO(after["empty"].content)) as z:
+        assert z.namelist() == ["x"]
+    again = package_sink.build_packages(spark.createDataFrame([("p", n, c) for n, c in base], schema)).first().content
+    assert again == package_sink.build_packages(spark.createDataFrame([("p", n, c) for n, c in base[::-1]], schema)).first().content
+    assert {m.part: bytes(m.content) for m in packages.members(spark.createDataFrame([("p", again)], "path string, content binary")).collect()} == dict(base)
+
+
+def test_a_batch_with_one_bad_row_writes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "late"), (3, "late"), (4, "early")], "id bigint, code string")
+    assert tuple(publish.publish_batch(rows, str(tmp_path), "r1").first()) == (4, 3, ["early", "late"]) and not list(tmp_path.iterdir())
+    assert tuple(publish.publish_batch(rows.where("id = 1"), str(tmp_path), "r1").first()) == (1, 0, [])
+    assert spark.read.parquet(str(tmp_path / "r1" / "data")).columns == ["id"]
