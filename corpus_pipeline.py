@@ -50,11 +50,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The texts that are left, as they are packed, and their bins: a row's words are those from ``start`` on of its document. Both are tables that stay
+    until the session ends; those of the stages before are dropped."""
     scratch = Scratch(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    texts = docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-        if i:
+        texts, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
+        if 0 < i < len(STAGES) - 1:
             scratch.drop(STAGES[i - 1][0])
-    return docs
+    return texts, docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins."""
+    return packed(spark, sf_dir)[1]
