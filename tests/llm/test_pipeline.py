@@ -48,7 +48,15 @@ def test_each_stage_takes_what_is_planted_and_leaves_clean_texts(spark, tmp_path
     assert ids["suffix_dedup"] - ids["decontamination"] == set(kinds["leak"])
     assert ids["packing"] == ids["decontamination"]
     assert set(kinds["clean"]) <= ids["packing"]
-    whole = corpus_pipeline.run(spark, str(tmp_path))
+    left, whole = corpus_pipeline.packed(spark, str(tmp_path))
+    text = {x.doc_id: words(x.text) for x in left.collect()}
+    assert text == {x.doc_id: words(x.text) for x in seen["decontamination"]}
+    rebuilt = {}
+    for x in whole.orderBy("doc_id", "piece").collect():
+        piece = text[x.doc_id][x.start : x.start + x.n_words]
+        assert len(piece) == x.n_words
+        rebuilt.setdefault(x.doc_id, []).extend(piece)
+    assert rebuilt == text
     assert {(x.doc_id, x.piece, x.n_words) for x in whole.collect()} == {(x.doc_id, x.piece, x.n_words) for x in seen["packing"]}
 
 
