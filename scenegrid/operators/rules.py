@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenegrid.operators.tables import Rounds
+from scenegrid.operators.tables import Rounds, written
 
 #: The math commands, control symbols and characters that are accepted.
 MATH_COMMANDS = """mathbf mathrm mathit mathsf mathtt mathcal text
@@ -167,16 +167,44 @@ def painter_order(objects: DataFrame) -> DataFrame:
     return objects.withColumn("slot", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.coalesce("z_index", "ordinal"), "ordinal")).cast("long"))
 
 
-def greedy_budget(rows: DataFrame, scene: str, order: str, cost: str, budget: float) -> DataFrame:
+#: Scenes of so many rows are folded in one record each; larger ones go through rounds.
+FOLDED = 10_000
+
+
+def _folded_budget(rows: DataFrame, budget: float) -> DataFrame:
+    """scene, n, taken and used of scenes (scene, place, cost) of a bounded size."""
+    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).cast("long").alias("taken"))
+
+    def step(a: Column, r: Column) -> Column:
+        fits = F.coalesce((r["cost"] >= 0) & (a["used"] + r["cost"] <= budget), F.lit(False))
+        return F.struct((a["used"] + F.when(fits, r["cost"]).otherwise(0.0)).alias("used"), (a["taken"] + fits.cast("long")).alias("taken"))
+
+    costs = rows.groupBy("scene").agg(F.sort_array(F.collect_list(F.struct("place", "cost"))).alias("c"))
+    return costs.select("scene", F.size("c").cast("long").alias("n"), F.aggregate("c", start, step).alias("s")).select("scene", "n", "s.taken", "s.used")
+
+
+def greedy_budget(rows: DataFrame, scene: str, order: str, cost: str, budget: float, folded: int = FOLDED) -> DataFrame:
     """Rows of each scene in order, taken while they fit: scene, n_taken, n_skipped and what is used. Costs are not negative; null and negative ones are skipped; of rows with equal
-    order the cheaper comes first. A round takes the longest prefix that fits, then drops every row larger than the room that is left, since room only shrinks; the next one goes on with
+    order the cheaper comes first. Scenes of up to ``folded`` rows are folded in one record each. Larger ones go through rounds, with the same result: a round takes the longest prefix that fits, then drops every row larger than the room that is left, since room only shrinks; the next one goes on with
     those that remain. Rows are dealt once by ranges of scene and order: running sums are taken within a range and added to those of the ranges before, so a scene
     with most of the rows is as many tasks as it has ranges."""
+    named = rows.select(F.col(scene).alias("scene"), F.col(order).alias("place"), F.col(cost).cast("double").alias("cost"))
+    n = written(named.groupBy("scene").agg(F.count("*").alias("n")), "budget-sizes")
+    large = n.where(F.col("n") > folded)
+    if large.isEmpty():
+        done = _folded_budget(named, budget)
+    else:
+        few = named.join(n.where(F.col("n") <= folded).select("scene"), "scene", "left_semi")
+        done = _folded_budget(few, budget).unionByName(_budget_by_rounds(named.join(large.select("scene"), "scene", "left_semi"), large, budget))
+    return done.select(F.col("scene").alias(scene), F.col("taken").alias("n_taken"), (F.col("n") - F.col("taken")).alias("n_skipped"), "used")
+
+
+def _budget_by_rounds(rows: DataFrame, n: DataFrame, budget: float) -> DataFrame:
+    """scene, n, taken and used of scenes (scene, place, cost) of any size, whose sizes are in ``n``."""
     ranges, states = Rounds(rows.sparkSession, "budget"), Rounds(rows.sparkSession, "budget-state")
-    n = rows.groupBy(scene).agg(F.count("*").alias("n"))
-    fit = rows.where((F.col(cost) >= 0) & (F.col(cost) <= budget)).select(F.col(scene).alias("scene"), F.col(order).alias("place"), F.col(cost).cast("double").alias("cost"))
+    fit = rows.where((F.col("cost") >= 0) & (F.col("cost") <= budget))
     left = ranges.replace(fit.repartitionByRange("scene", "place", "cost").withColumn("range", F.spark_partition_id()))
-    state = states.replace(n.select(F.col(scene).alias("scene"), "n", F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("used")))
+    state = states.replace(n.select("scene", "n", F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("used")))
     while not left.isEmpty():
         before = Window.partitionBy("scene").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         sums = left.groupBy("scene", "range").agg(F.sum("cost").alias("sum")).select("scene", "range", F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("before"))
@@ -187,4 +215,4 @@ def greedy_budget(rows: DataFrame, scene: str, order: str, cost: str, budget: fl
         after = states.write(state.join(more, "scene", "left").select("scene", "n", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken"), (F.col("used") + F.coalesce("cost", F.lit(0.0))).alias("used")))
         rest = run.where("NOT fits").drop("used").join(after.select("scene", "used"), "scene").where(F.col("cost") <= budget - F.col("used"))
         left, state = ranges.replace(rest.select("scene", "place", "cost", "range")), after
-    return state.select(F.col("scene").alias(scene), F.col("taken").alias("n_taken"), (F.col("n") - F.col("taken")).alias("n_skipped"), "used")
+    return state.select("scene", "n", "taken", "used")

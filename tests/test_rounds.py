@@ -56,8 +56,10 @@ def test_budget_equals_the_fold(spark):
     scenes[101] = [99.5 - i / 2 if i % 2 else 0.5 for i in range(60)]
     scenes[102], scenes[103], scenes[104] = [500.0, 600.0], [None, -5.0, 50.0, 50.0, 0.0, 1.0], [100.0]
     rows = [(s, i, c) for s, cs in scenes.items() for i, c in enumerate(cs)]
-    found = rules.greedy_budget(spark.createDataFrame(rows, "s bigint, i bigint, c double"), "s", "i", "c", 100.0).collect()
-    assert {x.s: (x.n_taken, x.n_skipped, x.used) for x in found} == {s: folded(c, 100.0) for s, c in scenes.items()}
+    table = spark.createDataFrame(rows, "s bigint, i bigint, c double")
+    for size in (0, 30, 10_000, 1_000_000):  # all by rounds, some, the largest, none
+        found = rules.greedy_budget(table, "s", "i", "c", 100.0, folded=size).collect()
+        assert {x.s: (x.n_taken, x.n_skipped, x.used) for x in found} == {s: folded(c, 100.0) for s, c in scenes.items()}
 
 
 def flooded(pixels):
