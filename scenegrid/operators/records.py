@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenegrid.functions import scalar
+from scenegrid.functions.geometry import let
 
 
 def first_code(*rules: tuple[Column, str], good: str = "ok") -> Column:
@@ -89,3 +90,51 @@ def receipt(*fields: str) -> Column:
 def audit_status(errors: Column, unresolved: Column) -> Column:
     """One status of a scene: any error fails it; what isn't resolved leaves it open."""
     return F.when(errors > 0, "FAIL").when(unresolved > 0, "UNRESOLVED").otherwise("VERIFIED_IN_DECLARED_SCOPE")
+
+
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?"
+_TOKENS = rf'{_STRING}|{_NUMBER}|[^"0-9-]++|[\s\S]'
+
+
+def typed_json(text: Column) -> Column:
+    """A text that two JSON records share exactly if they are equal with their types: 1, 1.0, "1" and true differ, 1.0 and 10e-1 don't; the order of keys, blanks and escapes
+    don't count, the order of lists does. Whole numbers are compared at any length, others as doubles. Null for null, for what isn't one JSON value, for repeated keys and numbers beyond doubles."""
+
+    def tagged(t: Column) -> Column:
+        # strings, keys too, begin with s; a number is an object whose key can't be one of the record, so it is no key itself
+        real = t.try_cast("double")
+        number = F.when(~t.rlike("[.eE]"), F.concat(F.lit("i"), F.when(t == "-0", "0").otherwise(t))).when(F.abs(real) < float("inf"), F.concat(F.lit("f"), real.cast("string")))
+        return F.when(t.rlike('(?s)^".+"$'), F.concat(F.lit('"s'), F.substr(t, F.lit(2)))).when(t.rlike(f"^{_NUMBER}$"), F.coalesce(F.concat(F.lit('{"n":"'), number, F.lit('"}')), F.lit("?"))).otherwise(t)
+
+    def inner(tokens: Column) -> Column:
+        # the parser stops after the first value: brackets that close more than they open and commas outside of all are found here
+        marks = F.split(F.regexp_replace(F.array_join(F.filter(tokens, lambda t: ~t.rlike('^["0-9]|^-[0-9]')), ""), r"[^\[\]{},]", ""), "")
+        step = lambda a, c: F.when(a < 0, a).when(c.isin("[", "{"), a + 1).when(c.isin("]", "}"), a - 1).when((c == ",") & (a == 0), -1).otherwise(a)
+        whole = F.aggregate(marks, F.lit(0), step) == 0
+        return F.when(whole, F.to_json(F.try_parse_json(F.concat(F.lit("["), F.array_join(F.transform(tokens, tagged), ""), F.lit("]")))))
+
+    return F.when(F.trim(text) != "", let(F.regexp_extract_all(text, F.lit(_TOKENS), 0), inner))
+
+
+def same_json(left: Column, right: Column) -> Column:
+    """``equal``, and ``code``: ``unread`` where a side is no JSON value; that equals nothing."""
+    both = F.struct(typed_json(left).alias("l"), typed_json(right).alias("r"))
+    code = lambda s: F.when(s["l"].isNull() | s["r"].isNull(), "unread")
+    return let(both, lambda s: F.struct(F.coalesce(s["l"] == s["r"], F.lit(False)).alias("equal"), code(s).alias("code")))
+
+
+def replayed(kept: DataFrame, again: DataFrame, key: str, content: str) -> DataFrame:
+    """Receipts against the ones that are computed again, by key: key and status ``equal``, ``differs``, ``missing`` (not computed again), ``extra`` (not kept), ``unread`` or ``repeated`` (a key that
+    a side has more than once). A null key is a key like any other."""
+    side = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"n_{n}"), F.min(typed_json(F.col(content))).alias(n))
+    a, b = side(kept, "l"), side(again, "r").withColumnRenamed(key, "_key")
+    status = (
+        F.when((F.col("n_l") > 1) | (F.col("n_r") > 1), "repeated")
+        .when(F.col("n_r").isNull(), "missing")
+        .when(F.col("n_l").isNull(), "extra")
+        .when(F.col("l").isNull() | F.col("r").isNull(), "unread")
+        .when(F.col("l") == F.col("r"), "equal")
+        .otherwise("differs")
+    )
+    return a.join(b, a[key].eqNullSafe(b["_key"]), "full").select(F.coalesce(F.col(key), F.col("_key")).alias(key), status.alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenegrid.plans import queries_contours, queries_detail, queries_geometry, queries_layout, queries_native, queries_paths, queries_relations, queries_rules, queries_sources  # noqa: F401  (they register themselves)
+from scenegrid.plans import queries_contours, queries_detail, queries_exact, queries_geometry, queries_layout, queries_native, queries_paths, queries_relations, queries_rules, queries_sources  # noqa: F401  (they register themselves)
 from scenegrid.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
