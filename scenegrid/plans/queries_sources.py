@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scenegrid.operators.tables import written
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
-from scenegrid.sources import package_sink, packages, svg
+from scenegrid.sources import package_sink, packages, svg, svg_images
 
 _NS = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -97,3 +97,25 @@ def svg_objects(spark, sf_dir):
     places = files.select(F.col("path").alias("file"), F.posexplode("ms").alias("at", "m")).select("file", F.col("at").cast("long").alias("at"), "m.ordinal")
     found = svg.objects(files).withColumnRenamed("ordinal", "at").join(places, ["file", "at"])
     return found.select("file", "ordinal", "kind", "id", "text", "x", "y", "font_size", "bold", "fill", "opacity", "code")
+
+
+@query(
+    cte("boxes")
+    + """, i AS (SELECT *, CASE WHEN object_id % 7 = 0 THEN 'opacity' WHEN object_id % 11 = 0 THEN 'unresolved' WHEN object_id % 13 = 0 THEN 'transform' END AS code FROM boxes WHERE object_id % 5 > 0)
+SELECT 'scene-' || scene_id AS file, row_number() OVER (PARTITION BY scene_id ORDER BY ordinal) - 1 AS ordinal, 'i' || object_id AS id, CASE WHEN code IS NULL THEN 4 * width END AS a, CASE WHEN code IS NULL THEN 2 * height END AS d, CASE WHEN code IS NULL THEN 4 * x + 16 END AS e, CASE WHEN code IS NULL THEN 2 * y + 7 END AS f,
+CASE WHEN object_id % 11 = 0 AND object_id % 7 > 0 THEN 'c,none' ELSE 'c' END AS clips, sha256(label) AS sha256, code FROM i"""
+)
+def image_occurrences(spark, sf_dir):
+    """Images of scenes that are written as SVG and read again, with the matrices and clips above them; faint ones, lost clips and unknown transforms are coded, hidden ones are gone."""
+    b = fixture(spark, sf_dir, "boxes")
+    mark = F.expr(
+        """concat('<image id="i', object_id, '" x="', x, '" y="', y, '" width="', width, '" height="', height, '" href="data:image/png;base64,', base64(encode(label, 'UTF-8')), '"',
+        CASE WHEN object_id % 5 = 0 THEN ' display="none"' WHEN object_id % 7 = 0 THEN ' opacity="0.5"' WHEN object_id % 11 = 0 THEN ' clip-path="url(#none)"' WHEN object_id % 13 = 0 THEN ' transform="turn(3)"' ELSE '' END, '/>')"""
+    )
+    body = b.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", mark.alias("m")))).alias("ms"))
+    head = '<svg xmlns="http://www.w3.org/2000/svg"><defs><clipPath id="c"><rect width="9" height="9"/></clipPath></defs><g transform="translate(16 7)"><g transform="scale(4 2)" clip-path="url(#c)">'
+    files = body.select(F.concat(F.lit("scene-"), "scene_id").alias("path"), _binary(F.concat(F.lit(head), F.array_join(F.transform("ms", lambda s: s["m"]), ""), F.lit("</g></g></svg>"))).alias("content"))
+    found = svg_images.occurrences(written(files, "svg"))
+    at = lambda i: F.get("transform", F.lit(i))
+    clips = F.array_join(F.transform("clips", lambda c: c["id"]), ",")
+    return found.select("file", "ordinal", "id", at(0).alias("a"), at(3).alias("d"), at(4).alias("e"), at(5).alias("f"), clips.alias("clips"), "sha256", "code")
