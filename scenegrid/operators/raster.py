@@ -10,9 +10,9 @@ from scenegrid.operators.tables import written
 
 
 def pixels(vectors: DataFrame) -> DataFrame:
-    """Vectors as rows of grey pixels with a made-up alpha."""
+    """Vectors as rows of grey pixels with a made-up alpha. Components are 32-bit floats and are scaled as such: beside an integer Spark would take them as doubles."""
     p = vectors.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e"))
-    return p.select("image_id", F.col("i").cast("long").alias("x"), (F.floor(F.abs("e") * 1000) % 256).alias("v"), ((F.col("image_id") * 7 + (F.col("i") + 1) * 13) % 256).alias("a"))
+    return p.select("image_id", F.col("i").cast("long").alias("x"), (F.floor(F.abs("e") * F.lit(1000).cast("float")) % 256).alias("v"), ((F.col("image_id") * 7 + (F.col("i") + 1) * 13) % 256).alias("a"))
 
 
 def on_white(p: DataFrame) -> DataFrame:
