@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenegrid.functions.geometry import let, point_segment
+from scenegrid.functions.geometry import let
 from scenegrid.operators.tables import Rounds
 
 #: Letters and how many numbers each takes, the largest coordinate, the deepest split of a curve, the most chords of an arc.
@@ -222,9 +222,17 @@ def _corners(p: str = "p") -> list[tuple[Column, Column]]:
 
 
 def _apart(tolerance: float) -> Column:
-    """Whether a control point is further than ``tolerance`` from the chord."""
+    """Whether a control point is further than ``tolerance`` from the chord. The operations go in the order of the SQL, so that points at just that distance are judged alike."""
     a, b, c, d = _corners()
-    return F.greatest(point_segment(*b, *a, *d), point_segment(*c, *a, *d)) > tolerance
+    dx, dy = d[0] - a[0], d[1] - a[1]
+
+    def off(p: tuple[Column, Column]) -> Column:
+        px, py = p[0] - a[0], p[1] - a[1]
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0))))
+        x, y = px - t * dx, py - t * dy
+        return F.sqrt(x * x + y * y)
+
+    return F.greatest(off(b), off(c)) > tolerance
 
 
 def chords(curves: DataFrame, tolerance: float, deepest: int = DEEPEST) -> DataFrame:
