@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scenegrid.functions.geometry import let
 from scenegrid.operators import graph, relations
-from scenegrid.operators.tables import Rounds, written
+from scenegrid.operators.tables import Rounds, tasks, written
 
 #: Fixed values, in pixels: width and least height of nodes, the gaps between columns and rows, where the first node stands, the
 #: margins of group frames, the cost of a bend, the margin of obstacles, and how far a route leads out of its port.
@@ -49,31 +49,38 @@ def _passable(lines: np.ndarray, others: np.ndarray, low: np.ndarray, high: np.n
     """Per line and gap between neighbouring cross lines: whether no box blocks it. A box lies from low to high across
     the lines and from at to to along them."""
     out = np.ones((len(lines), len(others) - 1), bool)
-    for a, b, c, d in zip(low, high, at, to, strict=True):
-        rows = slice(np.searchsorted(lines, a, "right"), np.searchsorted(lines, b, "left"))
-        gaps = slice(max(np.searchsorted(others, c, "right") - 1, 0), np.searchsorted(others, d, "left"))
-        out[rows, gaps] = False
+    spans = np.searchsorted(lines, low, "right"), np.searchsorted(lines, high, "left"), np.maximum(np.searchsorted(others, at, "right") - 1, 0), np.searchsorted(others, to, "left")
+    for a, b, c, d in zip(*(v.tolist() for v in spans), strict=True):
+        out[a:b, c:d] = False
     return out
 
 
 def cheapest_route(start: tuple, goal: tuple, boxes: list[tuple]) -> tuple[float, list[tuple]]:
     """Manhattan length plus BEND per turn on the visibility grid of the boxes (x0, y0, x1, y1), which routes don't enter:
-    the cost and the corners of the route. The search goes by the cost so far and the distance that is left at least."""
+    the cost and the corners of the route, of equally cheap ones one with the fewest bends. The search goes by the cost so far and
+    what is left at least: the distance, and a turn where the goal isn't straight ahead, which is the cost without boxes."""
     b = np.array(boxes, float).reshape(-1, 4)
     xs = np.unique(np.concatenate([[start[0], goal[0]], b[:, 0] - MARGIN, b[:, 2] + MARGIN]))
     ys = np.unique(np.concatenate([[start[1], goal[1]], b[:, 1] - MARGIN, b[:, 3] + MARGIN]))
-    level = _passable(ys, xs, b[:, 1], b[:, 3], b[:, 0], b[:, 2])
-    upright = _passable(xs, ys, b[:, 0], b[:, 2], b[:, 1], b[:, 3])
+    level = _passable(ys, xs, b[:, 1], b[:, 3], b[:, 0], b[:, 2]).tolist()
+    upright = _passable(xs, ys, b[:, 0], b[:, 2], b[:, 1], b[:, 3]).tolist()
     place = lambda p: (int(np.searchsorted(xs, p[0])), int(np.searchsorted(ys, p[1])))
     first, last = place(start), place(goal)
     xl, yl = xs.tolist(), ys.tolist()
-    left = lambda n: abs(xl[n[0]] - goal[0]) + abs(yl[n[1]] - goal[1])
-    best: dict[tuple, float] = {(first, -1): 0.0}
+
+    def left(n: tuple, axis: int) -> tuple[float, int]:
+        dx, dy = abs(xl[n[0]] - goal[0]), abs(yl[n[1]] - goal[1])
+        turns = int(dx > 0 and dy > 0 or dx > 0 and axis == 1 or dy > 0 and axis == 0)
+        return dx + dy + BEND * turns, turns
+
+    best: dict[tuple, tuple] = {(first, -1): (0.0, 0)}
     came: dict[tuple, tuple] = {}
     done: set[tuple] = set()
-    todo: list[tuple] = [(left(first), 0.0, first, -1)]
+    far, turns = left(first, -1)
+    # by the least cost and turns of the whole route; of equal ones that with the least left goes on
+    todo: list[tuple] = [(far, turns, far, 0.0, 0, first, -1)]
     while todo:
-        _, cost, node, axis = heapq.heappop(todo)
+        *_, cost, bends, node, axis = heapq.heappop(todo)
         if (node, axis) in done:
             continue
         done.add((node, axis))
@@ -86,26 +93,32 @@ def cheapest_route(start: tuple, goal: tuple, boxes: list[tuple]) -> tuple[float
             return cost, [points[0], *inner, points[-1]] if len(points) > 1 else points
         i, j = node
         steps = []
-        if i + 1 < len(xl) and level[j, i]:
+        if i + 1 < len(xl) and level[j][i]:
             steps.append(((i + 1, j), 0, xl[i + 1] - xl[i]))
-        if i and level[j, i - 1]:
+        if i and level[j][i - 1]:
             steps.append(((i - 1, j), 0, xl[i] - xl[i - 1]))
-        if j + 1 < len(yl) and upright[i, j]:
+        if j + 1 < len(yl) and upright[i][j]:
             steps.append(((i, j + 1), 1, yl[j + 1] - yl[j]))
-        if j and upright[i, j - 1]:
+        if j and upright[i][j - 1]:
             steps.append(((i, j - 1), 1, yl[j] - yl[j - 1]))
-        for there, turn, far in steps:
-            new = cost + far + (BEND if axis not in (-1, turn) else 0)
-            if new < best.get((there, turn), float("inf")):
+        for there, turn, length in steps:
+            bent = int(axis not in (-1, turn))
+            new = cost + length + BEND * bent, bends + bent
+            if new < best.get((there, turn), (float("inf"), 0)):
                 best[(there, turn)] = new
                 came[(there, turn)] = (node, axis)
-                heapq.heappush(todo, (new + left(there), new, there, turn))
+                far, turns = left(there, turn)
+                heapq.heappush(todo, (new[0] + far, new[1] + turns, far, *new, there, turn))
     return float("inf"), []
 
 
+#: Bytes of scenes whose edges are routed in one task: a search takes far longer than reading its scene.
+ROUTED = 64 << 10
+
+
 def routes(edges: DataFrame, boxes: DataFrame) -> DataFrame:
     """edge_id, cost, n_points (ends and bends) and a code for each edge (scene_id, edge_id, x1, y1, x2, y2) around the boxes
-    of its scene. A scene has a bounded number of boxes, which travel to its edges; every edge is routed on its own."""
+    of its scene. A scene has a bounded number of boxes, which travel to its edges; every edge is routed on its own, in as many tasks as the tables need."""
     obstacles = boxes.groupBy("scene_id").agg(F.collect_list(F.array("x", "y", F.col("x") + F.col("width"), F.col("y") + F.col("height"))).alias("boxes"))
 
     def run(batches):
@@ -113,7 +126,9 @@ def routes(edges: DataFrame, boxes: DataFrame) -> DataFrame:
             found = [cheapest_route((r.x1, r.y1), (r.x2, r.y2), [tuple(b) for b in r.boxes]) for r in pdf.itertuples()]
             yield pd.DataFrame({"edge_id": pdf["edge_id"], "cost": [c for c, _ in found], "n_points": [len(p) for _, p in found], "code": ["ok" if p else "no_route" for _, p in found]})
 
-    return edges.join(obstacles, "scene_id").mapInPandas(run, "edge_id bigint, cost double, n_points bigint, code string")
+    # a broadcast would leave the edges in the tasks that their files were read in
+    dealt = edges.repartition(tasks(edges, ROUTED), "scene_id").join(obstacles.hint("merge"), "scene_id")
+    return dealt.mapInPandas(run, "edge_id bigint, cost double, n_points bigint, code string")
 
 
 def label_places(labels: DataFrame, boxes: DataFrame, candidates: int = 4) -> DataFrame:
