@@ -13,12 +13,12 @@ equal multisets are one node beforehand, so copies cost nothing more.
 
 Pairs. A bucket of up to SMALL nodes takes all its pairs; a larger one compares each node with its pivot,
 a node that meets the most others over all buckets: in a family of near copies, one close to
-their source. For nodes u, v and a pivot p, |u & v| <= |u & p| + |(u - p) & (v - p)|. So a node u that its pivot
-didn't take in can be linked to another v only if the two share a shingle that p hasn't, or if v is
-smaller than p by enough; such pairs of different classes are met by those shingles, and by size, and compared
-too; of the shingles a node needs to have in common, one of the rarest must be met, and shingles that the same nodes hold
+their source. Let D(u) be what a node u has beyond its pivot p and, as other tokens, what it lacks of p. Then
+|u & v| = |u & p| + |v & p| - |p| + |D(u) & D(v)|, so a link needs a known number of tokens that both differences hold. Where that
+is none, both are linked to p. Else the rarest token that both hold has, in each difference, as many from it on to the most frequent
+one as are needed: pairs of different classes are met by such tokens only, and compared too; tokens that the same nodes hold
 are one. The bounds are exact: no link between texts that share a bucket is lost up to connection. A bucket costs its nodes
-and the pairs that the bounds leave open; where many nodes of different classes hold one such shingle, those are all their pairs.
+and the pairs that the bounds leave open: those whose differences are nearly as alike as a link needs.
 
 Verification. The multisets of both texts are compared exactly; a link needs THRESHOLD or more. Classes
 are the connected components of the links; the class id is the smallest doc_id.
@@ -133,9 +133,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(K.arrays(part.column("doc_id"), part.column("text_key"), K.signed(content[0]), K.signed(content[1]), total, lists), ["doc_id", "text_key", "c1", "c2", "n", "bands"])
 
 
-def overlap(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row by row, of the multisets of two columns of texts: weighted Jaccard; size of the intersection;
-    (row, hash, weight) of what the left one has beyond the right one."""
+def overlap(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row by row, of the multisets of two columns of texts: weighted Jaccard; size of the intersection and of the right one;
+    (row, hash, weight) of what the left one has beyond the right one and, with all bits of the hash turned, of what it lacks."""
     n = len(a)
     sides = [K.bags(*K.shingles(K.words(x), SHINGLE)) for x in (a, b)]
     doc, h, w = (np.concatenate([s[i] for s in sides]) for i in range(3))
@@ -148,24 +148,25 @@ def overlap(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.
     rest = c.copy()
     rest[pair] -= met
     rest[pair + 1] -= met
-    more = np.flatnonzero(side & (rest > 0))
-    return both / np.maximum(np.bincount(doc, w, n) - both, 1), both.astype(np.int64), (d[more], x[more], rest[more])
+    more = np.flatnonzero(rest > 0)
+    right = np.bincount(sides[1][0], sides[1][2], n).astype(np.int64)
+    return both / np.maximum(np.bincount(doc, w, n) - both, 1), both.astype(np.int64), right, (d[more], np.where(side[more], x[more], ~x[more]), rest[more])
 
 
-_COMPARED = "a bigint, b bigint, sim double, common bigint, added array<struct<token: bigint, w: bigint>>"
+_COMPARED = "a bigint, b bigint, sim double, common bigint, nb bigint, differ array<struct<token: bigint, w: bigint>>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.chunks(batch, "text_a", K.CHUNK_BYTES // 2):
-            sim, common, (row, added, w) = overlap(part.column("text_a"), part.column("text_b"))
+            sim, common, size, (row, token, w) = overlap(part.column("text_a"), part.column("text_b"))
             off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
-            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(K.signed(added)), pa.array(w, pa.int64())], ["token", "w"]))
-            yield pa.RecordBatch.from_arrays(K.arrays(part.column("a"), part.column("b"), sim, common, lists), ["a", "b", "sim", "common", "added"])
+            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(K.signed(token)), pa.array(w, pa.int64())], ["token", "w"]))
+            yield pa.RecordBatch.from_arrays(K.arrays(part.column("a"), part.column("b"), sim, common, size, lists), ["a", "b", "sim", "common", "nb", "differ"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, sim, common, added) of the distinct pairs; added: shingles of a beyond b's. Texts travel by a and meet
+    """(a, b, sim, common, nb, differ) of the distinct pairs; nb: size of b; differ: shingles of a beyond b's and those it lacks. Texts travel by a and meet
     b's in place. Both joins shuffle both sides at every size, so many pairs of one b are split among tasks."""
     pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
     half = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -245,40 +246,33 @@ def _rest(large: DataFrame, compared: DataFrame, links: DataFrame, texts: DataFr
     """Links of large buckets between nodes that the pivots left in different classes."""
     class_of = components(links, scratch, "pivot-classes")
     members = large.where("node <> p")
-    members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("p"), "common", "added"), ["node", "p"])
+    members = members.join(compared.select(F.col("a").alias("node"), F.col("b").alias("p"), "common", "nb", "differ"), ["node", "p"])
     members = scratch.table(members.join(class_of, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "classed")
     # a pivot may have a large part of all members: joins by p are between tables, and may be split
     mains = scratch.table(members.select(F.col("p").alias("node")).distinct().join(class_of, "node", "left").select(F.col("node").alias("p"), F.coalesce("component", "node").alias("main")), "mains")
     members = scratch.table(members.hint("merge").join(mains, "p").withColumn("apart", F.col("class") != F.col("main")).drop("main"), "members")
-    mixed = scratch.table(members.groupBy("p").agg(F.min("n").alias("least"), F.bool_or("apart").alias("any")).where("any").select("p", "least"), "mixed")
+    # u and v are linked if their differences have nb + gap(u) + gap(v) in common
+    members = members.withColumn("gap", _SHARE * F.col("n") - F.col("common"))
+    mixed = scratch.table(members.groupBy("p").agg(F.min("gap").alias("least"), F.bool_or("apart").alias("any")).where("any").select("p", "least"), "mixed")
     members = scratch.table(members.hint("merge").join(mixed, "p"), "mixed-members")
     if not members.limit(1).count():
         return None
-    # v must have this many shingles at most, or share with u what the pivot hasn't
-    members = members.withColumn("room", F.floor(F.col("common") / _SHARE - F.col("n") + 1e-9))
 
-    tokens = scratch.table(members.select("p", "node", "class", "apart", F.inline("added")), "tokens")
+    tokens = scratch.table(members.select("p", "node", "class", "apart", F.inline("differ")), "tokens")
     same = [F.bit_xor(F.xxhash64("node", "w", F.lit(i))).alias(f"f{i}") for i in (1, 2)]
     telling = tokens.groupBy("p", "token").agg(F.count("*").alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("apart").alias("any"), *same).where("any AND lo <> hi")
     # shingles that the same nodes hold as often are one: they would name the same pairs again
     telling = scratch.table(telling.groupBy("p", "f1", "f2").agg(F.min("token").alias("token"), F.first("c").alias("c"), F.count("*").alias("times")).drop("f1", "f2"), "telling")
-    held = scratch.table(tokens.join(telling, ["p", "token"]).withColumn("w", F.col("w") * F.col("times")), "held-tokens")
-    # u needs this much in common with v beyond the pivot, so one of its rarest such shingles, or v is ruled out
-    need = F.greatest(F.lit(1), F.ceil(_SHARE * (F.col("n") + F.greatest("least", F.ceil(THRESHOLD * F.col("n") - 1e-9))) - F.col("common") - 1e-9))
-    needs = members.where("apart").select("p", "node", need.alias("need"))
+    held = scratch.table(tokens.join(telling, ["p", "token"]).select("p", "token", "node", "c", (F.col("w") * F.col("times")).alias("w")), "held-tokens")
+    # from each token on to the most frequent one; the rarest token that u and v have in common leaves enough for a link in both
     frequent = Window.partitionBy("p", "node").orderBy(F.desc("c"), "token")
-    rare = held.where("apart").join(needs, ["p", "node"]).withColumn("sum", F.sum("w").over(frequent)).where("sum >= need")
-    rare = scratch.table(rare.select("p", "token", "node", "class"), "rare-tokens")
-    # two nodes apart must meet in a token that is rare for both
-    y = rare.union(held.where("NOT apart").select("p", "token", "node", "class")).alias("y")
-    sharing = rare.alias("x").join(y, ["p", "token"]).where("x.class <> y.class").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-
-    row = ["p", "node", "n", "class", "room"]
-    x, y = members.where(F.col("apart") & (F.col("room") >= F.col("least"))).select(*row).alias("x"), members.select(*row).alias("y")
-    fits = (F.col("x.p") == F.col("y.p")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.n") <= F.col("x.room")) & (F.col("x.n") <= F.col("y.room")) & _alike("x.n", "y.n")
-    close = x.join(y, fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-
-    pairs = sharing.union(close).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    gaps = members.select("p", "node", "n", "class", "apart", (F.col("nb") + F.col("gap") - 1e-6).alias("gap"), F.greatest(F.lit(1), F.col("nb") + F.col("gap") + F.col("least") - 1e-6).alias("need"), F.col("nb"))
+    rare = held.withColumn("rest", F.sum("w").over(frequent)).join(gaps, ["p", "node"]).where("rest >= need")
+    rare = scratch.table(rare.select("p", "token", "node", "n", "class", "apart", "rest", "gap", "nb"), "rare-tokens")
+    x, y = rare.where("apart").alias("x"), rare.alias("y")
+    meet = (F.col("x.p") == F.col("y.p")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")))
+    enough = (F.least("x.rest", "y.rest") >= F.col("x.gap") + F.col("y.gap") - F.col("x.nb")) & _alike("x.n", "y.n")
+    pairs = x.join(y, meet & enough).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     known = compared.select("a", "b").union(compared.select("b", "a"))
     pairs = pairs.join(known, ["a", "b"], "left_anti")
     return verify(pairs, texts, scratch, "second").where(F.col("sim") >= THRESHOLD).select("a", "b")

@@ -86,6 +86,23 @@ def test_large_family_of_many_classes(spark, shared):
     assert got == want
 
 
+def test_family_without_its_source(spark, monkeypatch):
+    """Copies of a text that isn't there itself: each pivot lacks what nearly all others hold, which must not make all of them pairs."""
+    r = rng(23)
+    base = words(prose(r, 150))
+    texts = []
+    for _ in range(240):
+        one = list(base)
+        for at in r.sample(range(len(one)), r.choice([1, 2, 3, 3, 4])):
+            one[at] = prose(r, 1)
+        texts.append(" ".join(one))
+    met, verify = {}, near_dup.verify
+    monkeypatch.setattr(near_dup, "verify", lambda pairs, texts, scratch, name: met.setdefault(name, verify(pairs, texts, scratch, name)))
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(table(spark, texts)).collect()}
+    assert got == classes(dict(enumerate(texts)))[0]
+    assert met["second"].count() < 10 * len(texts)
+
+
 def test_rows_of_one_id_are_kept_for_themselves(spark):
     r = rng(19)
     copied, alone = prose(r, 60), prose(r, 60)
