@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,32 +28,53 @@ def bfchar_code(block: Column) -> Column:
     return F.when(declared.isNull(), "syntax").when(F.size(pairs) != declared, "count").when(F.exists(pairs, lambda u: F.length(u) != 4), "scalar").otherwise("ok")
 
 
+#: No sign of more than one code point is made of these alone; only a line break of two is.
+_SINGLE = re.compile("[\0-\u02ff]*")
+
+
+#: Texts whose lines are one Arrow batch.
+TEXTS = 500
+
+
+def _wrapped(text: str, width: int) -> list[str]:
+    """The lines of a text, each of ``width`` signs at most."""
+    import regex
+
+    lines: list[str] = []
+    parts: list[str] = []
+    used = 0
+    for word in text.split(" "):
+        plain = _SINGLE.fullmatch(word) and "\r\n" not in word
+        signs = word if plain else regex.findall(r"\X", word)
+        if used and len(signs) > width - used - 1:
+            lines.append("".join(parts))
+            parts, used = [], 0
+        elif used:
+            parts.append(" ")
+            used += 1
+        while len(signs) > width:
+            lines.append("".join(signs[:width]))
+            signs = signs[width:]
+        parts.append(signs if plain else "".join(signs))
+        used += len(signs)
+    return [*lines, "".join(parts)]
+
+
 def wrap_graphemes(texts: DataFrame, key: str, column: str, width: int) -> DataFrame:
     """Greedy wrap that counts what a reader sees as one character as one and never cuts it: key, line, text. A word longer
     than the line is cut between characters."""
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches):
-        import pandas as pd
-        import regex
-
-        for pdf in batches:
-            rows = []
-            for k, text in zip(pdf[key], pdf[column], strict=True):
-                lines: list[list[str]] = [[]]
-                for word in (text or "").split(" "):
-                    signs = regex.findall(r"\X", word)
-                    room = width - len(lines[-1]) - 1
-                    if lines[-1] and len(signs) > room:
-                        lines.append([])
-                    elif lines[-1]:
-                        lines[-1].append(" ")
-                    while len(signs) > width:
-                        lines[-1] += signs[:width]
-                        signs = signs[width:]
-                        lines.append([])
-                    lines[-1] += signs
-                rows += [(k, i + 1, "".join(line)) for i, line in enumerate(lines)]
-            yield pd.DataFrame(rows, columns=[key, "line", "text"])
-
-    return texts.select(key, column).mapInPandas(run, f"`{key}` {kind}, line bigint, text string")
+        import pyarrow as pa
+
+        for batch in batches:
+            # the lines of few texts at a time: a batch of texts may be large, its lines are more
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                lines = [_wrapped(t or "", width) for t in part.column(1).to_pylist()]
+                of = pa.array([i for i, found in enumerate(lines) for _ in found], pa.int64())
+                number = pa.array([n for found in lines for n in range(1, len(found) + 1)], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), number, pa.array([t for found in lines for t in found], pa.string())], [key, "line", "text"])
+
+    return texts.select(key, column).mapInArrow(run, f"`{key}` {kind}, line bigint, text string")

@@ -173,6 +173,36 @@ def test_graphemes_stay_whole(spark):
     assert got[2] == [""] and got[3] == ["abc", "def", "gh", "i"]
 
 
+def test_plain_signs_are_not_searched_for():
+    """Words of single signs are wrapped as they are; the others by a search for whole characters."""
+    import regex
+
+    low = [chr(i) for i in range(0x300)]
+    assert [a + b for a in low for b in low if len(regex.findall(r"\X", a + b)) != 2] == ["\r\n"]
+    for t in ("", " ", "  ", "abc", "abcd efg", "a\r\nbc d", "e\u0301e\u0301e\u0301e\u0301 \u00e9\u00e9", "ab  c \U0001f1e9\U0001f1ea\U0001f1e9\U0001f1ea", "a b c d e "):
+        for width in (1, 2, 3, 60):
+            assert text._wrapped(t, width) == _slowly(t, width)
+
+
+def _slowly(t, width):
+    import regex
+
+    lines = [[]]
+    for word in t.split(" "):
+        signs = regex.findall(r"\X", word)
+        room = width - len(lines[-1]) - 1
+        if lines[-1] and len(signs) > room:
+            lines.append([])
+        elif lines[-1]:
+            lines[-1].append(" ")
+        while len(signs) > width:
+            lines[-1] += signs[:width]
+            signs = signs[width:]
+            lines.append([])
+        lines[-1] += signs
+    return ["".join(line) for line in lines]
+
+
 CONTOUR = "path_id bigint, seq bigint, x bigint, y bigint"
 STAR = [(0, 100), (59, -81), (-95, 31), (95, 31), (-59, -81)]
 SQUARE = [(0, 0), (100, 0), (100, 100), (0, 100)]
