@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenegrid.operators.tables import tasks
+
 #: Cell of the grid of spatial joins, in pixels.
 CELL = 64.0
+#: Bytes of a table of boxes that one task takes: a box has several cells, and repeated columns make its file small.
+BOXES = 1 << 17
 #: How much coarser the next grid is.
 LEVEL = 8
 
@@ -53,13 +57,14 @@ def levelled(boxes: DataFrame, cell: float = CELL) -> DataFrame:
     return boxes.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(size / (cell * LEVEL)) / F.log(F.lit(LEVEL)) - 1e-9).cast("int")))
 
 
-def dealt(boxes: DataFrame, levels: DataFrame, cell: float = CELL) -> tuple[DataFrame, DataFrame]:
+def dealt(boxes: DataFrame, levels: DataFrame, cell: float = CELL, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(home, all): a row for each cell of its own level that a box touches, and one for each cell of that level and the coarser ones
-    among ``levels`` (scene_id, levels), with the columns grid, size, cx and cy."""
+    among ``levels`` (scene_id, levels), with the columns grid, size, cx and cy. Cells are dealt to ``n`` tasks, as many as the table of boxes needs unless given."""
     at = levelled(boxes, cell).join(levels, "scene_id")
     every = at.withColumn("grid", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels")
     every = every.withColumn("size", F.pow(F.lit(float(LEVEL)), F.col("grid")) * cell)
     every = every.withColumn("cx", F.explode(_span(F.col("x"), F.col("width"), F.col("size")))).withColumn("cy", F.explode(_span(F.col("y"), F.col("height"), F.col("size"))))
+    every = every.repartition(n or tasks(boxes, BOXES), "scene_id", "grid", "cx", "cy")
     return every.where("grid = level"), every
 
 
@@ -105,7 +110,8 @@ def segments_through(segments: DataFrame, boxes: DataFrame, cell: float = CELL)
     segments = segments.select("scene_id", "segment_id", "x", "y", "width", "height")
     both = segments.drop("segment_id").unionByName(boxes.drop("object_id"))
     levels = scene_levels(both, cell)
-    (s_home, s_all), (b_home, b_all) = dealt(segments, levels, cell), dealt(boxes, levels, cell)
+    n = max(tasks(segments, BOXES), tasks(boxes, BOXES))
+    (s_home, s_all), (b_home, b_all) = dealt(segments, levels, cell, n), dealt(boxes, levels, cell, n)
 
     def through(one: DataFrame, other: DataFrame, once: str) -> DataFrame:
         s, b = one.alias("s"), other.alias("b")

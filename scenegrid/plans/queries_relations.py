@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenegrid.operators import graph, records, relations
+from scenegrid.operators.tables import tasks
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
 
@@ -271,13 +272,16 @@ JOIN s b ON b.scene_id = a.scene_id AND b.slot > least(a.slot, m.slot) AND b.slo
 )
 def grouping_paint_overlap(spark, sf_dir):
     """Objects painted between two members of an attachment that overlap it; they forbid grouping."""
-    s = fixture(spark, sf_dir, "boxes").withColumn("slot", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.coalesce("z_index", "ordinal"), "ordinal")))
-    met = relations.overlaps(s).select("scene_id", "a_id", "b_id")
-    met = met.union(met.select("scene_id", "b_id", "a_id"))
+    b = fixture(spark, sf_dir, "boxes")
+    n = tasks(b, relations.BOXES)
+    s = b.repartition(n, "scene_id").withColumn("slot", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.coalesce("z_index", "ordinal"), "ordinal")))
+    pair = lambda a, b: F.struct(F.col(a).alias("a_id"), F.col(b).alias("b_id"))
+    met = relations.overlaps(s).select("scene_id", F.inline(F.array(pair("a_id", "b_id"), pair("b_id", "a_id")))).repartition(n, "scene_id", "a_id")
     slot = s.select("scene_id", "object_id", "slot")
-    owner = met.join(slot.select("scene_id", F.col("object_id").alias("a_id"), F.col("slot").alias("sa")), ["scene_id", "a_id"]).join(slot.select("scene_id", F.col("object_id").alias("b_id"), F.col("slot").alias("sb")), ["scene_id", "b_id"])
-    member = slot.select("scene_id", (F.col("object_id") - 1).alias("a_id"), F.col("slot").alias("sm"))
-    return owner.join(member, ["scene_id", "a_id"]).where("sb > least(sa, sm) AND sb < greatest(sa, sm)").select("scene_id", F.col("a_id").alias("owner_id"), F.col("b_id").alias("between_id"))
+    owner = met.join(slot.select("scene_id", F.col("object_id").alias("a_id"), F.col("slot").alias("sa")), ["scene_id", "a_id"])
+    owner = owner.join(slot.select("scene_id", (F.col("object_id") - 1).alias("a_id"), F.col("slot").alias("sm")), ["scene_id", "a_id"])
+    between = slot.select("scene_id", F.col("object_id").alias("b_id"), F.col("slot").alias("sb"))
+    return owner.repartition(n, "scene_id", "b_id").join(between, ["scene_id", "b_id"]).where("sb > least(sa, sm) AND sb < greatest(sa, sm)").select("scene_id", F.col("a_id").alias("owner_id"), F.col("b_id").alias("between_id"))
 
 
 @query(
