@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scenegrid.operators.tables import written
+from scenegrid.operators.relations import BOXES
+from scenegrid.operators.tables import tasks, written
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
 from scenegrid.sources import package_sink, packages, svg, svg_images
@@ -112,7 +113,7 @@ def image_occurrences(spark, sf_dir):
         """concat('<image id="i', object_id, '" x="', x, '" y="', y, '" width="', width, '" height="', height, '" href="data:image/png;base64,', base64(encode(label, 'UTF-8')), '"',
         CASE WHEN object_id % 5 = 0 THEN ' display="none"' WHEN object_id % 7 = 0 THEN ' opacity="0.5"' WHEN object_id % 11 = 0 THEN ' clip-path="url(#none)"' WHEN object_id % 13 = 0 THEN ' transform="turn(3)"' ELSE '' END, '/>')"""
     )
-    body = b.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", mark.alias("m")))).alias("ms"))
+    body = b.repartition(tasks(b, BOXES), "scene_id").groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", mark.alias("m")))).alias("ms"))
     head = '<svg xmlns="http://www.w3.org/2000/svg"><defs><clipPath id="c"><rect width="9" height="9"/></clipPath></defs><g transform="translate(16 7)"><g transform="scale(4 2)" clip-path="url(#c)">'
     files = body.select(F.concat(F.lit("scene-"), "scene_id").alias("path"), _binary(F.concat(F.lit(head), F.array_join(F.transform("ms", lambda s: s["m"]), ""), F.lit("</g></g></svg>"))).alias("content"))
     found = svg_images.occurrences(written(files, "svg"))

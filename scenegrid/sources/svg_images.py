@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scenegrid.functions.geometry import let
 from scenegrid.operators.layout import matrix
-from scenegrid.operators.tables import written
+from scenegrid.operators.tables import tasks, written
 from scenegrid.sources.svg import MAX_BYTES, MAX_NODES, _px
 
 #: Elements whose content isn't painted where it stands, and effects that must have no effect.
@@ -114,17 +114,20 @@ def occurrences(files: DataFrame) -> DataFrame:
 
     A code stands for what isn't read, and then there is no transform: ``not_embedded``, ``bad_data``, ``bad_number``, ``no_size``, ``transform``, ``opacity`` or ``effect`` of the image or of a group above it, ``unresolved``
     clips and masks, ``use`` of something that holds an image. A file that can't be read is one row with a code. Hidden images have no row, nor has what lies in definitions."""
-    els = written(files.select("path", "content").mapInArrow(_read, _SCHEMA), "elements")
+    # files, and elements after them, are dealt to as many tasks as their tables need
+    els = written(files.select("path", "content").repartition(tasks(files), "path").mapInArrow(_read, _SCHEMA), "elements")
+    n = tasks(els)
     marks = els.where("NOT inner AND (tag IN ('image', 'file') OR tag = 'use' AND code = 'use')")
-    up = marks.select("file", F.col("seq").alias("mark"), F.posexplode("above").alias("pos", "seq"))
-    stack = up.join(els.select("file", "seq", "transform", "clip", "mask", "hidden", F.col("code").alias("wrong")), ["file", "seq"])
+    up = marks.select("file", F.col("seq").alias("mark"), F.posexplode("above").alias("pos", "seq")).repartition(n, "file", "seq")
+    each = els.select("file", "seq", "transform", "clip", "mask", "hidden", F.col("code").alias("wrong")).repartition(n, "file", "seq")
+    stack = up.join(each, ["file", "seq"]).repartition(n, "file", "mark")
     level = F.struct("pos", "transform", "clip", "mask", "hidden", "wrong")
     stack = stack.groupBy("file", F.col("mark").alias("seq")).agg(F.sort_array(F.collect_list(level)).alias("levels"))
     to = lambda levels: matrix(F.array_join(F.transform(levels, lambda s: s["transform"]), " "))
     named = lambda k: F.transform(F.filter("levels", lambda s: s[k].isNotNull()), lambda s: F.struct(s[k].alias("id"), to(F.slice("levels", 1, s["pos"] + 1)).alias("transform")))
-    found = marks.drop("mask", "clip", "transform", "hidden").join(stack, ["file", "seq"]).where(~F.exists("levels", lambda s: s["hidden"]))
+    found = marks.drop("mask", "clip", "transform", "hidden").repartition(n, "file", "seq").join(stack, ["file", "seq"]).where(~F.exists("levels", lambda s: s["hidden"]))
     wrong = F.get(F.filter(F.transform("levels", lambda s: s["wrong"]), lambda c: c.isNotNull()), F.lit(0))
     found = found.withColumns({"m": to(F.col("levels")), "clips": named("clip"), "masks": named("mask"), "wrong": wrong})
     code = F.coalesce("wrong", F.when(F.col("m").isNull(), "transform"))
     ordinal = F.row_number().over(Window.partitionBy("file").orderBy("seq")).cast("long") - 1
-    return found.select("file", ordinal.alias("ordinal"), "id", F.when(code.isNull(), let(F.col("m"), _placements)).alias("transform"), "clips", "masks", "sha256", code.alias("code"))
+    return found.repartition(n, "file").select("file", ordinal.alias("ordinal"), "id", F.when(code.isNull(), let(F.col("m"), _placements)).alias("transform"), "clips", "masks", "sha256", code.alias("code"))
