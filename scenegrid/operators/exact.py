@@ -1,9 +1,13 @@
-"""Chains of affine matrices without rounding: six whole numbers over one power of ten, multiplied as DECIMAL(38)."""
+"""Chains of affine matrices without rounding: six whole numbers of up to 38 digits over one power of ten."""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache
+from math import gcd
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,94 +15,102 @@ from scenegrid.functions.geometry import let
 
 #: Fixed value: the longest text of a matrix that is read.
 MAX_TEXT = 4096
-_NUMBER = r"[-+]?(?:[0-9]*\.[0-9]+|[0-9]+\.?[0-9]*)(?:[eE][-+]?[0-9]+)?"
-_PARTS = r"^([-+]?)([0-9]*)\.?([0-9]*)(?:[eE]([-+]?[0-9]+))?$"
-_MATRIX = r"^\s*matrix\s*\(([^)]*)\)\s*$"
-_WHOLE = "decimal(38,0)"
-
-
-def _state(m: Column, s: Column, code: Column) -> Column:
-    return F.struct(m.cast(f"array<{_WHOLE}>").alias("m"), s.cast("int").alias("s"), code.cast("string").alias("code"))
-
-
-def _nothing(code: str) -> Column:
-    # never null inside of a fold, whose type is that of its first state
-    return _state(F.array(), F.lit(0), F.lit(code))
-
-
-def _identity() -> Column:
-    return _state(F.array(*map(F.lit, (1, 0, 0, 1, 0, 0))), F.lit(0), F.lit(""))
-
-
-def _power(n: Column) -> Column:
-    """A power of ten; null beyond 38 digits."""
-    return F.concat(F.lit("1"), F.repeat(F.lit("0"), F.least(n, F.lit(40)))).try_cast(_WHOLE)
-
-
-def _coded(m: Column, s: Column) -> Column:
-    return let(m, lambda n: F.when(F.exists(n, lambda v: v.isNull()), _nothing("overflow")).otherwise(_state(n, s, F.lit(""))))
-
-
-def _shorter(m: Column, s: Column) -> Column:
-    """The same fractions over the least power of ten."""
-
-    def cut(k: Column) -> Column:
-        less = F.transform(m, lambda v: F.when(v == 0, v).otherwise(let(v.cast("string"), lambda t: F.substring(t, F.lit(1), F.length(t) - k).try_cast(_WHOLE))))
-        return _state(less, s - k, F.lit(""))
-
-    zeros = F.transform(m, lambda v: F.when(v == 0, 99).otherwise(let(v.cast("string"), lambda t: F.length(t) - F.length(F.rtrim(t, F.lit("0"))))))
-    return F.when(F.exists(m, lambda v: v.isNull()), _nothing("overflow")).otherwise(let(F.least(F.array_min(zeros), s), cut))
-
-
-def _numbers(texts: Column) -> Column:
-    """Decimals over one power of ten. An exponent of more than four digits isn't read."""
-    part = lambda t: F.struct(
-        F.regexp_extract(t, _PARTS, 1).alias("sign"),
-        F.concat(F.regexp_extract(t, _PARTS, 2), F.regexp_extract(t, _PARTS, 3)).alias("digits"),
-        (F.length(F.regexp_extract(t, _PARTS, 3)) - F.when(t.rlike("[eE]"), F.regexp_extract(t, _PARTS, 4).try_cast("int")).otherwise(0)).alias("scale"),
-    )
-    plain = lambda p: F.when(p["digits"].rlike("^0+$"), F.struct(F.lit("").alias("sign"), F.lit("0").alias("digits"), F.lit(0).alias("scale"))).otherwise(p)
-
-    def same_scale(ps: Column) -> Column:
-        s = F.greatest(F.lit(0), F.array_max(F.transform(ps, lambda p: p["scale"])))
-        at = lambda z: F.transform(ps, lambda p: F.when(p["digits"] == "0", F.lit(0)).otherwise(F.concat(p["sign"], p["digits"], F.repeat(F.lit("0"), F.least(z - p["scale"], F.lit(60)))).try_cast(_WHOLE)))
-        return let(s, lambda z: _coded(at(z), z))
-
-    wrong = F.exists(texts, lambda t: t.isNull() | (F.length(t) > MAX_TEXT) | ~F.coalesce(t, F.lit("")).rlike(rf"^{_NUMBER}$") | t.rlike("[eE][-+]?[0-9]{5,}$"))
-    return F.when(wrong, _nothing("unread")).otherwise(let(F.transform(texts, lambda t: let(part(t), plain)), same_scale))
-
-
-def _matrix(text: Column) -> Column:
-    def read(args: Column) -> Column:
-        sound = lambda n: (F.size(n) == 6) & ~F.regexp_replace(args, _NUMBER, "").rlike(r"[^ ,\t\r\n]")
-        return let(F.regexp_extract_all(args, F.lit(_NUMBER), 0), lambda n: F.when(sound(n), _numbers(n)).otherwise(_nothing("unread")))
-
-    return (
-        F.when(text.isNull() | (text == ""), _identity())
-        .when((F.length(text) > MAX_TEXT) | ~text.rlike(_MATRIX), _nothing("unread"))
-        .otherwise(let(F.regexp_extract(text, _MATRIX, 1), read))
-    )
-
-
-def _shift(dx: Column, dy: Column) -> Column:
-    one = lambda r: _state(F.array(_power(r["s"]), F.lit(0), F.lit(0), _power(r["s"]), r["m"][0], r["m"][1]), r["s"], F.lit(""))
-    read = let(_numbers(F.array(dx, dy)), lambda r: F.when(r["code"] != "", _state(F.array(), F.lit(0), r["code"])).otherwise(one(r)))
-    return F.when(dx.isNull() & dy.isNull(), _identity()).otherwise(read)
-
-
-def _times(a: Column, b: Column) -> Column:
-    m, k = (lambda i: a["m"][i]), (lambda i: b["m"][i])
-    total = lambda *pairs: reduce(F.try_add, [F.try_multiply(x, y) for x, y in pairs])
-    wide = _power(b["s"])
-    product = F.array(
-        total((m(0), k(0)), (m(2), k(1))), total((m(1), k(0)), (m(3), k(1))), total((m(0), k(2)), (m(2), k(3))), total((m(1), k(2)), (m(3), k(3))),
-        total((m(0), k(4)), (m(2), k(5)), (m(4), wide)), total((m(1), k(4)), (m(3), k(5)), (m(5), wide)),
-    )
-    return (
-        F.when(a["code"] != "", a)
-        .when(b["code"] != "", b)
-        .otherwise(let(product.cast(f"array<{_WHOLE}>"), lambda p: _shorter(p, a["s"] + b["s"])))
-    )
+#: Numbers on the way are smaller than this in size.
+LIMIT = 10**38
+#: Texts that a worker remembers, as files repeat their matrices.
+TEXTS = 1 << 13
+_NUMBER = re.compile(r"([-+]?)(?:([0-9]*)\.([0-9]+)|([0-9]+)\.?)(?:[eE]([-+]?[0-9]+))?")
+#: As in Spark's expressions, a text may end with one end of line.
+_ALONE = re.compile(rf"{_NUMBER.pattern}(?:\r\n|[\n\r\u0085\u2028\u2029])?")
+_MATRIX = re.compile(r"\s*matrix\s*\(([^)]*)\)\s*[\u0085\u2028\u2029]?", re.ASCII)
+_ELSE = re.compile(r"[^ ,\t\r\n]")
+_IDENTITY = (1, 0, 0, 1, 0, 0), 0
+_CHAIN = "struct<m:array<decimal(38,0)>,s:int,code:string>"
+
+
+def _fits(n: int) -> int:
+    if -LIMIT < n < LIMIT:
+        return n
+    raise OverflowError
+
+
+def _power(n: int) -> int:
+    """A power of ten."""
+    return _fits(10 ** min(n, 40))
+
+
+def _numbers(parts: list) -> tuple[list, int]:
+    """Decimals (sign, digits before the point, after it, digits without a point, exponent) over one power of ten. An exponent of more than four digits isn't read."""
+    if any(len(p[4].lstrip("+-")) > 4 for p in parts):
+        raise ValueError
+    read = [(int(sign + (before + after or alone)), len(after) - int(power or 0)) for sign, before, after, alone, power in parts]
+    s = max(0, *[scale for n, scale in read if n], 0)
+    return [_fits(n * 10 ** min(s - scale, 60)) if n else 0 for n, scale in read], s
+
+
+@lru_cache(TEXTS)
+def _matrix(text: str | None) -> tuple:
+    if not text:
+        return _IDENTITY
+    args = _MATRIX.fullmatch(text) if len(text) <= MAX_TEXT else None
+    parts = _NUMBER.findall(args[1]) if args else []
+    if len(parts) != 6 or _ELSE.search(_NUMBER.sub("", args[1])):
+        raise ValueError
+    return _numbers(parts)
+
+
+@lru_cache(TEXTS)
+def _shift(dx: str | None, dy: str | None) -> tuple:
+    if dx is None and dy is None:
+        return _IDENTITY
+    parts = [_ALONE.fullmatch(t) if t is not None and len(t) <= MAX_TEXT else None for t in (dx, dy)]
+    if None in parts:
+        raise ValueError
+    (x, y), s = _numbers([p.groups("") for p in parts])
+    return (_power(s), 0, 0, _power(s), x, y), s
+
+
+def _total(*pairs: tuple[int, int]) -> int:
+    n = 0
+    for x, y in pairs:
+        n = _fits(n + _fits(x * y))
+    return n
+
+
+def _times(m: tuple, s: int, k: tuple, z: int) -> tuple:
+    """The product over the least power of ten."""
+    (a, b, c, d, e, f), (p, q, r, t, u, v), wide = m, k, _power(z)
+    if 3 * max(*m, -min(m)) * max(*k, wide, -min(k)) < LIMIT:  # no number on the way can be too long
+        n = [a * p + c * q, b * p + d * q, a * r + c * t, b * r + d * t, a * u + c * v + e * wide, b * u + d * v + f * wide]
+    else:
+        n = [_total((a, p), (c, q)), _total((b, p), (d, q)), _total((a, r), (c, t)), _total((b, r), (d, t)), _total((a, u), (c, v), (e, wide)), _total((b, u), (d, v), (f, wide))]
+    common, s = gcd(*n), s + z
+    if common % 10 or not s:
+        return n, s
+    digits = str(common)
+    cut = min(len(digits) - len(digits.rstrip("0")), s) if common else s
+    ten = 10**cut
+    return [x // ten for x in n], s - cut
+
+
+def _chain(steps: list) -> tuple:
+    """m, s and code of one chain of steps (matrix, dx, dy)."""
+    m, s = _IDENTITY
+    try:
+        for matrix, dx, dy in steps:
+            m, s = _times(m, s, *_matrix(matrix))
+            shift = _shift(dx, dy)
+            m, s = (m, s) if shift is _IDENTITY else _times(m, s, *shift)
+    except (ValueError, OverflowError) as e:
+        return None, None, "overflow" if isinstance(e, OverflowError) else "unread"
+    return m, s, None
+
+
+def _chains(matrix: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
+    steps = zip(*[c.flatten().to_pylist() for c in (matrix, dx, dy)])
+    found = [_chain([next(steps) for _ in range(n or 0)]) for n in pc.list_value_length(matrix).to_pylist()]
+    m, s, code = zip(*found) if found else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(m, pa.list_(pa.decimal128(38, 0))), pa.array(s, pa.int32()), pa.array(code, pa.string())], ["m", "s", "code"])
 
 
 def exact_chain(steps: Column) -> Column:
@@ -106,11 +118,8 @@ def exact_chain(steps: Column) -> Column:
 
     A matrix is ``matrix(a b c d e f)``; null or empty is the identity, and so is a step without dx and dy. Nothing is rounded: decimals and exponents are
     read as they are written. ``code`` is ``unread`` if a text is anything else, ``overflow`` if a number on the way needs over 38 digits; the first one in the chain stays, and ``m`` is null then.
-    An empty array is the identity, a null one gives null."""
-    both = F.flatten(F.transform(steps, lambda t: F.array(_matrix(t["matrix"]), _shift(t["dx"], t["dy"]))))
-    good = lambda r, v: F.when(r["code"] == "", v)
-    named = lambda r: F.struct(good(r, r["m"]).alias("m"), good(r, r["s"]).alias("s"), F.nullif(r["code"], F.lit("")).alias("code"))
-    return F.when(steps.isNotNull(), let(F.aggregate(both, _identity(), _times), named))
+    An empty array is the identity, a null one gives null. The whole numbers of a chain are multiplied in Python, batch by batch: as an expression over DECIMAL(38) a step took several times as long."""
+    return F.when(steps.isNotNull(), F.arrow_udf(_chains, _CHAIN)(steps["matrix"], steps["dx"], steps["dy"]))
 
 
 def exact_text(number: Column, s: Column) -> Column:

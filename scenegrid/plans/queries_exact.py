@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenegrid.operators import exact, records
+from scenegrid.operators.tables import tasks
 from scenegrid.plans.fixtures import cte, fixture
 from scenegrid.plans.registry import query
 
@@ -38,7 +39,8 @@ SELECT path_id, NULL::VARCHAR AS code, {", ".join(f"{_decimal(v)} AS {v}" for v
 )
 def exact_chains(spark, sf_dir):
     """The matrices of each order's lines, some with a translation, as one exact product."""
-    lines = _table(spark, sf_dir, "lineitem").selectExpr(*_LINES)
+    lines = _table(spark, sf_dir, "lineitem")
+    lines = lines.repartition(tasks(lines), "l_orderkey").selectExpr(*_LINES)
     text = F.expr("concat('matrix(1.', lpad(d, 2, '0'), ' .0', t, ',-.0', t, ' 1 ', q, ' -', q div 2, if(q % 2 = 1, '.5)', '.0)'))")
     step = F.struct("seq", F.struct(text.alias("matrix"), F.expr("if(moved, cast(q AS string), NULL)").alias("dx"), F.expr("if(moved, '10e-1', NULL)").alias("dy")).alias("step"))
     paths = lines.groupBy("path_id").agg(F.transform(F.sort_array(F.collect_list(step)), lambda s: s["step"]).alias("steps"))
