@@ -92,18 +92,19 @@ def expand_references(uses: DataFrame, definitions: DataFrame, depth: int = 32)
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link (columns a, b, of one comparable type); the component is its smallest node. Each round takes the smallest
     label among the neighbours, then the label of that label, so chains shorten by halves; minima are added up before the shuffle, so a node with very many
-    links costs a row a task. Nodes and labels stay in tables."""
+    links costs a row a task. Nodes and labels stay in tables and are shuffled, not broadcast: small files may hold many labels, and each round would
+    send them through the driver."""
     tables = Rounds(links.sparkSession, "components")
     one = links.select(F.col("a").alias("node"), F.col("b").alias("other")).where("a <> b")
     both = tables.write(one.union(one.select("other", "node")).distinct())
     rounds, halves = Rounds(links.sparkSession, "labels"), Rounds(links.sparkSession, "lower")
     labels = rounds.replace(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        near = both.hint("merge").join(labels.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        lower = labels.hint("merge").join(near.hint("merge"), "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         lower = halves.replace(lower)
         roots = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = rounds.replace(lower.join(roots, "component").select("node", F.col("root").alias("component"), (F.col("root") != F.col("old")).alias("moved")))
+        labels = rounds.replace(lower.hint("merge").join(roots.hint("merge"), "component").select("node", F.col("root").alias("component"), (F.col("root") != F.col("old")).alias("moved")))
         if labels.where("moved").isEmpty():
             return labels.select("node", "component")
 

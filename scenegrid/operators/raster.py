@@ -59,8 +59,8 @@ def components(mask: DataFrame, least: int = 1) -> DataFrame:
     above, below = dealt.alias("a"), dealt.withColumn("y", F.col("y") - 1).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("image_id", "y", "block")]
     touch = same[0] & same[1] & same[2] & (F.col("a.x0") <= F.col("b.x1") + 1) & (F.col("b.x0") <= F.col("a.x1") + 1)
-    parts = graph.components(above.join(below, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    whole = spans.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = graph.components(above.hint("merge").join(below.hint("merge"), touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    whole = spans.hint("merge").join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sums = whole.groupBy("component").agg(F.min("x0").alias("left"), F.min("y").alias("top"), F.max("x1").alias("right"), F.max("y").alias("bottom"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
     return sums.where(F.col("area") >= least).select("component.image_id", "left", "top", "right", "bottom", "area")
 
