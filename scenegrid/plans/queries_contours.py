@@ -65,9 +65,21 @@ tried AS (SELECT a.path_id, a.seq, a.k, bool_or(NOT ((a.x = b.x AND a.y = b.y AN
 clear AS (SELECT path_id, seq, (min(k) FILTER (WHERE NOT hit))::INT AS halvings FROM tried GROUP BY ALL)"""
 
 
-@query(cte("commands") + _RING + _PROBES + " SELECT path_id, seq, halvings FROM clear")
+_SAME = "((a.x = b.x AND a.y = b.y AND a.nx = b.nx AND a.ny = b.ny) OR (a.x = b.nx AND a.y = b.ny AND a.nx = b.x AND a.ny = b.y))"
+_ON = " AND ".join(f"a.{c} + a.n{c} BETWEEN 2 * least(b.{c}, b.n{c}) AND 2 * greatest(b.{c}, b.n{c})" for c in "xy")
+
+
+@query(
+    cte("commands").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _RING
+    + f""", e AS (SELECT path_id, seq, x::HUGEINT AS x, y::HUGEINT AS y, nx::HUGEINT AS nx, ny::HUGEINT AS ny FROM r WHERE x <> nx OR y <> ny),
+stuck AS (SELECT DISTINCT a.path_id, a.seq FROM e a JOIN e b ON a.path_id = b.path_id AND NOT {_SAME} AND {_ON} AND (b.nx - b.x) * (a.y + a.ny - 2 * b.y) = (b.ny - b.y) * (a.x + a.nx - 2 * b.x)),
+t AS (SELECT e.*, 0 AS k, greatest(abs(nx - x), abs(ny - y)) AS s FROM e ANTI JOIN stuck USING (path_id, seq)
+ UNION ALL SELECT DISTINCT a.path_id, a.seq, a.x, a.y, a.nx, a.ny, a.k + 1, a.s * 2 FROM (SELECT *, (x + nx) * s AS mx, (y + ny) * s AS my FROM t) a JOIN e b ON a.path_id = b.path_id AND NOT {_SAME} AND ({_meets(_PROBE['+'], _EDGE)} OR {_meets(_PROBE['-'], _EDGE)}))
+SELECT path_id, seq, max(k) AS halvings FROM t GROUP BY path_id, seq UNION ALL SELECT path_id, seq, NULL FROM stuck"""
+)
 def side_probes(spark, sf_dir):
-    """Probes at both sides of an edge, halved until no other edge lies between."""
+    """Probes at both sides of an edge, halved until no other edge lies between, however often that is."""
     return contours.side_probes(fixture(spark, sf_dir, "commands")).select("path_id", "seq", "halvings")
 
 
